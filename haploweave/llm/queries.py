@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from haploweave.llm import exact_dedup
+from haploweave.llm import exact_dedup, simhash
 
-QUERIES = {"op10_exact_dedup": exact_dedup.op10_exact_dedup}
+QUERIES = {
+    "op8_simhash": simhash.op8_simhash,
+    "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+}
 ORACLE = {"op10_exact_dedup": exact_dedup.SQL}
