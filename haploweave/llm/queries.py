@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from haploweave.llm import exact_dedup, simhash
+from haploweave.llm import chat, exact_dedup, mixing, simhash
 
 QUERIES = {
+    "op5_chat_format": chat.op5_chat_format,
+    "op7_mix_sources": mixing.op7_mix_sources,
     "op8_simhash": simhash.op8_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLE = {"op10_exact_dedup": exact_dedup.SQL}
+ORACLE = {
+    "op5_chat_format": chat.SQL,
+    "op7_mix_sources": mixing.SQL,
+    "op10_exact_dedup": exact_dedup.SQL,
+}
