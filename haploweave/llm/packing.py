@@ -28,25 +28,27 @@ from pyspark.sql.window import Window
 from haploweave.llm._io import materialize, pieces, table
 
 SEQUENCE = 2048
-#: Words whose ids a worker keeps at most, and the longest it keeps.
-KEPT_WORDS, KEPT_CHARS = 250_000, 64
+#: Parts of texts whose ids a worker keeps at most, and the longest it keeps.
+KEPT_PARTS, KEPT_CHARS = 600_000, 64
 #: Pieces that share a salt, within which ranks are counted.
 SALT_ROWS = 1 << 17
 #: (groups, large lengths are over one n-th of a sequence, room a configuration may leave once actual lengths are in): the best plan is taken.
 SCHEMES = ((24, 8, 2048), (48, 8, 2048), (48, 4, 2048), (24, 8, 24), (48, 8, 8), (48, 4, 4), (48, 4, 1), (48, 4, 0))
 
 
-#: Words of these characters only are cut into their pre-tokens here; any other word goes to the tokenizer whole.
-PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
-#: Pre-tokens of a plain word in lower case.
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+#: Texts and words of these characters only are cut into their pre-tokens here; any other word goes to the tokenizer whole.
+PLAIN = re.compile(r"[\x20-\x7e\t\n\r\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+#: Pre-tokens of a plain text in lower case.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^ \t\n\ra-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 
 
 class WordIds:
-    """Token ids of texts. White space never enters a token, so words are looked up one by one.
+    """Token ids of texts, from what is known of their parts.
 
-    Plain words are cut further, into pre-tokens; these are encoded together, as
-    each ends with the only token that has the end mark.
+    Parts are the pre-tokens of plain texts and words. Unknown ones are encoded
+    together, as each ends with the only token that has the end mark. White space
+    never enters a token, so words that aren't plain are parts by themselves, kept
+    under their name after a blank.
     """
 
     def __init__(self, path: str):
@@ -57,45 +59,44 @@ class WordIds:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _parts(self, text: str) -> list[str]:
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return PARTS.findall(text.lower())
+        out = []
+        for word in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
+            if PLAIN.fullmatch(word) and "<|" not in word:
+                out += PARTS.findall(word.lower())
+            else:
+                out.append(f" {word}")
+        return out
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _learn(self, fresh: set[str]) -> None:
+        parts, words = sorted(x for x in fresh if x[0] != " "), sorted(x for x in fresh if x[0] == " ")
         for i in range(0, len(parts), 8192):
             some = parts[i : i + 8192]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             held = ids.tobytes()
-            self.parts.update(zip(some, (held[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
-
-    def _learn_whole(self, words: list[str]) -> None:
+            self.known.update(zip(some, (held[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
         for i in range(0, len(words), 4096):
             some = words[i : i + 4096]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.words[word] = array("I", e.ids).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        cut = {w: PARTS.findall(w.lower()) for w in words if PLAIN.fullmatch(w) and "<|" not in w}
-        self._learn_whole(sorted(words - cut.keys()))
-        self._learn_parts(sorted(set().union(*cut.values()) - self.parts.keys()))
-        part = self.parts.__getitem__
-        for word, parts in cut.items():
-            self.words[word] = part(parts[0]) if len(parts) == 1 else b"".join(map(part, parts))
+            for word, e in zip(some, self.tokenizer.encode_batch_fast([x[1:] for x in some], add_special_tokens=False), strict=True):
+                self.known[word] = array("I", e.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids, without special tokens."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [self._parts(t) for t in texts]
         here = set().union(*split)
-        fresh = here - self.words.keys()
-        if len(self.words) + len(fresh) > KEPT_WORDS:
-            self.words, fresh = {}, here
-        if len(self.parts) > KEPT_WORDS:
-            self.parts = {}
+        fresh = here - self.known.keys()
+        if len(self.known) + len(fresh) > KEPT_PARTS:
+            self.known, fresh = {}, here
         self._learn(fresh)
-        found = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        for known in (self.words, self.parts):
-            for word in [w for w in (fresh if known is self.words else known) if len(w) > KEPT_CHARS]:
-                del known[word]
+        found = [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+        for part in fresh:
+            if len(part) > KEPT_CHARS:
+                del self.known[part]
         return found
 
 
