@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from haploweave.llm import chat, exact_dedup, mixing, packing, simhash
+from haploweave.llm import ann, chat, exact_dedup, mixing, packing, simhash
 
 QUERIES = {
     "op3_pack": packing.op3_pack,
     "op5_chat_format": chat.op5_chat_format,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_simhash": simhash.op8_simhash,
+    "op9_ann": ann.op9_ann,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE = {
