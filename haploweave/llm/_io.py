@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: One Arrow batch of whole texts is worked on in pieces of about so many bytes.
 PIECE_BYTES = 8 << 20
 _own: dict[str, str] = {}
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]+")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,3 +61,22 @@ def pieces(batches, text: str = "text"):
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def chunks(text: bytes, size: int = 1 << 20):
+    """(offset, slice) of about ``size`` bytes that end with ASCII white space, or at the end."""
+    at = 0
+    while at < len(text):
+        stop = at + size
+        if stop < len(text):
+            found = _SPACE.search(text, stop)
+            stop = found.end() if found else len(text)
+        yield at, text[at:stop]
+        at = stop
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name

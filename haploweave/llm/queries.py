@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from haploweave.llm import ann, chat, exact_dedup, mixing, packing, simhash
+from haploweave.llm import ann, chat, exact_dedup, mixing, packing, quality, simhash
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op3_pack": packing.op3_pack,
     "op5_chat_format": chat.op5_chat_format,
     "op7_mix_sources": mixing.op7_mix_sources,
