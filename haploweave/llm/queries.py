@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from haploweave.llm import ann, chat, exact_dedup, mixing, packing, quality, simhash
+from haploweave.llm import ann, chat, exact_dedup, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_pack": packing.op3_pack,
     "op5_chat_format": chat.op5_chat_format,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_simhash": simhash.op8_simhash,
     "op9_ann": ann.op9_ann,
