@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haploweave.llm._io import as_bytes, fold, materialize, pieces
+from haploweave.llm._io import as_bytes, fold, materialize, pieces, table, unused
 
 ENTRY = T.StructType(
     [
@@ -186,9 +186,30 @@ def exact_dedup(
     )
 
 
-def op10_exact_dedup(spark, sf_dir):
-    from haploweave.llm._io import table
+def drop_exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
+    """The rows of ``docs`` that exact_dedup keeps, with all their columns.
+
+    Rows are told apart by doc_id and text. Repeated rows of one doc_id and text,
+    which only their other columns could tell apart, become one of them.
+    """
+    found = materialize(exact_dedup(docs, keep=keep).where("NOT kept").select("doc_id", "keep_id", "text_sha256").distinct(), "dedup-gone")
+    same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+
+    def among(rows: DataFrame, how: str) -> DataFrame:
+        rows = rows.select(F.col("doc_id").alias("_other_id"), F.col("text_sha256").alias("_other_sha"))
+        text = fold(F.coalesce(docs["text"].cast("string"), F.lit("")))
+        return docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(F.col("_other_id")) & (F.sha2(text, 256) == F.col("_other_sha")), how)
 
+    left = among(found, "left_anti")
+    repeated = found.where(same_id)
+    if repeated.limit(1).count():
+        again = among(repeated, "left_semi")
+        name = unused(docs.columns, "folded")
+        left = left.unionByName(again.withColumn(name, fold(F.coalesce(again["text"].cast("string"), F.lit("")))).dropDuplicates(["doc_id", name]).drop(name))
+    return left
+
+
+def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -234,3 +234,66 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op8_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+#: Fingerprints of a document's words; near copies must come within DISTANCE bits in one of them.
+TABLES = 4
+
+
+def shingles(text: bytes, k: int) -> set[int]:
+    """Hashes of a text's word k-shingles; of the whole sequence, if it has fewer words."""
+    words = text.lower().split()
+    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + k])) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def _similar(k: int, similarity: float):
+    def check(batches):
+        for batch in pieces(batches, "a_text"):
+            kept = []
+            for i, (x, y) in enumerate(zip(as_bytes(batch.column("a_text")), as_bytes(batch.column("b_text")), strict=True)):
+                s, t = shingles(x, k), shingles(y, k)
+                both = len(s & t)
+                if both >= similarity * (len(s) + len(t) - both):
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(kept, pa.int64())), batch.column("b").take(pa.array(kept, pa.int64()))], names=["a", "b"])
+
+    return check
+
+
+def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, tables: int = TABLES, cell: int = CELL) -> DataFrame:
+    """(a, b): links between documents whose sets of word k-shingles have at least ``similarity`` in common (Jaccard).
+
+    Candidates come from SimHashes of the documents' words (each word once), linked
+    as in ``link``. Documents with one fingerprint meet its smallest identifier and
+    one picked by hash, not each other. Every candidate is checked on whole texts.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+
+    def mark(batches):
+        for batch in pieces(batches):
+            prints = [[_signed(f) for f in word_fingerprints(x, tables)] for x in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "prints"])
+
+    prints = materialize(docs.mapInArrow(mark, "doc_id long, prints array<long>"), "near-prints").select("doc_id", F.posexplode("prints").alias("salt", "fp"))
+    groups = prints.groupBy("salt", "fp").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.xxhash64("doc_id", "salt"), "doc_id"))["doc_id"].alias("other"), F.count("*").alias("n"))
+    groups = materialize(groups, "near-groups")
+    own = prints.join(groups.where("n > 1"), ["salt", "fp"]).select("doc_id", F.explode(F.array("first", "other")).alias("hub"))
+    links = link(groups.select("fp", "salt"), cell)
+    ends = groups.select("salt", "fp", "first")
+    links = links.join(ends.toDF("salt", "a", "x"), ["salt", "a"]).join(ends.toDF("salt", "b", "y"), ["salt", "b"]).select("x", "y")
+    pairs = own.unionAll(links).toDF("a", "b").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs, "near-pairs")
+    texts = pairs.join(docs.toDF("a", "a_text"), "a").join(docs.toDF("b", "b_text"), "b")
+    return texts.mapInArrow(_similar(k, similarity), "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but for near copies: of each group the smallest doc_id stays.
+
+    Groups are the components of near_duplicate_links. Texts without words are
+    copies of each other. Rows with a null doc_id stay, as do repeated rows of a
+    document that stays. An empty table gives an empty result.
+    """
+    found = components(near_duplicate_links(docs, **options))
+    gone = materialize(found.where("node != root").select(F.col("node").alias("_gone")), "near-gone")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
