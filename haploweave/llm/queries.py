@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from haploweave.llm import ann, chat, exact_dedup, mixing, packing, quality, simhash, toxicity
+from haploweave.llm import ann, chat, exact_dedup, mixing, packing, pii, quality, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_quality": quality.op2_quality,
     "op3_pack": packing.op3_pack,
+    "op4_pii_surrogates": pii.op4_pii_surrogates,
     "op5_chat_format": chat.op5_chat_format,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_mix_sources": mixing.op7_mix_sources,
