@@ -75,8 +75,8 @@ ORACLE = {
     "total_weight_m": f"WITH {ITEMS} SELECT round(sum(r), 6) + 0.0 AS m FROM items",
     "degree_normalized": f"WITH {DEGREE} SELECT pos, round(k / sqrt(2 * (SELECT sum(r) FROM items)), 9) + 0.0 AS k_norm FROM k",
     "degree_range": f"WITH {DEGREE} SELECT pos, round(k / sqrt(2 * (SELECT sum(r) FROM items)), 9) + 0.0 AS k_norm FROM k WHERE pos BETWEEN 100 AND 300",
-    "background_penalty": f"WITH {ITEMS} SELECT count(*) AS n_edges, count(*) FILTER (loc_b - loc_a > 500) AS n_long, round(avg(r) FILTER (loc_b - loc_a > 500) + 2 * stddev_pop(r) FILTER (loc_b - loc_a > 500), 9) + 0.0 AS penalty FROM items",
-    "long_range_edges": f"WITH {ITEMS} SELECT * FROM items WHERE loc_b - loc_a > 500",
+    "background_penalty": f"WITH {ITEMS} SELECT count(*) AS n_edges, count(*) FILTER (loc_b - loc_a > 100) AS n_long, round(avg(r) FILTER (loc_b - loc_a > 100) + 2 * stddev_pop(r) FILTER (loc_b - loc_a > 100), 9) + 0.0 AS penalty FROM items",
+    "long_range_edges": f"WITH {ITEMS} SELECT * FROM items WHERE loc_b - loc_a > 100",
     "edges_in_range": f"WITH {ITEMS} SELECT * FROM items WHERE loc_a >= 10 AND loc_b <= 60",
     # the 95 % quantile of chi-square with one degree of freedom
     "chi_penalty": f"SELECT CAST({OBSERVED} AS BIGINT) AS n, round(CAST(3.841458820694124 AS DOUBLE) / {OBSERVED}, 9) + 0.0 AS penalty",

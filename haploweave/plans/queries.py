@@ -55,7 +55,7 @@ def degree_normalized(spark, d):
 
 
 def background_penalty(spark, d):
-    return edges.background(synth.items(spark, d), 500).select("n_edges", "n_long", _r("penalty", 9))
+    return edges.background(synth.items(spark, d), 100).select("n_edges", "n_long", _r("penalty", 9))
 
 
 def _observations(spark, d) -> int:
@@ -302,7 +302,7 @@ def edge_bucket_counts(spark, d):
 
 
 def long_range_edges(spark, d):
-    return synth.items(spark, d).where(F.col("loc_b") - F.col("loc_a") > 500)
+    return synth.items(spark, d).where(F.col("loc_b") - F.col("loc_a") > 100)
 
 
 def edges_in_range(spark, d):

@@ -67,7 +67,7 @@ def parse_ids(lines: DataFrame) -> DataFrame:
 def parse_panel(lines: DataFrame) -> DataFrame:
     """sample, pop, super_pop of a panel, without its header line."""
     f = fields(F.col("line"))
-    return lines.select(f[0].alias("sample"), f[1].alias("pop"), f[2].alias("super_pop")).where("sample != 'sample' AND super_pop IS NOT NULL")
+    return lines.select(*(F.get(f, F.lit(i)).alias(c) for i, c in enumerate(("sample", "pop", "super_pop")))).where("sample != 'sample' AND super_pop IS NOT NULL")
 
 
 def ids_by_super_pop(panel: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def ids_by_super_pop(panel: DataFrame) -> DataFrame:
 def parse_genetic_map(lines: DataFrame, order: Column | None = None) -> DataFrame:
     """pos, cm of lines ``name position value``; of several lines for a position the last in ``order`` counts."""
     f = fields(F.col("line"))
-    rows = lines.select(f[1].cast("long").alias("pos"), f[2].cast("double").alias("cm"), (F.monotonically_increasing_id() if order is None else order).alias("at"))
+    rows = lines.select(F.get(f, F.lit(1)).try_cast("long").alias("pos"), F.get(f, F.lit(2)).try_cast("double").alias("cm"), (F.monotonically_increasing_id() if order is None else order).alias("at"))
     return rows.where("pos IS NOT NULL").groupBy("pos").agg(F.max_by("cm", "at").alias("cm"))
 
 

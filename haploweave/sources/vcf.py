@@ -29,5 +29,5 @@ def scan(lines: DataFrame, ids: DataFrame | None = None) -> DataFrame:
         raise ValueError("no individual is selected")
     f = fields(F.col("line"))
     rows = lines.where(~F.col("line").startswith("#") & (F.trim("line") != "")).select(f.alias("f"))
-    calls = F.slice("f", columns[0] + 1, len(columns)) if columns == list(range(columns[0], columns[0] + len(columns))) else F.array(*(F.col("f")[c] for c in columns))
-    return rows.select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"), calls.alias("calls"))
+    calls = F.slice("f", columns[0] + 1, len(columns)) if columns == list(range(columns[0], columns[0] + len(columns))) else F.array(*(F.get("f", F.lit(c)) for c in columns))
+    return rows.select(F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).try_cast("long").alias("pos"), calls.alias("calls"))
