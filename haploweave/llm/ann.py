@@ -33,8 +33,8 @@ RERANK, MARGIN = 48, 0.05
 
 
 def _weights(dim: int) -> float:
-    """Extra weight of the parallel residual, against 1 for the rest."""
-    return (dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2) - 1
+    """Extra weight of the parallel residual, against 1 for the rest; none where few components make the threshold no large product."""
+    return max((dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2), 1.0) - 1
 
 
 def _split(x: np.ndarray) -> np.ndarray:

@@ -194,11 +194,12 @@ def drop_exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
     """
     found = materialize(exact_dedup(docs, keep=keep).where("NOT kept").select("doc_id", "keep_id", "text_sha256").distinct(), "dedup-gone")
     same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    other_id, other_sha = unused(docs.columns, "other_id"), unused(docs.columns, "other_sha")
 
     def among(rows: DataFrame, how: str) -> DataFrame:
-        rows = rows.select(F.col("doc_id").alias("_other_id"), F.col("text_sha256").alias("_other_sha"))
+        rows = rows.select(F.col("doc_id").alias(other_id), F.col("text_sha256").alias(other_sha))
         text = fold(F.coalesce(docs["text"].cast("string"), F.lit("")))
-        return docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(F.col("_other_id")) & (F.sha2(text, 256) == F.col("_other_sha")), how)
+        return docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(F.col(other_id)) & (F.sha2(text, 256) == F.col(other_sha)), how)
 
     left = among(found, "left_anti")
     repeated = found.where(same_id)

@@ -20,7 +20,7 @@ from haploweave.llm._io import WORD, materialize, table
 
 #: Hex digits of the seeded order that number its buckets: 16 to this power.
 BUCKET_DIGITS = 3
-#: A document more that fits what is left to a target is added so many times at most.
+#: A document more that fits what is left to a target is added so many times at most; then one that goes over, if that is nearer.
 FILLS = 4
 
 
@@ -87,9 +87,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
     """``docs(doc_id, size, sources)`` with source_names, targets, copies and by_source (source to copies).
 
     ``sources``: the document's sources, an array of strings. Sources by code
-    point, null last, take ``weights`` in turn. Each source's words taken fall
-    short of its target by less than what any document left would add, unless
-    FILLS documents more were already added. Empty documents have size 0 and are
+    point, null last, take ``weights`` in turn. Each source's words taken come
+    as near its target as whole documents in seeded order, up to FILLS more that
+    fit what is left, and perhaps one that goes over bring them. Empty documents have size 0 and are
     laid on the line too. Repeated rows are documents of their own; rows without
     sources are never taken. The order is that of md5(seed:doc_id), so that
     reruns agree; ties go by size. An empty table gives an empty result.
@@ -134,22 +134,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
     gaps = {p[0]: p[3] - inside.get(p[0], 0) for p in plan}
     added: list[tuple[str, int]] = []
     schema = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("start", T.LongType())])
-    for _ in range(FILLS):
+    for fill in range(FILLS + 1):
         open_gaps = [(p, g) for p, g in gaps.items() if g > 0]
         if not open_gaps:
             break
-        left = placed.where("stop > rest AND size > 0").join(F.broadcast(spark.createDataFrame(open_gaps, "pattern string, gap long")), "pattern").where("size <= gap")
+        left = placed.where("stop > rest AND size > 0").join(F.broadcast(spark.createDataFrame(open_gaps, "pattern string, gap long")), "pattern")
         left = left.join(F.broadcast(spark.createDataFrame(added, schema)), ["pattern", "start"], "left_anti")
-        for r in left.groupBy("pattern").agg(F.max(F.struct("size", (-F.col("start")).alias("s"))).alias("m")).collect():
-            gaps[r["pattern"]] -= r["m"]["size"]
-            added.append((r["pattern"], -r["m"]["s"]))
-    more = F.broadcast(spark.createDataFrame(added, schema).withColumn("more", F.lit(1)))  # FILLS rows a pattern
+        if fill < FILLS:
+            left, sign = left.where("size <= gap"), -1
+        else:
+            left, sign = left.where("size > gap AND size < 2 * gap"), 1
+        for r in left.groupBy("pattern").agg(F.min(F.struct((sign * F.col("size")).alias("z"), "start")).alias("m")).collect():
+            gaps[r["pattern"]] -= sign * r["m"]["z"]
+            added.append((r["pattern"], r["m"]["start"]))
+    more = F.broadcast(spark.createDataFrame(added, schema).withColumn("more", F.lit(1)))  # FILLS + 1 rows a pattern
     taken = placed.join(more, ["pattern", "start"], "left").drop("rest").join(plan_rows, "pattern")
     one = (F.col("stop") <= F.col("rest")) | (F.col("more").isNotNull() & (F.col("size") > 0))
-    taken = taken.withColumn("copies", F.col("full") + F.when(one, 1).otherwise(0))
+    taken = taken.withColumn("copies", F.least(F.col("full") + F.when(one, 1).otherwise(0), F.lit(limit)))  # the limit binds empty documents
     # the k-th copy goes to the source whose part of the line it starts in, the last one if past all
     spots = F.expr("transform(sequence(0L, copies), k -> start + k * words)")
-    place = F.transform(F.slice(spots, F.lit(1), F.col("copies").cast("int")), lambda x: F.coalesce(F.element_at(F.filter("parts", lambda p: (x >= p["lo"]) & (x < p["hi"])), 1)["source"], F.element_at("parts", -1)["source"]))
+    place = F.transform(F.slice(spots, F.lit(1), F.col("copies").cast("int")), lambda x: F.coalesce(F.try_element_at(F.filter("parts", lambda p: (x >= p["lo"]) & (x < p["hi"])), F.lit(1))["source"], F.try_element_at("parts", F.lit(-1))["source"]))
     return taken.withColumn("by_copy", F.when((F.col("copies") > 0) & (F.size("parts") > 0), place).otherwise(F.array().cast("array<string>"))).drop("more", "full", "rest", "parts", "words", "start", "stop", "pattern")
 
 
@@ -169,6 +173,8 @@ f{i} AS (SELECT *, c{i} OR coalesce(row_number() OVER (PARTITION BY source, NOT
 g{i + 1} AS (SELECT *, rest - coalesce(sum(size) FILTER (c{i + 1}) OVER (PARTITION BY source), 0) AS g{i + 1} FROM f{i})"""
     for i in range(FILLS)
 )
+_FILL += f""",
+f{FILLS} AS (SELECT *, c{FILLS} OR coalesce(row_number() OVER (PARTITION BY source, NOT c{FILLS} AND size > g{FILLS} ORDER BY size, start) = 1 AND NOT c{FILLS} AND size > g{FILLS} AND size < 2 * g{FILLS}, false) AS c FROM g{FILLS})"""
 SQL = f"""
 WITH d AS (SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\x0C\\r]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, cast(sum(size) AS BIGINT) AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1 AS w FROM d GROUP BY source),
@@ -182,5 +188,5 @@ p AS (SELECT d.doc_id, d.size, z.*, CASE WHEN source_size = 0 THEN 0 ELSE flow /
       FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source),
 q AS (SELECT *, stop - size AS start, stop <= rest AS c0 FROM p),
 g0 AS (SELECT *, rest - coalesce(sum(size) FILTER (c0) OVER (PARTITION BY source), 0) AS g0 FROM q){_FILL}
-SELECT doc_id, size, source_size, target, cast(size * (full_copies + CASE WHEN c{FILLS} THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM g{FILLS}
+SELECT doc_id, size, source_size, target, cast(size * (full_copies + CASE WHEN c THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM f{FILLS}
 """

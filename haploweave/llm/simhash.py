@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haploweave.llm._io import as_bytes, materialize, pieces, table
+from haploweave.llm._io import as_bytes, materialize, pieces, table, unused
 from haploweave.llm.components import components
 
 DISTANCE, SEGMENTS = 4, 5
@@ -295,5 +295,6 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     document that stays. An empty table gives an empty result.
     """
     found = components(near_duplicate_links(docs, **options))
-    gone = materialize(found.where("node != root").select(F.col("node").alias("_gone")), "near-gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = unused(docs.columns, "gone")
+    gone = materialize(found.where("node != root").select(F.col("node").alias(name)), "near-gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
