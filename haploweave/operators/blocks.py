@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from haploweave.operators.penalty import Penalty
-from haploweave.operators.ranges import neighbours, range_join
+from haploweave.operators.ranges import neighbours, range_join, within
 
 
 def chromosome(positions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -73,16 +73,14 @@ def chunks(chrom: DataFrame, longest: int, most: int, by: Sequence[str] = ()) ->
     return folded.select(*by, F.explode("chunks").alias("c")).select(*by, "c.*")
 
 
-def chunk_scores(grid: DataFrame, chunk_table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def chunk_scores(grid: DataFrame, chunk_table: DataFrame, width: int = 1_000_000, by: Sequence[str] = ()) -> DataFrame:
     """window_scores made chunk by chunk: each from the pairs up to its buffer's end, kept for starts up to its own end.
 
     Running sums then stay within a chunk, which bounds what a window holds.
+    ``width``: about the length of a chunk.
     """
-    key = [*by, "start_bp"]
-    inside = (F.col("pos_i") >= F.col("start_bp")) & (F.col("pos_j") <= F.col("buffer_end_bp"))
-    c = F.broadcast(chunk_table)  # few rows, see chunks
-    dealt = grid.join(c, list(by)).where(inside) if by else grid.join(c, inside)
-    scored = window_scores(dealt, key)
+    dealt = within(grid, "pos_i", "pos_j", chunk_table, "start_bp", "buffer_end_bp", width, by)
+    scored = window_scores(dealt, [*by, "start_bp"])
     return scored.where("pos_i <= end_bp").drop("start_bp", "end_bp", "buffer_end_bp")
 
 
@@ -157,7 +155,7 @@ def optimum(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     the nearest end counts.
     """
     rows = scores.select(*by, "i", "j", "pos_i", "pos_j", "score")
-    rows = rows.repartition(*by) if by else rows.coalesce(1)
+    rows = rows.repartition(*by) if by else rows.repartition(1)
     rows = rows.sortWithinPartitions(*by, F.desc("i"), "j")
     fields = [scores.schema[c] for c in by] + [T.StructField("idx", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("opt", T.DoubleType()), T.StructField("brk", T.LongType()), T.StructField("starts", T.BooleanType())]
     return rows.mapInPandas(_optimizer(by), T.StructType(fields))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haploweave.operators.ranges import within
+
 
 def canonical(edges: DataFrame) -> DataFrame:
     """Edges from the smaller to the larger position, without loops, with absolute weights."""
@@ -74,12 +76,7 @@ def subset(edges: DataFrame, start: int, stop: int) -> DataFrame:
     return edges.where((F.col("loc_a") >= start) & (F.col("loc_b") <= stop))
 
 
-def by_chunk(edges: DataFrame, chunks: DataFrame, buckets: int, by: Sequence[str] = ()) -> DataFrame:
-    """Edges of every chunk they lie in (from its start to its buffer's end), with sub_bucket.
-
-    Chunks are as many rows as a chromosome is long over what fits in memory.
-    """
-    e, c = edges, F.broadcast(chunks.select(*by, "start_bp", "buffer_end_bp"))
-    inside = (F.col("loc_a") >= F.col("start_bp")) & (F.col("loc_b") <= F.col("buffer_end_bp"))
-    joined = e.join(c, list(by)).where(inside) if by else e.join(c, inside)
-    return joined.withColumn("sub_bucket", F.col("loc_a") % buckets)
+def by_chunk(edges: DataFrame, chunks: DataFrame, buckets: int, width: int = 1_000_000, by: Sequence[str] = ()) -> DataFrame:
+    """Edges of every chunk they lie in (from its start to its buffer's end), with sub_bucket. ``width``: about the length of a chunk."""
+    found = within(edges, "loc_a", "loc_b", chunks.select(*by, "start_bp", "buffer_end_bp"), "start_bp", "buffer_end_bp", width, by)
+    return found.withColumn("sub_bucket", F.col("loc_a") % buckets)

@@ -38,9 +38,10 @@ def nearest(points: DataFrame, chrom: DataFrame, point: str = "point", by: Seque
     """
     site = F.struct("pos", "idx")
     both = chrom.select(*by, F.col("pos").alias("at"), F.lit(0).alias("kind"), site.alias("site")).unionByName(points.select(*by, F.col(point).alias("at"), F.lit(1).alias("kind")), allowMissingColumns=True)
-    line = Window.partitionBy(*by).orderBy("at", "kind")
-    before = F.last("site", True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("site", True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    rising, falling = Window.partitionBy(*by).orderBy("at", "kind"), Window.partitionBy(*by).orderBy(F.desc("at"), "kind")
+    # two running frames; one that looks ahead would read the rest of the line for each row
+    before = F.last("site", True).over(rising.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("site", True).over(falling.rowsBetween(Window.unboundedPreceding, 0))
     found = both.select(*by, "at", "kind", before.alias("b"), after.alias("a")).where("kind = 1")
     first = F.col("a.pos").isNull() | (F.col("at") - F.col("b.pos") <= F.col("a.pos") - F.col("at"))
     best = F.when(F.col("b.pos").isNotNull() & first, F.col("b")).otherwise(F.col("a"))
@@ -60,3 +61,14 @@ def overlaps(left: DataFrame, right: DataFrame, names: tuple[str, str, str, str]
 
     pairs = dealt(left, s, e).join(dealt(right, u, v), [*by, "_bucket"])
     return pairs.where((F.col(s) < F.col(v)) & (F.col(u) < F.col(e)) & (F.col("_bucket") == F.floor(F.greatest(s, u) / width))).drop("_bucket")
+
+
+def within(rows: DataFrame, low: str, high: str, spans: DataFrame, start: str, stop: str, width: int, by: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with every span that holds both their ends (start <= low, high <= stop).
+
+    Spans are dealt to the buckets of ``width`` that they touch, and joined by the
+    bucket of the low end; Spark broadcasts them where their size allows.
+    """
+    dealt = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(stop) / width))))
+    joined = rows.withColumn("_bucket", F.floor(F.col(low) / width)).join(dealt, [*by, "_bucket"])
+    return joined.where((F.col(low) >= F.col(start)) & (F.col(high) <= F.col(stop))).drop("_bucket")

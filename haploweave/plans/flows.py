@@ -72,7 +72,7 @@ def score(graph: DataFrame, model: str, longest: int, value: float | None = None
     if edges.duplicates(graph).limit(1).count():
         raise ValueError("a pair occurs twice")
     grid = blocks.weights(line, graph, cost, longest)
-    scores = blocks.window_scores(grid) if most is None else blocks.chunk_scores(grid, blocks.chunks(line.select("pos", "idx"), longest, most))
+    scores = blocks.window_scores(grid) if most is None else blocks.chunk_scores(grid, blocks.chunks(line.select("pos", "idx"), longest, most), longest)
     return blocks.optimum(scores)
 
 

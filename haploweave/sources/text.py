@@ -64,6 +64,11 @@ def parse_ids(lines: DataFrame) -> DataFrame:
     return lines.select(F.explode(fields(F.col("line"))).alias("sample")).where("sample != ''").distinct()
 
 
+def sample_ids(ids: DataFrame, n: int, seed: str = "sample") -> DataFrame:
+    """``n`` of the names, by a seeded hash: the same ones on every run."""
+    return ids.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("sample"))), "sample").limit(n)
+
+
 def parse_panel(lines: DataFrame) -> DataFrame:
     """sample, pop, super_pop of a panel, without its header line."""
     f = fields(F.col("line"))

@@ -184,6 +184,17 @@ def test_lines_that_are_no_edges(spark, bad):
     assert text.parse_edges(df, "keep").first()["bad"] == bad
 
 
+def test_nearest(spark):
+    from haploweave.operators import ranges
+
+    rng = random.Random(7)
+    pos = sorted(rng.sample(range(0, 500), 60))
+    line = blocks.chromosome(spark.createDataFrame([(p,) for p in pos], "pos long"))
+    points = sorted(set(rng.sample(range(-20, 540), 100)) | set(pos[:5]))
+    found = ranges.nearest(spark.createDataFrame([(p,) for p in points], "point long"), line)
+    assert rows(found, "point", "pos") == [(p, min(pos, key=lambda q: (abs(q - p), q))) for p in points]
+
+
 def test_zero_weights_and_duplicates(spark):
     zero = spark.createDataFrame([(1, 2, 0.0)], "loc_a long, loc_b long, r double")
     with pytest.raises(Exception, match="all weights are 0"):
@@ -231,7 +242,7 @@ def test_random_chromosomes(spark, seed):
         cover = sorted(p for r in found if r["chrom"] == chrom for p in pos if r["block_start"] <= p <= r["block_end"])
         assert cover == pos
         assert totals[chrom] == pytest.approx(sum(want[pos.index(r["block_start"]), pos.index(r["block_end"])] for r in found if r["chrom"] == chrom), abs=1e-9)
-    chunked = blocks.optimum(blocks.chunk_scores(grid, blocks.chunks(line, 60, 12, by), by), by)
+    chunked = blocks.optimum(blocks.chunk_scores(grid, blocks.chunks(line, 60, 12, by), 60, by), by)
     assert rows(chunked, "chrom", "pos", "brk") == rows(dp, "chrom", "pos", "brk")
     assert rows(edges.combine([graph, graph], by), "chrom", "loc_a", "loc_b", "r") == sorted(edge_rows)
     assert math.isfinite(sum(totals.values()))
