@@ -29,7 +29,7 @@ from haploweave.llm._io import materialize, pieces, table
 
 SEQUENCE = 2048
 #: Parts of texts whose ids a worker keeps at most, and the longest it keeps.
-KEPT_PARTS, KEPT_CHARS = 600_000, 64
+KEPT_PARTS, KEPT_CHARS = 1_000_000, 64
 #: Pieces that share a salt, within which ranks are counted.
 SALT_ROWS = 1 << 17
 #: (groups, large lengths are over one n-th of a sequence, room a configuration may leave once actual lengths are in): the best plan is taken.
@@ -100,6 +100,20 @@ class WordIds:
         return found
 
 
+#: What a worker has loaded and learned, for the tasks that follow.
+_loaded: dict[str, WordIds] = {}
+
+
+def word_ids(path: str | None) -> WordIds:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    if path not in _loaded:
+        _loaded[path] = WordIds(path)
+    return _loaded[path]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUENCE, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, salt, rank (and ids) of every document's pieces.
 
@@ -113,12 +127,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     def cut(batches):
         from pyspark import TaskContext
 
-        if tokenizer is None:
-            import public_tokenizers
-
-            ids_of = WordIds(public_tokenizers.path("word_bpe_49k.json"))
-        else:
-            ids_of = WordIds(tokenizer)
+        ids_of = word_ids(tokenizer)
         salt, ranks, count = TaskContext.get().partitionId() << 24, {}, 0
         last = np.array([end_id], "<u4").tobytes()
         for batch in pieces(batches):
