@@ -69,6 +69,48 @@ class Unigram:
             yield word, count[-1], best[-1]
 
 
+class Counter:
+    """A model and the terminals known so far."""
+
+    def __init__(self, path: str):
+        self.model = Unigram.from_file(path)
+        self.tokens: dict[bytes, int] = {}
+        self.scores: dict[bytes, float] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        fresh = words - self.tokens.keys()
+        if len(self.tokens) + len(fresh) > KEPT:
+            self.tokens, self.scores, fresh = {}, {}, words
+        names = {START + w.decode("utf-8", "replace"): w for w in fresh}
+        for name, n, s in self.model.walk(sorted(names)):
+            self.tokens[names[name]], self.scores[names[name]] = n, s
+
+    def __call__(self, texts: list[bytes]) -> list[tuple[int, int, float]]:
+        """(pre-tokens, tokens, score) of each text."""
+        split = [[part.split() for _, part in chunks(text)] for text in texts]
+        words = set().union(*(ws for parts in split for ws in parts))
+        self.learn(words)
+        n, s = self.tokens.__getitem__, self.scores.__getitem__
+        rows = [(sum(map(len, parts)), sum(sum(map(n, ws)) for ws in parts), math.fsum(sum(map(s, ws)) for ws in parts)) for parts in split]
+        for w in [w for w in words if len(w) > KEPT_CHARS]:
+            del self.tokens[w], self.scores[w]
+        return rows
+
+
+#: What a worker has loaded and learned, for the tasks that follow.
+_loaded: dict[str, Counter] = {}
+
+
+def counter(path: str | None) -> Counter:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    if path not in _loaded:
+        _loaded[path] = Counter(path)
+    return _loaded[path]
+
+
 def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_pretokens, n_tokens, log_score for each row of ``docs``.
 
@@ -80,33 +122,10 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """
 
     def count(batches):
-        if vocabulary is None:
-            import public_tokenizers
-
-            model = Unigram.from_file(public_tokenizers.path("piece_bpe_32k.model"))
-        else:
-            model = Unigram.from_file(vocabulary)
-        tokens: dict[bytes, int] = {}
-        scores: dict[bytes, float] = {}
-
-        def learn(words: set[bytes]) -> list[bytes]:
-            fresh = words - tokens.keys()
-            if len(tokens) + len(fresh) > KEPT:
-                tokens.clear()
-                scores.clear()
-                fresh = words
-            names = {START + w.decode("utf-8", "replace"): w for w in fresh}
-            for name, n, s in model.walk(sorted(names)):
-                tokens[names[name]], scores[names[name]] = n, s
-            return [w for w in fresh if len(w) > KEPT_CHARS]
-
+        count_texts = counter(vocabulary)
         for batch in pieces(batches):
-            split = [[part.split() for _, part in chunks(text)] for text in as_bytes(batch.column("text"))]
-            long = learn({w for parts in split for words in parts for w in words})
-            rows = [(sum(map(len, parts)), sum(sum(map(tokens.__getitem__, words)) for words in parts), math.fsum(sum(map(scores.__getitem__, words)) for words in parts)) for parts in split]
-            for w in long:
-                del tokens[w], scores[w]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True))], names=["doc_id", "n_pretokens", "n_tokens", "log_score"])
+            columns = zip(*count_texts(as_bytes(batch.column("text"))), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True))], names=["doc_id", "n_pretokens", "n_tokens", "log_score"])
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(count, "doc_id long, n_pretokens long, n_tokens long, log_score double")
