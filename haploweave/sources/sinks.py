@@ -52,3 +52,9 @@ def write_optimum(dp: DataFrame, scores: str, breaks: str, compat: bool = False)
 def write_by_left_end(edges: DataFrame, path: str, buckets: int) -> None:
     """Parquet in which all edges of a left end lie in one file."""
     edges.repartition(buckets, "loc_a").sortWithinPartitions("loc_a", "loc_b").write.parquet(path)
+
+
+def write_by_chunk(edges: DataFrame, path: str) -> None:
+    """Edges of every chunk (of edges.by_chunk) in a folder for each chunk and sub-bucket."""
+    keys = ["start_bp", "buffer_end_bp", "sub_bucket"]
+    edges.repartition(*keys).write.partitionBy(*keys).parquet(path)
