@@ -61,11 +61,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     graph = flows.read_graph(spark, a.input)
     if a.todo == "split":
         line, chunks = flows.split(graph, a.length, a.variants)
-        sinks.write_positions(line, f"{a.output}/variants.txt")
-        sinks.write_chunks(chunks, f"{a.output}/partitions.txt")
+        sinks.write_positions(line, f"{a.output}/sites.txt")
+        sinks.write_chunks(chunks, f"{a.output}/chunks.txt")
         if a.model == "modularity":
-            sinks.write_degree(flows.null_model(graph, a.model), f"{a.output}/normDictK.txt", a.compat)
-            sinks.write_value(edges.total_weight(graph), f"{a.output}/m.txt", "m", a.compat)
+            sinks.write_degree(flows.null_model(graph, a.model), f"{a.output}/degree.txt", a.compat)
+            sinks.write_value(edges.total_weight(graph), f"{a.output}/total_weight.txt", "m", a.compat)
         elif a.model == "background":
             sinks.write_value(flows.null_model(graph, a.model), f"{a.output}/penalty.txt", "penalty", a.compat)
         return 0
@@ -73,9 +73,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         graph = edges.subset(graph, a.start, a.end if a.end is not None else 2**32 - 1)
     value = text.read_value(spark, a.penalty) if a.penalty else None
     dp = flows.score(graph, a.model, a.length, value, a.variants).cache()
-    sinks.write_optimum(dp, f"{a.output}/allOptScores.txt", f"{a.output}/allOptBreaks.txt", a.compat)
-    sinks.write_value(blocks.best_total(dp), f"{a.output}/FINAL_optScore.txt", "opt", a.compat)
-    sinks.write_blocks(blocks.blocks(dp), f"{a.output}/FINAL_optBreaks.txt")
+    sinks.write_optimum(dp, f"{a.output}/opt_scores.txt", f"{a.output}/opt_breaks.txt", a.compat)
+    sinks.write_value(blocks.best_total(dp), f"{a.output}/score.txt", "opt", a.compat)
+    sinks.write_blocks(blocks.blocks(dp), f"{a.output}/blocks.txt")
     blocks.summary(blocks.blocks(dp)).show(truncate=False)
     dp.unpersist()
     return 0

@@ -23,14 +23,14 @@ def test_from_genotypes_to_blocks(spark, tmp_path, sf_dir):
     assert main(["correlate", "-i", source, "-o", str(out), "-l", "50", "-p", "--compat", "-r2", "0.001"], spark) == 0
     assert all(len(x[2].split(".")[1]) == 6 for x in read(out / "edges.txt"))
     assert main(["split", "-i", f"{out}/edges.parquet", "-o", str(out / "s"), "-m", "modularity", "-l", "50", "-v", "100"], spark) == 0
-    chunks = [int(x[0]) for x in read(out / "s" / "partitions.txt")]
+    chunks = [int(x[0]) for x in read(out / "s" / "chunks.txt")]
     assert chunks == sorted(chunks, reverse=True)
     for model, extra in (("constant", ["--penalty", f"{out}/penalty.txt"]), ("modularity", [])):
         a, b = out / f"{model}1", out / f"{model}2"
         base = ["score", "-i", f"{out}/edges.parquet", "-m", model, "-l", "50", *extra]
         assert main([*base, "-o", str(a)], spark) == 0
         assert main([*base, "-o", str(b), "-v", "100"], spark) == 0
-        assert read(a / "FINAL_optBreaks.txt") == read(b / "FINAL_optBreaks.txt")
+        assert read(a / "blocks.txt") == read(b / "FINAL_optBreaks.txt")
     with pytest.raises(ValueError, match="needs a penalty"):
         flows.score(flows.read_graph(spark, f"{out}/edges.parquet"), "chi", 50)
 
