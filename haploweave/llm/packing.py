@@ -29,7 +29,7 @@ from haploweave.llm._io import materialize, pieces, table
 
 SEQUENCE = 2048
 #: Parts of texts whose ids a worker keeps at most, and the longest it keeps.
-KEPT_PARTS, KEPT_CHARS = 1_000_000, 64
+KEPT_PARTS, KEPT_CHARS = 600_000, 64
 #: Pieces that share a salt, within which ranks are counted.
 SALT_ROWS = 1 << 17
 #: (groups, large lengths are over one n-th of a sequence, room a configuration may leave once actual lengths are in): the best plan is taken.
@@ -100,7 +100,7 @@ class WordIds:
         return found
 
 
-#: What a worker has loaded and learned, for the tasks that follow.
+#: Vocabularies that a worker has loaded, for the tasks that follow.
 _loaded: dict[str, WordIds] = {}
 
 
@@ -144,6 +144,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                         salt, ranks, count = salt + 1, {}, 0
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt", "rank", "ids"])
+        ids_of.known = {}  # an idle worker holds no more than the vocabulary
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, rank long, ids binary")

@@ -97,7 +97,7 @@ class Counter:
         return rows
 
 
-#: What a worker has loaded and learned, for the tasks that follow.
+#: Vocabularies that a worker has loaded, for the tasks that follow.
 _loaded: dict[str, Counter] = {}
 
 
@@ -126,6 +126,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in pieces(batches):
             columns = zip(*count_texts(as_bytes(batch.column("text"))), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True))], names=["doc_id", "n_pretokens", "n_tokens", "log_score"])
+        count_texts.tokens, count_texts.scores = {}, {}  # an idle worker holds no more than the vocabulary
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(count, "doc_id long, n_pretokens long, n_tokens long, log_score double")
