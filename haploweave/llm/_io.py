@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: One Arrow batch of whole texts is worked on in pieces of about so many bytes.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 _own: dict[str, str] = {}
 _SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]+")
 
@@ -35,9 +35,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # when the application ends
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a written table of a few short columns, marked for broadcast if it has at most ``rows`` rows; else joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fold(column):
     """Lower-case A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

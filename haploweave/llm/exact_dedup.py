@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haploweave.llm._io import as_bytes, fold, materialize, pieces, table, unused
+from haploweave.llm._io import as_bytes, broadcast_if_small, fold, materialize, pieces, table, unused
 
 ENTRY = T.StructType(
     [
@@ -39,6 +39,8 @@ ENTRY = T.StructType(
 )
 #: Bits of the filter over hits, and how many hits it serves: beyond, the join alone finds them.
 FILTER_BITS, FILTER_HITS = 1 << 27, 1 << 24
+#: Rows to drop (an identifier and a digest) that are broadcast at most.
+BROADCAST_ROWS = 1 << 18
 
 
 class Memtable:
@@ -102,7 +104,7 @@ def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _filter_of(hits: DataFrame) -> np.ndarray | None:
     """A filter of fixed size over the hits' identifiers; none where they are too many for it to help."""
-    if hits.limit(FILTER_HITS + 1).count() > FILTER_HITS:
+    if hits.count() > FILTER_HITS:
         return None
     words = np.zeros(FILTER_BITS // 8, np.uint8)
 
@@ -197,7 +199,7 @@ def drop_exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
     other_id, other_sha = unused(docs.columns, "other_id"), unused(docs.columns, "other_sha")
 
     def among(rows: DataFrame, how: str) -> DataFrame:
-        rows = rows.select(F.col("doc_id").alias(other_id), F.col("text_sha256").alias(other_sha))
+        rows = broadcast_if_small(rows.select(F.col("doc_id").alias(other_id), F.col("text_sha256").alias(other_sha)), BROADCAST_ROWS)
         text = fold(F.coalesce(docs["text"].cast("string"), F.lit("")))
         return docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(F.col(other_id)) & (F.sha2(text, 256) == F.col(other_sha)), how)
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haploweave.llm._io import as_bytes, materialize, pieces, table, unused
+from haploweave.llm._io import as_bytes, broadcast_if_small, materialize, pieces, table, unused
 from haploweave.llm.components import components
 
 DISTANCE, SEGMENTS = 4, 5
@@ -237,7 +237,9 @@ def op8_simhash(spark, sf_dir):
 
 
 #: Fingerprints of a document's words; near copies must come within DISTANCE bits in one of them.
-TABLES = 4
+TABLES = 6
+#: Identifiers that are broadcast to filter documents, at most: 8 bytes each.
+BROADCAST_IDS = 1 << 20
 
 
 def shingles(text: bytes, k: int) -> set[int]:
@@ -283,7 +285,10 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, t
     links = links.join(ends.toDF("salt", "a", "x"), ["salt", "a"]).join(ends.toDF("salt", "b", "y"), ["salt", "b"]).select("x", "y")
     pairs = own.unionAll(links).toDF("a", "b").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "near-pairs")
-    texts = pairs.join(docs.toDF("a", "a_text"), "a").join(docs.toDF("b", "b_text"), "b")
+    # only the texts of candidates are dealt by identifier
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
+    held = docs.join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi")
+    texts = pairs.join(held.toDF("a", "a_text"), "a").join(held.toDF("b", "b_text"), "b")
     return texts.mapInArrow(_similar(k, similarity), "a long, b long")
 
 
@@ -297,4 +302,4 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     found = components(near_duplicate_links(docs, **options))
     name = unused(docs.columns, "gone")
     gone = materialize(found.where("node != root").select(F.col("node").alias(name)), "near-gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
+    return docs.join(broadcast_if_small(gone, BROADCAST_IDS), docs["doc_id"].cast("long") == F.col(name), "left_anti")
