@@ -93,56 +93,69 @@ def resume(scores: DataFrame, earlier: DataFrame, by: Sequence[str] = ()) -> Dat
     return scores.unionByName(rows.select(scores.columns))
 
 
+class _Chromosome:
+    """What the partition of one chromosome needs while its windows pass from the last start to the first."""
+
+    def __init__(self, key: tuple, last: int):
+        self.key = key
+        #: By site, and one past the last: the best total from there on. A site without windows adds nothing.
+        self.opt = np.zeros(last + 2)
+        self.brk, self.pos = np.full(last + 2, -1, np.int64), np.full(last + 2, -1, np.int64)
+
+    def settle(self, i: int, j: np.ndarray, pos_i: np.ndarray, score: np.ndarray) -> None:
+        if j[0] < 0:  # a result of an earlier run
+            self.opt[i], self.brk[i] = score[0], -j[0] - 2
+        else:
+            total = score + self.opt[j + 1]
+            best = int(np.argmax(total))  # the first of equals
+            self.opt[i], self.brk[i] = total[best], j[best]
+        self.pos[i] = pos_i[0]
+
+    def result(self, by: Sequence[str]) -> pd.DataFrame:
+        known = np.flatnonzero(self.brk >= 0)
+        starts, at = np.zeros(len(self.opt), bool), int(known[0])
+        while at < len(starts) and self.brk[at] >= 0:
+            starts[at] = True
+            at = int(self.brk[at]) + 1
+        out = pd.DataFrame({"idx": known, "pos": self.pos[known], "opt": self.opt[known], "brk": self.pos[self.brk[known]], "starts": starts[known]})
+        for name, value in zip(by, self.key, strict=True):
+            out[name] = value
+        return out[[*by, "idx", "pos", "opt", "brk", "starts"]]
+
+
 def _optimizer(by: Sequence[str]):
-    """Reads windows by chromosome, from the last start to the first, and holds one number for each site."""
+    """Reads windows by chromosome, from the last start to the first, and holds three numbers for each site."""
 
     def solve(frames):
-        group, opt, brk, pos, held = None, {}, {}, {}, None
+        now, held = None, None
 
-        def settle(i, j, pos_i, pos_j, score):
-            if j[0] < 0:  # a result of an earlier run
-                opt[i], brk[i], pos[i] = float(score[0]), int(-j[0] - 2), int(pos_i[0])
-                return
-            total = score + np.array([opt.get(x + 1, 0.0) for x in j.tolist()])
-            best = int(np.argmax(total))  # the first of equals
-            opt[i], brk[i], pos[i] = float(total[best]), int(j[best]), int(pos_i[0])
-
-        def finish():
-            order = sorted(opt)
-            starts, at = set(), order[0]
-            while at in opt:
-                starts.add(at)
-                at = brk[at] + 1
-            frame = pd.DataFrame({"idx": order, "pos": [pos[i] for i in order], "opt": [opt[i] for i in order], "brk": [pos.get(brk[i], -1) for i in order], "starts": [i in starts for i in order]})
-            for name, value in zip(by, group, strict=True):
-                frame[name] = value
-            return frame
+        def settle(frame: pd.DataFrame, bounds: list[int]):
+            """Takes the groups between bounds; yields chromosomes that they end."""
+            nonlocal now
+            i, j, p, s = (frame[c].to_numpy() for c in ("i", "j", "pos_i", "score"))
+            keys = [frame[c].to_numpy() for c in by]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                key = tuple(k[a] for k in keys)
+                if now is None or key != now.key:
+                    if now is not None:
+                        yield now.result(by)
+                    now = _Chromosome(key, max(int(i[a]), int(np.where(j[a:b] < 0, -j[a:b] - 2, j[a:b]).max())))
+                now.settle(int(i[a]), j[a:b], p[a:b], s[a:b])
 
         for frame in frames:
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
             if not len(frame):
                 continue
-            keys = frame[list(by)].apply(tuple, axis=1).to_numpy() if by else np.full(len(frame), None, object)
-            i = frame["i"].to_numpy()
-            change = np.flatnonzero((i[1:] != i[:-1]) | (keys[1:] != keys[:-1] if by else False)) + 1
-            bounds = [0, *change.tolist()]
-            j, pi, pj, s = (frame[c].to_numpy() for c in ("j", "pos_i", "pos_j", "score"))
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                own = keys[a] if by else ()
-                if group is not None and own != group:
-                    yield finish()
-                    opt, brk, pos = {}, {}, {}
-                group = own
-                settle(int(i[a]), j[a:b], pi[a:b], pj[a:b], s[a:b])
-            held = frame.iloc[bounds[-1] :]
+            change = np.zeros(len(frame) - 1, bool)
+            for c in ("i", *by):
+                column = frame[c].to_numpy()
+                change |= column[1:] != column[:-1]
+            bounds = [0, *(np.flatnonzero(change) + 1).tolist()]
+            yield from settle(frame, bounds)
+            held = frame.iloc[bounds[-1] :]  # may go on
         if held is not None and len(held):
-            own = tuple(held[c].iloc[0] for c in by)
-            if group is not None and own != group:
-                yield finish()
-                opt, brk, pos = {}, {}, {}
-            group = own
-            settle(int(held["i"].iloc[0]), *(held[c].to_numpy() for c in ("j", "pos_i", "pos_j", "score")))
-            yield finish()
+            yield from settle(held, [0, len(held)])
+            yield now.result(by)
 
     return solve
 
