@@ -93,7 +93,7 @@ def fit(x: np.ndarray, rounds: int = 6, seed: int = 7) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def _units(v: np.ndarray) -> np.ndarray:
@@ -149,7 +149,9 @@ def search(rows: DataFrame, query_modulus: int, k: int = 5, id_col: str = "vec_i
     rows, no results. Other columns are not read.
     """
     spark = rows.sparkSession
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL")
+    held_as = rows.schema[vector_col].dataType
+    kind = "array<float>" if isinstance(held_as, T.ArrayType) and isinstance(held_as.elementType, T.FloatType) else "array<double>"
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).where("id IS NOT NULL")
     rows, dim, count = _valid(rows)
     empty = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
     if not dim:
@@ -172,7 +174,7 @@ def search(rows: DataFrame, query_modulus: int, k: int = 5, id_col: str = "vec_i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(np.arange(seen, seen + n))], names=["id", "v", "codes", "seq"])
             seen += n
 
-    indexed = materialize(rows.mapInArrow(index, "id long, v array<double>, codes binary, seq long"), "ann-index")
+    indexed = materialize(rows.mapInArrow(index, f"id long, v {kind}, codes binary, seq long"), "ann-index")
     blocks = max(-(-count // BLOCK), min(spark.sparkContext.defaultParallelism, -(-count // LEAST_BLOCK)))
     queries = indexed.where(F.col("id") % query_modulus == 0).groupBy("id").agg(F.min("v").alias("v"))
     queries = queries.select("id", "v", F.lit(None).cast("binary").alias("codes"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"))
