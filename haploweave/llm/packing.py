@@ -347,7 +347,8 @@ def pack(parts: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     counts = materialize(parts.groupBy("length", "salt").agg(F.count("*").alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    ranked = parts.join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "salt")
+    # the sums grow with the salts, so neither side is broadcast
+    ranked = parts.hint("merge").join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "salt")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank") + ", sequence_id long, offset long"
     return ranked.mapInArrow(_placer(best_plan(histogram, capacity)), schema)
 
