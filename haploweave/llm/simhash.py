@@ -70,21 +70,6 @@ def fingerprint(text: bytes, k: int = 4) -> int:
     return majority(counts, n) if n else 0
 
 
-def word_fingerprints(text: bytes, tables: int) -> list[int]:
-    """Independent SimHashes of a text's set of words, one for each table."""
-    words = set(text.lower().split())
-    if not words:
-        return [0] * tables
-    base = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
-    found = []
-    for t in range(tables):
-        x = base + np.uint64((0x9E3779B97F4A7C15 * (t + 1)) & (2**64 - 1))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        found.append(majority(ones(x ^ (x >> np.uint64(31))), len(words)))
-    return found
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -236,25 +221,21 @@ def op8_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-#: Fingerprints of a document's words; near copies must come within DISTANCE bits in one of them.
-TABLES = 6
+#: Documents whose shingles are counted to tell common ones, about, and how many of these are kept; both only set the order of search.
+SAMPLE, COMMON = 1 << 13, 1 << 16
+#: Sets that one cell of a shingle compares among themselves, about.
+SETS = 1 << 13
 #: Identifiers that are broadcast to filter documents, at most: 8 bytes each.
 BROADCAST_IDS = 1 << 20
 
 
-def shingles(text: bytes, k: int) -> set[int]:
-    """Hashes of a text's word k-shingles; of the whole sequence, if it has fewer words."""
-    words = text.lower().split()
-    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + k])) for i in range(max(1, len(words) - k + 1))} if words else set()
-
-
 def _similar(k: int, similarity: float):
     def check(batches):
         for batch in pieces(batches, "a_text"):
             kept = []
             for i, (x, y) in enumerate(zip(as_bytes(batch.column("a_text")), as_bytes(batch.column("b_text")), strict=True)):
-                s, t = shingles(x, k), shingles(y, k)
-                both = len(s & t)
+                s, t = shingle_set(x, k), shingle_set(y, k)
+                both = len(np.intersect1d(s, t, assume_unique=True))
                 if both >= similarity * (len(s) + len(t) - both):
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(kept, pa.int64())), batch.column("b").take(pa.array(kept, pa.int64()))], names=["a", "b"])
@@ -262,34 +243,206 @@ def _similar(k: int, similarity: float):
     return check
 
 
-def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, tables: int = TABLES, cell: int = CELL) -> DataFrame:
-    """(a, b): links between documents whose sets of word k-shingles have at least ``similarity`` in common (Jaccard).
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    Candidates come from SimHashes of the documents' words (each word once), linked
-    as in ``link``. Documents with one fingerprint meet its smallest identifier and
-    one picked by hash, not each other. Every candidate is checked on whole texts.
+
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """Hashes, sorted, of a text's word k-shingles; of the whole sequence, if it has fewer words."""
+    words = text.lower().split()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(words) - k + 1) if words else 0
+    total = np.full(n, min(k, len(words)), np.uint64)
+    for i in range(min(k, len(words))):
+        total = _mixed(total) + hashes[i : i + n]
+    return np.unique(_mixed(total))
+
+
+def parities(shingles: np.ndarray, width: int) -> np.ndarray:
+    """For each of ``width`` buckets (a power of two), whether it holds an odd number of shingles, as packed bits. Two sets differ in as many shingles at least."""
+    at = (shingles & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8), bitorder="little")
+
+
+def _close(similarity: float):
+    """Pairs whose parities, folded to the narrower, differ in no more than similar sets may."""
+
+    def close(batches):
+        for batch in batches:
+            a, b, n, m, wide, other = (c.to_pylist() for c in batch.columns)
+            kept = []
+            for i, (x, y) in enumerate(zip(wide, other, strict=True)):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                width = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(z.reshape(-1, width), axis=0) for z in (x, y))
+                need = np.ceil(similarity / (1 + similarity) * (n[i] + m[i]) - 1e-6)
+                if np.bitwise_count(x ^ y).sum(dtype=np.int64) <= n[i] + m[i] - 2 * need:
+                    kept.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    return close
+
+
+def _alone(batches):
+    """The rows of a stream sorted by its first column whose value there is not the only one."""
+    last, shared = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if last is not None:
+            now = [np.concatenate(x) for x in zip(last, now, strict=True)]
+        same = now[0][1:] == now[0][:-1]
+        on = np.concatenate(([shared and last is not None], same)) | np.concatenate((same, [False]))
+        last, shared = [x[-1:] for x in now], bool(on[-1])
+        on[-1] = False
+        yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in now], names=batch.schema.names)
+    if last is not None and shared:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=batch.schema.names)
+
+
+def _meet(similarity: float, low: int, high: int):
+    """Pairs of a stream sorted by key, cell and doc_id that are ``low`` to ``high`` - 1 places apart, or with the group's first in the first round.
+
+    Left out are pairs of one component, and those that can't be similar: by their
+    sizes, by the places of the key in both, or as the parities of their shingles
+    in 512 buckets differ in more than their sets may.
+    """
+
+    def met(key, cell, doc, pos, n, comp, sketch):
+        edge = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+        starts = np.concatenate(([0], edge))
+        sizes = np.diff(np.concatenate((starts, [len(key)])))
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        found = []
+
+        def test(i, j):
+            on = comp[i] != comp[j]
+            i, j = i[on], j[on]
+            need = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6)
+            on = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6) & (np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+            i, j, need = i[on], j[on], need[on]
+            on = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= n[i] + n[j] - 2 * need
+            found.append(np.stack([np.minimum(doc[i[on]], doc[j[on]]), np.maximum(doc[i[on]], doc[j[on]])], 1))
+
+        if low == 1:
+            test(np.repeat(starts, sizes), np.arange(len(key)))
+        for d in range(low, min(high, int(sizes.max()))):
+            test(i := np.flatnonzero(group[d:] == group[:-d]), i + d)
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def meet(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]]
+            now.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[6:]], 1).view(np.uint64))
+            # the last group may go on
+            cut = int(np.argmax((now[0] == now[0][-1]) & (now[1] == now[1][-1])))
+            if cut or (held and (held[0][0][0], held[0][1][0]) != (now[0][0], now[1][0])):
+                done = [np.concatenate(x) for x in zip(*held, [c[:cut] for c in now], strict=True)]
+                if len(done[0]):
+                    yield met(*done)
+                held = []
+            held.append([c[cut:] for c in now])
+        if held:
+            yield met(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return meet
+
+
+def _common(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that several documents of a sample have, and how many have them."""
+    share = max(1, docs.count() // SAMPLE)
+
+    def each(batches):
+        for batch in pieces(batches):
+            for x in as_bytes(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x, k).view(np.int64))], names=["key"])
+
+    counts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(each, "key long").groupBy("key").count()
+    found = counts.where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).collect()
+    keys, n = np.array([r["key"] for r in found], np.int64).view(np.uint64), np.array([r["count"] for r in found], np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, cell: int = SETS) -> DataFrame:
+    """(a, b): links that connect all documents whose sets of word k-shingles have at least ``similarity`` in common (Jaccard).
+
+    The search is exact. Equal sets are searched as one. Two sets that similar share
+    one of the first n - similarity * n + 1 shingles of each, in any order common to
+    all; here rare ones come first, as a sample counts them. Sets that share such a
+    shingle meet in rounds, ever further apart in its list, unless links verified
+    before have connected them; every pair that passes the filters of ``_meet`` and ``_close`` is
+    checked on whole texts. The rounds end when no list is longer or holds two
+    components. A crowded list is dealt to cells, one for each pair of its blocks.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    common, often = _common(docs, k)
 
     def mark(batches):
         for batch in pieces(batches):
-            prints = [[_signed(f) for f in word_fingerprints(x, tables)] for x in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "prints"])
-
-    prints = materialize(docs.mapInArrow(mark, "doc_id long, prints array<long>"), "near-prints").select("doc_id", F.posexplode("prints").alias("salt", "fp"))
-    groups = prints.groupBy("salt", "fp").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.xxhash64("doc_id", "salt"), "doc_id"))["doc_id"].alias("other"), F.count("*").alias("n"))
-    groups = materialize(groups, "near-groups")
-    own = prints.join(groups.where("n > 1"), ["salt", "fp"]).select("doc_id", F.explode(F.array("first", "other")).alias("hub"))
-    links = link(groups.select("fp", "salt"), cell)
-    ends = groups.select("salt", "fp", "first")
-    links = links.join(ends.toDF("salt", "a", "x"), ["salt", "a"]).join(ends.toDF("salt", "b", "y"), ["salt", "b"]).select("x", "y")
-    pairs = own.unionAll(links).toDF("a", "b").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs, "near-pairs")
-    # only the texts of candidates are dealt by identifier
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    held = docs.join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi")
-    texts = pairs.join(held.toDF("a", "a_text"), "a").join(held.toDF("b", "b_text"), "b")
-    return texts.mapInArrow(_similar(k, similarity), "a long, b long")
+            rows = []
+            for x in as_bytes(batch.column("text")):
+                u = shingle_set(x, k)
+                n = len(u)
+                digest = np.frombuffer(xxhash.xxh3_128_digest(u.tobytes()), np.int64)
+                sketch, wide = parities(u, 512).view(np.int64), parities(u, 1 << max(6, (4 * n).bit_length())).tobytes()
+                if len(common) and n:
+                    at = np.minimum(np.searchsorted(common, u), len(common) - 1)
+                    u = u[np.lexsort((u, np.where(common[at] == u, often[at], 0)))]
+                first = u[: n - int(np.ceil(similarity * n - 1e-6)) + 1] if n else u
+                rows.append((n, int(digest[0]), int(digest[1]), first.view(np.int64), sketch, wide))
+            n, d0, d1, first, sketch, wide = zip(*rows, strict=True)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(first, longs), pa.array(sketch, longs), pa.array(wide, pa.binary())], names=["doc_id", "n", "d0", "d1", "first", "sketch", "wide"])
+
+    sets = materialize(docs.mapInArrow(mark, "doc_id long, n long, d0 long, d1 long, first array<long>, sketch array<long>, wide binary"), "near-sets")
+    names = sets.groupBy("d0", "d1").agg(F.min("doc_id").alias("name"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    same = materialize(sets.select("doc_id", "d0", "d1").join(names, ["d0", "d1"]).where("doc_id != name").distinct(), "near-same")
+    links = same.select(F.col("name").alias("a"), F.col("doc_id").alias("b"))
+    sets = sets.join(broadcast_if_small(same.drop("name"), BROADCAST_IDS), ["doc_id", "d0", "d1"], "left_anti")
+    rows = sets.select(F.posexplode("first").alias("pos", "key"), "doc_id", "n").select("key", "doc_id", F.col("pos").cast("long"), "n")
+    rows = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_alone, "key long, doc_id long, pos long, n long"), "near-rows")
+    # sketches are only dealt of sets that share something
+    some = materialize(rows.select("doc_id").distinct(), "near-some")
+    sketches = sets.join(broadcast_if_small(some, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", *(F.col("sketch")[i].alias(f"s{i}") for i in range(8)))
+    sketches = materialize(sketches, "near-sketches")
+    low, high = 1, 2
+    while True:
+        found = components(links).toDF("doc_id", "root")
+        now = materialize(rows.join(found, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root"), "near-now")
+        lists = now.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key", "size")
+        lists = materialize(lists, "near-lists")
+        widest = lists.agg(F.max("size")).first()[0] or 0
+        if widest <= low:
+            return links
+        now = now.join(lists, "key").withColumn("blocks", F.ceil(2 * F.col("size") / cell)).join(sketches, "doc_id")
+        if widest > cell:
+            now = now.withColumn("own", F.when(F.col("size") > cell, F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).otherwise(0))
+            now = now.withColumn("other", F.explode(F.expr(f"sequence(0L, if(size > {cell}, blocks - 1, 0L))")))
+            now = now.withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+        else:
+            now = now.withColumn("cell", F.lit(0).cast("long"))
+        now = now.select("key", "cell", "doc_id", "pos", "n", "comp", *(f"s{i}" for i in range(8))).repartition("key", "cell")
+        # the same order in every round, of a document's repeated rows too
+        now = now.sortWithinPartitions("key", "cell", "doc_id", "pos", "n", "s0", "s1")
+        pairs = materialize(now.mapInArrow(_meet(similarity, low, high), "a long, b long").distinct(), "near-met")
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
+        wide = sets.select("doc_id", "n", "wide").join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi")
+        pairs = pairs.join(wide.toDF("a", "n", "wide"), "a").join(wide.toDF("b", "m", "other"), "b").select("a", "b", "n", "m", "wide", "other")
+        pairs = materialize(pairs.mapInArrow(_close(similarity), "a long, b long").distinct(), "near-pairs")
+        # only the texts of candidates are dealt by identifier
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
+        held = docs.join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi")
+        texts = pairs.join(held.toDF("a", "a_text"), "a").join(held.toDF("b", "b_text"), "b")
+        links = links.unionAll(materialize(texts.mapInArrow(_similar(k, similarity), "a long, b long"), "near-links"))
+        low, high = high, high * 64
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -141,6 +141,36 @@ def test_near_duplicates(spark):
     assert all(want[i] == want[j] for i, j in itertools.combinations(range(len(rows)), 2) if found[i] == found[j])
 
 
+def same_groups(spark, texts, **options):
+    """The number of similar pairs by brute force, whose components near_duplicate_links must connect, and no more; each link is a similar pair."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in texts]
+    pairs = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = [tuple(sorted(r)) for r in simhash.near_duplicate_links(docs, **options).collect()]
+    assert set(found) <= pairs
+    assert roots(len(texts), found) == roots(len(texts), pairs)
+    return len(pairs)
+
+
+def some_words(rng, n):
+    return ["".join(rng.choices("abcdefghijkl", k=6)) for _ in range(n)]
+
+
+def test_near_duplicates_by_passages(spark):
+    """Copies with a passage appended, cut off or replaced, up to the limit and beyond."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):
+        base = some_words(rng, rng.randint(5, 300))
+        texts.append(base)
+        for share in (0.05, 0.11, 0.18, 0.24, 0.3):
+            n = int(share * len(base))
+            at = rng.randint(0, len(base) - n)
+            texts.append([base + some_words(rng, n), base[: len(base) - n], base[:at] + some_words(rng, n) + base[at + n :]][rng.randrange(3)])
+    rng.shuffle(texts)
+    assert same_groups(spark, texts) > 100
+
+
 # mixing
 
 
