@@ -171,6 +171,21 @@ def test_near_duplicates_by_passages(spark):
     assert same_groups(spark, texts) > 100
 
 
+@pytest.mark.parametrize("cell", [simhash.SETS, 16])
+def test_near_duplicates_of_the_same_words(spark, cell):
+    """Many orders of the same words, each with a near copy of the same words."""
+    rng = random.Random(7)
+    words, passage = some_words(rng, 80), some_words(rng, 200)
+    texts = []
+    for i in range(60):
+        order = rng.sample(words, len(words)) if i % 2 else passage + rng.sample(words, len(words))
+        copy = list(order)
+        copy[20], copy[21] = copy[21], copy[20]
+        texts += [order, copy]
+    rng.shuffle(texts)
+    assert same_groups(spark, texts, cell=cell) >= 60
+
+
 # mixing
 
 
