@@ -186,6 +186,30 @@ def test_near_duplicates_of_the_same_words(spark, cell):
     assert same_groups(spark, texts, cell=cell) >= 60
 
 
+@pytest.mark.parametrize("cell", [simhash.SETS, 16])
+def test_near_duplicates_of_drifted_copies(spark, cell):
+    """Copies too far from their common origin, that are near each other, in a crowd around it; and a chain of copies of copies."""
+    rng = random.Random(8)
+
+    def changed(text, n):
+        text = list(text)
+        for i in rng.sample(range(len(text)), n):
+            text[i] = some_words(rng, 1)[0]
+        return text
+
+    base = some_words(rng, 200)
+    texts = [base] + [changed(base, rng.randint(1, 2)) for _ in range(100)]
+    for _ in range(60):
+        far = changed(base, 4)
+        texts += [changed(far, 2), changed(far, 2)]
+    at = some_words(rng, 100)
+    for _ in range(40):
+        at = changed(at, 2)
+        texts.append(at)
+    rng.shuffle(texts)
+    assert same_groups(spark, texts, cell=cell) > 60
+
+
 # mixing
 
 
