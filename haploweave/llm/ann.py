@@ -4,16 +4,21 @@ Unit vectors are cut into pairs of components with 16 codewords each. Codes and
 codewords minimise a loss that weighs the residual parallel to the vector more
 than the rest, as that part changes large inner products. A scan sums, for every
 row of a block, table entries picked by its four-bit codes (two codes a byte);
-the rows near the top of the scan are scored again exactly.
-
-Queries go to every block of rows and stream through it in batches, so a task
-holds one block and one batch, whatever the numbers of rows and queries.
+the rows at the top of the scan are scored again exactly.
+
+Rows are dealt to cells around centres, and large cells to blocks. A query goes to
+the cells nearest to it: so many that nearly all neighbours of a sample's vectors
+lie in them (PROBED). Clustered vectors need few; where no cell is nearer than the
+others, as among random vectors, a query goes to all, which is a scan of all rows
+in blocks. Equal vectors meet in one block and are scanned once, for their
+smallest identifiers only, so a crowd of copies costs one row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,13 +28,17 @@ from haploweave.llm._io import materialize, table
 
 #: Inner products above this count most: it sets the weight of the parallel residual.
 THRESHOLD = 0.2
-#: The codebook is fitted on so many rows at most, by hash of the identifier.
+#: Codebook and centres are fitted on so many rows at most, by hash of the identifier.
 SAMPLE = 20_000
 CODEWORDS, WIDTH = 16, 2
-#: Rows of a block at most; smaller ones only to give every core a block.
-BLOCK, LEAST_BLOCK = 1 << 16, 1 << 11
-#: Of a block, rows at the top of the scan that are scored exactly, and all rows within MARGIN of their last.
-RERANK, MARGIN = 48, 0.05
+#: Rows for each cell, and cells at most: their centres are sent to every task.
+CELL, CELLS = 1 << 12, 1 << 10
+#: The share of a sample's neighbours that lie in the cells a query goes to, and the sample's vectors that are looked at.
+PROBED, LOOKED = 0.995, 500
+#: Distinct vectors of a block, about.
+BLOCK = 1 << 16
+#: Of a block, distinct vectors at the top of the scan that are scored exactly.
+RERANK = 64
 
 
 def _weights(dim: int) -> float:
@@ -93,40 +102,92 @@ def fit(x: np.ndarray, rounds: int = 6, seed: int = 7) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def _units(v: np.ndarray) -> np.ndarray:
-    """Directions, scaled first so that neither very small nor very large components are lost."""
+    """Directions in double precision, scaled first so that neither very small nor very large components are lost."""
+    v = v.astype(np.float64)
     v = v / np.abs(v).max(1, keepdims=True)
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def centres(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """Unit centres of ``cells`` cells of unit vectors, by spherical k-means."""
+    found = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        at = _near(x, found).argmax(1)
+        total = np.zeros_like(found)
+        np.add.at(total, at, x)
+        size = np.sqrt((total * total).sum(1, keepdims=True))
+        found = np.where(size > 1e-9, total / np.maximum(size, 1e-9), found)
+    return found
+
+
+def _near(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Inner products, whose last bits don't depend on where a row stands: equal vectors get the same cell."""
+    return np.stack([(x * c).sum(1) for c in to], 1) if len(to) else np.zeros((len(x), 0))
+
+
+def probes(x: np.ndarray, to: np.ndarray, k: int) -> int:
+    """How many cells, nearest first, hold the share PROBED of the sample's ``k`` nearest neighbours."""
+    own = _near(x, to).argmax(1)
+    ranks = []
+    for i in range(0, len(x), -(-len(x) // LOOKED)):
+        near = x @ x[i]
+        near[i] = -np.inf
+        order = np.argsort(-_near(x[i : i + 1], to)[0], kind="stable")
+        place = np.empty(len(to), np.int64)
+        place[order] = np.arange(len(to))
+        ranks += place[own[np.argpartition(-near, min(k, len(x) - 1))[:k]]].tolist()
+    return int(np.quantile(ranks, PROBED, method="higher")) + 1 if ranks else len(to)
 
 
 class Block:
-    """Rows of one block, and the scan of a batch of queries over them."""
+    """The distinct vectors of one block with their smallest identifiers, and the scan of queries over them.
 
-    def __init__(self, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, books: np.ndarray, k: int, rerank: int, margin: float):
-        self.ids, self.books, self.k, self.rerank, self.margin = ids, books, k, rerank, margin
-        self.codes = np.ascontiguousarray(codes.T)
-        self.units = _units(vectors)
+    Rows come in order of identifier; of equal vectors the first ``keep`` identifiers
+    are held, as no query's result needs more.
+    """
 
-    def search(self, query_id: int, query: np.ndarray) -> list[tuple[int, int, float]]:
-        parts = _split(query[None])[0]
-        entries = np.einsum("skw,sw->sk", self.books, parts).astype(np.float32)
+    def __init__(self, books: np.ndarray, keep: int, rerank: int):
+        self.books, self.keep, self.rerank = books, keep, max(rerank, keep)
+        self.at: dict[bytes, int] = {}
+        self.ids: list[list[int]] = []
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
+        self.vectors = self.codes = None
+
+    def add(self, ids: list[int], vectors: np.ndarray, codes: list[bytes]) -> None:
+        new = []
+        for i, (row, v) in enumerate(zip(ids, vectors, strict=True)):
+            at = self.at.setdefault(v.tobytes(), len(self.ids))
+            if at == len(self.ids):
+                self.ids.append([row])
+                new.append(i)
+            elif len(held := self.ids[at]) < self.keep and held[-1] != row:
+                held.append(row)
+        if new:
+            self.rows.append((vectors[new], np.frombuffer(b"".join(codes[i] for i in new), np.uint8).reshape(len(new), -1)))
+
+    def seal(self) -> None:
+        self.vectors = np.concatenate([v for v, _ in self.rows])
+        self.codes = np.ascontiguousarray(np.concatenate([c for _, c in self.rows]).T)
+        self.at, self.rows = {}, []
+
+    def search(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(identifiers, scores) of the ``keep`` best of those at the top of the scan."""
+        entries = np.einsum("skw,sw->sk", self.books, _split(query[None])[0]).astype(np.float32)
         if len(entries) % 2:
             entries = np.vstack([entries, np.zeros((1, CODEWORDS), np.float32)])
-        near = np.zeros(len(self.ids), np.float32)
+        near = np.zeros(self.codes.shape[1], np.float32)
         for j in range(len(self.codes)):
             near += (entries[2 * j][None, :] + entries[2 * j + 1][:, None]).ravel()[self.codes[j]]
-        near[self.ids == query_id] = -np.inf
-        if len(near) > self.rerank:
-            least = np.partition(near, -self.rerank)[-self.rerank] - self.margin
-            at = np.flatnonzero((near >= least) & (near > -np.inf))
-        else:
-            at = np.flatnonzero(near > -np.inf)
-        exact = self.units[at] @ query
-        best = np.lexsort((self.ids[at], -exact))[: self.k]
-        return [(query_id, int(self.ids[at[i]]), float(exact[i])) for i in best]
+        at = np.argpartition(-near, self.rerank)[: self.rerank] if len(near) > self.rerank else np.arange(len(near))
+        exact = (_units(self.vectors[at]) * query).sum(1)  # row by row: equal vectors score equal
+        ids = np.array([i for a in at for i in self.ids[a]], np.int64)
+        scores = np.repeat(exact, [len(self.ids[a]) for a in at])
+        order = np.lexsort((ids, -scores))[: self.keep]
+        return ids[order], scores[order]
 
 
 def _valid(rows: DataFrame) -> tuple[DataFrame, int, int]:
@@ -138,15 +199,16 @@ def _valid(rows: DataFrame) -> tuple[DataFrame, int, int]:
     return rows.where(F.size("v") == dim), dim, count
 
 
-def search(rows: DataFrame, query_modulus: int, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK, margin: float = MARGIN) -> DataFrame:
+def search(rows: DataFrame, query_modulus: int, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found by cosine for each row whose id ``query_modulus`` divides.
 
     A row's candidates are all rows with another id; fewer than ``k`` give fewer
-    results. Scores are cosines of the original vectors in double precision; ties
-    go to the smaller id. Vectors that are null, empty, zero or of another length
-    than most, or hold null or non-finite components, take no part, nor do null
-    ids. Repeated rows are candidates each; a repeated query is searched once. No
-    rows, no results. Other columns are not read.
+    results. Scores are cosines of the original vectors in double precision; equal
+    vectors score equal, and ties go to the smaller id. Vectors that are null,
+    empty, zero or of another length than most, or hold null or non-finite
+    components, take no part, nor do null ids. Rows that repeat an id and its
+    vector are one candidate; of a query's several vectors the smallest is
+    searched. No rows, no results. Other columns are not read.
     """
     spark = rows.sparkSession
     held_as = rows.schema[vector_col].dataType
@@ -156,57 +218,96 @@ def search(rows: DataFrame, query_modulus: int, k: int = 5, id_col: str = "vec_i
     empty = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
     if not dim:
         return spark.createDataFrame([], empty)
+    asked = F.col("id") % query_modulus == 0
+    # a query's own rows are left out of its results: one, but for ids with several vectors
+    keep = k + (rows.where(asked).groupBy("id").agg(F.countDistinct(F.xxhash64("v")).alias("n")).agg(F.max("n")).first()[0] or 0)
     # hashes thin the rows before the order does, so that few rows meet in the order
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= (2 << 20) * SAMPLE // count)
-    sample = some.orderBy(F.xxhash64("id"), "v").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
-    books = fit(_split(_units(_matrix(sample, dim))))
+    sample = _units(_matrix(some.orderBy(F.xxhash64("id"), "v").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks(), dim))
+    books, to = fit(_split(sample)), centres(sample, min(CELLS, -(-count // cell)))
+    reach = probes(sample, to, k)
 
     def index(batches):
-        seen = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes = encode(_split(_units(_matrix(batch.column(1), dim))), books).astype(np.uint8)
+            vectors, ids = _matrix(batch.column(1), dim), batch.column(0).to_numpy()
+            keys, taken = [v.tobytes() for v in vectors], {}
+            # of a batch's equal vectors, the smallest identifiers are candidates
+            is_candidate, is_query = np.zeros(len(ids), bool), ids % query_modulus == 0
+            for i in np.argsort(ids, kind="stable").tolist():
+                held = taken.setdefault(keys[i], [])
+                if len(held) < keep and (not held or held[-1] != ids[i]):
+                    held.append(ids[i])
+                    is_candidate[i] = True
+            kept = np.flatnonzero(is_candidate | is_query)
+            units = _units(vectors[kept])
+            codes = encode(_split(units), books).astype(np.uint8)
             if codes.shape[1] % 2:
                 codes = np.pad(codes, ((0, 0), (0, 1)))
             packed = codes[:, 0::2] | (codes[:, 1::2] << 4)
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(np.arange(seen, seen + n))], names=["id", "v", "codes", "seq"])
-            seen += n
-
-    indexed = materialize(rows.mapInArrow(index, f"id long, v {kind}, codes binary, seq long"), "ann-index")
-    blocks = max(-(-count // BLOCK), min(spark.sparkContext.defaultParallelism, -(-count // LEAST_BLOCK)))
-    queries = indexed.where(F.col("id") % query_modulus == 0).groupBy("id").agg(F.min("v").alias("v"))
-    queries = queries.select("id", "v", F.lit(None).cast("binary").alias("codes"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"))
-    held = indexed.select("id", "v", "codes", F.pmod(F.xxhash64("id", "seq"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"))
-    # each block's rows, then its queries
-    met = held.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "kind", "id")
+            part = batch.take(pa.array(kept))
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(keys[i]) for i in kept), np.int64).reshape(-1, 2)
+            columns = [pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(_near(units, to).argmax(1).astype(np.int32)), *(pa.array(digests[:, i].copy()) for i in (0, 1)), pa.array(is_candidate[kept]), pa.array(is_query[kept])]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["id", "v", "codes", "cell", "h0", "h1", "is_candidate", "is_query"])
+
+    indexed = materialize(rows.mapInArrow(index, f"id long, v {kind}, codes binary, cell int, h0 long, h1 long, is_candidate boolean, is_query boolean"), "ann-index")
+    candidates = indexed.where("is_candidate")
+    sizes = {r["cell"]: r["count"] for r in candidates.groupBy("cell").count().collect()}  # at most CELLS rows
+    parts = np.array([-(-sizes.get(c, 0) // block) for c in range(len(to))], np.int64)
+    firsts = np.concatenate(([0], np.cumsum(parts)[:-1]))
+    blocks = int(parts.sum())
+
+    def visit(batches):
+        """Queries, once for each block of the cells that they go to."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            order = np.argsort(-_near(_units(_matrix(batch.column(0), dim)), to), axis=1, kind="stable")[:, :reach]
+            for start in range(0, batch.num_rows, 512):
+                cells = order[start : start + 512]
+                many = parts[cells]
+                row, flat = np.repeat(np.arange(start, start + len(cells)), many.sum(1)), many.ravel()
+                nth = np.arange(flat.sum()) - np.repeat(np.cumsum(flat) - flat, flat)
+                part = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), pa.nulls(len(row), pa.binary()), part.column(2), pa.array(np.repeat(firsts[cells.ravel()], flat) + nth), pa.array(np.ones(len(row), np.int32))], names=["a", "v", "codes", "b", "block", "kind"])
+
+    # equal vectors are searched once: h0 and h1 stand for a query
+    queries = indexed.where("is_query").groupBy("h0", "h1").agg(F.first("v").alias("v")).select("v", "h0", "h1").mapInArrow(visit, f"a long, v {kind}, codes binary, b long, block long, kind int")
+    dealt = spark.createDataFrame([(c, int(n), int(f)) for c, (n, f) in enumerate(zip(parts, firsts, strict=True))], "cell int, parts long, first long")
+    # at most CELLS rows are broadcast; equal vectors are of one block
+    held = candidates.join(F.broadcast(dealt), "cell").select(F.col("id").alias("a"), "v", "codes", F.lit(0).cast("long").alias("b"), (F.col("first") + F.pmod("h0", "parts")).alias("block"), F.lit(0).alias("kind"))
+    met = held.unionByName(queries).repartition(max(blocks, spark.sparkContext.defaultParallelism), "block").sortWithinPartitions("block", "kind", "a")
 
     def scan(batches):
-        number, parts, block = None, [], None
+        number, now = None, None
         for batch in batches:
             at, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
             cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(kinds) != 0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                if a == b:
-                    continue
-                part = batch.slice(a, b - a)
-                if at[a] != number:
-                    number, parts, block = at[a], [], None
-                if kinds[a] == 0:
-                    codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(part), -1)
-                    parts.append((part.column("id").to_numpy(), codes, _matrix(part.column("v"), dim)))
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if start == stop:
                     continue
-                if not parts:
+                part = batch.slice(start, stop - start)
+                if at[start] != number:
+                    number, now = at[start], Block(books, keep, rerank)
+                vectors = _matrix(part.column("v"), dim)
+                if kinds[start] == 0:
+                    now.add(part.column("a").to_pylist(), vectors, part.column("codes").to_pylist())
                     continue
-                block = block or Block(*(np.concatenate(x) for x in zip(*parts, strict=True)), books, k, rerank, margin)
-                found = [r for i, q in zip(part.column("id").to_pylist(), _units(_matrix(part.column("v"), dim)), strict=True) for r in block.search(i, q)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(scan, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                if now.vectors is None:
+                    now.seal()
+                found = [now.search(q) for q in _units(vectors)]
+                row = np.repeat(np.arange(len(found)), [len(ids) for ids, _ in found])
+                keys = [part.column(c).take(pa.array(row)) for c in ("a", "b")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=["h0", "h1", "vec_id", "score"])
+
+    found = met.mapInArrow(scan, "h0 long, h1 long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("h0", "h1").orderBy(F.desc("score"), "vec_id"))
+    best = found.withColumn("at", rank).where(F.col("at") <= keep).groupBy("h0", "h1").agg(F.array_sort(F.collect_list(F.struct("at", "vec_id", "score"))).alias("best"))  # of ``keep`` rows
+    members = indexed.where("is_query").groupBy("id").agg(F.min(F.struct("v", "h0", "h1")).alias("q")).select(F.col("id").alias("query_id"), "q.h0", "q.h1")
+    own = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = members.join(best, ["h0", "h1"]).select("query_id", F.posexplode(own).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
 def op9_ann(spark, sf_dir):
