@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,56 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def text_column(texts: list[bytes | None]) -> pa.Array:
+    """A column of strings, as they are: not checked to be UTF-8."""
+    return pa.array(texts, pa.binary()).view(pa.string())
+
+
+class Filter:
+    """A Bloom filter of fixed size over 64-bit hashes, with four positions for each."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
+        a, b = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
+        return (a + b * np.arange(1, 5, dtype=np.uint64)[:, None]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)
+
+    @classmethod
+    def over(cls, hashes: np.ndarray, bits: int) -> Filter:
+        """Of 1 << ``bits`` bits."""
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        at = cls._places(hashes, bits).ravel()
+        np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        return cls(words)
+
+    @classmethod
+    def gather(cls, rows: DataFrame, hashes, bits: int = 27) -> Filter:
+        """Over what ``hashes(batches)`` yields, arrays of hashes; the filter's words, whatever their number, reach the driver."""
+
+        def mark(batches):
+            for found in hashes(batches):
+                at = np.unique(cls._places(found, bits))
+                word, first = np.unique(at >> np.uint64(6), return_index=True)
+                if len(word):
+                    mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+                    yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        for batch in rows.mapInArrow(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow().to_batches():
+            words[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+        return cls(words)
+
+    def hold(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes it may hold; those it was made of, it does."""
+        at = self._places(hashes, len(self.words).bit_length() + 5)
+        return ((self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
+
+    def has(self, hash: int) -> bool:
+        return bool(self.hold(np.array([hash], np.uint64))[0])
+
+
 def chunks(text: bytes, size: int = 1 << 20):
     """(offset, slice) of about ``size`` bytes that end with ASCII white space, or at the end."""
     at = 0
