@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +42,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, a written table of a few short columns, marked for broadcast if it has at most ``rows`` rows; else joined by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def fold(column):
     """Lower-case A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -121,6 +117,33 @@ class Filter:
         return bool(self.hold(np.array([hash], np.uint64))[0])
 
 
+def _identifiers(batches):
+    for batch in batches:
+        yield mixed(batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers (unsigned, 64 bits) one-to-one to hashes."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def may_be_among(column, ids: DataFrame):
+    """A condition: whether the value of ``column``, a long, may be among ``ids``, a table of one long column. Never false for one that is.
+
+    A filter of fixed size (8 MB) is sent to the tasks, however many ids there are;
+    the more there are, the more values pass. Only ``column`` goes through Python.
+    Rows that can't be among ids thus need not be dealt out to look for them.
+    """
+    shared = ids.sparkSession.sparkContext.broadcast(Filter.gather(ids, _identifiers, bits=26))
+
+    def probe(values: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.hold(mixed(values.fillna(0).to_numpy().astype(np.int64).view(np.uint64))))
+
+    return F.pandas_udf(probe, "boolean")(F.coalesce(column, F.lit(0)))
+
+
 def chunks(text: bytes, size: int = 1 << 20):
     """(offset, slice) of about ``size`` bytes that end with ASCII white space, or at the end."""
     at = 0

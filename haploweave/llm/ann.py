@@ -143,6 +143,11 @@ def probes(x: np.ndarray, to: np.ndarray, k: int) -> int:
     return int(np.quantile(ranks, PROBED, method="higher")) + 1 if ranks else len(to)
 
 
+def _wanted(held: list[int], row: int, k: int, keep: int) -> bool:
+    """Whether one identifier more, in order, can be in a result: of repeated rows k at most."""
+    return len(held) < keep and (len(held) < k or held[-k] != row)
+
+
 class Block:
     """The distinct vectors of one block with their smallest identifiers, and the scan of queries over them.
 
@@ -150,8 +155,8 @@ class Block:
     are held, as no query's result needs more.
     """
 
-    def __init__(self, books: np.ndarray, keep: int, rerank: int):
-        self.books, self.keep, self.rerank = books, keep, max(rerank, keep)
+    def __init__(self, books: np.ndarray, k: int, keep: int, rerank: int):
+        self.books, self.k, self.keep, self.rerank = books, k, keep, max(rerank, keep)
         self.at: dict[bytes, int] = {}
         self.ids: list[list[int]] = []
         self.rows: list[tuple[np.ndarray, np.ndarray]] = []
@@ -164,7 +169,7 @@ class Block:
             if at == len(self.ids):
                 self.ids.append([row])
                 new.append(i)
-            elif len(held := self.ids[at]) < self.keep and held[-1] != row:
+            elif _wanted(held := self.ids[at], row, self.k, self.keep):
                 held.append(row)
         if new:
             self.rows.append((vectors[new], np.frombuffer(b"".join(codes[i] for i in new), np.uint8).reshape(len(new), -1)))
@@ -206,9 +211,9 @@ def search(rows: DataFrame, query_modulus: int, k: int = 5, id_col: str = "vec_i
     results. Scores are cosines of the original vectors in double precision; equal
     vectors score equal, and ties go to the smaller id. Vectors that are null,
     empty, zero or of another length than most, or hold null or non-finite
-    components, take no part, nor do null ids. Rows that repeat an id and its
-    vector are one candidate; of a query's several vectors the smallest is
-    searched. No rows, no results. Other columns are not read.
+    components, take no part, nor do null ids. Repeated rows are candidates each;
+    a repeated query is searched once, by the smallest of its vectors. No rows, no
+    results. Other columns are not read.
     """
     spark = rows.sparkSession
     held_as = rows.schema[vector_col].dataType
@@ -219,8 +224,8 @@ def search(rows: DataFrame, query_modulus: int, k: int = 5, id_col: str = "vec_i
     if not dim:
         return spark.createDataFrame([], empty)
     asked = F.col("id") % query_modulus == 0
-    # a query's own rows are left out of its results: one, but for ids with several vectors
-    keep = k + (rows.where(asked).groupBy("id").agg(F.countDistinct(F.xxhash64("v")).alias("n")).agg(F.max("n")).first()[0] or 0)
+    # a query's own rows are left out of its results: of each of its vectors k at most, as no more repeated rows are held
+    keep = k + k * (rows.where(asked).groupBy("id").agg(F.countDistinct(F.xxhash64("v")).alias("n")).agg(F.max("n")).first()[0] or 0)
     # hashes thin the rows before the order does, so that few rows meet in the order
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= (2 << 20) * SAMPLE // count)
     sample = _units(_matrix(some.orderBy(F.xxhash64("id"), "v").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks(), dim))
@@ -237,7 +242,7 @@ def search(rows: DataFrame, query_modulus: int, k: int = 5, id_col: str = "vec_i
             is_candidate, is_query = np.zeros(len(ids), bool), ids % query_modulus == 0
             for i in np.argsort(ids, kind="stable").tolist():
                 held = taken.setdefault(keys[i], [])
-                if len(held) < keep and (not held or held[-1] != ids[i]):
+                if _wanted(held, ids[i], k, keep):
                     held.append(ids[i])
                     is_candidate[i] = True
             kept = np.flatnonzero(is_candidate | is_query)
@@ -289,7 +294,7 @@ def search(rows: DataFrame, query_modulus: int, k: int = 5, id_col: str = "vec_i
                     continue
                 part = batch.slice(start, stop - start)
                 if at[start] != number:
-                    number, now = at[start], Block(books, keep, rerank)
+                    number, now = at[start], Block(books, k, keep, rerank)
                 vectors = _matrix(part.column("v"), dim)
                 if kinds[start] == 0:
                     now.add(part.column("a").to_pylist(), vectors, part.column("codes").to_pylist())

@@ -1,147 +1,250 @@
 """Exact dedup by a log-structured merge index.
 
-Flush: every task fills memtables that map the digest of a folded text to one
-entry (kept identifier, rows, text). A copy that meets its entry is compared
-byte by byte. A full memtable is flushed as one run of entries in digest order.
-Compaction: the runs are merged on the digest; of equal texts the extreme
-identifier stays. Only digests found in several runs are hits; a filter over the
-hits' identifiers thins the second read of the documents, and the texts of the
-hits (one for each run) are compared byte by byte with the winner's text. Entries
-whose bytes differ under one digest are grouped by their bytes instead.
-
-A group of copies reaches compaction as one entry for each run, so no task holds
-a group; rows find their group by (run, digest), which spreads a hot digest.
+Flush: every task fills memtables that map the digest of a folded text to an entry
+(kept identifier, rows, text). A copy that meets its entry is compared byte by
+byte. A full memtable is flushed as a run: entries in digest order, with a filter
+over their digests. Compaction: FANOUT runs of a level become one run of the next.
+Entries that no other run's filter may hold pass as they are; the others are
+merged in digest order. A task ends with one run. The runs of all tasks are then
+merged on the digest, in order too: partitions hold ranges of hashes of digests,
+each sorted, and equal digests stand next to each other. Of equal texts the
+extreme identifier stays.
+
+Only digests of several memtables are hits. Filters over the hits find their
+entries and documents again, so that nothing else is dealt out; the texts of the
+hits (one for each memtable) are compared byte by byte with the winner's text.
+Entries whose bytes differ under one digest are grouped by their bytes instead.
+
+A group of copies reaches the last merge as one entry for each task, so no task
+holds a group; its rows find it by memtable and slot, which spreads a hot digest.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from haploweave.llm._io import as_bytes, broadcast_if_small, fold, materialize, pieces, table, unused
-
-ENTRY = T.StructType(
-    [
-        T.StructField("entry", T.BooleanType()),
-        T.StructField("run", T.LongType()),
-        T.StructField("variant", T.IntegerType()),
-        T.StructField("pos", T.LongType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("key", T.BinaryType()),
-        T.StructField("sha", T.BinaryType()),
-    ]
-)
-#: Bits of the filter over hits, and how many hits it serves: beyond, the join alone finds them.
-FILTER_BITS, FILTER_HITS = 1 << 27, 1 << 24
-#: Rows to drop (an identifier and a digest) that are broadcast at most.
-BROADCAST_ROWS = 1 << 18
+
+from haploweave.llm._io import Filter, as_bytes, fold, materialize, may_be_among, pieces, table, unused
+
+#: Runs of a level that are compacted to one of the next.
+FANOUT = 4
+#: Entries that a task holds in runs at most; then they are written as a run of their own.
+RUN_ROWS = 1 << 19
+
+#: Rows of both kinds: entries of runs, and documents of slots with several.
+FLUSHED = "entry boolean, memtable long, slot int, pos long, id long, n long, key binary, members array<struct<memtable: long, slot: int, pos: long, id: long, n: long, sha: binary>>"
+
+
+class Entry:
+    """A digest, its rows so far, the extreme (identifier, memtable, position), and a member for each memtable that has it."""
+
+    __slots__ = ("key", "members", "n", "winner")
+
+    def __init__(self, key: bytes, n: int, winner: tuple, members: list[dict]):
+        self.key, self.n, self.winner, self.members = key, n, winner, members
+
+    def absorb(self, other: Entry) -> None:
+        self.n += other.n
+        self.winner = max(self.winner, other.winner)
+        self.members += other.members
+
+
+class Run:
+    """Entries in digest order, and a filter over their digests."""
+
+    def __init__(self, entries: list[Entry]):
+        self.entries = entries
+        self.hashes = np.array([_hash(e.key) for e in entries], np.uint64)
+        self.filter = Filter.over(self.hashes, max(10, (12 * len(entries)).bit_length()))
+
+
+def _hash(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little")
+
+
+def _in_order(lists: list[list[Entry]]) -> list[Entry]:
+    return list(heapq.merge(*lists, key=lambda e: e.key))
+
+
+def compact(runs: list[Run]) -> Run:
+    """One run of several: what the filters tell apart passes as it is, the rest is merged in digest order."""
+    alone, shared = [], []
+    for i, run in enumerate(runs):
+        may = np.zeros(len(run.entries), bool)
+        for j, other in enumerate(runs):
+            if i != j:
+                may |= other.filter.hold(run.hashes)
+        alone.append([e for e, m in zip(run.entries, may.tolist(), strict=True) if not m])
+        shared.append([e for e, m in zip(run.entries, may.tolist(), strict=True) if m])
+    merged: list[Entry] = []
+    for e in _in_order(shared):
+        if merged and merged[-1].key == e.key:
+            merged[-1].absorb(e)
+        else:
+            merged.append(e)
+    return Run(_in_order([merged, *alone]))
+
+
+class Index:
+    """The runs of a task, by level."""
+
+    def __init__(self, fanout: int):
+        self.fanout = fanout
+        self.levels: list[list[Run]] = []
+        self.rows = 0
+
+    def add(self, run: Run, level: int = 0) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(run)
+        self.rows += len(run.entries) if level == 0 else 0
+        if len(self.levels[level]) == self.fanout:
+            runs, self.levels[level] = self.levels[level], []
+            self.add(compact(runs), level + 1)
+
+    def whole(self) -> Run | None:
+        runs = [r for level in self.levels for r in level]
+        return (runs[0] if len(runs) == 1 else compact(runs)) if runs else None
 
 
 class Memtable:
     """Entries of one run, bounded by the bytes of its distinct texts and by its rows."""
 
-    def __init__(self, run: int, digest_bytes: int, keep: str):
-        self.run, self.k, self.largest = run, digest_bytes, keep == "max"
+    def __init__(self, number: int, digest_bytes: int, sign: int):
+        self.number, self.k, self.sign = number, digest_bytes, sign
         self.table: dict[bytes, list[list]] = {}
-        self.rows: list[tuple] = []
-        self.bytes = 0
+        #: For each slot, a distinct text, its rows as (position, identifier).
+        self.slots: list[list[tuple[int, int | None]]] = []
+        self.rows = self.bytes = 0
 
     def put(self, doc_id: int | None, text: bytes) -> None:
         text = text.lower()
         sha = hashlib.sha256(text).digest()
-        key, pos = sha[: self.k], len(self.rows)
-        variants = self.table.setdefault(key, [])
-        for v, entry in enumerate(variants):
-            if entry[0] == text:
-                entry[3] += 1
-                if doc_id is not None and (entry[1] is None or (doc_id > entry[1] if self.largest else doc_id < entry[1])):
-                    entry[1:3] = doc_id, pos
-                break
-        else:
-            v = len(variants)
-            variants.append([text, doc_id, pos, 1, sha])
+        variants = self.table.setdefault(sha[: self.k], [])
+        slot = next((slot for held, slot, _ in variants if held == text), None)
+        if slot is None:
+            slot = len(self.slots)
+            self.slots.append([])
+            variants.append([text, slot, sha])
             self.bytes += len(text) + 200
-        self.rows.append((False, self.run, v, pos, doc_id, 1, key, sha))
-
-    def flush(self) -> pa.RecordBatch:
-        entries = [(True, self.run, v, e[2], e[1], e[3], key, e[4]) for key in sorted(self.table) for v, e in enumerate(self.table[key])]
-        columns = zip(*entries, *self.rows, strict=True)
-        kinds = [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=ENTRY.names)
-
-
-def _flusher(digest_bytes: int, keep: str, memtable_bytes: int, memtable_rows: int):
+        self.slots[slot].append((self.rows, doc_id))
+        self.rows += 1
+
+    def _rank(self, row: tuple[int, int | None]) -> tuple:
+        """Larger for the row that stays: a known identifier, the extreme one, the first."""
+        return (row[1] is not None, self.sign * (row[1] or 0), -self.number, -row[0])
+
+    def flush(self) -> Run:
+        """The run, once; the texts go."""
+        entries = []
+        for key in sorted(self.table):
+            own = []
+            for _, slot, sha in self.table[key]:
+                pos, doc_id = max(self.slots[slot], key=self._rank)
+                member = {"memtable": self.number, "slot": slot, "pos": pos, "id": doc_id, "n": len(self.slots[slot]), "sha": sha if self.k < 32 else None}
+                own.append(Entry(key, member["n"], self._rank((pos, doc_id)), [member]))
+            for other in own[1:]:
+                own[0].absorb(other)
+            entries.append(own[0])
+        self.table = {}
+        return Run(entries)
+
+    def several(self) -> pa.RecordBatch | None:
+        """The rows of slots with more than one."""
+        rows = [(slot, pos, doc_id) for slot, own in enumerate(self.slots) if len(own) > 1 for pos, doc_id in own]
+        if not rows:
+            return None
+        slot, pos, ids = zip(*rows, strict=True)
+        n = len(rows)
+        return _batch(pa.array([False] * n), pa.array([self.number] * n, pa.int64()), pa.array(slot, pa.int32()), pa.array(pos, pa.int64()), pa.array(ids, pa.int64()), None, None, None)
+
+
+_MEMBERS = pa.list_(pa.struct([("memtable", pa.int64()), ("slot", pa.int32()), ("pos", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sha", pa.binary())]))
+
+
+def _batch(entry, memtable, slot, pos, ids, n, key, members) -> pa.RecordBatch:
+    kinds = [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), _MEMBERS]
+    columns = [pa.nulls(len(entry), k) if c is None else c for c, k in zip((entry, memtable, slot, pos, ids, n, key, members), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["entry", "memtable", "slot", "pos", "id", "n", "key", "members"])
+
+
+def _written(run: Run, sign: int):
+    for at in range(0, len(run.entries), 10_000):
+        part = run.entries[at : at + 10_000]
+        known, i, memtable, pos = zip(*(e.winner for e in part), strict=True)
+        ids = [sign * x if k else None for k, x in zip(known, i, strict=True)]
+        yield _batch(pa.array([True] * len(part)), pa.array([-x for x in memtable], pa.int64()), None, pa.array([-x for x in pos], pa.int64()), pa.array(ids, pa.int64()), pa.array([e.n for e in part], pa.int64()), pa.array([e.key for e in part], pa.binary()), pa.array([e.members for e in part], _MEMBERS))
+
+
+def _flusher(digest_bytes: int, sign: int, memtable_bytes: int, memtable_rows: int, fanout: int):
     def flush(batches):
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 32
-        table = Memtable(first, digest_bytes, keep)
+        number = TaskContext.get().partitionId() << 32
+        index, now = Index(fanout), Memtable(number, digest_bytes, sign)
         for batch in pieces(batches):
             for doc_id, text in zip(batch.column("id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                table.put(doc_id, text)
-                if table.bytes >= memtable_bytes or len(table.rows) >= memtable_rows:
-                    yield table.flush()
-                    table = Memtable(table.run + 1, digest_bytes, keep)
-        if table.rows:
-            yield table.flush()
+                now.put(doc_id, text)
+                if now.bytes >= memtable_bytes or now.rows >= memtable_rows:
+                    index.add(now.flush())
+                    if (rows := now.several()) is not None:
+                        yield rows
+                    now = Memtable(now.number + 1, digest_bytes, sign)
+                    if index.rows >= RUN_ROWS:
+                        yield from _written(index.whole(), sign)
+                        index = Index(fanout)
+        if now.rows:
+            index.add(now.flush())
+            if (rows := now.several()) is not None:
+                yield rows
+        if (run := index.whole()) is not None:
+            yield from _written(run, sign)
 
     return flush
 
 
-def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two filter positions of each identifier."""
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x >> np.uint64(37), (x >> np.uint64(8)) & np.uint64(FILTER_BITS - 1)
+def _merger(sign: int):
+    """Of a stream of entries in digest order, one row for each digest of several memtables."""
 
+    def rank(row: tuple) -> tuple:
+        _, memtable, pos, doc_id, _, _ = row
+        return (doc_id is not None, sign * (doc_id or 0), -memtable, -pos)
 
-def _filter_of(hits: DataFrame) -> np.ndarray | None:
-    """A filter of fixed size over the hits' identifiers; none where they are too many for it to help."""
-    if hits.count() > FILTER_HITS:
-        return None
-    words = np.zeros(FILTER_BITS // 8, np.uint8)
-
-    def mark(batches):
+    def merge(batches):
+        held: list | None = None
+        found: list[list] = []
         for batch in batches:
-            ids = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
-            at = np.concatenate(_bits(ids))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(3)).astype(np.int64)), pa.array(np.left_shift(1, (at & np.uint64(7)).astype(np.int64)))], names=["byte", "mask"])
-
-    marks = hits.select("id").mapInArrow(mark, "byte long, mask long").groupBy("byte").agg(F.bit_or("mask").alias("mask"))
-    for batch in marks.toArrow().to_batches():
-        words[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint8)
-    return words
-
-
-def _thinned(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """The documents that may be hits; null identifiers stay."""
-    words = _filter_of(hits)
-    if words is None:
-        return docs
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    def probe(batches):
-        w = shared.value
-        for batch in batches:
-            ids = batch.column(0)
-            keep = np.ones(batch.num_rows, bool)
-            for at in _bits(ids.fill_null(0).to_numpy(zero_copy_only=False)):
-                keep &= (w[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            keep |= ids.is_null().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(probe, docs.schema)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is not None and held[0] == row[0]:
+                    if rank(row) > rank(held):
+                        held[1:4] = row[1:4]
+                    held[4] += row[4]
+                    held[5] += row[5]
+                    continue
+                if held is not None and held[5] > 1:
+                    found.append(held)
+                held = list(row)
+            if found:
+                yield _level(found)
+                found = []
+        if held is not None and held[5] > 1:
+            yield _level([held])
+
+    return merge
+
+
+def _level(rows: list[list]) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "w_memtable", "w_pos", "keep_id", "size", "entries"])
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digest_bytes: int = 32, memtable_bytes: int = 32 << 20, memtable_rows: int = 50_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digest_bytes: int = 32, memtable_bytes: int = 32 << 20, memtable_rows: int = 50_000, fanout: int = FANOUT
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -152,40 +255,55 @@ def exact_dedup(
     gives an empty result. ``digest_bytes`` under 32 makes digests collide, for
     tests: results stay exact.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    flushed = materialize(docs.mapInArrow(_flusher(digest_bytes, keep, memtable_bytes, memtable_rows), ENTRY), "dedup-runs")
-    entries, rows = flushed.where("entry").drop("entry"), flushed.where("NOT entry").drop("entry", "n")
     sign = 1 if keep == "max" else -1
-    rank = F.struct((F.col("id") * sign).alias("i"), (-F.col("run")).alias("r"), (-F.col("pos")).alias("p"))
-    level = entries.groupBy("key").agg(F.max(rank).alias("w"), F.sum("n").alias("size"), F.count("*").alias("entries"))
-    level = level.select("key", (F.col("w.i") * sign).alias("keep_id"), (-F.col("w.r")).alias("w_run"), (-F.col("w.p")).alias("w_pos"), "size", "entries")
-    merged = materialize(entries.select("run", "variant", "pos", "id", "key", "sha").join(level, "key"), "dedup-level")
-
-    same_text = (fold(F.coalesce("text", F.lit(""))),)
-    hits = materialize(merged.where("entries > 1"), "dedup-hits")
-    texts = _thinned(docs, hits).withColumnRenamed("id", "d_id").withColumn("text", *same_text)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    flushed = materialize(docs.mapInArrow(_flusher(digest_bytes, sign, memtable_bytes, memtable_rows, fanout), FLUSHED), "dedup-runs")
+    entries, rows = flushed.where("entry"), flushed.where("NOT entry").select("memtable", "slot", "pos", "id")
+
+    # the last compaction: over all tasks
+    heads = entries.select("key", "memtable", "pos", "id", "n", F.size("members").cast("long").alias("entries"))
+    level = heads.repartition("key").sortWithinPartitions("key").mapInArrow(_merger(sign), "key binary, w_memtable long, w_pos long, keep_id long, size long, entries long")
+    level = materialize(level, "dedup-level")
+    member = F.explode("members").alias("m")
+    own = ["m.memtable", "m.slot", "m.pos", "m.id", F.col("m.n").alias("own"), "key", F.coalesce("m.sha", "key").alias("sha")]
+    may = may_be_among(F.xxhash64("key"), level.select(F.xxhash64("key")))
+    alone = entries.select("key", F.col("id").alias("keep_id"), F.col("memtable").alias("w_memtable"), F.col("pos").alias("w_pos"), F.col("n").alias("size"), F.size("members").cast("long").alias("entries"), "members", may.alias("may"))
+    split = alone.where("may").drop("keep_id", "w_memtable", "w_pos", "size", "entries", "may")
+    # entries that the filter lets through by mistake are alone all the same
+    suspects = split.join(level, "key").unionByName(alone.where("may").join(level.select("key"), "key", "left_anti").drop("may"))
+    merged = alone.where("NOT may").drop("may").unionByName(suspects)
+    merged = materialize(merged.select(member, "key", "keep_id", "w_memtable", "w_pos", "size", "entries").select(*own, "keep_id", "w_memtable", "w_pos", "size", "entries"), "dedup-members")
+
+    folded = fold(F.coalesce("text", F.lit("")))
+    hits = merged.where("entries > 1")
+    among = F.col("id").isNull() | may_be_among(F.col("id"), hits.select("id"))
+    texts = docs.where(among).select(F.col("id").alias("d_id"), folded.alias("text"))
     read = hits.join(texts, F.col("id").eqNullSafe(F.col("d_id")) & (F.sha2("text", 256) == F.lower(F.hex("sha"))))
-    read = read.select("run", "variant", "key", "pos", "w_run", "w_pos", "text").dropDuplicates(["run", "variant", "key"])
+    read = read.select("memtable", "slot", "pos", "key", "w_memtable", "w_pos", "text").dropDuplicates(["memtable", "slot"])
     read = materialize(read, "dedup-texts")
-    winners = read.where("run = w_run AND pos = w_pos").select("key", F.col("text").alias("w_text"))
-    differ = read.join(winners, "key").where("text != w_text").select("key").distinct()
-    differ = materialize(differ, "dedup-differ")
+    winners = read.where("memtable = w_memtable AND pos = w_pos").select("key", F.col("text").alias("w_text"))
+    differ = materialize(read.join(winners, "key").where("text != w_text").select("key").distinct(), "dedup-differ")
 
-    groups = merged.select("run", "variant", "key", "keep_id", "w_run", "w_pos", "size")
+    groups = merged.drop("entries")
     if differ.limit(1).count():
-        split = rows.join(differ, "key", "left_semi").join(docs.withColumn("text", *same_text).withColumnRenamed("id", "d_id"), F.col("id").eqNullSafe(F.col("d_id")) & (F.sha2("text", 256) == F.lower(F.hex("sha"))))
-        split = split.dropDuplicates(["run", "pos"])
-        by_bytes = split.groupBy("key", "text").agg(F.max(rank).alias("w"), F.count("*").alias("size"))
-        by_bytes = by_bytes.select("key", "text", (F.col("w.i") * sign).alias("keep_id"), (-F.col("w.r")).alias("w_run"), (-F.col("w.p")).alias("w_pos"), "size")
-        own = split.select("run", "variant", "key", "text").distinct().join(by_bytes, ["key", "text"])
-        groups = groups.join(differ, "key", "left_anti").unionByName(own.select(groups.columns))
-    return rows.join(groups, ["run", "variant", "key"]).select(
-        F.col("id").alias("doc_id"),
-        "keep_id",
-        F.col("size").cast("long").alias("group_size"),
-        ((F.col("run") == F.col("w_run")) & (F.col("pos") == F.col("w_pos"))).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+        # the rows of these digests, each with its text
+        here = merged.join(differ, "key", "left_semi")
+        rows_here = here.where("own = 1").select("memtable", "slot", "pos", "id").unionByName(rows.join(here.select("memtable", "slot"), ["memtable", "slot"], "left_semi"))
+        rows_here = rows_here.join(here.select("memtable", "slot", "key", "sha"), ["memtable", "slot"])
+        by_row = rows_here.join(docs.select(F.col("id").alias("d_id"), folded.alias("text")), F.col("id").eqNullSafe(F.col("d_id")) & (F.sha2("text", 256) == F.lower(F.hex("sha")))).dropDuplicates(["memtable", "pos"])
+        rank = F.struct((F.col("id") * sign).alias("i"), (-F.col("memtable")).alias("r"), (-F.col("pos")).alias("p"))
+        by_bytes = by_row.groupBy("key", "text").agg(F.max(rank).alias("w"), F.count("*").alias("size"))
+        by_bytes = by_bytes.select("key", "text", (F.col("w.i") * sign).alias("keep_id"), (-F.col("w.r")).alias("w_memtable"), (-F.col("w.p")).alias("w_pos"), "size")
+        slots = by_row.select("memtable", "slot", "key", "text").distinct().join(by_bytes, ["key", "text"]).drop("text", "key")
+        anew = here.drop("keep_id", "w_memtable", "w_pos", "size", "entries").join(slots, ["memtable", "slot"])
+        groups = groups.join(differ, "key", "left_anti").unionByName(anew)
+
+    def result(of: DataFrame) -> DataFrame:
+        kept = (F.col("memtable") == F.col("w_memtable")) & (F.col("pos") == F.col("w_pos"))
+        return of.select(F.col("id").alias("doc_id"), "keep_id", F.col("size").cast("long").alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+    several = rows.join(groups.where("own > 1").drop("pos", "id"), ["memtable", "slot"])
+    return result(groups.where("own = 1")).unionByName(result(several))
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
@@ -195,20 +313,20 @@ def drop_exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
     which only their other columns could tell apart, become one of them.
     """
     found = materialize(exact_dedup(docs, keep=keep).where("NOT kept").select("doc_id", "keep_id", "text_sha256").distinct(), "dedup-gone")
-    same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    other_id, other_sha = unused(docs.columns, "other_id"), unused(docs.columns, "other_sha")
+    other_id, other_sha, name = (unused(docs.columns, n) for n in ("other_id", "other_sha", "folded"))
+    own_id, folded = docs["doc_id"].cast("long"), fold(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
-    def among(rows: DataFrame, how: str) -> DataFrame:
-        rows = broadcast_if_small(rows.select(F.col("doc_id").alias(other_id), F.col("text_sha256").alias(other_sha)), BROADCAST_ROWS)
-        text = fold(F.coalesce(docs["text"].cast("string"), F.lit("")))
-        return docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(F.col(other_id)) & (F.sha2(text, 256) == F.col(other_sha)), how)
+    def among(rows: DataFrame, of: DataFrame, how: str) -> DataFrame:
+        rows = rows.select(F.col("doc_id").alias(other_id), F.col("text_sha256").alias(other_sha))
+        return of.join(rows, own_id.eqNullSafe(F.col(other_id)) & (F.sha2(folded, 256) == F.col(other_sha)), how)
 
-    left = among(found, "left_anti")
-    repeated = found.where(same_id)
+    # only what the filter doesn't clear is dealt out
+    may = own_id.isNull() | may_be_among(own_id, found.select("doc_id"))
+    left = docs.where(~may).unionByName(among(found, docs.where(may), "left_anti"))
+    repeated = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     if repeated.limit(1).count():
-        again = among(repeated, "left_semi")
-        name = unused(docs.columns, "folded")
-        left = left.unionByName(again.withColumn(name, fold(F.coalesce(again["text"].cast("string"), F.lit("")))).dropDuplicates(["doc_id", name]).drop(name))
+        again = among(repeated, docs.where(may), "left_semi").withColumn(name, folded)
+        left = left.unionByName(again.dropDuplicates(["doc_id", name]).drop(name))
     return left
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haploweave.llm._io import as_bytes, broadcast_if_small, materialize, pieces, table, unused
+from haploweave.llm._io import as_bytes, materialize, may_be_among, mixed, pieces, table, unused
 from haploweave.llm.components import components
 
 DISTANCE, SEGMENTS = 4, 5
@@ -225,8 +225,6 @@ def op8_simhash(spark, sf_dir):
 SAMPLE, COMMON = 1 << 13, 1 << 16
 #: Sets that one cell of a shingle compares among themselves, about.
 SETS = 1 << 13
-#: Identifiers that are broadcast to filter documents, at most: 8 bytes each.
-BROADCAST_IDS = 1 << 20
 
 
 def _similar(k: int, similarity: float):
@@ -243,12 +241,6 @@ def _similar(k: int, similarity: float):
     return check
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """Hashes, sorted, of a text's word k-shingles; of the whole sequence, if it has fewer words."""
     words = text.lower().split()
@@ -256,8 +248,8 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     n = max(1, len(words) - k + 1) if words else 0
     total = np.full(n, min(k, len(words)), np.uint64)
     for i in range(min(k, len(words))):
-        total = _mixed(total) + hashes[i : i + n]
-    return np.unique(_mixed(total))
+        total = mixed(total) + hashes[i : i + n]
+    return np.unique(mixed(total))
 
 
 def parities(shingles: np.ndarray, width: int) -> np.ndarray:
@@ -455,4 +447,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     found = components(near_duplicate_links(docs, **options))
     name = unused(docs.columns, "gone")
     gone = materialize(found.where("node != root").select(F.col("node").alias(name)), "near-gone")
-    return docs.join(broadcast_if_small(gone, BROADCAST_IDS), docs["doc_id"].cast("long") == F.col(name), "left_anti")
+    own = docs["doc_id"].cast("long")
+    may = F.coalesce(may_be_among(own, gone), F.lit(False))
+    suspects = docs.where(may).join(gone, own == F.col(name), "left_anti")
+    return docs.where(~may).unionByName(suspects)
