@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haploweave.llm._io import as_bytes, materialize, may_be_among, mixed, pieces, table, unused
+from haploweave.llm._io import Filter, as_bytes, materialize, may_be_among, mixed, pieces, table, unused
 from haploweave.llm.components import components
 
 DISTANCE, SEGMENTS = 4, 5
@@ -221,8 +221,8 @@ def op8_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-#: Documents whose shingles are counted to tell common ones, about, and how many of these are kept; both only set the order of search.
-SAMPLE, COMMON = 1 << 13, 1 << 16
+#: One document of so many tells which shingles are common; this only sets the order of search.
+SAMPLED = 8
 #: Sets that one cell of a shingle compares among themselves, about.
 SETS = 1 << 13
 
@@ -277,22 +277,30 @@ def _close(similarity: float):
     return close
 
 
-def _alone(batches):
-    """The rows of a stream sorted by its first column whose value there is not the only one."""
-    last, shared = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if last is not None:
-            now = [np.concatenate(x) for x in zip(last, now, strict=True)]
-        same = now[0][1:] == now[0][:-1]
-        on = np.concatenate(([shared and last is not None], same)) | np.concatenate((same, [False]))
-        last, shared = [x[-1:] for x in now], bool(on[-1])
-        on[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in now], names=batch.schema.names)
-    if last is not None and shared:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=batch.schema.names)
+def _shared(names: list[str]):
+    """The rows of a stream sorted by its first column whose value there is not the only one, with ``at``: the how manieth of its value a row is."""
+
+    def share(batches):
+        last, place = None, 0  # the row before, and its place among its value's
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if last is not None:
+                now = [np.concatenate(x) for x in zip(last, now, strict=True)]
+            same = now[0][1:] == now[0][:-1]
+            starts = np.flatnonzero(np.concatenate(([True], ~same)))
+            at = np.arange(len(now[0])) - np.repeat(starts, np.diff(np.concatenate((starts, [len(now[0])]))))
+            if last is not None:
+                at[: starts[1] if len(starts) > 1 else len(at)] += place
+            on = (at > 0) | np.concatenate((same, [False]))
+            last, place = [x[-1:] for x in now], int(at[-1])
+            on[-1] = False  # comes with the next batch
+            yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (*now, at)], names=[*names, "at"])
+        if last is not None and place:
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in last), pa.array(np.array([place]))], names=[*names, "at"])
+
+    return share
 
 
 def _meet(similarity: float, low: int, high: int):
@@ -326,8 +334,17 @@ def _meet(similarity: float, low: int, high: int):
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+    seen: set[tuple[int, int]] = set()
+
+    def fresh(found: pa.RecordBatch) -> pa.RecordBatch:
+        """Without pairs that this task has returned: sets that are alike share many keys."""
+        if len(seen) > 500_000:
+            seen.clear()
+        new = [i for i, p in enumerate(zip(*(c.to_pylist() for c in found.columns), strict=True)) if p not in seen and not seen.add(p)]
+        return found.take(pa.array(new, pa.int64()))
+
     def meet(batches):
-        held, rows = [], 0
+        held = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -338,29 +355,30 @@ def _meet(similarity: float, low: int, high: int):
             if cut or (held and (held[0][0][0], held[0][1][0]) != (now[0][0], now[1][0])):
                 done = [np.concatenate(x) for x in zip(*held, [c[:cut] for c in now], strict=True)]
                 if len(done[0]):
-                    yield met(*done)
+                    yield fresh(met(*done))
                 held = []
             held.append([c[cut:] for c in now])
         if held:
-            yield met(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield fresh(met(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
     return meet
 
 
-def _common(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, sorted, that several documents of a sample have, and how many have them."""
-    share = max(1, docs.count() // SAMPLE)
+def _common(docs: DataFrame, k: int) -> Filter:
+    """A filter over shingles that several documents of a sample have."""
 
     def each(batches):
         for batch in pieces(batches):
-            for x in as_bytes(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x, k).view(np.int64))], names=["key"])
+            found = [shingle_set(x, k) for x in as_bytes(batch.column("text"))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
 
-    counts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(each, "key long").groupBy("key").count()
-    found = counts.where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).collect()
-    keys, n = np.array([r["key"] for r in found], np.int64).view(np.uint64), np.array([r["count"] for r in found], np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+    def hashes(batches):
+        for batch in batches:
+            yield np.unique(batch.column(0).to_numpy()).view(np.uint64)
+
+    keys = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(each, "key long")
+    return Filter.gather(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(["key"]), "key long, at long"), hashes, bits=26)
 
 
 def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, cell: int = SETS) -> DataFrame:
@@ -368,14 +386,16 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, c
 
     The search is exact. Equal sets are searched as one. Two sets that similar share
     one of the first n - similarity * n + 1 shingles of each, in any order common to
-    all; here rare ones come first, as a sample counts them. Sets that share such a
-    shingle meet in rounds, ever further apart in its list, unless links verified
-    before have connected them; every pair that passes the filters of ``_meet`` and ``_close`` is
-    checked on whole texts. The rounds end when no list is longer or holds two
-    components. A crowded list is dealt to cells, one for each pair of its blocks.
+    all; here those that a sample finds common come last, so that a passage which
+    many texts share brings no two of them together that share little else. Sets
+    that share such a shingle meet in rounds, ever further apart in its list, unless
+    links verified before have connected them; every pair that passes the filters of
+    ``_meet`` and ``_close`` is checked on whole texts. The rounds end when no list
+    is longer or holds two components. A crowded list is dealt to cells, one for
+    each pair of its blocks.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    common, often = _common(docs, k)
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, k))  # of fixed size
 
     def mark(batches):
         for batch in pieces(batches):
@@ -385,10 +405,8 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, c
                 n = len(u)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(u.tobytes()), np.int64)
                 sketch, wide = parities(u, 512).view(np.int64), parities(u, 1 << max(6, (4 * n).bit_length())).tobytes()
-                if len(common) and n:
-                    at = np.minimum(np.searchsorted(common, u), len(common) - 1)
-                    u = u[np.lexsort((u, np.where(common[at] == u, often[at], 0)))]
-                first = u[: n - int(np.ceil(similarity * n - 1e-6)) + 1] if n else u
+                known = common.value.hold(u)
+                first = np.concatenate([u[~known], u[known]])[: n - int(np.ceil(similarity * n - 1e-6)) + 1] if n else u
                 rows.append((n, int(digest[0]), int(digest[1]), first.view(np.int64), sketch, wide))
             n, d0, d1, first, sketch, wide = zip(*rows, strict=True)
             longs = pa.list_(pa.int64())
@@ -398,43 +416,56 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, c
     names = sets.groupBy("d0", "d1").agg(F.min("doc_id").alias("name"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     same = materialize(sets.select("doc_id", "d0", "d1").join(names, ["d0", "d1"]).where("doc_id != name").distinct(), "near-same")
     links = same.select(F.col("name").alias("a"), F.col("doc_id").alias("b"))
-    sets = sets.join(broadcast_if_small(same.drop("name"), BROADCAST_IDS), ["doc_id", "d0", "d1"], "left_anti")
-    rows = sets.select(F.posexplode("first").alias("pos", "key"), "doc_id", "n").select("key", "doc_id", F.col("pos").cast("long"), "n")
-    rows = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_alone, "key long, doc_id long, pos long, n long"), "near-rows")
+
+    def of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+        """The rows of some identifiers; what a filter rules out isn't dealt out."""
+        return rows.where(may_be_among(F.col("doc_id"), ids)).join(ids, "doc_id", "left_semi")
+
+    firsts, gone = sets.select("doc_id", "d0", "d1", "n", "first"), may_be_among(F.col("doc_id"), same.select("doc_id"))
+    firsts = firsts.where(~gone).unionByName(firsts.where(gone).join(same.drop("name"), ["doc_id", "d0", "d1"], "left_anti"))
+    rows = firsts.select(F.posexplode("first").alias("pos", "key"), "doc_id", "n").select("key", "doc_id", F.col("pos").cast("long"), "n")
+    rows = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(["key", "doc_id", "pos", "n"]), "key long, doc_id long, pos long, n long, at long"), "near-rows")
     # sketches are only dealt of sets that share something
     some = materialize(rows.select("doc_id").distinct(), "near-some")
-    sketches = sets.join(broadcast_if_small(some, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", *(F.col("sketch")[i].alias(f"s{i}") for i in range(8)))
+    sketches = of(sets, some).select("doc_id", *(F.col("sketch")[i].alias(f"s{i}") for i in range(8)))
     sketches = materialize(sketches, "near-sketches")
+    # each set is a component of its own at first, and every list holds several
+    now, widest = rows.drop("at").withColumn("comp", F.col("doc_id")), (rows.agg(F.max("at")).first()[0] or 0) + 1
+    crowded = rows.groupBy("key").agg((F.max("at") + 1).alias("size")) if widest > cell else None
     low, high = 1, 2
-    while True:
-        found = components(links).toDF("doc_id", "root")
-        now = materialize(rows.join(found, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root"), "near-now")
-        lists = now.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key", "size")
-        lists = materialize(lists, "near-lists")
-        widest = lists.agg(F.max("size")).first()[0] or 0
-        if widest <= low:
-            return links
-        now = now.join(lists, "key").withColumn("blocks", F.ceil(2 * F.col("size") / cell)).join(sketches, "doc_id")
+    while widest > low:
+        met = now.join(sketches, "doc_id")
         if widest > cell:
-            now = now.withColumn("own", F.when(F.col("size") > cell, F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).otherwise(0))
-            now = now.withColumn("other", F.explode(F.expr(f"sequence(0L, if(size > {cell}, blocks - 1, 0L))")))
-            now = now.withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+            large = materialize(crowded.where(F.col("size") > cell).select("key", F.ceil(2 * F.col("size") / cell).alias("blocks")), "near-crowded")
+            met = met.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+            met = met.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+            met = met.withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
         else:
-            now = now.withColumn("cell", F.lit(0).cast("long"))
-        now = now.select("key", "cell", "doc_id", "pos", "n", "comp", *(f"s{i}" for i in range(8))).repartition("key", "cell")
+            met = met.withColumn("cell", F.lit(0).cast("long"))
+        met = met.select("key", "cell", "doc_id", "pos", "n", "comp", *(f"s{i}" for i in range(8))).repartition("key", "cell")
         # the same order in every round, of a document's repeated rows too
-        now = now.sortWithinPartitions("key", "cell", "doc_id", "pos", "n", "s0", "s1")
-        pairs = materialize(now.mapInArrow(_meet(similarity, low, high), "a long, b long").distinct(), "near-met")
+        met = met.sortWithinPartitions("key", "cell", "doc_id", "pos", "n", "s0", "s1")
+        pairs = materialize(met.mapInArrow(_meet(similarity, low, high), "a long, b long").distinct(), "near-met")
         ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-        wide = sets.select("doc_id", "n", "wide").join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi")
+        wide = of(sets.select("doc_id", "n", "wide"), ids)
         pairs = pairs.join(wide.toDF("a", "n", "wide"), "a").join(wide.toDF("b", "m", "other"), "b").select("a", "b", "n", "m", "wide", "other")
         pairs = materialize(pairs.mapInArrow(_close(similarity), "a long, b long").distinct(), "near-pairs")
         # only the texts of candidates are dealt by identifier
         ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-        held = docs.join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi")
+        held = of(docs, ids)
         texts = pairs.join(held.toDF("a", "a_text"), "a").join(held.toDF("b", "b_text"), "b")
         links = links.unionAll(materialize(texts.mapInArrow(_similar(k, similarity), "a long, b long"), "near-links"))
         low, high = high, high * 64
+        if widest <= low:
+            break
+        # lists that links have made one component go, and need not be looked at again
+        found = components(links).toDF("doc_id", "root")
+        now = now.drop("comp").join(found, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
+        lists = now.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+        crowded = materialize(lists.where(F.col("size") > low).select("key", "size"), "near-lists")
+        now = materialize(now.join(crowded.select("key"), "key", "left_semi"), "near-now")
+        widest = crowded.agg(F.max("size")).first()[0] or 0
+    return links
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
