@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -25,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a folder of our own only where none is named."""
+    """The folder all executors share, as the cluster names it. Where none is named: a folder of our own, if there is but one machine, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own.setdefault("dir", f"file://{tempfile.gettempdir()}/haploweave")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='haploweave-')}")
     return f"{base.rstrip('/')}/haploweave-{spark.sparkContext.applicationId}"
 
 
@@ -60,6 +64,14 @@ def pieces(batches, text: str = "text"):
             held += n
         if batch.num_rows > start:
             yield batch.slice(start)
+    release()
+
+
+def release() -> None:
+    """Give the memory that a task has freed back to the system: a worker stays for the tasks that follow, beside the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

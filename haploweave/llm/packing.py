@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haploweave.llm._io import materialize, pieces, table
+from haploweave.llm._io import as_bytes, materialize, pieces, release, table
 
 SEQUENCE = 2048
 #: Parts of texts whose ids a worker keeps at most, and the longest it keeps.
-KEPT_PARTS, KEPT_CHARS = 600_000, 64
+KEPT_PARTS, KEPT_CHARS = 300_000, 64
 #: Pieces that share a salt, within which ranks are counted.
 SALT_ROWS = 1 << 17
 #: (groups, large lengths are over one n-th of a sequence, room a configuration may leave once actual lengths are in): the best plan is taken.
@@ -117,7 +117,8 @@ def word_ids(path: str | None) -> WordIds:
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUENCE, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, salt, rank (and ids) of every document's pieces.
 
-    A document is its ids and then ``end_id``; only longer ones are cut. ``rank``
+    A document is its ids and then ``end_id``; only longer ones are cut. Bytes that
+    aren't UTF-8 count as the replacement character. ``rank``
     counts the pieces of equal length and salt. ``tokenizer``: the path of a
     vocabulary file of ``tokenizers`` on the executors; None: word_bpe_49k.json of
     the public tokenizers.
@@ -132,7 +133,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         last = np.array([end_id], "<u4").tobytes()
         for batch in pieces(batches):
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of([x or "" for x in batch.column("text").to_pylist()]), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of([x.decode("utf-8", "replace") for x in as_bytes(batch.column("text"))]), strict=True):
                 ids += last
                 for piece, at in enumerate(range(0, len(ids), size)):
                     part = ids[at : at + size]
@@ -145,6 +146,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt", "rank", "ids"])
         ids_of.known = {}  # an idle worker holds no more than the vocabulary
+        release()
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, rank long, ids binary")
