@@ -1,36 +1,57 @@
 """Token counts of a unigram model, by dynamic programming that shares prefixes.
 
-The distinct pre-tokens of a batch are walked as a trie, in order: a pre-token
-keeps the forward scores of the prefix that it shares with the one before, and
-only the scores of its own characters are made. What a terminal holds, its token
-count and score, is kept for the batches that follow.
+Scores are those of a unigram model made of a public vocabulary: the file gives an
+order of pieces, not probabilities, so a piece's probability is taken to fall with
+its rank after Zipf.
+
+The distinct pre-tokens of a batch are inserted in a trie. Forward scores (the best
+score of a segmentation, and its tokens) belong to the trie's nodes, so a prefix
+that pre-tokens share is scored once; the pieces that end at a node are found by
+walking its ancestors and a trie of reversed pieces at once. All nodes of a depth
+are scored together. A terminal node's token count and score are kept by
+pre-token for the batches that follow.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haploweave.llm._io import as_bytes, chunks, pieces, table
+from haploweave.llm._io import as_bytes, chunks, pieces, release, table
 
 #: Marks the start of a pre-token in the vocabulary.
 START = "▁"
 #: Terminals that a worker keeps at most, and the longest it keeps.
-KEPT, KEPT_CHARS = 500_000, 48
+KEPT, KEPT_CHARS = 400_000, 48
 #: Added to a piece's rank; its probability falls with the sum, after Zipf.
 SHIFT = 2.7
+#: Pre-tokens that are inserted in one trie, and the longest: others are scored by themselves.
+TRIE_WORDS, TRIE_CHARS = 1 << 14, 96
 
 
 class Unigram:
-    """Piece scores, and what prunes the search for pieces."""
+    """Piece scores, and a trie of reversed pieces."""
 
     def __init__(self, scores: dict[str, float], byte_score: float):
         self.scores, self.byte_score = scores, byte_score
-        self.endings = {p[i:] for p in scores for i in range(len(p))}
-        self.longest = max(map(len, scores), default=1)
+        steps: dict[tuple[int, int], int] = {}
+        ends = [-np.inf]
+        for piece, score in scores.items():
+            state = 0
+            for c in reversed(piece):
+                if (to := steps.get((state, ord(c)))) is None:
+                    to = steps[state, ord(c)] = len(ends)
+                    ends.append(-np.inf)
+                state = to
+            ends[state] = score
+        order = sorted(steps)
+        self.keys = np.array([s << 21 | c for s, c in order], np.int64)
+        self.to = np.array([steps[k] for k in order], np.int64)
+        self.ends = np.array(ends)
 
     @classmethod
     def from_file(cls, path: str) -> Unigram:
@@ -42,31 +63,79 @@ class Unigram:
         total = sum(1 / (i + SHIFT) for i in range(len(pieces_)))
         return cls({p: -math.log((i + SHIFT) * total) for i, p in enumerate(pieces_)}, -math.log((len(pieces_) + SHIFT) * total) - 5)
 
-    def walk(self, words: list[str]):
-        """(word, tokens, score) of each of the sorted ``words``, by the best segmentation; of equal scores the one of fewer tokens."""
-        scores, endings, low = self.scores, self.endings, self.byte_score
-        best, count, last = [0.0], [0], ""
-        for word in words:
-            shared, most = 0, min(len(word), len(last))
-            while shared < most and word[shared] == last[shared]:
-                shared += 1
-            del best[shared + 1 :], count[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                n = len(word[i - 1].encode("utf-8", "replace"))
-                top, tokens = best[i - 1] + low * n, count[i - 1] + n
-                for at in range(i - 1, max(-1, i - self.longest - 1), -1):
-                    piece = word[at:i]
-                    if piece not in endings:
-                        break
-                    s = scores.get(piece)
-                    if s is not None:
-                        s += best[at]
-                        if s > top or (s == top and count[at] + 1 < tokens):
-                            top, tokens = s, count[at] + 1
-                best.append(top)
-                count.append(tokens)
-            last = word
-            yield word, count[-1], best[-1]
+    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The states of the reversed pieces' trie after one character more; -1 where no piece goes on so."""
+        if not len(self.keys):
+            return np.full(len(state), -1)
+        key = state << 21 | char
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
+    def count(self, words: list[str]) -> list[tuple[int, float]]:
+        """(tokens, score) of each of the sorted, distinct ``words``, by the best segmentation; of equal scores the one of fewer tokens."""
+        trie = Trie(words)
+        trie.score(self)
+        return [(int(trie.tokens[t]), float(trie.best[t])) for t in trie.terminals]
+
+    def count_long(self, word: str) -> tuple[int, float]:
+        """The same for one word of any length, whose trie is a path."""
+        longest = max(map(len, self.scores), default=1)
+        ways = [(0.0, 0)]
+        for i in range(1, len(word) + 1):
+            n = len(word[i - 1].encode("utf-8", "surrogateescape"))
+            best = (ways[max(0, len(ways) - 1)][0] + self.byte_score * n, -(-ways[-1][1] + n))
+            for size in range(1, min(i, longest) + 1):
+                if (s := self.scores.get(word[i - size : i])) is not None:
+                    best = max(best, (s + ways[-size][0], ways[-size][1] - 1))
+            ways = [*ways[-longest:], best]
+        return -ways[-1][1], ways[-1][0]
+
+
+class Trie:
+    """Nodes of the prefixes of sorted words, by depth: parent and character, and after scoring the best score and its tokens."""
+
+    def __init__(self, words: list[str]):
+        lengths = np.array([len(w) for w in words], np.int64)
+        depth = int(lengths.max(initial=0))
+        chars = np.zeros((len(words), max(depth, 1)), np.int64)
+        for i, w in enumerate(words):
+            chars[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), "<u4")
+        same = chars[1:] == chars[:-1]
+        shared = np.concatenate(([0], np.where(same.all(1), chars.shape[1], same.argmin(1)))) if len(words) > 1 else np.zeros(len(words), np.int64)
+        shared = np.minimum(shared, np.minimum(lengths, np.concatenate(([0], lengths[:-1])))) if len(words) else shared
+        self.terminals = np.zeros(len(words), np.int64)
+        node = np.zeros(len(words), np.int64)  # of each word, at the depth so far
+        parents, letters, self.levels, size = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [], 1
+        for d in range(1, depth + 1):
+            here = np.flatnonzero(lengths >= d)
+            new = shared[here] < d  # the first word that has the prefix brings the node
+            parents.append(node[here[new]])
+            letters.append(chars[here[new], d - 1])
+            node[here] = size + np.cumsum(new) - 1
+            self.levels.append((size, size + int(new.sum())))
+            size += int(new.sum())
+            ended = here[lengths[here] == d]
+            self.terminals[ended] = node[ended]
+        self.parent, self.char = np.concatenate(parents), np.concatenate(letters)
+        self.best, self.tokens = np.zeros(size), np.zeros(size, np.int64)
+
+    def score(self, model: Unigram) -> None:
+        for low, high in self.levels:
+            before, char = self.parent[low:high], self.char[low:high]
+            # a byte that isn't UTF-8 is one byte
+            n = 1 + (char >= 0x80) * ~((char >= 0xDC80) & (char <= 0xDCFF)) + ((char >= 0x800) & ~((char >= 0xDC80) & (char <= 0xDCFF))) + (char >= 0x10000)
+            best, tokens = self.best[before] + model.byte_score * n, self.tokens[before] + n
+            at, state = np.arange(high - low), np.zeros(high - low, np.int64)
+            while len(at):
+                state = model.step(state, char)
+                on = state >= 0
+                at, state, before = at[on], state[on], before[on]
+                score, count = model.ends[state] + self.best[before], self.tokens[before] + 1
+                better = (score > best[at]) | ((score == best[at]) & (count < tokens[at]))
+                best[at[better]], tokens[at[better]] = score[better], count[better]
+                on = before > 0  # on to the next ancestor, short of the root
+                at, state, char, before = at[on], state[on], self.char[before[on]], self.parent[before[on]]
+            self.best[low:high], self.tokens[low:high] = best, tokens
 
 
 class Counter:
@@ -74,26 +143,30 @@ class Counter:
 
     def __init__(self, path: str):
         self.model = Unigram.from_file(path)
-        self.tokens: dict[bytes, int] = {}
-        self.scores: dict[bytes, float] = {}
+        self.known: dict[bytes, tuple[int, float]] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        fresh = words - self.tokens.keys()
-        if len(self.tokens) + len(fresh) > KEPT:
-            self.tokens, self.scores, fresh = {}, {}, words
-        names = {START + w.decode("utf-8", "replace"): w for w in fresh}
-        for name, n, s in self.model.walk(sorted(names)):
-            self.tokens[names[name]], self.scores[names[name]] = n, s
+        fresh = words - self.known.keys()
+        if len(self.known) + len(fresh) > KEPT:
+            self.known, fresh = {}, words
+        names = sorted((START + w.decode("utf-8", "surrogateescape"), w) for w in fresh)  # one name for each, invalid bytes too
+        short = [x for x in names if len(x[0]) <= TRIE_CHARS]
+        for i in range(0, len(short), TRIE_WORDS):
+            part = short[i : i + TRIE_WORDS]
+            self.known.update(zip([w for _, w in part], self.model.count([name for name, _ in part]), strict=True))
+        self.known.update((w, self.model.count_long(name)) for name, w in names if len(name) > TRIE_CHARS)
 
     def __call__(self, texts: list[bytes]) -> list[tuple[int, int, float]]:
         """(pre-tokens, tokens, score) of each text."""
         split = [[part.split() for _, part in chunks(text)] for text in texts]
         words = set().union(*(ws for parts in split for ws in parts))
         self.learn(words)
-        n, s = self.tokens.__getitem__, self.scores.__getitem__
-        rows = [(sum(map(len, parts)), sum(sum(map(n, ws)) for ws in parts), math.fsum(sum(map(s, ws)) for ws in parts)) for parts in split]
+        known, rows = self.known, []
+        for parts in split:
+            own = [[known[w] for w in ws] for ws in parts]
+            rows.append((sum(map(len, own)), sum(n for ws in own for n, _ in ws), math.fsum(s for ws in own for _, s in ws)))
         for w in [w for w in words if len(w) > KEPT_CHARS]:
-            del self.tokens[w], self.scores[w]
+            del known[w]
         return rows
 
 
@@ -116,9 +189,10 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     Pre-tokens are the words of a text after the mark of a start. ``vocabulary``:
     the path of a sentencepiece file on the executors; None: piece_bpe_32k.model of
-    the public tokenizers. Null and empty texts and white space have 0 of each.
-    Repeated rows are counted each, null identifiers too. Other columns are not
-    read. An empty table gives an empty result.
+    the public tokenizers. Null and empty texts and white space have 0 of each. A
+    byte that isn't UTF-8 is a character, and one token. Repeated rows are counted
+    each, null identifiers too. Other columns are not read. An empty table gives an
+    empty result.
     """
 
     def count(batches):
@@ -126,7 +200,8 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in pieces(batches):
             columns = zip(*count_texts(as_bytes(batch.column("text"))), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True))], names=["doc_id", "n_pretokens", "n_tokens", "log_score"])
-        count_texts.tokens, count_texts.scores = {}, {}  # an idle worker holds no more than the vocabulary
+        count_texts.known = {}  # an idle worker holds no more than the vocabulary
+        release()
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(count, "doc_id long, n_pretokens long, n_tokens long, log_score double")
