@@ -9,7 +9,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,10 +149,12 @@ def may_be_among(column, ids: DataFrame):
     """
     shared = ids.sparkSession.sparkContext.broadcast(Filter.gather(ids, _identifiers, bits=26))
 
-    def probe(values: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.hold(mixed(values.fillna(0).to_numpy().astype(np.int64).view(np.uint64))))
+    def probe(values: pa.Array) -> pa.Array:
+        return pa.array(shared.value.hold(mixed(values.to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    return F.pandas_udf(probe, "boolean")(F.coalesce(column, F.lit(0)))
+    # Spark takes the kind of function from its annotations, which this module's are not when it runs
+    probe.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(probe, "boolean")(F.coalesce(column, F.lit(0).cast("long")))
 
 
 def chunks(text: bytes, size: int = 1 << 20):

@@ -374,11 +374,11 @@ def _common(docs: DataFrame, k: int) -> Filter:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
 
     def hashes(batches):
-        for batch in batches:
+        for batch in _shared(["key"])(batches):
             yield np.unique(batch.column(0).to_numpy()).view(np.uint64)
 
     keys = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(each, "key long")
-    return Filter.gather(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(["key"]), "key long, at long"), hashes, bits=26)
+    return Filter.gather(keys.repartition("key").sortWithinPartitions("key"), hashes, bits=26)
 
 
 def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, cell: int = SETS) -> DataFrame:
