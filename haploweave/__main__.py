@@ -1,4 +1,4 @@
-"""python -m haploweave correlate | combine | split | score: the programs on the command line."""
+"""python -m haploweave correlate | combine | split | score | consensus: the programs on the command line."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from haploweave import schemas
 from haploweave.operators import blocks, edges, penalty
 from haploweave.plans import flows
 from haploweave.sources import sinks, text
@@ -41,8 +42,17 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("-l", "--length", type=int, required=True)
     q.add_argument("-v", "--variants", type=int, help="most sites of a chunk; none: no chunks")
     q.add_argument("--penalty", help="file of the penalty, for chi and constant")
-    q.add_argument("-s", "--start", type=int, default=0)
-    q.add_argument("-e", "--end", type=int)
+    q.add_argument("-s", "--start", type=int, default=0, help="first position of a chunk")
+    q.add_argument("-e", "--end", type=int, help="last position at which the chunk's blocks begin; none: all")
+    q.add_argument("-b", "--buffer", type=int, help="last position at which they end")
+    q.add_argument("-f", "--final", action="store_true", help="the last chunk to be scored: write the blocks")
+    q.add_argument("--resume", help="output folder of the chunk to the right")
+    q.add_argument("--sites", help="file of all sites, as split writes it")
+    q.add_argument("--degree", help="file of normalised degrees, as split writes it")
+    q = add("consensus", "blocks of several populations to common intervals")
+    q.add_argument("-b", "--buffer", type=float, required=True)
+    q.add_argument("-w", "--width", type=int, default=100_000, help="about the length of a block")
+    q.add_argument("--no-repair", action="store_true", help="leave blocks that overlap several intervals")
     return p
 
 
@@ -50,33 +60,46 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("haploweave").getOrCreate()
     if a.todo == "correlate":
-        graph, removed, value = flows.correlate(spark, a.input, a.length, a.group, a.map, a.size, a.maf, a.r2, a.phased)
-        flows.write_correlations(graph, value, a.output, compat=a.compat)
-        removed.write.parquet(f"{a.output}/removed.parquet")
+        made = flows.correlate(spark, a.input, a.length, a.group, a.map, a.size, a.maf, a.r2, a.phased)
+        flows.write_correlations(made.graph, made.penalty, a.output, compat=a.compat)
+        made.removed.write.parquet(f"{a.output}/removed.parquet")
+        seen = made.seen.get
+        if seen["n_bad"]:
+            print(f"left out {seen['n_bad']} of {seen['n_pairs']} correlations that can't be right, such as {seen['bad_pair']}", file=sys.stderr)
         return 0
     if a.todo == "combine":
-        graph = edges.combine([flows.read_graph(spark, p) for p in text.paths_of(a.input)])
-        sinks.write_by_left_end(graph, f"{a.output}/edges.parquet", 96)
+        graphs = [flows.read_graph(spark, p) for p in text.paths_of(a.input)]
+        by = ["chrom"] if all("chrom" in g.columns for g in graphs) else []
+        sinks.write_by_left_end(edges.combine(graphs, by), f"{a.output}/edges.parquet", 96, by)
+        return 0
+    if a.todo == "consensus":
+        names = [p.partition("=") for p in text.paths_of(a.input)]
+        sets = {name if path else str(k): path or name for k, (name, _, path) in enumerate(names)}
+        sinks.write_intervals(flows.agree(spark, sets, a.buffer, a.width, not a.no_repair), f"{a.output}/consensus.txt")
         return 0
     graph = flows.read_graph(spark, a.input)
+    by = flows.keys_of(graph)
     if a.todo == "split":
         line, chunks = flows.split(graph, a.length, a.variants)
-        sinks.write_positions(line, f"{a.output}/sites.txt")
-        sinks.write_chunks(chunks, f"{a.output}/chunks.txt")
+        sinks.write_positions(line, f"{a.output}/sites.txt", by)
+        sinks.write_chunks(chunks, f"{a.output}/chunks.txt", by)
         if a.model == "modularity":
-            sinks.write_degree(flows.null_model(graph, a.model), f"{a.output}/degree.txt", a.compat)
-            sinks.write_value(edges.total_weight(graph), f"{a.output}/total_weight.txt", "m", a.compat)
+            sinks.write_degree(flows.null_model(graph, a.model), f"{a.output}/degree.txt", a.compat, by)
+            sinks.write_value(edges.total_weight(graph, by), f"{a.output}/total_weight.txt", "m", a.compat, by)
         elif a.model == "background":
-            sinks.write_value(flows.null_model(graph, a.model), f"{a.output}/penalty.txt", "penalty", a.compat)
+            sinks.write_value(flows.null_model(graph, a.model), f"{a.output}/penalty.txt", "penalty", a.compat, by)
         return 0
-    if a.start or a.end is not None:
-        graph = edges.subset(graph, a.start, a.end if a.end is not None else 2**32 - 1)
-    value = text.read_value(spark, a.penalty) if a.penalty else None
-    dp = flows.score(graph, a.model, a.length, value, a.variants).cache()
-    sinks.write_optimum(dp, f"{a.output}/opt_scores.txt", f"{a.output}/opt_breaks.txt", a.compat)
-    sinks.write_value(blocks.best_total(dp), f"{a.output}/score.txt", "opt", a.compat)
-    sinks.write_blocks(blocks.blocks(dp), f"{a.output}/blocks.txt")
-    blocks.summary(blocks.blocks(dp)).show(truncate=False)
+    last = a.buffer if a.buffer is not None else a.end
+    dp = flows.score(
+        graph, a.model, a.length, text.read_value(spark, a.penalty) if a.penalty else None, a.variants,
+        sites=text.read_positions(spark, a.sites, by) if a.sites else None, degree=text.read_degree(spark, a.degree, a.start, schemas.MAX_POSITION if last is None else last, by) if a.degree else None,
+        start=a.start, end=a.end, buffer=a.buffer, earlier=text.read_optimum(spark, f"{a.resume}/opt_scores.txt", f"{a.resume}/opt_breaks.txt", by) if a.resume else None,
+    )
+    sinks.write_optimum(dp, f"{a.output}/opt_scores.txt", f"{a.output}/opt_breaks.txt", a.compat, by)
+    if a.final or last is None:
+        sinks.write_value(blocks.best_total(dp, by), f"{a.output}/score.txt", "opt", a.compat, by)
+        sinks.write_blocks(blocks.blocks(dp, by), f"{a.output}/blocks.txt", by)
+        blocks.summary(blocks.blocks(dp, by), by).show(truncate=False)
     dp.unpersist()
     return 0
 

@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from haploweave.operators.penalty import Penalty
-from haploweave.operators.ranges import neighbours, range_join, within
+from haploweave.operators.ranges import neighbours, range_join, ranked, running_max, within
 
 
 def chromosome(positions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Distinct positions with ``idx``, their rank from 0."""
     extra = [c for c in positions.columns if c not in (*by, "pos")]
     once = positions.groupBy(*by, "pos").agg(*(F.first(c, True).alias(c) for c in extra)) if extra else positions.select(*by, "pos").distinct()
-    return once.withColumn("idx", (F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1).cast("long"))
+    return ranked(once, "pos", by)
 
 
 def extent(chrom: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -28,7 +28,7 @@ def extent(chrom: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def weights(chrom: DataFrame, edges: DataFrame, penalty: Penalty, longest: int, by: Sequence[str] = ()) -> DataFrame:
     """(i, j, pos_i, pos_j, w) of all pairs of sites i <= j within ``longest``: the edge's weight, or 0, less the penalty."""
-    extra = [c for c in chrom.columns if c == "k_norm"]
+    extra = [c for c in chrom.columns if c in ("k_norm", "penalty")]
     left = chrom.select(*by, F.col("pos").alias("pos_i"), F.col("idx").alias("i"), *(F.col(c).alias(f"i_{c}") for c in extra))
     right = chrom.select(*by, F.col("pos").alias("pos_j"), F.col("idx").alias("j"), *(F.col(c).alias(f"j_{c}") for c in extra))
     grid = range_join(left, right, "pos_i", "pos_j", longest, by)
@@ -47,30 +47,37 @@ def window_scores(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def chunks(chrom: DataFrame, longest: int, most: int, by: Sequence[str] = ()) -> DataFrame:
     """(start_bp, end_bp, buffer_end_bp): from left to right, chunks of at most ``most`` sites with a buffer of ``longest``.
 
-    Each site's chunk, should one begin there, comes from window functions; one
-    fold over the sites then follows the chain. A chunk that would end before it
-    starts (too few sites for the longest block) is an error.
+    Each site's chunk, should one begin there, comes from joins; then a chromosome's
+    sites pass by in order, of which only the next chunk's start is kept. A chunk
+    that would end before it starts (too few sites for the longest block) is an error.
     """
     near = neighbours(chrom, longest, by)
-    last = F.max("idx").over(Window.partitionBy(*by))
-    reach = F.least(F.col("idx") + most - 1, last)
-    near = near.withColumn("_last", last).withColumn("_reach", reach)
+    ends = chrom.groupBy(*by).agg(F.max("idx").alias("_last"))
+    near = near.join(ends, list(by)) if by else near.crossJoin(F.broadcast(ends))  # one row
+    near = near.withColumn("_reach", F.least(F.col("idx") + most - 1, F.col("_last")))
     at = near.select(*by, F.col("idx").alias("_reach"), F.col("left_idx").alias("_back"))
     ends = near.join(at, [*by, "_reach"]).withColumn("_end", F.when(F.col("_reach") == F.col("_last"), F.col("_last")).otherwise(F.col("_back")))
     there = near.select(*by, F.col("idx").alias("_end"), F.col("pos").alias("end_bp"), F.col("right_pos").alias("buffer_end_bp"))
-    step = ends.join(there, [*by, "_end"]).select(*by, F.struct("idx", F.col("_end").alias("end_idx"), F.col("pos").alias("start_bp"), "end_bp", "buffer_end_bp").alias("s"))
-    kind = "array<struct<start_bp: long, end_bp: long, buffer_end_bp: long>>"
-    start = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast(kind).alias("out"))
+    step = ends.join(there, [*by, "_end"]).select(*by, "idx", F.col("_end").alias("end_idx"), F.col("pos").alias("start_bp"), "end_bp", "buffer_end_bp")
+    step = (step.repartition(*by) if by else step.repartition(1)).sortWithinPartitions(*by, "idx")
 
-    def follow(state, s):
-        own = F.struct(s["start_bp"].alias("start_bp"), s["end_bp"].alias("end_bp"), s["buffer_end_bp"].alias("buffer_end_bp"))
-        stuck = F.raise_error(F.concat(F.lit("too few sites in a chunk for the longest block, at "), s["start_bp"].cast("string"))).cast("long")
-        following = F.when(s["end_idx"] < s["idx"], stuck).otherwise(s["end_idx"] + 1)
-        taken = F.struct(following.alias("next"), F.concat(state["out"], F.array(own)).alias("out"))
-        return F.when(s["idx"] == state["next"], taken).otherwise(state)
-
-    folded = step.groupBy(*by).agg(F.aggregate(F.sort_array(F.collect_list("s")), start, follow)["out"].alias("chunks"))
-    return folded.select(*by, F.explode("chunks").alias("c")).select(*by, "c.*")
+    def follow(frames):
+        key, following = None, 0
+        for frame in frames:
+            taken = []
+            keys = list(zip(*(frame[c] for c in by), strict=True)) if by else [()] * len(frame)
+            for row, own, i, end, start in zip(range(len(frame)), keys, frame["idx"], frame["end_idx"], frame["start_bp"], strict=True):
+                if own != key:
+                    key, following = own, 0
+                if i == following:
+                    if end < i:
+                        raise ValueError(f"too few sites in a chunk for the longest block, at {start}")
+                    taken.append(row)
+                    following = end + 1
+            yield frame.iloc[taken][[*by, "start_bp", "end_bp", "buffer_end_bp"]]
+
+    fields = [chrom.schema[c] for c in by] + [T.StructField(n, T.LongType()) for n in ("start_bp", "end_bp", "buffer_end_bp")]
+    return step.mapInPandas(follow, T.StructType(fields))
 
 
 def chunk_scores(grid: DataFrame, chunk_table: DataFrame, width: int = 1_000_000, by: Sequence[str] = ()) -> DataFrame:
@@ -85,61 +92,60 @@ def chunk_scores(grid: DataFrame, chunk_table: DataFrame, width: int = 1_000_000
 
 
 def resume(scores: DataFrame, earlier: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``scores`` with the results of an ``earlier`` optimum of the sites to their right, which then stand as they are."""
+    """``scores`` with the results (pos, idx, opt, brk) of an ``earlier`` optimum of the sites to their right, which then stand as they are."""
     ends = earlier.select(*by, F.col("pos").alias("brk"), F.col("idx").alias("end_idx"))
-    rows = earlier.drop("starts").join(ends, [*by, "brk"]).withColumnsRenamed({"idx": "i", "pos": "pos_i", "opt": "score"})
+    rows = earlier.select(*by, "pos", "idx", "opt", "brk").join(ends, [*by, "brk"]).withColumnsRenamed({"idx": "i", "pos": "pos_i", "opt": "score"})
     # a negative j marks them: the end's index, beyond -1
     rows = rows.withColumn("j", -F.col("end_idx") - 2).withColumn("pos_j", F.col("brk")).drop("brk", "end_idx")
     return scores.unionByName(rows.select(scores.columns))
 
 
-class _Chromosome:
-    """What the partition of one chromosome needs while its windows pass from the last start to the first."""
+class _Part:
+    """What the partition of one stretch of sites needs while its windows pass from the last start to the first."""
 
-    def __init__(self, key: tuple, last: int):
-        self.key = key
+    def __init__(self, key: tuple, first: int, last: int):
+        self.key, self.first = key, first
         #: By site, and one past the last: the best total from there on. A site without windows adds nothing.
-        self.opt = np.zeros(last + 2)
-        self.brk, self.pos = np.full(last + 2, -1, np.int64), np.full(last + 2, -1, np.int64)
+        self.opt = np.zeros(last - first + 2)
+        self.brk, self.pos = np.full(last - first + 2, -1, np.int64), np.full(last - first + 2, -1, np.int64)
+        self.reach = np.full(last - first + 2, -1, np.int64)
 
     def settle(self, i: int, j: np.ndarray, pos_i: np.ndarray, score: np.ndarray) -> None:
+        at = i - self.first
         if j[0] < 0:  # a result of an earlier run
-            self.opt[i], self.brk[i] = score[0], -j[0] - 2
+            self.opt[at], self.brk[at], self.reach[at] = score[0], -j[0] - 2, -j[0] - 2
         else:
-            total = score + self.opt[j + 1]
+            after = j + 1 - self.first
+            total = score + np.where(after < len(self.opt), self.opt[np.minimum(after, len(self.opt) - 1)], 0.0)
             best = int(np.argmax(total))  # the first of equals
-            self.opt[i], self.brk[i] = total[best], j[best]
-        self.pos[i] = pos_i[0]
+            self.opt[at], self.brk[at], self.reach[at] = total[best], j[best], j.max()
+        self.pos[at] = pos_i[0]
 
     def result(self, by: Sequence[str]) -> pd.DataFrame:
         known = np.flatnonzero(self.brk >= 0)
-        starts, at = np.zeros(len(self.opt), bool), int(known[0])
-        while at < len(starts) and self.brk[at] >= 0:
-            starts[at] = True
-            at = int(self.brk[at]) + 1
-        out = pd.DataFrame({"idx": known, "pos": self.pos[known], "opt": self.opt[known], "brk": self.pos[self.brk[known]], "starts": starts[known]})
-        for name, value in zip(by, self.key, strict=True):
+        out = pd.DataFrame({"idx": known + self.first, "pos": self.pos[known], "opt": self.opt[known], "brk": self.brk[known], "reach": self.reach[known]})
+        for name, value in zip((*by, "part"), self.key, strict=True):
             out[name] = value
-        return out[[*by, "idx", "pos", "opt", "brk", "starts"]]
+        return out[[*by, "part", "idx", "pos", "opt", "brk", "reach"]]
 
 
-def _optimizer(by: Sequence[str]):
-    """Reads windows by chromosome, from the last start to the first, and holds three numbers for each site."""
+def _optimizer(by: Sequence[str], sites: int):
+    """Reads windows by part, from the last start to the first, and holds four numbers for each site."""
 
     def solve(frames):
         now, held = None, None
 
         def settle(frame: pd.DataFrame, bounds: list[int]):
-            """Takes the groups between bounds; yields chromosomes that they end."""
+            """Takes the groups between bounds; yields parts that they end."""
             nonlocal now
             i, j, p, s = (frame[c].to_numpy() for c in ("i", "j", "pos_i", "score"))
-            keys = [frame[c].to_numpy() for c in by]
+            keys = [frame[c].to_numpy() for c in (*by, "part")]
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 key = tuple(k[a] for k in keys)
                 if now is None or key != now.key:
                     if now is not None:
                         yield now.result(by)
-                    now = _Chromosome(key, max(int(i[a]), int(np.where(j[a:b] < 0, -j[a:b] - 2, j[a:b]).max())))
+                    now = _Part(key, int(key[-1]) * sites, int(i[a]))
                 now.settle(int(i[a]), j[a:b], p[a:b], s[a:b])
 
         for frame in frames:
@@ -147,7 +153,7 @@ def _optimizer(by: Sequence[str]):
             if not len(frame):
                 continue
             change = np.zeros(len(frame) - 1, bool)
-            for c in ("i", *by):
+            for c in ("i", "part", *by):
                 column = frame[c].to_numpy()
                 change |= column[1:] != column[:-1]
             bounds = [0, *(np.flatnonzero(change) + 1).tolist()]
@@ -160,18 +166,79 @@ def _optimizer(by: Sequence[str]):
     return solve
 
 
-def optimum(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _joiner(by: Sequence[str], sites: int):
+    """The parts of one chromosome, the last first, as one result; a part whose totals don't differ from the next one's by a constant gives a row with idx -1."""
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["part", "idx"], ignore_index=True)
+        last = int(frame["idx"].max())
+        opt, brk, pos = np.zeros(last + 2), np.full(last + 2, -1, np.int64), np.full(last + 2, -1, np.int64)
+        columns = [frame[c].to_numpy() for c in ("part", "idx", "pos", "opt", "brk", "reach")]
+        parts = columns[0]
+        bounds = np.concatenate(([0], np.flatnonzero(np.diff(parts)) + 1, [len(frame)]))
+        good = True
+        for a, b in reversed(list(zip(bounds[:-1], bounds[1:], strict=True))):
+            part, (_, i, p, o, k, reach) = int(parts[a]), (c[a:b] for c in columns)
+            own = i < (part + 1) * sites
+            offset = 0.0
+            if i[-1] < last and own.any():  # else its totals are those from the line's end
+                beyond = (i >= (part + 1) * sites) & (i <= reach[own].max() + 1)
+                differ = opt[i[beyond]] - o[beyond]
+                # every site that a block of this part may lead to has to be known, and to differ alike
+                if reach[own].max() + 1 > i[-1] or (beyond.any() and np.ptp(differ) > 1e-9 * max(1.0, np.abs(opt[i[beyond]]).max())):
+                    good = False
+                    break
+                offset = float(differ[0]) if beyond.any() else 0.0
+            at = i[own]
+            opt[at], brk[at], pos[at] = o[own] + offset, k[own], p[own]
+        if not good:
+            out = pd.DataFrame({"idx": [-1], "pos": [-1], "opt": [0.0], "brk": [-1], "starts": [False]})
+        else:
+            known = np.flatnonzero(brk >= 0)
+            starts, at = np.zeros(len(opt), bool), int(known[0])
+            while at < len(starts) and brk[at] >= 0:
+                starts[at] = True
+                at = int(brk[at]) + 1
+            out = pd.DataFrame({"idx": known, "pos": pos[known], "opt": opt[known], "brk": pos[brk[known]], "starts": starts[known]})
+        for name in by:
+            out[name] = frame[name].iloc[0]
+        return out[[*by, "idx", "pos", "opt", "brk", "starts"]]
+
+    return join
+
+
+#: Sites of a part of the partition, and how many after it are worked on too, at first.
+PART_SITES, AHEAD = 1 << 13, 1 << 11
+
+
+def optimum(scores: DataFrame, by: Sequence[str] = (), sites: int = PART_SITES, ahead: int = AHEAD) -> DataFrame:
     """(idx, pos, opt, brk, starts): for each site the best total from it on, where its first block ends, and whether a block of the best partition starts there.
 
-    Each site's choice needs those of the sites after it, so a chromosome is one
-    task. Its windows stream through in order and are not held; of equal totals
-    the nearest end counts.
+    Each site's choice needs the totals of the sites after it, but only up to a
+    constant. So parts of ``sites`` sites are solved apart, each with ``ahead`` sites
+    more, as if nothing came after these. Where the totals of all sites that a
+    part's blocks may lead to differ from the next part's by one constant, the
+    part's choices are right and its totals follow. That is so where optimal blocks
+    from different ends have fallen into step; if anywhere they have not, all is
+    done again with twice as many sites ahead. A part's windows stream through one
+    task and are not held; a chromosome's totals, five numbers a site, are joined in
+    one. Of equal totals the nearest end counts, unless rounding tells them apart.
     """
-    rows = scores.select(*by, "i", "j", "pos_i", "pos_j", "score")
-    rows = rows.repartition(*by) if by else rows.repartition(1)
-    rows = rows.sortWithinPartitions(*by, F.desc("i"), "j")
-    fields = [scores.schema[c] for c in by] + [T.StructField("idx", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("opt", T.DoubleType()), T.StructField("brk", T.LongType()), T.StructField("starts", T.BooleanType())]
-    return rows.mapInPandas(_optimizer(by), T.StructType(fields))
+    fields = [scores.schema[c] for c in by]
+    solved = T.StructType([*fields, T.StructField("part", T.LongType()), *(T.StructField(n, T.DoubleType() if n == "opt" else T.LongType()) for n in ("idx", "pos", "opt", "brk", "reach"))])
+    final = T.StructType([*fields, *(T.StructField(n, t) for n, t in (("idx", T.LongType()), ("pos", T.LongType()), ("opt", T.DoubleType()), ("brk", T.LongType()), ("starts", T.BooleanType())))])
+    last = scores.agg(F.max("i")).first()[0] or 0
+    while True:
+        low = F.greatest(F.floor((F.col("i") - ahead) / sites), F.lit(0))
+        rows = scores.select(*by, "i", "j", "pos_i", "score", F.explode(F.sequence(low, F.floor(F.col("i") / sites))).alias("part"))
+        rows = rows.repartition(*by, "part").sortWithinPartitions(*by, "part", F.desc("i"), "j")
+        parts = rows.mapInPandas(_optimizer(by, sites), solved)
+        keyed = parts if by else parts.withColumn("_all", F.lit(0))
+        found = keyed.groupBy(*(by or ["_all"])).applyInPandas(_joiner(by, sites), final).persist()
+        if not found.where("idx < 0").limit(1).count() or ahead > last:
+            return found
+        found.unpersist()
+        ahead *= 2
 
 
 def blocks(dp: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -184,9 +251,9 @@ def best_total(dp: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def summary(block_table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(n_blocks, start_bp, end_bp, uncovered_bp, uncovered_percent, max_gap) of a partition."""
-    before = F.lag("block_end").over(Window.partitionBy(*by).orderBy("block_start"))
-    gap = F.greatest(F.coalesce(F.col("block_start") - before - 1, F.lit(0)), F.lit(0))
-    rows = block_table.withColumn("gap", gap).groupBy(*by)
+    """(n_blocks, start_bp, end_bp, uncovered_bp, uncovered_percent, max_gap) of a partition, whose blocks don't overlap."""
+    rows = running_max(block_table, "block_start", F.col("block_end"), "before", ["block_start"], by)
+    gap = F.greatest(F.coalesce(F.col("block_start") - F.col("before") - 1, F.lit(0)), F.lit(0))
+    rows = rows.withColumn("gap", gap).groupBy(*by)
     out = rows.agg(F.count("*").alias("n_blocks"), F.min("block_start").alias("start_bp"), F.max("block_end").alias("end_bp"), F.sum("gap").alias("uncovered_bp"), F.max("gap").alias("max_gap"))
     return out.withColumn("uncovered_percent", 100.0 * F.col("uncovered_bp") / F.greatest(F.col("end_bp") - F.col("start_bp"), F.lit(1)))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from haploweave.operators.ranges import overlaps
+from haploweave.operators.ranges import STRETCH, overlaps, running_max
 
 
 def extremes(sets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -23,13 +23,14 @@ def shrunk(sets: DataFrame, buffer: float) -> DataFrame:
     return sets.withColumn("start", F.col("block_start") + half).withColumn("stop", F.col("block_end") + 1 - half).where("start < stop")
 
 
-def islands(intervals: DataFrame, by: Sequence[str] = (), merge_adjacent: bool = False) -> DataFrame:
+def islands(intervals: DataFrame, by: Sequence[str] = (), merge_adjacent: bool = False, width: int = STRETCH) -> DataFrame:
     """Merged (start, stop): intervals that overlap, and with ``merge_adjacent`` also those that touch, become one."""
-    line = Window.partitionBy(*by).orderBy("start", "stop")
-    reach = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    apart = (F.col("start") > reach) if merge_adjacent else (F.col("start") >= reach)
-    rows = intervals.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
-    rows = rows.withColumn("island", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    # each once, so that both passes below see one order
+    rows = running_max(intervals.select(*by, "start", "stop").distinct(), "start", F.col("stop"), "reach", ["start", "stop"], by, width=width)
+    apart = (F.col("start") > F.col("reach")) if merge_adjacent else (F.col("start") >= F.col("reach"))
+    rows = rows.withColumn("new", F.when(F.coalesce(apart, F.lit(True)), F.col("start")))
+    # an island is named by the start of its first interval
+    rows = running_max(rows, "start", F.col("new"), "earlier", ["start", "stop"], by, width=width).withColumn("island", F.coalesce("new", "earlier"))
     return rows.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
 
 
@@ -47,48 +48,62 @@ def merged(sets: DataFrame, buffer: float, by: Sequence[str] = (), merge_adjacen
     return islands(short.unionByName(first.where("start < stop")).unionByName(last.where("start < stop")), by, merge_adjacent)
 
 
-def violations(sets: DataFrame, consensus: DataFrame, width: int, by: Sequence[str] = ()) -> DataFrame:
-    """(pop, block_start, block_end, n) of blocks that overlap more than one consensus interval."""
+def _reached(sets: DataFrame, consensus: DataFrame, width: int, by: Sequence[str]) -> DataFrame:
+    """(pop, block_start, block_end, n, low, high) of blocks that overlap more than one consensus interval: how many, and from where to where these go."""
     own = sets.select(*by, "pop", "block_start", "block_end", F.col("block_start").cast("double").alias("s"), (F.col("block_end") + 1).cast("double").alias("e"))
     pairs = overlaps(own, consensus.select(*by, F.col("start").alias("u"), F.col("stop").alias("v")), ("s", "e", "u", "v"), width, by)
-    return pairs.groupBy(*by, "pop", "block_start", "block_end").agg(F.count("*").alias("n")).where("n > 1")
+    return pairs.groupBy(*by, "pop", "block_start", "block_end").agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("v").alias("high")).where("n > 1")
+
+
+def violations(sets: DataFrame, consensus: DataFrame, width: int, by: Sequence[str] = ()) -> DataFrame:
+    """(pop, block_start, block_end, n) of blocks that overlap more than one consensus interval."""
+    return _reached(sets, consensus, width, by).drop("low", "high")
 
 
-def _chop(pieces: list[tuple[float, float]], start: float, stop: float) -> list[tuple[float, float]]:
-    """The intervals less [start, stop)."""
-    out = []
-    for a, b in pieces:
-        out += [(a, b)] if b <= start or a >= stop else [p for p in ((a, min(b, start)), (max(a, stop), b)) if p[0] < p[1]]
-    return out
+def _cut(starts: list[float], stops: list[float], a: float, b: float) -> None:
+    """Of sorted intervals, those that [a, b) overlaps lose what they share with it, but for the longest overlap (the first of equals)."""
+    low, high = bisect.bisect_right(stops, a), bisect.bisect_left(starts, b)
+    if high - low < 2:
+        return
+    most = max(range(low, high), key=lambda k: (min(stops[k], b) - max(starts[k], a), -k))
+    left = []
+    for k in range(low, high):
+        if k == most:
+            left.append((starts[k], stops[k]))
+        else:
+            left += [p for p in ((starts[k], min(stops[k], a)), (max(starts[k], b), stops[k])) if p[0] < p[1]]
+    starts[low:high], stops[low:high] = [p[0] for p in left], [p[1] for p in left]
 
 
 def repaired(sets: DataFrame, buffer: float, width: int, by: Sequence[str] = (), merge_adjacent: bool = False) -> DataFrame:
     """Consensus intervals in which every block overlaps at most one.
 
     Blocks that overlap several are taken in order of population and start; all
-    overlaps but the longest are cut out. Only these blocks and the intervals they
-    reach are worked on in order, a chromosome at a time.
+    overlaps but the longest are cut out. What one block does matters only to those
+    that reach the same intervals, so intervals and blocks are worked on in groups
+    that share none; intervals that no such block reaches stay as they are.
     """
     consensus = merged(sets, buffer, by, merge_adjacent)
-    bad = violations(sets, consensus, width, by)
-    marked = bad.select(*by, F.lit(1).alias("kind"), "pop", F.col("block_start").cast("double").alias("start"), (F.col("block_end") + 1).cast("double").alias("stop"))
-    rows = consensus.select(*by, F.lit(0).alias("kind"), F.lit(None).cast("string").alias("pop"), "start", "stop").unionByName(marked)
-    keys = list(by) or ["_all"]
-    rows = rows if by else rows.withColumn("_all", F.lit(0))
+    bad = _reached(sets, consensus, width, by).select(*by, "pop", F.col("block_start").cast("double").alias("start"), (F.col("block_end") + 1).cast("double").alias("stop"), "low", "high")
+    groups = islands(bad.select(*by, F.least("low", "start").alias("start"), F.greatest("high", "stop").alias("stop")), by).select(*by, F.col("start").alias("group"), F.col("stop").alias("group_stop"))
+    inside = overlaps(consensus, groups, ("start", "stop", "group", "group_stop"), width, by).drop("group_stop")
+    marked = overlaps(bad.drop("low", "high"), groups, ("start", "stop", "group", "group_stop"), width, by).drop("group_stop")
+    free = consensus.join(inside.select(*by, "start", "stop"), [*by, "start", "stop"], "left_anti")
+    rows = inside.withColumn("pop", F.lit(None).cast("string")).unionByName(marked)
 
     def repair(frame: pd.DataFrame) -> pd.DataFrame:
-        pieces = sorted(zip(frame.start[frame.kind == 0], frame.stop[frame.kind == 0], strict=True))
-        for r in frame[frame.kind == 1].sort_values(["pop", "start"]).itertuples():
-            met = [(min(b, r.stop) - max(a, r.start), -k, max(a, r.start), min(b, r.stop)) for k, (a, b) in enumerate(pieces) if a < r.stop and r.start < b]
-            for _, _, a, b in sorted(met)[:-1]:
-                pieces = _chop(pieces, a, b)
-        out = pd.DataFrame(pieces, columns=["start", "stop"], dtype=float)
+        is_block = frame["pop"].notna()
+        pieces = frame[~is_block].sort_values("start")
+        starts, stops = pieces["start"].tolist(), pieces["stop"].tolist()
+        for r in frame[is_block].sort_values(["pop", "start"]).itertuples():
+            _cut(starts, stops, r.start, r.stop)
+        out = pd.DataFrame({"start": starts, "stop": stops}, dtype=float)
         for name in by:
             out[name] = frame[name].iloc[0]
         return out
 
     schema = T.StructType([*(consensus.schema[c] for c in by), T.StructField("start", T.DoubleType()), T.StructField("stop", T.DoubleType())])
-    return rows.groupBy(*keys).applyInPandas(repair, schema)
+    return free.select(*by, "start", "stop").unionByName(rows.groupBy(*by, "group").applyInPandas(repair, schema))
 
 
 def coverage(consensus: DataFrame, ends: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -67,6 +67,11 @@ def background(edges: DataFrame, distance: int, by: Sequence[str] = ()) -> DataF
     return edges.groupBy(*by).agg(F.count("*").alias("n_edges"), F.count(r).alias("n_long"), F.when(F.count(r) > 0, value).otherwise(missing).alias("penalty"))
 
 
+def longer(edges: DataFrame, distance: int) -> DataFrame:
+    """Edges longer than ``distance``."""
+    return edges.where(F.col("loc_b") - F.col("loc_a") > distance)
+
+
 def bucket(column: Column, buckets: int) -> Column:
     """The bucket of a left end: all edges of a left end share one."""
     return F.pmod(F.hash(column), F.lit(buckets))

@@ -13,8 +13,8 @@ def matrix_long(edges: DataFrame, start: int, stop: int, least: float = 0.0001)
 
 
 def matrix(edges: DataFrame, start: int, stop: int, least: float = 0.0001) -> DataFrame:
-    """One row for each left end and one column for each right end; a display's range holds few positions."""
-    return matrix_long(edges, start, stop, least).groupBy("loc_a").pivot("loc_b").agg(F.last("r")).orderBy("loc_a")
+    """One row for each left end and one column for each right end, in order; a display's range holds few positions. Of a repeated pair the largest weight counts."""
+    return matrix_long(edges, start, stop, least).groupBy("loc_a").pivot("loc_b").agg(F.max("r")).orderBy("loc_a")
 
 
 def blocks_shown(block_table: DataFrame, start: int, stop: int) -> DataFrame:

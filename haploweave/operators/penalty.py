@@ -34,6 +34,14 @@ class Modularity:
         return F.lit(float(self.coefficient)) * F.col(f"{left}k_norm") * F.col(f"{right}k_norm")
 
 
+@dataclass(frozen=True)
+class OfChromosome:
+    """The number in the sites' column ``penalty``: one for each chromosome."""
+
+    def column(self, left: str, right: str) -> Column:
+        return F.col(f"{left}penalty")
+
+
 MODELS = ("modularity", "chi", "background", "constant")
 
 

@@ -23,29 +23,73 @@ def range_join(left: DataFrame, right: DataFrame, left_pos: str, right_pos: str,
     return a.join(b, [*by, "_bucket"]).where((gap >= least) & (gap <= distance)).drop("_bucket")
 
 
-def neighbours(chrom: DataFrame, distance: int, by: Sequence[str] = ()) -> DataFrame:
-    """``chrom(pos, idx)`` with right_idx, right_pos (last site at most ``distance`` after) and left_idx, left_pos (first at most ``distance`` before)."""
-    line = Window.partitionBy(*by).orderBy("pos")
+#: Positions of a stretch of a line that one task orders.
+STRETCH = 1 << 20
+
+
+def _stretch(position: str, width: int):
+    return F.floor(F.col(position) / width).alias("_stretch")
+
+
+def ranked(rows: DataFrame, position: str = "pos", by: Sequence[str] = (), width: int = STRETCH) -> DataFrame:
+    """``rows``, of distinct positions, with ``idx``, their rank from 0: within stretches, after the counts of those before."""
+    cut = rows.withColumn("_stretch", _stretch(position, width))
+    counts = cut.groupBy(*by, "_stretch").agg(F.count("*").alias("_n"))
+    # one row a stretch
+    before = counts.select(*by, "_stretch", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_stretch")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*by, "_stretch").orderBy(position))
+    return cut.join(before, [*by, "_stretch"]).withColumn("idx", (own + F.col("_before") - 1).cast("long")).drop("_stretch", "_before")
+
+
+def running_max(rows: DataFrame, position: str, value, name: str, order: Sequence, by: Sequence[str] = (), back: bool = False, width: int = STRETCH) -> DataFrame:
+    """``rows`` with ``name``: the largest ``value`` of all rows before, in ``order``, whose first column is the position, falling if ``back``; null without any.
+
+    Stretches are ordered apart; what those before hold comes to each as one row.
+    """
+    cut = rows.withColumn("_stretch", _stretch(position, width)).withColumn("_value", value)
+    tops = cut.groupBy(*by, "_stretch").agg(F.max("_value").alias("_top"))
+    line = Window.partitionBy(*by).orderBy(F.desc("_stretch") if back else F.asc("_stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*by, "_stretch", F.max("_top").over(line).alias("_carried"))
+    inner = Window.partitionBy(*by, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.withColumn("_own", F.max("_value").over(inner)).join(carried, [*by, "_stretch"]).withColumn(name, F.greatest("_own", "_carried")).drop("_stretch", "_value", "_own", "_carried")
+
+
+def neighbours(chrom: DataFrame, distance: int, by: Sequence[str] = (), width: int = STRETCH) -> DataFrame:
+    """``chrom(pos, idx)`` with right_idx, right_pos (last site at most ``distance`` after) and left_idx, left_pos (first at most ``distance`` before).
+
+    Each stretch also sees the sites within the distance on both sides of it.
+    """
+    width = max(width, distance + 1)
+    own = F.floor(F.col("pos") / width)
+    seen = F.array_distinct(F.array(own, F.floor((F.col("pos") - distance) / width), F.floor((F.col("pos") + distance) / width)))
+    dealt = chrom.withColumn("_stretch", F.explode(seen))
+    line = Window.partitionBy(*by, "_stretch").orderBy("pos")
     ahead, behind = line.rangeBetween(0, distance), line.rangeBetween(-distance, 0)
-    return chrom.select("*", F.max("idx").over(ahead).alias("right_idx"), F.max("pos").over(ahead).alias("right_pos"), F.min("idx").over(behind).alias("left_idx"), F.min("pos").over(behind).alias("left_pos"))
+    found = dealt.select("*", F.max("idx").over(ahead).alias("right_idx"), F.max("pos").over(ahead).alias("right_pos"), F.min("idx").over(behind).alias("left_idx"), F.min("pos").over(behind).alias("left_pos"))
+    return found.where(F.col("_stretch") == own).drop("_stretch")
+
+
+def following(chrom: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(pos, next_pos) of each site that another follows."""
+    after = chrom.select(*by, "idx", "pos")
+    return after.join(after.select(*by, (F.col("idx") - 1).alias("idx"), F.col("pos").alias("next_pos")), [*by, "idx"]).select(*by, "pos", "next_pos")
 
 
 def nearest(points: DataFrame, chrom: DataFrame, point: str = "point", by: Sequence[str] = ()) -> DataFrame:
     """``points(point)`` with pos and idx of the nearest site; of two as near, the first.
 
-    One pass over both tables in order of position: each point looks at the last
-    site before it and the first after it.
+    Each point looks at the last site before it and the first after it.
     """
-    site = F.struct("pos", "idx")
-    both = chrom.select(*by, F.col("pos").alias("at"), F.lit(0).alias("kind"), site.alias("site")).unionByName(points.select(*by, F.col(point).alias("at"), F.lit(1).alias("kind")), allowMissingColumns=True)
-    rising, falling = Window.partitionBy(*by).orderBy("at", "kind"), Window.partitionBy(*by).orderBy(F.desc("at"), "kind")
-    # two running frames; one that looks ahead would read the rest of the line for each row
-    before = F.last("site", True).over(rising.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.last("site", True).over(falling.rowsBetween(Window.unboundedPreceding, 0))
-    found = both.select(*by, "at", "kind", before.alias("b"), after.alias("a")).where("kind = 1")
-    first = F.col("a.pos").isNull() | (F.col("at") - F.col("b.pos") <= F.col("a.pos") - F.col("at"))
-    best = F.when(F.col("b.pos").isNotNull() & first, F.col("b")).otherwise(F.col("a"))
-    return found.select(*by, F.col("at").alias(point), best["pos"].alias("pos"), best["idx"].alias("idx"))
+    sites = chrom.select(*by, F.col("pos").alias("at"), F.lit(0).alias("kind"), "pos", "idx")
+    both = sites.unionByName(points.select(*by, F.col(point).alias("at"), F.lit(1).alias("kind")), allowMissingColumns=True)
+    is_site = F.col("pos").isNotNull()
+    both = running_max(both, "at", F.when(is_site, F.struct("pos", "idx")), "b", ["at", "kind"], by)
+    both = running_max(both, "at", F.when(is_site, F.struct((-F.col("pos")).alias("pos"), "idx")), "a", [F.desc("at"), "kind"], by, back=True)
+    found = both.where("kind = 1")
+    after = -F.col("a.pos")
+    first = after.isNull() | (F.col("at") - F.col("b.pos") <= after - F.col("at"))
+    from_left = F.col("b.pos").isNotNull() & first
+    return found.select(*by, F.col("at").alias(point), F.when(from_left, F.col("b.pos")).otherwise(after).alias("pos"), F.when(from_left, F.col("b.idx")).otherwise(F.col("a.idx")).alias("idx"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, names: tuple[str, str, str, str], width: int, by: Sequence[str] = ()) -> DataFrame:

@@ -32,13 +32,18 @@ def with_reason(counted: DataFrame, maf: float | None = None, maf_on: str = "mea
     data), no_variation (all scores equal), maf (the mean score, or with
     ``maf_on='frequency'`` the allele's frequency, is not between maf and 1 - maf).
     """
-    rows = counted.groupBy(*by, "pos").agg(F.count("*").alias("rows_here"), F.bool_or("multiallelic").alias("any_multiallelic"))
+    rows = row_counts(counted, by).join(counted.groupBy(*by, "pos").agg(F.bool_or("multiallelic").alias("any_multiallelic")), [*by, "pos"])
     value = F.col("mean") / (1.0 if phased or maf_on == "mean" else 2.0)
     n = F.col("n_present")
-    reason = F.when((F.col("rows_here") != 1) | F.col("any_multiallelic"), "multiallelic").when(n == 0, "missing").when((F.col("n0") == n) | (F.col("n1") == n) | (F.col("n2") == n), "no_variation")
+    reason = F.when((F.col("n_rows") != 1) | F.col("any_multiallelic"), "multiallelic").when(n == 0, "missing").when((F.col("n0") == n) | (F.col("n1") == n) | (F.col("n2") == n), "no_variation")
     if maf is not None:
         reason = reason.when((value <= maf) | (value >= 1 - maf), "maf")
-    return counted.join(rows, [*by, "pos"]).withColumn("reason", reason).drop("rows_here", "any_multiallelic")
+    return counted.join(rows, [*by, "pos"]).withColumn("reason", reason).drop("n_rows", "any_multiallelic")
+
+
+def row_counts(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(pos, n_rows): how many rows a position has; more than one counts as multiallelic."""
+    return rows.groupBy(*by, "pos").agg(F.count("*").alias("n_rows"))
 
 
 def reason_counts(sites: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -51,8 +51,8 @@ CHUNKS = f"""{LINE}, {NEAR.format(50)}, top AS (SELECT max(idx) AS last FROM lin
   step AS (SELECT n.idx, n.pos, CASE WHEN least(n.idx + 149, last) = last THEN last ELSE m.left_idx END AS e FROM near n, top JOIN near m ON m.idx = least(n.idx + 149, last)),
   chunk(nxt, start_bp, end_bp, buffer_end_bp) AS (SELECT e + 1, step.pos, n.pos, n.right_pos FROM step JOIN near n ON n.idx = e WHERE step.idx = 0
     UNION ALL SELECT e + 1, step.pos, n.pos, n.right_pos FROM chunk JOIN step ON step.idx = chunk.nxt JOIN near n ON n.idx = e)"""
-PART_LINE = "line AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS idx FROM (SELECT DISTINCT p_partkey * 3 + p_size % 3 AS pos FROM part WHERE p_partkey % 7 < 4))"
-GMAP = "gmap AS (SELECT p_partkey AS pos, CAST(p_partkey AS DOUBLE) / 1000 + p_size / CAST(1e6 AS DOUBLE) AS cm FROM part WHERE p_partkey % 10 <> 3)"
+PART_LINE = "line AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS idx FROM (SELECT DISTINCT p_partkey * 3 + p_size % 3 + 40 * (p_partkey // 4) AS pos FROM part))"
+GMAP = "gmap AS (SELECT p_partkey AS pos, CAST(p_partkey AS DOUBLE) / 1000 + p_size / CAST(1e6 AS DOUBLE) AS cm FROM part)"
 SETS = """sets AS (SELECT 'P' || p AS pop, k * 100 + (k * k * 7 + p * 13) % 60 AS block_start, (k + 1) * 100 + ((k + 1) * (k + 1) * 7 + p * 13) % 60 - 1 AS block_end
   FROM (SELECT c_custkey AS k, unnest(range(4)) AS p FROM customer))"""
 SHORT = f"{SETS}, short AS (SELECT pop, block_start + CAST(20 AS DOUBLE) AS start, block_end + 1 - CAST(20 AS DOUBLE) AS stop FROM sets WHERE block_start + 20 < block_end + 1 - 20)"
@@ -94,8 +94,8 @@ ORACLE = {
     "high_missingness": f"WITH {DOSES} SELECT pos, count(*) - count(x) AS n_missing FROM s GROUP BY pos HAVING count(*) - count(x) >= CAST(0.04 AS DOUBLE) * count(*)",
     "variance": f"WITH {DOSES} SELECT pos, round(var_samp(CAST(x AS DOUBLE)), 9) + 0.0 AS variance FROM s GROUP BY pos",
     "pair_r2_phased": f"WITH {HAPS}, {_moments(50)} {_r2('cov * cov / (va * vb)', 'cov')}",
-    "pair_r2_unphased_missing": f"WITH {DOSES}, {_moments(20)} {_r2('cov * cov / (va * vb)', 'cov')}",
-    "pair_r2_shrinkage": f"""WITH {HAPS}, {_moments(20)}, {GMAP}, t AS (SELECT CAST(1 AS DOUBLE) / 65 AS t),
+    "pair_r2_unphased_missing": f"WITH {DOSES}, {_moments(50)} {_r2('cov * cov / (va * vb)', 'cov')}",
+    "pair_r2_shrinkage": f"""WITH {HAPS}, {_moments(50)}, {GMAP}, t AS (SELECT CAST(1 AS DOUBLE) / 65 AS t),
       g AS (SELECT cov.*, t, pow(1 - t, 2) * exp((a.cm - b.cm) * 4 * 100 / (2 * 32)) * cov AS sc FROM cov JOIN gmap a ON a.pos = loc_a JOIN gmap b ON b.pos = loc_b, t)
       {_r2('sc * sc / ((pow(1 - t, 2) * va + t / 2 * (1 - t / 2)) * (pow(1 - t, 2) * vb + t / 2 * (1 - t / 2)))', 'g')}""",
     "gmap_missing_sites": f"WITH {LINE}, {GMAP} SELECT pos FROM line WHERE pos NOT IN (SELECT pos FROM gmap)",
@@ -130,6 +130,8 @@ ORACLE = {
       SELECT point, pos, idx FROM q WHERE k = 1""",
     "next_variant": f"WITH {PART_LINE} SELECT * FROM (SELECT pos, lead(pos) OVER (ORDER BY pos) AS next_pos FROM line) WHERE next_pos IS NOT NULL",
     "ld_matrix_long": f"WITH {GRAPH} SELECT loc_a, loc_b, round(r, 9) + 0.0 AS r FROM graph WHERE loc_a BETWEEN 100 AND 200 AND loc_b BETWEEN 100 AND 200 AND r > CAST(0.0001 AS DOUBLE)",
+    "ld_matrix_dense": f"""WITH {GRAPH}, m AS (SELECT loc_a, loc_b, round(r, 9) AS r FROM graph WHERE loc_a BETWEEN 100 AND 106 AND loc_b BETWEEN 100 AND 106 AND r > CAST(0.0001 AS DOUBLE))
+      PIVOT m ON loc_b USING max(r) GROUP BY loc_a""",
     "ld_matrix_binned": f"WITH {ITEMS} SELECT loc_a // 100 AS bin_a, loc_b // 100 AS bin_b, round(avg(r), 6) + 0.0 AS r FROM items GROUP BY ALL",
     "edge_bucket_counts": f"WITH {ITEMS} SELECT loc_a, CAST(1 AS BIGINT) AS n_buckets, count(*) AS n_edges FROM items GROUP BY loc_a",
 }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from haploweave.functions import statistics
 from haploweave.operators import blocks, consensus, edges, matrix, pairs, penalty, ranges, sites
@@ -119,7 +118,7 @@ def geno_counts_selected(spark, d):
 def site_row_counts(spark, d):
     """Rows for each position, where every 50th is repeated."""
     lines = synth.table(spark, d, "embeddings").select(F.explode(F.array_repeat("vec_id", F.when(F.col("vec_id") % 50 == 0, 2).otherwise(1))).alias("pos"))
-    return lines.groupBy("pos").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    return sites.row_counts(lines).where("n_rows > 1")
 
 
 def _reasons(spark, d) -> DataFrame:
@@ -152,7 +151,7 @@ def pair_r2_phased(spark, d):
 
 
 def pair_r2_unphased_missing(spark, d):
-    return _pairs(pairs.correlate(synth.packed(spark, d, False), 20, 1, 0.001))
+    return _pairs(pairs.correlate(synth.packed(spark, d, False), synth.LONGEST, 1, 0.001))
 
 
 def _map(spark, d) -> DataFrame:
@@ -161,7 +160,7 @@ def _map(spark, d) -> DataFrame:
 
 def pair_r2_shrinkage(spark, d):
     mapped = pairs.with_map(synth.packed(spark, d, True), _map(spark, d))
-    return _pairs(pairs.correlate_shrunk(mapped, 20, 1, 32, 100.0, 0.001))
+    return _pairs(pairs.correlate_shrunk(mapped, synth.LONGEST, 1, 32, 100.0, 0.001))
 
 
 def gmap_missing_sites(spark, d):
@@ -173,8 +172,8 @@ def genetic_map_lookup(spark, d):
 
 
 def _part_line(spark, d) -> DataFrame:
-    """Positions with gaps."""
-    return blocks.chromosome(synth.table(spark, d, "part").where("p_partkey % 7 < 4").select((F.col("p_partkey") * 3 + F.col("p_size") % 3).alias("pos")))
+    """Positions with gaps of different lengths."""
+    return blocks.chromosome(synth.table(spark, d, "part").select((F.col("p_partkey") * 3 + F.col("p_size") % 3 + 40 * F.floor(F.col("p_partkey") / 4)).alias("pos")))
 
 
 def right_neighbor(spark, d):
@@ -218,8 +217,12 @@ def window_scores_modularity(spark, d):
     return blocks.window_scores(grid).select("pos_i", "pos_j", _r("score"))
 
 
+#: Sites of a part of the partition: few, as the line is short.
+PART, AHEAD = 512, 128
+
+
 def _optimum(spark, d) -> DataFrame:
-    return blocks.optimum(blocks.window_scores(_grid(spark, d)))
+    return blocks.optimum(blocks.window_scores(_grid(spark, d)), sites=PART, ahead=AHEAD)
 
 
 def opt_scores(spark, d):
@@ -240,7 +243,7 @@ def partition_summary(spark, d):
 
 
 def chunked_opt_scores(spark, d):
-    dp = blocks.optimum(blocks.chunk_scores(_grid(spark, d), _chunks(spark, d), synth.LONGEST))
+    dp = blocks.optimum(blocks.chunk_scores(_grid(spark, d), _chunks(spark, d), synth.LONGEST), sites=PART, ahead=AHEAD)
     return dp.select("pos", _r("opt"), "brk")
 
 
@@ -289,13 +292,19 @@ def nearest_variant(spark, d):
 
 
 def next_variant(spark, d):
-    return _part_line(spark, d).select("pos", F.lead("pos").over(Window.orderBy("pos")).alias("next_pos")).where("next_pos IS NOT NULL")
+    return ranges.following(_part_line(spark, d))
 
 
 def ld_matrix_long(spark, d):
     return matrix.matrix_long(synth.graph(spark, d), 100, 200).select("loc_a", "loc_b", _r("r", 9))
 
 
+def ld_matrix_dense(spark, d):
+    """A square of the matrix, a column for each right end."""
+    found = matrix.matrix(synth.graph(spark, d), 100, 106)
+    return found.select("loc_a", *(F.round(c, 9).alias(c) for c in found.columns if c != "loc_a"))
+
+
 def ld_matrix_binned(spark, d):
     return matrix.binned(synth.items(spark, d), 100).select("bin_a", "bin_b", _r("r"))
 
@@ -307,7 +316,7 @@ def edge_bucket_counts(spark, d):
 
 
 def long_range_edges(spark, d):
-    return synth.items(spark, d).where(F.col("loc_b") - F.col("loc_a") > 100)
+    return edges.longer(synth.items(spark, d), 100)
 
 
 def edges_in_range(spark, d):
@@ -334,6 +343,6 @@ QUERIES = {
         pair_r2_shrinkage, gmap_missing_sites, genetic_map_lookup, right_neighbor, left_neighbor, chunk_intervals, chunk_edge_subset, pair_weights_threshold,
         window_scores_threshold, window_scores_modularity, opt_scores, opt_blocks, best_total, partition_summary, chunked_opt_scores, dp_resume, consensus_shrunk,
         consensus_intervals, consensus_coverage, consensus_violations, consensus_repaired, interval_overlaps, block_triangles, blocks_shown, nearest_variant, next_variant,
-        ld_matrix_long, ld_matrix_binned, edge_bucket_counts,
+        ld_matrix_long, ld_matrix_dense, ld_matrix_binned, edge_bucket_counts,
     )
 }

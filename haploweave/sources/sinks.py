@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,47 +13,52 @@ def six(value: Column) -> Column:
     return F.format_string("%.5e", value).cast("double").cast("string")
 
 
-def write_text(rows: DataFrame, path: str, columns: list[Column], order: list[Column] | None = None) -> None:
-    """Blank-separated columns; sorted files keep their order across part files."""
-    rows = rows.orderBy(*order) if order else rows
-    rows.select(F.concat_ws(" ", *columns).alias("value")).write.text(path)
+def write_text(rows: DataFrame, path: str, columns: list[Column], order: list[Column] | None = None, by: Sequence[str] = ()) -> None:
+    """Blank-separated columns; sorted files keep their order across part files. With ``by``, a folder for each of its values."""
+    rows = rows.orderBy(*by, *order) if order else rows
+    rows.select(*by, F.concat_ws(" ", *columns).alias("value")).write.partitionBy(*by).text(path)
 
 
-def write_edges(edges: DataFrame, path: str, compat: bool = False) -> None:
+def write_edges(edges: DataFrame, path: str, compat: bool = False, by: Sequence[str] = ()) -> None:
     """``a b r``: r in full, or with ``compat`` in six decimals."""
     r = F.format_string("%.6f", F.col("r")) if compat else F.col("r").cast("string")
-    write_text(edges, path, [F.col("loc_a").cast("string"), F.col("loc_b").cast("string"), r])
+    write_text(edges, path, [F.col("loc_a").cast("string"), F.col("loc_b").cast("string"), r], by=by)
 
 
-def write_positions(chrom: DataFrame, path: str) -> None:
-    write_text(chrom, path, [F.col("pos").cast("string")], [F.col("pos")])
+def write_positions(chrom: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    write_text(chrom, path, [F.col("pos").cast("string")], [F.col("pos")], by)
 
 
-def write_degree(degree: DataFrame, path: str, compat: bool = False) -> None:
-    write_text(degree, path, [F.col("pos").cast("string"), six(F.col("k_norm")) if compat else F.col("k_norm").cast("string")])
+def write_degree(degree: DataFrame, path: str, compat: bool = False, by: Sequence[str] = ()) -> None:
+    write_text(degree, path, [F.col("pos").cast("string"), six(F.col("k_norm")) if compat else F.col("k_norm").cast("string")], by=by)
 
 
-def write_value(value: DataFrame, path: str, column: str, compat: bool = False) -> None:
-    write_text(value, path, [six(F.col(column)) if compat else F.col(column).cast("string")])
+def write_value(value: DataFrame, path: str, column: str, compat: bool = False, by: Sequence[str] = ()) -> None:
+    write_text(value, path, [six(F.col(column)) if compat else F.col(column).cast("string")], by=by)
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
+def write_chunks(chunks: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """The rightmost chunk first."""
-    write_text(chunks, path, [F.col(c).cast("string") for c in ("start_bp", "end_bp", "buffer_end_bp")], [F.desc("start_bp")])
+    write_text(chunks, path, [F.col(c).cast("string") for c in ("start_bp", "end_bp", "buffer_end_bp")], [F.desc("start_bp")], by)
+
+
+def write_blocks(blocks: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    write_text(blocks, path, [F.col(c).cast("string") for c in ("block_start", "block_end")], [F.col("block_start")], by)
 
 
-def write_blocks(blocks: DataFrame, path: str) -> None:
-    write_text(blocks, path, [F.col(c).cast("string") for c in ("block_start", "block_end")], [F.col("block_start")])
+def write_intervals(intervals: DataFrame, path: str) -> None:
+    """``start stop`` of half-open intervals, in order."""
+    write_text(intervals, path, [F.col(c).cast("string") for c in ("start", "stop")], [F.col("start")])
 
 
-def write_optimum(dp: DataFrame, scores: str, breaks: str, compat: bool = False) -> None:
-    write_text(dp, scores, [F.col("pos").cast("string"), six(F.col("opt")) if compat else F.col("opt").cast("string")])
-    write_text(dp, breaks, [F.col("pos").cast("string"), F.col("brk").cast("string")])
+def write_optimum(dp: DataFrame, scores: str, breaks: str, compat: bool = False, by: Sequence[str] = ()) -> None:
+    write_text(dp, scores, [F.col("pos").cast("string"), six(F.col("opt")) if compat else F.col("opt").cast("string")], by=by)
+    write_text(dp, breaks, [F.col("pos").cast("string"), F.col("brk").cast("string")], by=by)
 
 
-def write_by_left_end(edges: DataFrame, path: str, buckets: int) -> None:
+def write_by_left_end(edges: DataFrame, path: str, buckets: int, by: Sequence[str] = ()) -> None:
     """Parquet in which all edges of a left end lie in one file."""
-    edges.repartition(buckets, "loc_a").sortWithinPartitions("loc_a", "loc_b").write.parquet(path)
+    edges.repartition(buckets, *by, "loc_a").sortWithinPartitions(*by, "loc_a", "loc_b").write.parquet(path)
 
 
 def write_by_chunk(edges: DataFrame, path: str) -> None:

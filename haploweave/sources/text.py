@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from haploweave import schemas
 
@@ -80,15 +81,24 @@ def ids_by_super_pop(panel: DataFrame) -> DataFrame:
     return panel.groupBy("super_pop").agg(F.sort_array(F.collect_list("sample")).alias("samples"), F.count("*").alias("n_samples"))
 
 
-def parse_genetic_map(lines: DataFrame, order: Column | None = None) -> DataFrame:
-    """pos, cm of lines ``name position value``; of several lines for a position the last in ``order`` counts."""
+def read_placed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``line`` and ``place`` of all files: by name of the file, where in it a task begins to read, and the line's number within the task."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    return spark.read.text(paths_of(paths)).select(F.col("value").alias("line"), place.alias("place"))
+
+
+def parse_genetic_map(lines: DataFrame) -> DataFrame:
+    """pos, cm of lines ``name position value``; of several lines for a position the last counts: by ``place`` where lines have it (read_placed), else as they come."""
     f = fields(F.col("line"))
-    rows = lines.select(F.get(f, F.lit(1)).try_cast("long").alias("pos"), F.get(f, F.lit(2)).try_cast("double").alias("cm"), (F.monotonically_increasing_id() if order is None else order).alias("at"))
+    place = F.col("place") if "place" in lines.columns else F.monotonically_increasing_id()
+    rows = lines.select(F.get(f, F.lit(1)).try_cast("long").alias("pos"), F.get(f, F.lit(2)).try_cast("double").alias("cm"), place.alias("at"))
     return rows.where("pos IS NOT NULL").groupBy("pos").agg(F.max_by("cm", "at").alias("cm"))
 
 
-def read_table(spark: SparkSession, paths: str | Sequence[str], schema) -> DataFrame:
-    """A file of blank-separated numbers (positions, degrees, chunks, blocks, scores, breaks); other content is an error."""
+def read_table(spark: SparkSession, paths: str | Sequence[str], schema, by: Sequence[str] = ()) -> DataFrame:
+    """A file of blank-separated numbers (positions, degrees, chunks, blocks, scores, breaks); other content is an error. ``by``: keys, texts, that folders are named by."""
+    for key in by:
+        schema = T.StructType([*schema.fields, T.StructField(key, T.StringType())])
     return spark.read.csv(paths_of(paths), schema=schema, sep=" ", mode="FAILFAST")
 
 
@@ -100,6 +110,25 @@ def read_value(spark: SparkSession, path: str) -> float:
     return row["value"]
 
 
-def read_degree(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+def read_positions(spark: SparkSession, paths: str | Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    return read_table(spark, paths, schemas.POSITIONS, by)
+
+
+def read_chunks(spark: SparkSession, paths: str | Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    return read_table(spark, paths, schemas.CHUNKS, by)
+
+
+def read_blocks(spark: SparkSession, paths: str | Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    return read_table(spark, paths, schemas.BLOCKS, by)
+
+
+def read_optimum(spark: SparkSession, scores: str, breaks: str, by: Sequence[str] = ()) -> DataFrame:
+    """(pos, opt, brk) of the files of an earlier optimum; a position that only one of them has is an error."""
+    both = read_table(spark, scores, schemas.OPT_SCORES, by).join(read_table(spark, breaks, schemas.OPT_BREAKS, by), [*by, "pos"], "full")
+    lost = F.raise_error(F.concat(F.lit("no score or no break at "), F.col("pos").cast("string")))
+    return both.select(*by, "pos", F.coalesce("opt", lost.cast("double")).alias("opt"), F.coalesce("brk", lost.cast("long")).alias("brk"))
+
+
+def read_degree(spark: SparkSession, path: str, start: int, stop: int, by: Sequence[str] = ()) -> DataFrame:
     """Normalised degrees of positions from ``start`` to ``stop``."""
-    return read_table(spark, path, schemas.DEGREE).where(F.col("pos").between(start, stop))
+    return read_table(spark, path, schemas.DEGREE, by).where(F.col("pos").between(start, stop))
