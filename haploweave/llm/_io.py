@@ -104,7 +104,7 @@ class Filter:
 
     @classmethod
     def gather(cls, rows: DataFrame, hashes, bits: int = 27) -> Filter:
-        """Over what ``hashes(batches)`` yields, arrays of hashes; the filter's words, whatever their number, reach the driver."""
+        """Over what ``hashes(batches)`` yields, arrays of hashes: of 1 << ``bits`` bits at most, and as small as what it holds allows."""
 
         def mark(batches):
             for found in hashes(batches):
@@ -117,7 +117,17 @@ class Filter:
         words = np.zeros(1 << (bits - 6), np.uint64)
         for batch in rows.mapInArrow(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow().to_batches():
             words[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
-        return cls(words)
+        return cls(words).folded()
+
+    def folded(self) -> Filter:
+        """The same filter with fewer bits, where few are set: a place's upper bits are its place in a smaller one."""
+        bits, some = len(self.words).bit_length() + 5, np.flatnonzero(self.words)
+        word, bit = np.nonzero(np.unpackbits(self.words[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        fewer = min(bits, max(10, (5 * len(word)).bit_length()))
+        at = (some[word] * 64 + bit) >> (bits - fewer)
+        words = np.zeros(1 << (fewer - 6), np.uint64)
+        np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        return Filter(words)
 
     def hold(self, hashes: np.ndarray) -> np.ndarray:
         """Which of the hashes it may hold; those it was made of, it does."""
@@ -143,8 +153,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def may_be_among(column, ids: DataFrame):
     """A condition: whether the value of ``column``, a long, may be among ``ids``, a table of one long column. Never false for one that is.
 
-    A filter of fixed size (8 MB) is sent to the tasks, however many ids there are;
-    the more there are, the more values pass. Only ``column`` goes through Python.
+    A filter of at most 8 MB is sent to the tasks, however many ids there are; the
+    more there are, the more values pass. Only ``column`` goes through Python.
     Rows that can't be among ids thus need not be dealt out to look for them.
     """
     shared = ids.sparkSession.sparkContext.broadcast(Filter.gather(ids, _identifiers, bits=26))

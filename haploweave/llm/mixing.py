@@ -22,6 +22,8 @@ from haploweave.llm._io import WORD, materialize, table
 BUCKET_DIGITS = 3
 #: A document more that fits what is left to a target is added so many times at most; then one that goes over, if that is nearer.
 FILLS = 4
+#: Membership patterns and sources at most: the flow over them is found on the driver.
+PATTERNS = 50_000
 
 
 def quotas(sizes: list[int], weights: list[int], limit: int = 3) -> list[float]:
@@ -84,7 +86,7 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], targets: list[int
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: str = "mix") -> DataFrame:
-    """``docs(doc_id, size, sources)`` with source_names, targets, copies and by_source (source to copies).
+    """``docs(doc_id, size, sources)`` with source_names, source_sizes, targets (of the document's sources), copies and by_copy (the source that each copy counts for).
 
     ``sources``: the document's sources, an array of strings. Sources by code
     point, null last, take ``weights`` in turn. Each source's words taken come
@@ -92,13 +94,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
     fit what is left, and perhaps one that goes over bring them. Empty documents have size 0 and are
     laid on the line too. Repeated rows are documents of their own; rows without
     sources are never taken. The order is that of md5(seed:doc_id), so that
-    reruns agree; ties go by size. An empty table gives an empty result.
+    reruns agree; ties go by size. More than PATTERNS combinations of sources are an
+    error. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     pattern = F.to_json(F.sort_array(F.array_distinct(F.coalesce("sources", F.array().cast("array<string>")))), {"ignoreNullFields": "false"})
     lined = docs.withColumn("pattern", pattern).withColumn("spot", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))).withColumn("bucket", F.substring("spot", 1, BUCKET_DIGITS))
     lined = materialize(lined, "mix-sizes")
-    whole = lined.groupBy("pattern").agg(F.sum("size").cast("long").alias("words"), F.first("sources").alias("sources")).collect()
+    whole = lined.groupBy("pattern").agg(F.sum("size").cast("long").alias("words"), F.first("sources").alias("sources")).limit(PATTERNS + 1).collect()
+    if len(whole) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} combinations of sources: name sources more coarsely")
     whole.sort(key=lambda r: r["pattern"])
     held = [tuple(dict.fromkeys(r["sources"] or ())) for r in whole]
     names = sorted({s for h in held for s in h}, key=lambda s: (s is None, s or ""))

@@ -99,12 +99,12 @@ def _file(cleared: bool):
 
 
 def forest(f: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links at DISTANCE or less that connect what such links connect, searched from the group's centre."""
+    """Links at DISTANCE or less that connect what such links connect, searched from the group's centre outwards."""
     rest, found = np.unique(f), []
+    centre = np.uint64(majority(ones(rest), len(rest)))
+    rest = rest[np.argsort(np.bitwise_count(rest ^ centre), kind="stable")]
     while len(rest):
-        centre = np.uint64(majority(ones(rest), len(rest)))
-        at = int(np.argmin(np.bitwise_count(rest ^ centre)))
-        front, rest = [rest[at]], np.delete(rest, at)
+        front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             x = front.pop()
             near = np.bitwise_count(rest ^ x) <= DISTANCE
