@@ -45,9 +45,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fold(column):
-    """Lower-case A-Z only."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def folded(text):
+    """The bytes of a text with A-Z in lower case; of one that isn't UTF-8 too."""
+    by_byte = F.encode(F.translate(F.decode(text.cast("binary"), "ISO-8859-1"), _UPPER, _LOWER), "ISO-8859-1")
+    return F.when(F.is_valid_utf8(text), F.translate(text, _UPPER, _LOWER).cast("binary")).otherwise(by_byte)
 
 
 def pieces(batches, text: str = "text"):

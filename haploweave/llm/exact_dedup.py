@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haploweave.llm._io import Filter, as_bytes, fold, materialize, may_be_among, pieces, table, unused
+from haploweave.llm._io import Filter, as_bytes, folded, materialize, may_be_among, pieces, table, unused
 
 #: Runs of a level that are compacted to one of the next.
 FANOUT = 4
@@ -274,10 +274,10 @@ def exact_dedup(
     merged = alone.where("NOT may").drop("may").unionByName(suspects)
     merged = materialize(merged.select(member, "key", "keep_id", "w_memtable", "w_pos", "size", "entries").select(*own, "keep_id", "w_memtable", "w_pos", "size", "entries"), "dedup-members")
 
-    folded = fold(F.coalesce("text", F.lit("")))
+    own_text = folded(F.coalesce("text", F.lit("")))
     hits = merged.where("entries > 1")
     among = F.col("id").isNull() | may_be_among(F.col("id"), hits.select("id"))
-    texts = docs.where(among).select(F.col("id").alias("d_id"), folded.alias("text"))
+    texts = docs.where(among).select(F.col("id").alias("d_id"), own_text.alias("text"))
     read = hits.join(texts, F.col("id").eqNullSafe(F.col("d_id")) & (F.sha2("text", 256) == F.lower(F.hex("sha"))))
     read = read.select("memtable", "slot", "pos", "key", "w_memtable", "w_pos", "text").dropDuplicates(["memtable", "slot"])
     read = materialize(read, "dedup-texts")
@@ -290,7 +290,7 @@ def exact_dedup(
         here = merged.join(differ, "key", "left_semi")
         rows_here = here.where("own = 1").select("memtable", "slot", "pos", "id").unionByName(rows.join(here.select("memtable", "slot"), ["memtable", "slot"], "left_semi"))
         rows_here = rows_here.join(here.select("memtable", "slot", "key", "sha"), ["memtable", "slot"])
-        by_row = rows_here.join(docs.select(F.col("id").alias("d_id"), folded.alias("text")), F.col("id").eqNullSafe(F.col("d_id")) & (F.sha2("text", 256) == F.lower(F.hex("sha")))).dropDuplicates(["memtable", "pos"])
+        by_row = rows_here.join(docs.select(F.col("id").alias("d_id"), own_text.alias("text")), F.col("id").eqNullSafe(F.col("d_id")) & (F.sha2("text", 256) == F.lower(F.hex("sha")))).dropDuplicates(["memtable", "pos"])
         rank = F.struct((F.col("id") * sign).alias("i"), (-F.col("memtable")).alias("r"), (-F.col("pos")).alias("p"))
         by_bytes = by_row.groupBy("key", "text").agg(F.max(rank).alias("w"), F.count("*").alias("size"))
         by_bytes = by_bytes.select("key", "text", (F.col("w.i") * sign).alias("keep_id"), (-F.col("w.r")).alias("w_memtable"), (-F.col("w.p")).alias("w_pos"), "size")
@@ -314,18 +314,18 @@ def drop_exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
     """
     found = materialize(exact_dedup(docs, keep=keep).where("NOT kept").select("doc_id", "keep_id", "text_sha256").distinct(), "dedup-gone")
     other_id, other_sha, name = (unused(docs.columns, n) for n in ("other_id", "other_sha", "folded"))
-    own_id, folded = docs["doc_id"].cast("long"), fold(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    own_id, own_text = docs["doc_id"].cast("long"), folded(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
     def among(rows: DataFrame, of: DataFrame, how: str) -> DataFrame:
         rows = rows.select(F.col("doc_id").alias(other_id), F.col("text_sha256").alias(other_sha))
-        return of.join(rows, own_id.eqNullSafe(F.col(other_id)) & (F.sha2(folded, 256) == F.col(other_sha)), how)
+        return of.join(rows, own_id.eqNullSafe(F.col(other_id)) & (F.sha2(own_text, 256) == F.col(other_sha)), how)
 
     # only what the filter doesn't clear is dealt out
     may = own_id.isNull() | may_be_among(own_id, found.select("doc_id"))
     left = docs.where(~may).unionByName(among(found, docs.where(may), "left_anti"))
     repeated = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     if repeated.limit(1).count():
-        again = among(repeated, docs.where(may), "left_semi").withColumn(name, folded)
+        again = among(repeated, docs.where(may), "left_semi").withColumn(name, own_text)
         left = left.unionByName(again.dropDuplicates(["doc_id", name]).drop(name))
     return left
 

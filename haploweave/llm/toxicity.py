@@ -1,14 +1,19 @@
 """Toxicity by a linear-chain conditional random field.
 
 Labels are given for documents. Words and word beginnings that are significantly
-commoner in toxic documents label the tokens of a bounded training sample; a
-two-state chain (clean, toxic) is trained on windows of these tokens. A document
-is then tagged whole: forward-backward gives each token's probability of being
-toxic and the probability that any is. A logistic model, fitted on the sample's
-documents, turns those into a score; tokens over one half are the offending spans.
-
-Most tokens hold no feature with a weight. They share one potential, so a run of
-them is one matrix power, and only the other tokens are visited.
+commoner in toxic documents label the tokens of a bounded sample of documents,
+whole texts; a two-state chain (clean, toxic) is trained on all their tokens. Its
+features, of every token, are the word, its beginnings, its shape, and the words
+before and after. A document is then tagged whole: forward-backward gives each
+token's probability of being toxic and the probability that any is. A logistic
+model, fitted on the sample's documents, turns those into a score; tokens over one
+half are the offending spans.
+
+Training runs where the sample is: in each round every task takes gradient steps
+over its texts, and the weights are averaged. Weights are hashed, drawn towards
+zero and never below it: a token is clean unless something speaks for the other
+state, so most tokens have no weight. Those share one potential, so a run of them
+is one matrix power, and only the other tokens are visited.
 """
 
 from __future__ import annotations
@@ -34,9 +39,14 @@ BEGINNINGS = (3, 4, 5, 6)
 LEAST_DOCUMENTS = 4
 #: A feature labels tokens if at least such a share of its documents is toxic, adjusted to equal classes.
 PRECISION = 0.7
-WINDOW, WINDOWS = 32, 2
+#: Tokens of a training window; windows follow each other through a text. Windows of a gradient step.
+WINDOW, STEP = 32, 64
+#: Rounds of training, and parts of the sample that are trained on apart in each.
+ROUNDS, PARTS = 6, 8
+#: Hash buckets of the features' weights.
+BUCKETS = 1 << 18
 #: Smaller weights are dropped.
-LEAST_WEIGHT = 0.1
+LEAST_WEIGHT = 0.3
 WORD = re.compile(r"\w+")
 
 
@@ -93,36 +103,163 @@ def lexicon(sample: DataFrame) -> set[str]:
     return {f for f, k in toxic.items() if k / bad >= PRECISION * (k / bad + clean.get(f, 0) / good) and _tail(k, k + clean.get(f, 0), share) <= level}
 
 
-def _windower(marks: set[str]):
-    def cut(batches):
+def shape(word: str) -> str:
+    """What kinds of characters a word is made of, in order, each once in a row; and whether it is short."""
+    kinds = "".join("d" if c.isdigit() else "a" if c.isascii() else "x" for c in word)
+    return re.sub(r"(.)\1+", r"\1", kinds)[:8] + ("-" if len(word) <= 3 else "+")
+
+
+def buckets(word: str) -> list[int]:
+    """The buckets of a word's own features; then the one it gives to the token after it, and the one it gives to the token before."""
+    names = [*(f"o{f}" for f in features(word)), f"s{shape(word)}"]
+    return [xxhash.xxh3_64_intdigest(x) % (BUCKETS - 1) + 1 for x in (*names, f"p{word}", f"n{word}")]
+
+
+#: Features of a token: the word, its beginnings, its shape, the words before and after.
+FEATURES = 1 + len(BEGINNINGS) + 1 + 2
+
+
+class Encoder:
+    """Texts as rows of feature buckets and labels; 0 is no feature."""
+
+    def __init__(self, marks: set[str]):
+        self.marks, self.known = marks, {}
+
+    def word(self, word: str) -> tuple[list[int], bool]:
+        if (got := self.known.get(word)) is None:
+            if len(self.known) > 200_000:
+                self.known = {}
+            own = buckets(word)
+            got = [*own[:-2], *[0] * (FEATURES - len(own)), *own[-2:]], not self.marks.isdisjoint(features(word))
+            self.known[word] = got
+        return got
+
+    def __call__(self, toxic: int, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.word(w) for _, w in words_of(text)]
+        x = np.array([f for f, _ in found], np.int32).reshape(-1, FEATURES)
+        before, after = x[:, -2].copy(), x[:, -1].copy()
+        x[:, -2], x[:, -1] = np.concatenate(([0], before[:-1])) if len(x) else before, np.concatenate((after[1:], [0])) if len(x) else after
+        return x, np.array([m and bool(toxic) for _, m in found], bool)
+
+
+@dataclass
+class Model:
+    """Weights of the toxic state against the clean one: of feature buckets, a bias, and the moves clean-toxic, toxic-clean, toxic-toxic; and the sums of squared gradients."""
+
+    weights: np.ndarray
+    bias: float
+    moves: np.ndarray
+    sums: tuple[np.ndarray, float, np.ndarray]
+
+    @classmethod
+    def fresh(cls) -> Model:
+        return cls(np.zeros(BUCKETS, np.float32), -5.0, np.zeros(3), (np.full(BUCKETS, 1e-2, np.float32), 1e-2, np.full(3, 1e-2)))
+
+    def learn(self, f: np.ndarray, y: np.ndarray, m: np.ndarray, rate: float = 0.3, shrink: float = 0.05) -> None:
+        """One adaptive step on the exact log likelihood of windows: features (windows, WINDOW, FEATURES), labels, and which tokens there are."""
+        weights, bias, moves = self.weights, self.bias, self.moves
+        unary = np.where(m, bias + weights[f].sum(2), 0.0)
+        step = np.array([[0.0, moves[0]], [moves[1], moves[2]]])
+        size = len(f)
+        alpha, beta = np.zeros((WINDOW, size, 2)), np.zeros((WINDOW, size, 2))
+        alpha[0, :, 1] = unary[:, 0]
+        for t in range(1, WINDOW):
+            new = np.logaddexp(alpha[t - 1, :, :1] + step[0], alpha[t - 1, :, 1:] + step[1])
+            new[:, 1] += unary[:, t]
+            alpha[t] = np.where(m[:, t, None], new, alpha[t - 1])
+        for t in range(WINDOW - 2, -1, -1):
+            ahead = beta[t + 1].copy()
+            ahead[:, 1] += unary[:, t + 1]
+            new = np.logaddexp(step[:, 0] + ahead[:, :1], step[:, 1] + ahead[:, 1:])
+            beta[t] = np.where(m[:, t + 1, None], new, beta[t + 1])
+        log_z = np.logaddexp(alpha[-1, :, 0], alpha[-1, :, 1])
+        chance = np.exp((alpha + beta)[:, :, 1].T - log_z[:, None]) * m
+        slope = np.where(m, y - chance, 0)
+        turn = np.zeros(3)
+        for t in range(1, WINDOW):
+            on = m[:, t]
+            pair = alpha[t - 1][:, :, None] + step[None] + beta[t][:, None, :]
+            pair[:, :, 1] += unary[:, t, None]
+            pair = np.exp(pair - log_z[:, None, None])[on]
+            a, b = y[on, t - 1], y[on, t]
+            turn += [((1 - a) * b).sum() - pair[:, 0, 1].sum(), (a * (1 - b)).sum() - pair[:, 1, 0].sum(), (a * b).sum() - pair[:, 1, 1].sum()]
+        # only the buckets at hand move
+        at, place = np.unique(f, return_inverse=True)
+        grad = np.bincount(place.ravel(), np.repeat(slope.ravel(), FEATURES), len(at))
+        self.sums[0][at] += grad**2
+        moved = weights[at] + rate * grad / np.sqrt(self.sums[0][at])
+        weights[at] = np.maximum(moved - shrink * rate / np.sqrt(self.sums[0][at]), 0)
+        weights[0] = 0
+        b, t = self.sums[1] + slope.sum() ** 2, self.sums[2] + turn**2
+        self.bias, self.moves, self.sums = bias + rate * slope.sum() / math.sqrt(b), moves + rate * turn / np.sqrt(t), (self.sums[0], b, t)
+
+    def packed(self) -> bytes:
+        return np.concatenate([self.weights, [self.bias], self.moves, self.sums[0], [self.sums[1]], self.sums[2]]).astype("<f4").tobytes()
+
+    @classmethod
+    def mean(cls, parts: list[tuple[int, bytes]]) -> Model:
+        """The average of packed models, by how much each has seen."""
+        n = np.array([k for k, _ in parts], float)
+        x = sum(k * np.frombuffer(p, "<f4").astype(float) for k, p in parts) / n.sum()
+        w, rest = x[: BUCKETS + 4], x[BUCKETS + 4 :]
+        return cls(w[:BUCKETS].astype(np.float32), float(w[BUCKETS]), w[BUCKETS + 1 :], (rest[:BUCKETS].astype(np.float32), float(rest[BUCKETS]), rest[BUCKETS + 1 :]))
+
+    def chain(self) -> Chain:
+        return Chain(self.bias, np.where(self.weights >= LEAST_WEIGHT, self.weights, 0).astype(np.float32), tuple(float(x) for x in self.moves))
+
+
+def windows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text's tokens as windows that follow each other, the last one filled up: features, labels, which tokens there are."""
+    n = -(-len(x) // WINDOW)
+    f, g, m = np.zeros((n * WINDOW, FEATURES), np.int32), np.zeros(n * WINDOW), np.zeros(n * WINDOW, bool)
+    f[: len(x)], g[: len(x)], m[: len(x)] = x, y, True
+    return f.reshape(n, WINDOW, FEATURES), g.reshape(n, WINDOW), m.reshape(n, WINDOW)
+
+
+def _learner(model: bytes | None, marks: set[str]):
+    """One pass over a task's texts from where ``model`` is."""
+
+    def learn(batches):
+        now, encode, held, seen = Model.mean([(1, model)]) if model else Model.fresh(), Encoder(marks), [], 0
         for batch in pieces(batches):
-            rows = []
             for toxic, text in zip(batch.column("toxic").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                words = [w for _, w in words_of(text)]
-                found = [i for i, w in enumerate(words) if not marks.isdisjoint(features(w))]
-                seed = xxhash.xxh64_intdigest(text)
-                # around marks where there are any, and one anywhere
-                centres = [found[(seed >> (8 * k)) % len(found)] for k in range(WINDOWS - 1)] if found else []
-                centres.append(seed % max(len(words), 1))
-                for c in dict.fromkeys(centres):
-                    at = max(0, min(c - (seed >> 40) % WINDOW, len(words) - WINDOW))
-                    window = words[at : at + WINDOW]
-                    if window:
-                        rows.append((window, [int(toxic and i in set(found)) for i in range(at, at + len(window))]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["words", "labels"])
-
-    return cut
+                held.append(windows(*encode(toxic, text)))
+                if sum(len(f) for f, _, _ in held) >= STEP:
+                    f, y, m = (np.concatenate(c) for c in zip(*held, strict=True))
+                    for i in range(0, len(f) - STEP + 1, STEP):
+                        now.learn(f[i : i + STEP], y[i : i + STEP], m[i : i + STEP])
+                    rest = len(f) // STEP * STEP
+                    seen, held = seen + rest, [(f[rest:], y[rest:], m[rest:])]
+        if held and sum(len(f) for f, _, _ in held):
+            f, y, m = (np.concatenate(c) for c in zip(*held, strict=True))
+            now.learn(f, y, m)
+            seen += len(f)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([now.packed()], pa.binary())], names=["seen", "model"])
+
+    return learn
+
+
+def train(sample: DataFrame, marks: set[str], rounds: int = ROUNDS) -> Chain:
+    """A chain trained on the whole texts of ``sample(text, toxic)``; the driver gets PARTS models of BUCKETS weights a round."""
+    model = None
+    dealt = materialize(sample.select("text", "toxic", F.xxhash64("doc_id").alias("place")).repartition(PARTS, "place").sortWithinPartitions("place", "text"), "toxicity-dealt")
+    for _ in range(rounds):
+        held = dealt.sparkSession.sparkContext.broadcast(model)
+        parts = dealt.select("text", "toxic").mapInArrow(lambda batches, held=held: _learner(held.value, marks)(batches), "seen long, model binary").collect()
+        if not parts:
+            break
+        model = Model.mean([(r["seen"], r["model"]) for r in parts]).packed()
+    return (Model.mean([(1, model)]) if model else Model.fresh()).chain()
 
 
 @dataclass
 class Chain:
-    """Weights of the toxic state against the clean one: a bias, the features, and the transitions clean-toxic, toxic-clean, toxic-toxic."""
+    """Weights of the toxic state against the clean one, by feature bucket: a bias, the features, and the transitions clean-toxic, toxic-clean, toxic-toxic."""
 
     bias: float
-    weights: dict[str, float]
+    weights: np.ndarray
     moves: tuple[float, float, float]
-    marks: set[str]
 
     def __post_init__(self):
         a, b, c = (math.exp(x) for x in self.moves)
@@ -130,17 +267,19 @@ class Chain:
         self.step = np.array([[1, a], [b, c]])
         values, left = np.linalg.eig(self.step * [1, math.exp(self.bias)])
         self.values, self.left, self.right = values.real, left.real, np.linalg.inv(left.real)
-        self.seen: dict[str, float] = {}
+        self.seen: dict[str, tuple[float, float, float] | None] = {}
 
-    def evidence(self, word: str) -> float:
-        if (got := self.seen.get(word)) is None:
-            if len(self.seen) > 300_000:
+    def evidence(self, word: str) -> tuple[float, float, float] | None:
+        """What a word adds to its own token, to the one after and to the one before; None if nothing."""
+        if word not in self.seen:
+            if len(self.seen) > 200_000:
                 self.seen = {}
-            own = features(word)
-            got = 0.0 if self.marks.isdisjoint(own) else sum(self.weights.get(f, 0.0) for f in own)
-            if len(word) <= 64:
-                self.seen[word] = got
-        return got
+            w = [float(self.weights[i]) for i in buckets(word)]
+            got = (sum(w[:-2]), w[-2], w[-1])
+            if len(word) > 64:
+                return got if any(got) else None
+            self.seen[word] = got if any(got) else None
+        return self.seen[word]
 
     def run(self, n: int) -> tuple[np.ndarray, float]:
         """``n`` steps over plain tokens, scaled, and the log of the scale."""
@@ -149,15 +288,22 @@ class Chain:
 
     def look(self, text: bytes) -> tuple[int, list[tuple[int, int, int, float]]]:
         """(how many tokens, [(index, start, length, evidence) of tokens with features])."""
-        found, n, at = [], 0, 0
+        n, at, sums, places, ends = 0, 0, {}, {}, {}
         for _, part in chunks(text):
             part = part.decode("utf-8", "replace")
             words = WORD.findall(part)
             hits = {w: u for w in set(words) if (u := self.evidence(w.lower()))}
-            if hits:
-                found += [(n + i, at + m.start(), len(m[0]), hits[m[0]]) for i, m in enumerate(WORD.finditer(part)) if m[0] in hits]
+            for i, w in enumerate(words) if hits else ():
+                if (u := hits.get(w)) is not None:
+                    for j, x in ((n + i, u[0]), (n + i + 1, u[1]), (n + i - 1, u[2])):
+                        if x and j >= 0:
+                            sums[j] = sums.get(j, 0.0) + x
+            if hits or (words and n in sums):
+                places |= {n + i: (at + m.start(), len(m[0])) for i, m in enumerate(WORD.finditer(part)) if n + i in sums}
             n, at = n + len(words), at + len(part)
-        return n, found
+            if words:  # the word that the next part begins with may have evidence for this part's last
+                ends[n - 1] = (at - len(part) + part.rindex(words[-1]), len(words[-1]))
+        return n, [(j, *(places.get(j) or ends[j]), u) for j, u in sorted(sums.items()) if j < n and u]
 
     def tag(self, text: bytes) -> tuple[float, int, list[tuple[int, int, float]]]:
         """(log of the chance that no token is toxic, how many tokens, [(start, end, chance) of tokens with features])."""
@@ -198,72 +344,6 @@ class Chain:
         return -log_z, n, [(start, start + size, p) for (_, start, size, _), p in zip(found, chances, strict=True)]
 
 
-def train(windows: list[tuple[list[str], list[int]]], marks: set[str], rounds: int = 8, rate: float = 0.3, shrink: float = 1e-4, seed: int = 5) -> Chain:
-    """A chain trained on windows of (words, labels), by adaptive gradient steps on the exact log likelihood.
-
-    Only words that hold a mark have features; to the chain all others are plain.
-    """
-    marked = {w: not marks.isdisjoint(features(w)) for words, _ in windows for w in words}
-    seen = Counter(f for words, _ in windows for w in words if marked[w] for f in features(w))
-    names = {f: i + 1 for i, f in enumerate(sorted(f for f, n in seen.items() if n > 1))}
-    width = 1 + len(BEGINNINGS)
-    n = len(windows)
-    feats, gold, mask = np.zeros((n, WINDOW, width), np.int64), np.zeros((n, WINDOW)), np.zeros((n, WINDOW), bool)
-    for r, (words, labels) in enumerate(windows):
-        mask[r, : len(words)], gold[r, : len(words)] = True, labels
-        for c, w in enumerate(words):
-            if marked[w]:
-                for k, f in enumerate(features(w)):
-                    feats[r, c, k] = names.get(f, 0)
-    weights, bias, moves = np.zeros(len(names) + 1), -3.0, np.zeros(3)
-    sums = [np.full(len(weights), 1e-2), 1e-2, np.full(3, 1e-2)]
-    rng = np.random.default_rng(seed)
-    for _ in range(rounds):
-        order = rng.permutation(n)
-        for i in range(0, n, 256):
-            at = order[i : i + 256]
-            f, y, m = feats[at], gold[at], mask[at]
-            unary = np.where(m, bias + weights[f].sum(2), 0.0)
-            step = np.array([[0.0, moves[0]], [moves[1], moves[2]]])
-            size = len(at)
-            alpha, beta = np.zeros((WINDOW, size, 2)), np.zeros((WINDOW, size, 2))
-            alpha[0, :, 1] = unary[:, 0]
-            for t in range(1, WINDOW):
-                new = np.logaddexp(alpha[t - 1, :, :1] + step[0], alpha[t - 1, :, 1:] + step[1])
-                new[:, 1] += unary[:, t]
-                alpha[t] = np.where(m[:, t, None], new, alpha[t - 1])
-            for t in range(WINDOW - 2, -1, -1):
-                ahead = beta[t + 1].copy()
-                ahead[:, 1] += unary[:, t + 1]
-                new = np.logaddexp(step[:, 0] + ahead[:, :1], step[:, 1] + ahead[:, 1:])
-                beta[t] = np.where(m[:, t + 1, None], new, beta[t + 1])
-            log_z = np.logaddexp(alpha[-1, :, 0], alpha[-1, :, 1])
-            chance = np.exp((alpha + beta)[:, :, 1].T - log_z[:, None]) * m
-            slope = np.where(m, y - chance, 0)
-            grad = np.zeros_like(weights)
-            np.add.at(grad, f.ravel(), np.repeat(slope.ravel(), width))
-            grad[0] = 0
-            turn = np.zeros(3)
-            for t in range(1, WINDOW):
-                on = m[:, t]
-                pair = alpha[t - 1][:, :, None] + step[None] + beta[t][:, None, :]
-                pair[:, :, 1] += unary[:, t, None]
-                pair = np.exp(pair - log_z[:, None, None])[on]
-                a, b = y[on, t - 1], y[on, t]
-                turn += [((1 - a) * b).sum() - pair[:, 0, 1].sum(), (a * (1 - b)).sum() - pair[:, 1, 0].sum(), (a * b).sum() - pair[:, 1, 1].sum()]
-            for j, g in enumerate((grad / size - shrink * weights, slope.sum() / size, turn / size)):
-                sums[j] = sums[j] + g**2
-                move = rate * g / np.sqrt(sums[j])
-                if j == 0:
-                    weights = weights + move
-                elif j == 1:
-                    bias += move
-                else:
-                    moves = moves + move
-    kept = {f: float(weights[i]) for f, i in names.items() if abs(weights[i]) >= LEAST_WEIGHT}
-    return Chain(float(bias), kept, tuple(float(x) for x in moves), marks)
-
-
 #: Numbers that a score is made of.
 EVIDENCE = 4
 
@@ -311,8 +391,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[Chain,
     some = F.broadcast(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))  # at most ``limit`` rows of two numbers
     sample = materialize(docs.join(some, "doc_id"), "toxicity-sample")
     marks = lexicon(sample)
-    windows = sample.mapInArrow(_windower(marks), "words array<string>, labels array<long>").toArrow()
-    chain = train(sorted(zip(windows.column(0).to_pylist(), windows.column(1).to_pylist(), strict=True)), marks) if marks else Chain(-12.0, {}, (0.0, 0.0, 0.0), marks)
+    chain = train(sample, marks) if marks else Chain(-12.0, np.zeros(BUCKETS, np.float32), (0.0, 0.0, 0.0))
     rows = sample.mapInArrow(_scorer(chain, None), "toxic long, x array<double>").toArrow()
     y = rows.column(0).to_numpy().astype(float)
     x = np.array(rows.column(1).to_pylist()).reshape(-1, EVIDENCE)

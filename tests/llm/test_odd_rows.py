@@ -177,3 +177,24 @@ def test_whole_pipeline(spark, sf_dir):
     found = corpus_pipeline.run(spark, sf_dir)
     assert found.count() > 0
     assert found.select("doc_id").distinct().join(docs, "doc_id", "left_anti").count() == 0
+
+
+def test_bytes_that_are_no_utf8(spark, tmp_path, labels):
+    """Texts that aren't UTF-8 are read by every operator, and come back as they are."""
+    from pyspark.sql import functions as F
+
+    raw = ["66FF6F20FFC320616263", "FFFE", "FFFD", "C3", "746F6B656E3D61FF6263646566", "66FF6F20FFC320616263"]
+    rows = spark.createDataFrame([(i, x, "s") for i, x in enumerate(raw)], "doc_id long, hex string, source string")
+    docs = rows.select("doc_id", F.unhex("hex").cast("string").alias("text"), "source")
+    back = lambda df: {r["doc_id"]: r["h"] for r in df.select("doc_id", F.hex("text").alias("h")).collect()}
+    assert back(docs) == dict(enumerate(raw))
+    found = back(pii.replace_pii(docs, b"k"))
+    assert {i: x for i, x in found.items() if i != 4} == {i: x for i, x in enumerate(raw) if i != 4}
+    assert found[4] != raw[4] and len(found[4]) == len(raw[4])
+    assert {r["doc_id"]: r["n_pretokens"] for r in token_counts.count_tokens(docs).collect()} == {0: 3, 1: 1, 2: 1, 3: 1, 4: 1, 5: 3}
+    assert quality.select_quality(docs, labels).count() == toxicity.score_toxicity(docs, labels).count() == simhash.simhash_components(docs).count() == len(raw)
+    groups = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert groups == {0: (5, 2), 1: (1, 1), 2: (2, 1), 3: (3, 1), 4: (4, 1), 5: (5, 2)}
+    assert ids(exact_dedup.drop_exact_duplicates(docs)) == [1, 2, 3, 4, 5]
+    assert ids(simhash.drop_near_duplicates(docs)) == [0, 1, 2, 3, 4]
+    assert packing.pack(packing.token_pieces(docs)).count() == mixing.mix(mixing.sized(docs)).count() == len(raw)
