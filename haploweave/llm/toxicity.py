@@ -216,14 +216,34 @@ def windows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return f.reshape(n, WINDOW, FEATURES), g.reshape(n, WINDOW), m.reshape(n, WINDOW)
 
 
-def _learner(model: bytes | None, marks: set[str]):
+#: Tokens of a stored row of training data.
+ROW = 1 << 16
+
+
+def _encoder(marks: set[str]):
+    """Whole texts as rows of features and labels, ROW tokens each."""
+
+    def encode(batches):
+        texts = Encoder(marks)
+        for batch in pieces(batches):
+            for place, toxic, text in zip(batch.column("place").to_pylist(), batch.column("toxic").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                x, y = texts(toxic, text)
+                starts = range(0, len(x), ROW)
+                if len(x):
+                    columns = [[place] * len(starts), list(starts), [x[i : i + ROW].tobytes() for i in starts], [y[i : i + ROW].tobytes() for i in starts]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["place", "start", "x", "y"])
+
+    return encode
+
+
+def _learner(model: bytes | None):
     """One pass over a task's texts from where ``model`` is."""
 
     def learn(batches):
-        now, encode, held, seen = Model.mean([(1, model)]) if model else Model.fresh(), Encoder(marks), [], 0
-        for batch in pieces(batches):
-            for toxic, text in zip(batch.column("toxic").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                held.append(windows(*encode(toxic, text)))
+        now, held, seen = Model.mean([(1, model)]) if model else Model.fresh(), [], 0
+        for batch in batches:
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                held.append(windows(np.frombuffer(x, np.int32).reshape(-1, FEATURES), np.frombuffer(y, bool)))
                 if sum(len(f) for f, _, _ in held) >= STEP:
                     f, y, m = (np.concatenate(c) for c in zip(*held, strict=True))
                     for i in range(0, len(f) - STEP + 1, STEP):
@@ -241,15 +261,16 @@ def _learner(model: bytes | None, marks: set[str]):
 
 
 def train(sample: DataFrame, marks: set[str], rounds: int = ROUNDS) -> Chain:
-    """A chain trained on the whole texts of ``sample(text, toxic)``; the driver gets PARTS models of BUCKETS weights a round."""
+    """A chain trained on the whole texts of ``sample(text, toxic, doc_id)``; the driver gets PARTS models of BUCKETS weights a round."""
     model = None
-    dealt = materialize(sample.select("text", "toxic", F.xxhash64("doc_id").alias("place")).repartition(PARTS, "place").sortWithinPartitions("place", "text"), "toxicity-dealt")
+    coded = sample.select(F.xxhash64("doc_id").alias("place"), F.col("toxic").cast("long"), "text").mapInArrow(_encoder(marks), "place long, start long, x binary, y binary")
+    dealt = materialize(coded.repartition(PARTS, "place").sortWithinPartitions("place", "start", "x"), "toxicity-dealt")
     for _ in range(rounds):
         held = dealt.sparkSession.sparkContext.broadcast(model)
-        parts = dealt.select("text", "toxic").mapInArrow(lambda batches, held=held: _learner(held.value, marks)(batches), "seen long, model binary").collect()
+        parts = dealt.select("x", "y").mapInArrow(lambda batches, held=held: _learner(held.value)(batches), "seen long, model binary").collect()
         if not parts:
             break
-        model = Model.mean([(r["seen"], r["model"]) for r in parts]).packed()
+        model = Model.mean(sorted((r["seen"], bytes(r["model"])) for r in parts)).packed()
     return (Model.mean([(1, model)]) if model else Model.fresh()).chain()
 
 
