@@ -83,6 +83,7 @@ ORACLE = {
     "fisher_penalty": f"WITH t AS (SELECT exp(2 * CAST(1.96 AS DOUBLE) / sqrt({OBSERVED} - 3)) AS e) SELECT CAST({OBSERVED} AS BIGINT) AS n, round(pow((e - 1) / (e + 1), 2), 9) + 0.0 AS penalty FROM t",
     "sample_semi_join": "SELECT CAST(9 + i AS BIGINT) AS \"column\", 'S' || i AS sample FROM range(0, 32, 3) t(i)",
     "sample_individuals": "SELECT c_name AS sample FROM customer ORDER BY md5('sample:' || c_name), c_name LIMIT 100",
+    "sample_edges": f"WITH {ITEMS} SELECT * FROM items ORDER BY md5('sample:' || loc_a || ':' || loc_b), loc_a, loc_b LIMIT 100",
     "panel_by_superpop": r"""SELECT regexp_replace(r_name, '\s', '_', 'g') AS super_pop, count(*) AS n_samples, min(regexp_replace(c_name, '\s', '_', 'g')) AS first_sample, max(regexp_replace(c_name, '\s', '_', 'g')) AS last_sample
       FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""",
     "geno_counts_phased": f"WITH {TEXT_HAPS} SELECT pos, {COUNTS}, bool_or(other) AS multiallelic FROM s GROUP BY pos",

@@ -92,6 +92,10 @@ def sample_individuals(spark, d):
     return text.sample_ids(names, 100)
 
 
+def sample_edges(spark, d):
+    return text.sample_rows(synth.items(spark, d), 100, ["loc_a", "loc_b"])
+
+
 def panel_by_superpop(spark, d):
     c, n, r = (synth.table(spark, d, t) for t in ("customer", "nation", "region"))
     rows = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -338,7 +342,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         edge_parse_text, edge_canonicalize, edge_duplicates, variant_list, chromosome_extent, combine_max, degree_k, total_weight_m, degree_normalized, degree_range,
-        background_penalty, long_range_edges, edges_in_range, chi_penalty, fisher_penalty, power_penalty, sample_semi_join, sample_individuals, panel_by_superpop, geno_counts_phased,
+        background_penalty, long_range_edges, edges_in_range, chi_penalty, fisher_penalty, power_penalty, sample_semi_join, sample_individuals, sample_edges, panel_by_superpop, geno_counts_phased,
         geno_counts_unphased, geno_counts_selected, site_row_counts, site_filter_reasons, maf_filter, high_missingness, variance, pair_r2_phased, pair_r2_unphased_missing,
         pair_r2_shrinkage, gmap_missing_sites, genetic_map_lookup, right_neighbor, left_neighbor, chunk_intervals, chunk_edge_subset, pair_weights_threshold,
         window_scores_threshold, window_scores_modularity, opt_scores, opt_blocks, best_total, partition_summary, chunked_opt_scores, dp_resume, consensus_shrunk,

@@ -65,9 +65,15 @@ def parse_ids(lines: DataFrame) -> DataFrame:
     return lines.select(F.explode(fields(F.col("line"))).alias("sample")).where("sample != ''").distinct()
 
 
+def sample_rows(rows: DataFrame, n: int, keys: Sequence[str], seed: str = "sample") -> DataFrame:
+    """``n`` of the rows, by a seeded hash of ``keys``: the same ones on every run."""
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(":", *(F.col(k).cast("string") for k in keys))))
+    return rows.orderBy(place, *keys).limit(n)
+
+
 def sample_ids(ids: DataFrame, n: int, seed: str = "sample") -> DataFrame:
-    """``n`` of the names, by a seeded hash: the same ones on every run."""
-    return ids.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("sample"))), "sample").limit(n)
+    """``n`` of the names."""
+    return sample_rows(ids, n, ["sample"], seed)
 
 
 def parse_panel(lines: DataFrame) -> DataFrame:

@@ -246,3 +246,61 @@ def test_random_chromosomes(spark, seed):
     assert rows(chunked, "chrom", "pos", "brk") == rows(dp, "chrom", "pos", "brk")
     assert rows(edges.combine([graph, graph], by), "chrom", "loc_a", "loc_b", "r") == sorted(edge_rows)
     assert math.isfinite(sum(totals.values()))
+
+
+def test_degrees_of_freedom():
+    assert statistics._gamma_share(0.5, 3.841458820694124 / 2)[1] == pytest.approx(0.05, abs=1e-12)
+    assert statistics.chi_square_critical(0.05, 2) == pytest.approx(-2 * math.log(0.05), abs=1e-9)
+    assert statistics.chi_square_critical(0.05, 5) == pytest.approx(11.070497693516351, abs=1e-8)
+    assert statistics.chi_penalty(50, 0.01, 2) == pytest.approx(-2 * math.log(0.01) / 50, abs=1e-9)
+    # the effect that two degrees of freedom need for a power of 0.8 at 0.05
+    assert 100 * statistics.solve_w(100, 0.05, 0.8, 2) ** 2 == pytest.approx(9.6347, abs=1e-3)
+    alpha = statistics.solve_alpha(100, 0.3, 0.8, 3)
+    assert statistics.power_of(100, 0.3, alpha, 3) == pytest.approx(0.8, abs=1e-9)
+    assert statistics.power_penalty(100, 0.3, 0.8, 3) == pytest.approx(statistics.chi_square_critical(alpha, 3) / 100)
+
+
+def test_parts_of_a_partition(spark):
+    """Parts solved apart, whatever their size and reach, against one pass over each line."""
+    rng = random.Random(1)
+    n, rows = 150, []
+    for c in "ab":
+        for i in range(n):
+            rows += [(c, i, j, i * 10, j * 10, rng.uniform(-1, 1)) for j in range(i, min(n, i + rng.choice([3, 8, 12])))]
+    scores = spark.createDataFrame(rows, "c string, i long, j long, pos_i long, pos_j long, score double").cache()
+    want = {}
+    for c in "ab":
+        opt = [0.0] * (n + 1)
+        for i in reversed(range(n)):
+            opt[i], brk = max((s + opt[j + 1], -j) for d, k, j, _, _, s in rows if (d, k) == (c, i))
+            want[c, i] = (pytest.approx(opt[i]), -brk * 10)
+    for size, ahead in ((37, 3), (64, 16), (1000, 10), (1, 1)):
+        found = blocks.optimum(scores, ["c"], size, ahead).collect()
+        assert {(r["c"], r["idx"]): (r["opt"], r["brk"]) for r in found} == want
+        for c in "ab":
+            own = sorted((r["pos"], r["brk"]) for r in found if r["c"] == c and r["starts"])
+            assert own[0][0] == 0 and own[-1][1] == 10 * (n - 1)
+            assert all(a[1] + 10 == b[0] for a, b in zip(own, own[1:]))
+
+
+def test_lines_in_stretches(spark):
+    """Ranks, neighbours, running values and islands do not depend on how a line is cut."""
+    from haploweave.operators import ranges
+
+    rng = random.Random(3)
+    points = sorted(rng.sample(range(3000), 200))
+    chrom = spark.createDataFrame([(p,) for p in points], "pos long")
+    whole = rows(ranges.ranked(chrom), "pos", "idx")
+    assert whole == [(p, i) for i, p in enumerate(points)]
+    assert rows(ranges.ranked(chrom, width=64), "pos", "idx") == whole
+    line = ranges.ranked(chrom)
+    columns = ("pos", "right_idx", "right_pos", "left_idx", "left_pos")
+    near = rows(ranges.neighbours(line, 90), *columns)
+    assert rows(ranges.neighbours(line, 90, width=50), *columns) == near
+    for p, r, q, l, m in near:
+        reach = [x for x in points if abs(x - p) <= 90]
+        assert (q, m, r, l) == (reach[-1], reach[0], points.index(reach[-1]), points.index(reach[0]))
+    spans = spark.createDataFrame([(float(a), float(a + rng.randint(1, 40))) for a in rng.choices(range(2000), k=150)], "start double, stop double")
+    merged = rows(consensus.islands(spans), "start", "stop")
+    assert rows(consensus.islands(spans, width=32), "start", "stop") == merged
+    assert all(a[1] <= b[0] for a, b in zip(merged, merged[1:]))
