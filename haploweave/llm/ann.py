@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by score-aware anisotropic quantisation.
 
-Unit vectors are cut into pairs of components with 16 codewords each. Codes and
-codewords minimise a loss that weighs the residual parallel to the vector more
-than the rest, as that part changes large inner products. A scan sums, for every
-row of a block, table entries picked by its four-bit codes (two codes a byte);
-the rows at the top of the scan are scored again exactly.
+What unit vectors differ by from the nearest of some fine centres is cut into pairs
+of components with 16 codewords each. Codes and codewords minimise a loss that
+weighs the residual parallel to the vector more than the rest, as that part changes
+large inner products. A scan sums, for every row of a block, its centre's inner
+product and table entries picked by its four-bit codes (two codes a byte); the rows
+at the top of the scan are scored again exactly.
 
 Rows are dealt to cells around centres, and large cells to blocks. A query goes to
 the cells nearest to it: so many that nearly all neighbours of a sample's vectors
@@ -31,14 +32,16 @@ THRESHOLD = 0.2
 #: Codebook and centres are fitted on so many rows at most, by hash of the identifier.
 SAMPLE = 20_000
 CODEWORDS, WIDTH = 16, 2
+#: Fine centres at most, and vectors of the sample for each.
+FINE, FINE_ROWS = 1 << 10, 16
 #: Rows for each cell, and cells at most: their centres are sent to every task.
 CELL, CELLS = 1 << 12, 1 << 10
 #: The share of a sample's neighbours that lie in the cells a query goes to, and the sample's vectors that are looked at.
 PROBED, LOOKED = 0.995, 500
 #: Distinct vectors of a block, about.
 BLOCK = 1 << 16
-#: Of a block, distinct vectors at the top of the scan that are scored exactly.
-RERANK = 64
+#: Of a block, distinct vectors at the top of the scan that are scored exactly: at least, and at most. Between them, as many as hold the share PROBED of neighbours.
+RERANK, MOST_RERANK = 64, 1 << 12
 
 
 def _weights(dim: int) -> float:
@@ -53,41 +56,41 @@ def _split(x: np.ndarray) -> np.ndarray:
     return x.reshape(len(x), -1, WIDTH)
 
 
-def encode(x: np.ndarray, books: np.ndarray, rounds: int = 2, codes: np.ndarray | None = None) -> np.ndarray:
-    """Codes of unit vectors (rows, subspaces, WIDTH), each chosen in turn to lessen the loss given the others."""
+def encode(x: np.ndarray, r: np.ndarray, books: np.ndarray, rounds: int = 2, codes: np.ndarray | None = None) -> np.ndarray:
+    """Codes of ``r``, what is left of unit vectors ``x`` (rows, subspaces, WIDTH) after their centres, each chosen in turn to lessen the loss given the others."""
     n, m, _ = x.shape
     extra = _weights(m * WIDTH)
     if codes is None:
-        codes = np.stack([((x[:, s, None] - books[s][None]) ** 2).sum(2).argmin(1) for s in range(m)], 1)
-    # the residual's inner product with the vector
-    left = 1 - sum((x[:, s] * books[s][codes[:, s]]).sum(1) for s in range(m))
+        codes = np.stack([((r[:, s, None] - books[s][None]) ** 2).sum(2).argmin(1) for s in range(m)], 1)
+    # the error's inner product with the vector
+    left = (x * r).sum((1, 2)) - sum((x[:, s] * books[s][codes[:, s]]).sum(1) for s in range(m))
     for _ in range(rounds):
         for s in range(m):
             along = x[:, s] @ books[s].T
             own = along[np.arange(n), codes[:, s]]
             left += own
-            cost = (books[s] ** 2).sum(1)[None] - 2 * along + extra * (along**2 - 2 * left[:, None] * along)
+            cost = (books[s] ** 2).sum(1)[None] - 2 * r[:, s] @ books[s].T + extra * (along**2 - 2 * left[:, None] * along)
             codes[:, s] = cost.argmin(1)
             left -= along[np.arange(n), codes[:, s]]
     return codes
 
 
-def fit(x: np.ndarray, rounds: int = 6, seed: int = 7) -> np.ndarray:
-    """Codebooks (subspaces, CODEWORDS, WIDTH) for unit vectors, by turns of codes and codewords."""
+def fit(x: np.ndarray, r: np.ndarray, rounds: int = 6, seed: int = 7) -> np.ndarray:
+    """Codebooks (subspaces, CODEWORDS, WIDTH) for ``r`` of unit vectors ``x``, by turns of codes and codewords."""
     n, m, _ = x.shape
     rng = np.random.default_rng(seed)
     extra = _weights(m * WIDTH)
-    books = np.stack([x[rng.choice(n, CODEWORDS, replace=n < CODEWORDS), s] for s in range(m)])
+    books = np.stack([r[rng.choice(n, CODEWORDS, replace=n < CODEWORDS), s] for s in range(m)])
     for _ in range(rounds):  # plain k-means to start from
         for s in range(m):
-            at = ((x[:, s, None] - books[s][None]) ** 2).sum(2).argmin(1)
+            at = ((r[:, s, None] - books[s][None]) ** 2).sum(2).argmin(1)
             count = np.bincount(at, minlength=CODEWORDS)
             for d in range(WIDTH):
-                books[s, :, d] = np.where(count, np.bincount(at, x[:, s, d], CODEWORDS) / np.maximum(count, 1), books[s, :, d])
+                books[s, :, d] = np.where(count, np.bincount(at, r[:, s, d], CODEWORDS) / np.maximum(count, 1), books[s, :, d])
     codes = None
     for _ in range(rounds):
-        codes = encode(x, books, 1, codes)
-        left = 1 - sum((x[:, s] * books[s][codes[:, s]]).sum(1) for s in range(m))
+        codes = encode(x, r, books, 1, codes)
+        left = (x * r).sum((1, 2)) - sum((x[:, s] * books[s][codes[:, s]]).sum(1) for s in range(m))
         for s in range(m):
             own = (x[:, s] * books[s][codes[:, s]]).sum(1)
             left += own
@@ -96,7 +99,7 @@ def fit(x: np.ndarray, rounds: int = 6, seed: int = 7) -> np.ndarray:
                 if on.any():
                     y = x[on, s]
                     a = on.sum() * np.eye(WIDTH) + extra * y.T @ y
-                    books[s, k] = np.linalg.solve(a, y.sum(0) + extra * (y * left[on, None]).sum(0))
+                    books[s, k] = np.linalg.solve(a, r[on, s].sum(0) + extra * (y * left[on, None]).sum(0))
             left -= (x[:, s] * books[s][codes[:, s]]).sum(1)
     return books
 
@@ -116,7 +119,7 @@ def centres(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 3) -> np.nda
     """Unit centres of ``cells`` cells of unit vectors, by spherical k-means."""
     found = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):
-        at = _near(x, found).argmax(1)
+        at = _nearest(x, found)
         total = np.zeros_like(found)
         np.add.at(total, at, x)
         size = np.sqrt((total * total).sum(1, keepdims=True))
@@ -129,6 +132,11 @@ def _near(x: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.stack([(x * c).sum(1) for c in to], 1) if len(to) else np.zeros((len(x), 0))
 
 
+def _nearest(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The centre with the largest inner product, in pieces."""
+    return np.concatenate([(x[i : i + 4096] @ to.T).argmax(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+
+
 def probes(x: np.ndarray, to: np.ndarray, k: int) -> int:
     """How many cells, nearest first, hold the share PROBED of the sample's ``k`` nearest neighbours."""
     own = _near(x, to).argmax(1)
@@ -143,6 +151,23 @@ def probes(x: np.ndarray, to: np.ndarray, k: int) -> int:
     return int(np.quantile(ranks, PROBED, method="higher")) + 1 if ranks else len(to)
 
 
+def depth(x: np.ndarray, fine: np.ndarray, books: np.ndarray, k: int, count: int) -> int:
+    """How many vectors at the top of a scan of ``count`` hold the share PROBED of the ``k`` nearest, as ranks in a scan of the sample tell."""
+    at = _nearest(x, fine)
+    codes, ranks = encode(_split(x), _split(x - fine[at]), books), []
+    for i in range(0, len(x), -(-len(x) // (LOOKED // 4))):
+        entries = np.einsum("skw,sw->sk", books, _split(x[i : i + 1])[0]).astype(np.float32)
+        scan = (fine @ x[i]).astype(np.float32)[at]
+        for s in range(len(entries)):
+            scan += entries[s][codes[:, s]]
+        near = x @ x[i]
+        near[i], scan[i] = -np.inf, -np.inf
+        best = np.argpartition(-near, min(k, len(x) - 1))[:k]
+        ranks += [int((scan > scan[j]).sum()) + 1 for j in best if j != i]
+    found = np.quantile(ranks, PROBED, method="higher") * max(1.0, count / len(x)) if ranks else 0
+    return int(min(max(found, RERANK), MOST_RERANK))
+
+
 def _wanted(held: list[int], row: int, k: int, keep: int) -> bool:
     """Whether one identifier more, in order, can be in a result: of repeated rows k at most."""
     return len(held) < keep and (len(held) < k or held[-k] != row)
@@ -155,12 +180,12 @@ class Block:
     are held, as no query's result needs more.
     """
 
-    def __init__(self, books: np.ndarray, k: int, keep: int, rerank: int):
-        self.books, self.k, self.keep, self.rerank = books, k, keep, max(rerank, keep)
+    def __init__(self, fine: np.ndarray, books: np.ndarray, k: int, keep: int, rerank: int):
+        self.fine, self.books, self.k, self.keep, self.rerank = fine, books, k, keep, max(rerank, keep)
         self.at: dict[bytes, int] = {}
         self.ids: list[list[int]] = []
         self.rows: list[tuple[np.ndarray, np.ndarray]] = []
-        self.vectors = self.codes = None
+        self.vectors = self.codes = self.centre = None
 
     def add(self, ids: list[int], vectors: np.ndarray, codes: list[bytes]) -> None:
         new = []
@@ -176,7 +201,9 @@ class Block:
 
     def seal(self) -> None:
         self.vectors = np.concatenate([v for v, _ in self.rows])
-        self.codes = np.ascontiguousarray(np.concatenate([c for _, c in self.rows]).T)
+        codes = np.concatenate([c for _, c in self.rows])
+        self.centre = np.ascontiguousarray(codes[:, :2]).view("<u2").ravel()
+        self.codes = np.ascontiguousarray(codes[:, 2:].T)
         self.at, self.rows = {}, []
 
     def search(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +211,7 @@ class Block:
         entries = np.einsum("skw,sw->sk", self.books, _split(query[None])[0]).astype(np.float32)
         if len(entries) % 2:
             entries = np.vstack([entries, np.zeros((1, CODEWORDS), np.float32)])
-        near = np.zeros(self.codes.shape[1], np.float32)
+        near = (self.fine @ query).astype(np.float32)[self.centre]
         for j in range(len(self.codes)):
             near += (entries[2 * j][None, :] + entries[2 * j + 1][:, None]).ravel()[self.codes[j]]
         at = np.argpartition(-near, self.rerank)[: self.rerank] if len(near) > self.rerank else np.arange(len(near))
@@ -204,7 +231,7 @@ def _valid(rows: DataFrame) -> tuple[DataFrame, int, int]:
     return rows.where(F.size("v") == dim), dim, count
 
 
-def search(rows: DataFrame, query_modulus: int, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+def search(rows: DataFrame, query_modulus: int, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int | None = None, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found by cosine for each row whose id ``query_modulus`` divides.
 
     A row's candidates are all rows with another id; fewer than ``k`` give fewer
@@ -229,8 +256,9 @@ def search(rows: DataFrame, query_modulus: int, k: int = 5, id_col: str = "vec_i
     # hashes thin the rows before the order does, so that few rows meet in the order
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= (2 << 20) * SAMPLE // count)
     sample = _units(_matrix(some.orderBy(F.xxhash64("id"), "v").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks(), dim))
-    books, to = fit(_split(sample)), centres(sample, min(CELLS, -(-count // cell)))
-    reach = probes(sample, to, k)
+    fine = centres(sample, min(FINE, -(-len(sample) // FINE_ROWS)), rounds=4)
+    books, to = fit(_split(sample), _split(sample - fine[_nearest(sample, fine)])), centres(sample, min(CELLS, -(-count // cell)))
+    reach, rerank = probes(sample, to, k), rerank or depth(sample, fine, books, k, count)
 
     def index(batches):
         for batch in batches:
@@ -247,10 +275,11 @@ def search(rows: DataFrame, query_modulus: int, k: int = 5, id_col: str = "vec_i
                     is_candidate[i] = True
             kept = np.flatnonzero(is_candidate | is_query)
             units = _units(vectors[kept])
-            codes = encode(_split(units), books).astype(np.uint8)
+            own = _nearest(units, fine)
+            codes = encode(_split(units), _split(units - fine[own]), books).astype(np.uint8)
             if codes.shape[1] % 2:
                 codes = np.pad(codes, ((0, 0), (0, 1)))
-            packed = codes[:, 0::2] | (codes[:, 1::2] << 4)
+            packed = np.hstack([own.astype("<u2")[:, None].view(np.uint8), codes[:, 0::2] | (codes[:, 1::2] << 4)])
             part = batch.take(pa.array(kept))
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(keys[i]) for i in kept), np.int64).reshape(-1, 2)
             columns = [pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(_near(units, to).argmax(1).astype(np.int32)), *(pa.array(digests[:, i].copy()) for i in (0, 1)), pa.array(is_candidate[kept]), pa.array(is_query[kept])]
@@ -294,7 +323,7 @@ def search(rows: DataFrame, query_modulus: int, k: int = 5, id_col: str = "vec_i
                     continue
                 part = batch.slice(start, stop - start)
                 if at[start] != number:
-                    number, now = at[start], Block(books, k, keep, rerank)
+                    number, now = at[start], Block(fine, books, k, keep, rerank)
                 vectors = _matrix(part.column("v"), dim)
                 if kinds[start] == 0:
                     now.add(part.column("a").to_pylist(), vectors, part.column("codes").to_pylist())

@@ -34,7 +34,7 @@ from haploweave.llm._io import Filter, as_bytes, folded, materialize, may_be_amo
 #: Runs of a level that are compacted to one of the next.
 FANOUT = 4
 #: Entries that a task holds in runs at most; then they are written as a run of their own.
-RUN_ROWS = 1 << 19
+RUN_ROWS = 1 << 17
 
 #: Rows of both kinds: entries of runs, and documents of slots with several.
 FLUSHED = "entry boolean, memtable long, slot int, pos long, id long, n long, key binary, members array<struct<memtable: long, slot: int, pos: long, id: long, n: long, sha: binary>>"

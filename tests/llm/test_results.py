@@ -484,10 +484,10 @@ def test_parallel_residuals_weigh_more():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 64))
     x = ann._split(x / np.linalg.norm(x, axis=1, keepdims=True))
-    books = ann.fit(x)
+    books = ann.fit(x, x)
     plain = np.stack([((x[:, s, None] - books[s][None]) ** 2).sum(2).argmin(1) for s in range(32)], 1)
     along = lambda codes: np.mean((1 - sum((x[:, s] * books[s][codes[:, s]]).sum(1) for s in range(32))) ** 2)
-    assert along(ann.encode(x, books)) < 0.8 * along(plain)
+    assert along(ann.encode(x, x, books)) < 0.8 * along(plain)
 
 
 # quality
