@@ -167,7 +167,7 @@ def _optimizer(by: Sequence[str], sites: int):
 
 
 def _joiner(by: Sequence[str], sites: int):
-    """The parts of one chromosome, the last first, as one result; a part whose totals don't differ from the next one's by a constant gives a row with idx -1."""
+    """The parts of one chromosome, the last first, as one result; a part whose totals don't differ from the next one's by a constant gives a row with idx -1 and the last site as pos."""
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["part", "idx"], ignore_index=True)
@@ -192,7 +192,7 @@ def _joiner(by: Sequence[str], sites: int):
             at = i[own]
             opt[at], brk[at], pos[at] = o[own] + offset, k[own], p[own]
         if not good:
-            out = pd.DataFrame({"idx": [-1], "pos": [-1], "opt": [0.0], "brk": [-1], "starts": [False]})
+            out = pd.DataFrame({"idx": [-1], "pos": [last], "opt": [0.0], "brk": [-1], "starts": [False]})
         else:
             known = np.flatnonzero(brk >= 0)
             starts, at = np.zeros(len(opt), bool), int(known[0])
@@ -227,7 +227,6 @@ def optimum(scores: DataFrame, by: Sequence[str] = (), sites: int = PART_SITES,
     fields = [scores.schema[c] for c in by]
     solved = T.StructType([*fields, T.StructField("part", T.LongType()), *(T.StructField(n, T.DoubleType() if n == "opt" else T.LongType()) for n in ("idx", "pos", "opt", "brk", "reach"))])
     final = T.StructType([*fields, *(T.StructField(n, t) for n, t in (("idx", T.LongType()), ("pos", T.LongType()), ("opt", T.DoubleType()), ("brk", T.LongType()), ("starts", T.BooleanType())))])
-    last = scores.agg(F.max("i")).first()[0] or 0
     while True:
         low = F.greatest(F.floor((F.col("i") - ahead) / sites), F.lit(0))
         rows = scores.select(*by, "i", "j", "pos_i", "score", F.explode(F.sequence(low, F.floor(F.col("i") / sites))).alias("part"))
@@ -235,7 +234,8 @@ def optimum(scores: DataFrame, by: Sequence[str] = (), sites: int = PART_SITES,
         parts = rows.mapInPandas(_optimizer(by, sites), solved)
         keyed = parts if by else parts.withColumn("_all", F.lit(0))
         found = keyed.groupBy(*(by or ["_all"])).applyInPandas(_joiner(by, sites), final).persist()
-        if not found.where("idx < 0").limit(1).count() or ahead > last:
+        last = found.where("idx < 0").agg(F.max("pos")).first()[0]
+        if last is None or ahead > last:  # with all sites ahead no part can differ
             return found
         found.unpersist()
         ahead *= 2
