@@ -387,9 +387,13 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, c
     The search is exact. Equal sets are searched as one. Two sets that similar share
     one of the first n - similarity * n + 1 shingles of each, in any order common to
     all; here those that a sample finds common come last, so that a passage which
-    many texts share brings no two of them together that share little else. Sets
-    that share such a shingle meet in rounds, ever further apart in its list, unless
-    links verified before have connected them; every pair that passes the filters of
+    many texts share brings no two of them together that share little else.
+
+    SimHash comes first: fingerprints of the sets are linked by the pigeonring search
+    (``link``), and linked ones checked. Similar sets may differ in far more bits (a
+    fifth of a text replaced changes nine on average), so sets that share one of those
+    first shingles then meet in rounds, ever further apart in its list, unless links
+    verified before have connected them. Every pair that passes the filters of
     ``_meet`` and ``_close`` is checked on whole texts. The rounds end when no list
     is longer or holds two components. A crowded list is dealt to cells, one for
     each pair of its blocks.
@@ -407,12 +411,12 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, c
                 sketch, wide = parities(u, 512).view(np.int64), parities(u, 1 << max(6, (4 * n).bit_length())).tobytes()
                 known = common.value.hold(u)
                 first = np.concatenate([u[~known], u[known]])[: n - int(np.ceil(similarity * n - 1e-6)) + 1] if n else u
-                rows.append((n, int(digest[0]), int(digest[1]), first.view(np.int64), sketch, wide))
-            n, d0, d1, first, sketch, wide = zip(*rows, strict=True)
+                rows.append((n, int(digest[0]), int(digest[1]), _signed(majority(ones(u), n)) if n else 0, first.view(np.int64), sketch, wide))
+            n, d0, d1, fp, first, sketch, wide = zip(*rows, strict=True)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(first, longs), pa.array(sketch, longs), pa.array(wide, pa.binary())], names=["doc_id", "n", "d0", "d1", "first", "sketch", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(fp, pa.int64()), pa.array(first, longs), pa.array(sketch, longs), pa.array(wide, pa.binary())], names=["doc_id", "n", "d0", "d1", "fp", "first", "sketch", "wide"])
 
-    sets = materialize(docs.mapInArrow(mark, "doc_id long, n long, d0 long, d1 long, first array<long>, sketch array<long>, wide binary"), "near-sets")
+    sets = materialize(docs.mapInArrow(mark, "doc_id long, n long, d0 long, d1 long, fp long, first array<long>, sketch array<long>, wide binary"), "near-sets")
     names = sets.groupBy("d0", "d1").agg(F.min("doc_id").alias("name"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     same = materialize(sets.select("doc_id", "d0", "d1").join(names, ["d0", "d1"]).where("doc_id != name").distinct(), "near-same")
     links = same.select(F.col("name").alias("a"), F.col("doc_id").alias("b"))
@@ -421,22 +425,47 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, c
         """The rows of some identifiers; what a filter rules out isn't dealt out."""
         return rows.where(may_be_among(F.col("doc_id"), ids)).join(ids, "doc_id", "left_semi")
 
-    firsts, gone = sets.select("doc_id", "d0", "d1", "n", "first"), may_be_among(F.col("doc_id"), same.select("doc_id"))
-    firsts = firsts.where(~gone).unionByName(firsts.where(gone).join(same.drop("name"), ["doc_id", "d0", "d1"], "left_anti"))
-    rows = firsts.select(F.posexplode("first").alias("pos", "key"), "doc_id", "n").select("key", "doc_id", F.col("pos").cast("long"), "n")
-    rows = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(["key", "doc_id", "pos", "n"]), "key long, doc_id long, pos long, n long, at long"), "near-rows")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the distinct pairs (a, b) that are similar; texts are only dealt of pairs whose parities allow it."""
+        pairs = materialize(pairs, "near-met")
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
+        wide = of(sets.select("doc_id", "n", "wide"), ids)
+        pairs = pairs.join(wide.toDF("a", "n", "wide"), "a").join(wide.toDF("b", "m", "other"), "b").select("a", "b", "n", "m", "wide", "other")
+        pairs = materialize(pairs.mapInArrow(_close(similarity), "a long, b long").distinct(), "near-pairs")
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
+        held = of(docs, ids)
+        texts = pairs.join(held.toDF("a", "a_text"), "a").join(held.toDF("b", "b_text"), "b")
+        return materialize(texts.mapInArrow(_similar(k, similarity), "a long, b long"), "near-links")
+
+    gone = may_be_among(F.col("doc_id"), same.select("doc_id"))
+    own = sets.select("doc_id", "d0", "d1", "n", "fp", "first")
+    own = own.where(~gone).unionByName(own.where(gone).join(same.drop("name"), ["doc_id", "d0", "d1"], "left_anti"))
+    prints = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("one")), "near-prints")
+    alike = own.select("doc_id", "fp").join(prints, "fp").where("doc_id != one").select(F.col("one").alias("a"), F.col("doc_id").alias("b"))
+    near = link(prints.select("fp", F.lit(0).alias("salt"))).select("a", "b")
+    near = near.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    links = links.unionAll(verified(alike.unionAll(near).distinct()))
+
+    rows = own.select(F.posexplode("first").alias("pos", "key"), "doc_id", "n").select("key", "doc_id", F.col("pos").cast("long"), "n")
+    now = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(["key", "doc_id", "pos", "n"]), "key long, doc_id long, pos long, n long, at long").drop("at"), "near-rows")
     # sketches are only dealt of sets that share something
-    some = materialize(rows.select("doc_id").distinct(), "near-some")
+    some = materialize(now.select("doc_id").distinct(), "near-some")
     sketches = of(sets, some).select("doc_id", *(F.col("sketch")[i].alias(f"s{i}") for i in range(8)))
     sketches = materialize(sketches, "near-sketches")
-    # each set is a component of its own at first, and every list holds several
-    now, widest = rows.drop("at").withColumn("comp", F.col("doc_id")), (rows.agg(F.max("at")).first()[0] or 0) + 1
-    crowded = rows.groupBy("key").agg((F.max("at") + 1).alias("size")) if widest > cell else None
     low, high = 1, 2
-    while widest > low:
+    while True:
+        # lists that links have made one component go, and need not be looked at again
+        found = components(links).toDF("doc_id", "root")
+        now = now.join(found, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
+        lists = now.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where((F.col("x") < F.col("y")) & (F.col("size") > low))
+        lists = materialize(lists.select("key", "size"), "near-lists")
+        widest = lists.agg(F.max("size")).first()[0] or 0
+        if widest <= low:
+            return links
+        now = materialize(now.join(lists.select("key"), "key", "left_semi"), "near-now")
         met = now.join(sketches, "doc_id")
         if widest > cell:
-            large = materialize(crowded.where(F.col("size") > cell).select("key", F.ceil(2 * F.col("size") / cell).alias("blocks")), "near-crowded")
+            large = materialize(lists.where(F.col("size") > cell).select("key", F.ceil(2 * F.col("size") / cell).alias("blocks")), "near-crowded")
             met = met.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
             met = met.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
             met = met.withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
@@ -445,27 +474,8 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, c
         met = met.select("key", "cell", "doc_id", "pos", "n", "comp", *(f"s{i}" for i in range(8))).repartition("key", "cell")
         # the same order in every round, of a document's repeated rows too
         met = met.sortWithinPartitions("key", "cell", "doc_id", "pos", "n", "s0", "s1")
-        pairs = materialize(met.mapInArrow(_meet(similarity, low, high), "a long, b long").distinct(), "near-met")
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-        wide = of(sets.select("doc_id", "n", "wide"), ids)
-        pairs = pairs.join(wide.toDF("a", "n", "wide"), "a").join(wide.toDF("b", "m", "other"), "b").select("a", "b", "n", "m", "wide", "other")
-        pairs = materialize(pairs.mapInArrow(_close(similarity), "a long, b long").distinct(), "near-pairs")
-        # only the texts of candidates are dealt by identifier
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-        held = of(docs, ids)
-        texts = pairs.join(held.toDF("a", "a_text"), "a").join(held.toDF("b", "b_text"), "b")
-        links = links.unionAll(materialize(texts.mapInArrow(_similar(k, similarity), "a long, b long"), "near-links"))
-        low, high = high, high * 64
-        if widest <= low:
-            break
-        # lists that links have made one component go, and need not be looked at again
-        found = components(links).toDF("doc_id", "root")
-        now = now.drop("comp").join(found, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
-        lists = now.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-        crowded = materialize(lists.where(F.col("size") > low).select("key", "size"), "near-lists")
-        now = materialize(now.join(crowded.select("key"), "key", "left_semi"), "near-now")
-        widest = crowded.agg(F.max("size")).first()[0] or 0
-    return links
+        links = links.unionAll(verified(met.mapInArrow(_meet(similarity, low, high), "a long, b long").distinct()))
+        now, low, high = now.drop("comp"), high, high * 64
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -120,6 +120,8 @@ def test_quality(odd, none, labels):
     assert ids(kept) == sorted((r["doc_id"] for r in found if r["selected"]), key=lambda x: (x is not None, x or 0))
     assert quality.select_quality(none, labels).count() == 0
     assert quality.select_quality(odd, labels.where("false")).where("NOT selected").count() == 0
+    assert quality.select_quality(odd, labels, k=10**9).where("selected").count() == len(TEXTS)
+    assert quality.select_quality(odd, labels, k=0).where("selected").count() == 0
 
 
 def test_toxicity(odd, none, labels):
