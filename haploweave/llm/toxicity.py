@@ -10,9 +10,10 @@ model, fitted on the sample's documents, turns those into a score; tokens over o
 half are the offending spans.
 
 Training runs where the sample is: in each round every task takes gradient steps
-over its texts, and the weights are averaged. Weights are hashed, drawn towards
-zero and never below it: a token is clean unless something speaks for the other
-state, so most tokens have no weight. Those share one potential, so a run of them
+over its texts, and the weights are averaged. Weights are drawn towards zero and
+never below it: a token is clean unless something speaks for the other state. So
+only features that tokens labelled toxic have can get one, and most tokens have
+none. Those share one potential, so a run of them
 is one matrix power, and only the other tokens are visited.
 """
 
@@ -25,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +43,10 @@ PRECISION = 0.7
 WINDOW, STEP = 32, 64
 #: Rounds of training, and parts of the sample that are trained on apart in each.
 ROUNDS, PARTS = 6, 8
-#: Hash buckets of the features' weights.
-BUCKETS = 1 << 18
+#: Features that fewer tokens labelled toxic have are not used.
+LEAST_TOKENS = 2
 #: Smaller weights are dropped.
-LEAST_WEIGHT = 0.3
+LEAST_WEIGHT = 1.0
 WORD = re.compile(r"\w+")
 
 
@@ -104,34 +104,71 @@ def lexicon(sample: DataFrame) -> set[str]:
 
 
 def shape(word: str) -> str:
-    """What kinds of characters a word is made of, in order, each once in a row; and whether it is short."""
-    kinds = "".join("d" if c.isdigit() else "a" if c.isascii() else "x" for c in word)
-    return re.sub(r"(.)\1+", r"\1", kinds)[:8] + ("-" if len(word) <= 3 else "+")
+    """What a word is made of, and whether it is short; nothing for one of letters only, as nearly all are."""
+    if word.isalpha():
+        return ""
+    return ("d" if word.isdigit() else "m") + ("-" if len(word) <= 3 else "+")
 
 
-def buckets(word: str) -> list[int]:
-    """The buckets of a word's own features; then the one it gives to the token after it, and the one it gives to the token before."""
-    names = [*(f"o{f}" for f in features(word)), f"s{shape(word)}"]
-    return [xxhash.xxh3_64_intdigest(x) % (BUCKETS - 1) + 1 for x in (*names, f"p{word}", f"n{word}")]
+def names_of(word: str) -> list[str]:
+    """The names of a word's features for its own token; then those for the token after it and before it."""
+    return [*(f"o{f}" for f in features(word)), f"s{shape(word)}", f"p{word}", f"n{word}"]
 
 
 #: Features of a token: the word, its beginnings, its shape, the words before and after.
 FEATURES = 1 + len(BEGINNINGS) + 1 + 2
 
 
+class Vocabulary:
+    """Numbers, from 1, of the features that can have a weight; 0 is any other."""
+
+    def __init__(self, names: list[str]):
+        self.size = len(names) + 1
+        own = {name[1:]: i + 1 for i, name in enumerate(names) if name[0] == "o"}
+        self.words = {f: i for f, i in own.items() if f[-1:] != "*"}
+        self.starts = [(n, {f[:-1]: i for f, i in own.items() if f[-1:] == "*" and len(f) == n + 1}) for n in BEGINNINGS]
+        self.shapes, self.before, self.after = ({name[1:]: i + 1 for i, name in enumerate(names) if name[0] == kind and len(name) > 1} for kind in "spn")
+
+    def numbers(self, word: str) -> list[int]:
+        """FEATURES numbers; the last two are for the token after, which has this word before it, and for the token before."""
+        return [self.words.get(word, 0), *(starts.get(word[:n], 0) if len(word) >= n else 0 for n, starts in self.starts), self.shapes.get(shape(word), 0), self.before.get(word, 0), self.after.get(word, 0)]
+
+
+def _namer(marks: set[str]):
+    """How many toxic tokens have each feature."""
+
+    def count(batches):
+        counts = Counter()
+        for batch in pieces(batches):
+            for text in as_bytes(batch.column("text")):
+                words = [w for _, w in words_of(text)]
+                for i, w in enumerate(words):
+                    if not marks.isdisjoint(features(w)):
+                        counts.update(names_of(w)[:-2])
+                        counts.update(f"p{x}" for x in words[max(i - 1, 0) : i])
+                        counts.update(f"n{x}" for x in words[i + 1 : i + 2])
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*counts.items(), strict=True)], names=["feature", "n"])
+
+    return count
+
+
+def vocabulary(sample: DataFrame, marks: set[str]) -> Vocabulary:
+    counted = sample.where("toxic = 1").select("text").mapInArrow(_namer(marks), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return Vocabulary(sorted(r["feature"] for r in counted.where(F.col("n") >= LEAST_TOKENS).collect()))  # of a bounded sample
+
+
 class Encoder:
-    """Texts as rows of feature buckets and labels; 0 is no feature."""
+    """Texts as rows of feature numbers and labels."""
 
-    def __init__(self, marks: set[str]):
-        self.marks, self.known = marks, {}
+    def __init__(self, names: Vocabulary, marks: set[str]):
+        self.names, self.marks, self.known = names, marks, {}
 
     def word(self, word: str) -> tuple[list[int], bool]:
         if (got := self.known.get(word)) is None:
             if len(self.known) > 200_000:
                 self.known = {}
-            own = buckets(word)
-            got = [*own[:-2], *[0] * (FEATURES - len(own)), *own[-2:]], not self.marks.isdisjoint(features(word))
-            self.known[word] = got
+            got = self.known[word] = (self.names.numbers(word), not self.marks.isdisjoint(features(word)))
         return got
 
     def __call__(self, toxic: int, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +181,7 @@ class Encoder:
 
 @dataclass
 class Model:
-    """Weights of the toxic state against the clean one: of feature buckets, a bias, and the moves clean-toxic, toxic-clean, toxic-toxic; and the sums of squared gradients."""
+    """Weights of the toxic state against the clean one: of features by number, a bias, and the moves clean-toxic, toxic-clean, toxic-toxic; and the sums of squared gradients."""
 
     weights: np.ndarray
     bias: float
@@ -152,10 +189,10 @@ class Model:
     sums: tuple[np.ndarray, float, np.ndarray]
 
     @classmethod
-    def fresh(cls) -> Model:
-        return cls(np.zeros(BUCKETS, np.float32), -5.0, np.zeros(3), (np.full(BUCKETS, 1e-2, np.float32), 1e-2, np.full(3, 1e-2)))
+    def fresh(cls, size: int) -> Model:
+        return cls(np.zeros(size, np.float32), -5.0, np.zeros(3), (np.full(size, 1e-2, np.float32), 1e-2, np.full(3, 1e-2)))
 
-    def learn(self, f: np.ndarray, y: np.ndarray, m: np.ndarray, rate: float = 0.3, shrink: float = 0.05) -> None:
+    def learn(self, f: np.ndarray, y: np.ndarray, m: np.ndarray, rate: float = 0.3, shrink: float = 0.3) -> None:
         """One adaptive step on the exact log likelihood of windows: features (windows, WINDOW, FEATURES), labels, and which tokens there are."""
         weights, bias, moves = self.weights, self.bias, self.moves
         unary = np.where(m, bias + weights[f].sum(2), 0.0)
@@ -201,11 +238,12 @@ class Model:
         """The average of packed models, by how much each has seen."""
         n = np.array([k for k, _ in parts], float)
         x = sum(k * np.frombuffer(p, "<f4").astype(float) for k, p in parts) / n.sum()
-        w, rest = x[: BUCKETS + 4], x[BUCKETS + 4 :]
-        return cls(w[:BUCKETS].astype(np.float32), float(w[BUCKETS]), w[BUCKETS + 1 :], (rest[:BUCKETS].astype(np.float32), float(rest[BUCKETS]), rest[BUCKETS + 1 :]))
+        size = len(x) // 2 - 4
+        w, rest = x[: size + 4], x[size + 4 :]
+        return cls(w[:size].astype(np.float32), float(w[size]), w[size + 1 :], (rest[:size].astype(np.float32), float(rest[size]), rest[size + 1 :]))
 
-    def chain(self) -> Chain:
-        return Chain(self.bias, np.where(self.weights >= LEAST_WEIGHT, self.weights, 0).astype(np.float32), tuple(float(x) for x in self.moves))
+    def chain(self, names: Vocabulary) -> Chain:
+        return Chain(self.bias, np.where(self.weights >= LEAST_WEIGHT, self.weights, 0).astype(np.float32), tuple(float(x) for x in self.moves), names)
 
 
 def windows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,11 +258,11 @@ def windows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 ROW = 1 << 16
 
 
-def _encoder(marks: set[str]):
+def _encoder(names: Vocabulary, marks: set[str]):
     """Whole texts as rows of features and labels, ROW tokens each."""
 
     def encode(batches):
-        texts = Encoder(marks)
+        texts = Encoder(names, marks)
         for batch in pieces(batches):
             for place, toxic, text in zip(batch.column("place").to_pylist(), batch.column("toxic").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 x, y = texts(toxic, text)
@@ -236,11 +274,11 @@ def _encoder(marks: set[str]):
     return encode
 
 
-def _learner(model: bytes | None):
+def _learner(model: bytes):
     """One pass over a task's texts from where ``model`` is."""
 
     def learn(batches):
-        now, held, seen = Model.mean([(1, model)]) if model else Model.fresh(), [], 0
+        now, held, seen = Model.mean([(1, model)]), [], 0
         for batch in batches:
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 held.append(windows(np.frombuffer(x, np.int32).reshape(-1, FEATURES), np.frombuffer(y, bool)))
@@ -261,26 +299,26 @@ def _learner(model: bytes | None):
 
 
 def train(sample: DataFrame, marks: set[str], rounds: int = ROUNDS) -> Chain:
-    """A chain trained on the whole texts of ``sample(text, toxic, doc_id)``; the driver gets PARTS models of BUCKETS weights a round."""
-    model = None
-    coded = sample.select(F.xxhash64("doc_id").alias("place"), F.col("toxic").cast("long"), "text").mapInArrow(_encoder(marks), "place long, start long, x binary, y binary")
+    """A chain trained on the whole texts of ``sample(text, toxic, doc_id)``; the driver gets PARTS models a round."""
+    names = vocabulary(sample, marks)
+    coded = sample.select(F.xxhash64("doc_id").alias("place"), F.col("toxic").cast("long"), "text").mapInArrow(_encoder(names, marks), "place long, start long, x binary, y binary")
     dealt = materialize(coded.repartition(PARTS, "place").sortWithinPartitions("place", "start", "x"), "toxicity-dealt")
+    model = Model.fresh(names.size).packed()
     for _ in range(rounds):
-        held = dealt.sparkSession.sparkContext.broadcast(model)
-        parts = dealt.select("x", "y").mapInArrow(lambda batches, held=held: _learner(held.value)(batches), "seen long, model binary").collect()
-        if not parts:
-            break
-        model = Model.mean(sorted((r["seen"], bytes(r["model"])) for r in parts)).packed()
-    return (Model.mean([(1, model)]) if model else Model.fresh()).chain()
+        parts = dealt.select("x", "y").mapInArrow(_learner(model), "seen long, model binary").collect()
+        if parts:
+            model = Model.mean(sorted((r["seen"], bytes(r["model"])) for r in parts)).packed()
+    return Model.mean([(1, model)]).chain(names)
 
 
 @dataclass
 class Chain:
-    """Weights of the toxic state against the clean one, by feature bucket: a bias, the features, and the transitions clean-toxic, toxic-clean, toxic-toxic."""
+    """Weights of the toxic state against the clean one, by a feature's number: a bias, the features, and the transitions clean-toxic, toxic-clean, toxic-toxic."""
 
     bias: float
     weights: np.ndarray
     moves: tuple[float, float, float]
+    names: Vocabulary
 
     def __post_init__(self):
         a, b, c = (math.exp(x) for x in self.moves)
@@ -295,7 +333,7 @@ class Chain:
         if word not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen = {}
-            w = [float(self.weights[i]) for i in buckets(word)]
+            w = [float(self.weights[i]) if i else 0.0 for i in self.names.numbers(word)]
             got = (sum(w[:-2]), w[-2], w[-1])
             if len(word) > 64:
                 return got if any(got) else None
@@ -412,7 +450,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[Chain,
     some = F.broadcast(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))  # at most ``limit`` rows of two numbers
     sample = materialize(docs.join(some, "doc_id"), "toxicity-sample")
     marks = lexicon(sample)
-    chain = train(sample, marks) if marks else Chain(-12.0, np.zeros(BUCKETS, np.float32), (0.0, 0.0, 0.0))
+    chain = train(sample, marks) if marks else Chain(-12.0, np.zeros(1, np.float32), (0.0, 0.0, 0.0), Vocabulary([]))
     rows = sample.mapInArrow(_scorer(chain, None), "toxic long, x array<double>").toArrow()
     y = rows.column(0).to_numpy().astype(float)
     x = np.array(rows.column(1).to_pylist()).reshape(-1, EVIDENCE)

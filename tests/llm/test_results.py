@@ -581,22 +581,20 @@ def test_noise_is_gumbel(spark):
 # toxicity
 
 
-def weights_of(words, after=(), before=()):
-    """Weights of words, of what they add to the token after, and to the one before."""
-    out = np.zeros(toxicity.BUCKETS, np.float32)
-    for at, given in ((0, words), (-2, after), (-1, before)):
-        for w, x in dict(given).items():
-            out[toxicity.buckets(w)[at]] = x
-    return out
+def chain_of(words, after=(), before=()):
+    """A chain with weights of words, of what they add to the token after, and to the one before."""
+    given = {f"{kind}{w}": x for kind, own in (("o", words), ("p", after), ("n", before)) for w, x in dict(own).items()}
+    weights = np.array([0, *given.values()], np.float32)
+    return toxicity.Chain(-1.2, weights, (-0.4, 0.3, 0.8), toxicity.Vocabulary(list(given)))
 
 
 def brute_chain(chain, words):
     """(log of the chance of no toxic token, the chance of each token) by enumeration."""
     unary = []
     for i, w in enumerate(words):
-        own = [chain.weights[b] for b in toxicity.buckets(w)[:-2]]
-        own += [chain.weights[toxicity.buckets(words[i - 1])[-2]]] if i else []
-        own += [chain.weights[toxicity.buckets(words[i + 1])[-1]]] if i + 1 < len(words) else []
+        own = [chain.weights[b] for b in chain.names.numbers(w)[:-2]]
+        own += [chain.weights[chain.names.numbers(words[i - 1])[-2]]] if i else []
+        own += [chain.weights[chain.names.numbers(words[i + 1])[-1]]] if i + 1 < len(words) else []
         unary.append(chain.bias + sum(map(float, own)))
     weight = {}
     for y in itertools.product((0, 1), repeat=len(words)):
@@ -608,7 +606,7 @@ def brute_chain(chain, words):
 
 
 def test_chain_equals_enumeration():
-    chain = toxicity.Chain(-1.2, weights_of({"bad": 2.5, "worse": 1.0, "nice": -0.7}, {"very": 0.8, "bad": 0.3}, {"person": 0.6}), (-0.4, 0.3, 0.8))
+    chain = chain_of({"bad": 2.5, "worse": 1.0, "nice": -0.7}, {"very": 0.8, "bad": 0.3}, {"person": 0.6})
     cases = (["bad"], ["x"], ["x", "bad", "y"], ["bad", "worse", "x", "x", "nice"], ["x"] * 7, ["x", "x", "nice", "x", "x", "x", "bad", "x"], ["very", "bad"], ["person", "very", "x", "person", "bad"], ["x", "very"])
     for words in cases:
         clean, chances = brute_chain(chain, words)
@@ -623,7 +621,7 @@ def test_chain_equals_enumeration():
 
 def test_texts_in_parts(monkeypatch):
     """A text that is read in parts is tagged as a whole one, neighbours over the cut too."""
-    chain = toxicity.Chain(-1.2, weights_of({"bad": 2.5}, {"very": 0.8}, {"person": 0.6}), (-0.4, 0.3, 0.8))
+    chain = chain_of({"bad": 2.5}, {"very": 0.8}, {"person": 0.6})
     rng = random.Random(2)
     text = " ".join(rng.choices(["bad", "very", "person", "x", "y"], k=300)).encode()
     whole = chain.tag(text)
@@ -661,7 +659,7 @@ def test_scores_by_plain_forward_backward(spark, sf_dir):
     found = {r["doc_id"]: r["score"] for r in toxicity.op6_toxicity(spark, sf_dir).collect()}
     for doc_id, text in texts_of(spark, sf_dir):
         words = [w for _, w in toxicity.words_of((text or "").encode())]
-        x, _ = toxicity.Encoder(set())(0, (text or "").encode())
+        x, _ = toxicity.Encoder(chain.names, set())(0, (text or "").encode())
         unary = chain.bias + chain.weights[x].astype(float).sum(1)
         step = np.log(chain.step)
         ahead = np.zeros((len(words), 2))
