@@ -54,14 +54,14 @@ def folded(text):
     return F.when(F.is_valid_utf8(text), F.translate(text, _UPPER, _LOWER).cast("binary")).otherwise(by_byte)
 
 
-def pieces(batches, text: str = "text"):
-    """Arrow batches cut so that the texts of each hold about PIECE_BYTES, or one longer text."""
+def pieces(batches, text: str = "text", size: int = PIECE_BYTES):
+    """Arrow batches cut so that the texts of each hold about ``size`` bytes, or one longer text."""
     for batch in batches:
         sizes = batch.column(text).cast(pa.large_binary()) if batch.num_rows else None
         start, held = 0, 0
         for i in range(batch.num_rows):
             n = len(sizes[i].as_buffer()) if sizes[i].is_valid else 0
-            if i > start and held + n > PIECE_BYTES:
+            if i > start and held + n > size:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n

@@ -30,6 +30,8 @@ from haploweave.llm._io import as_bytes, materialize, pieces, release, table
 SEQUENCE = 2048
 #: Parts of texts whose ids a worker keeps at most, and the longest it keeps.
 KEPT_PARTS, KEPT_CHARS = 300_000, 64
+#: Texts are cut into parts so many bytes at a time: their parts take some fifteen times the room.
+TEXT_BYTES = 1 << 20
 #: Pieces that share a salt, within which ranks are counted.
 SALT_ROWS = 1 << 17
 #: (groups, large lengths are over one n-th of a sequence, room a configuration may leave once actual lengths are in): the best plan is taken.
@@ -131,7 +133,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         ids_of = word_ids(tokenizer)
         salt, ranks, count = TaskContext.get().partitionId() << 24, {}, 0
         last = np.array([end_id], "<u4").tobytes()
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=TEXT_BYTES):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of([x.decode("utf-8", "replace") for x in as_bytes(batch.column("text"))]), strict=True):
                 ids += last

@@ -447,22 +447,16 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, c
     links = links.unionAll(verified(alike.unionAll(near).distinct()))
 
     rows = own.select(F.posexplode("first").alias("pos", "key"), "doc_id", "n").select("key", "doc_id", F.col("pos").cast("long"), "n")
-    now = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(["key", "doc_id", "pos", "n"]), "key long, doc_id long, pos long, n long, at long").drop("at"), "near-rows")
+    now = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(["key", "doc_id", "pos", "n"]), "key long, doc_id long, pos long, n long, at long"), "near-rows")
     # sketches are only dealt of sets that share something
     some = materialize(now.select("doc_id").distinct(), "near-some")
     sketches = of(sets, some).select("doc_id", *(F.col("sketch")[i].alias(f"s{i}") for i in range(8)))
     sketches = materialize(sketches, "near-sketches")
-    low, high = 1, 2
-    while True:
-        # lists that links have made one component go, and need not be looked at again
-        found = components(links).toDF("doc_id", "root")
-        now = now.join(found, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
-        lists = now.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where((F.col("x") < F.col("y")) & (F.col("size") > low))
-        lists = materialize(lists.select("key", "size"), "near-lists")
-        widest = lists.agg(F.max("size")).first()[0] or 0
-        if widest <= low:
-            return links
-        now = materialize(now.join(lists.select("key"), "key", "left_semi"), "near-now")
+    # the first round is short (each set meets its list's first) and takes all sets as apart
+    low, high, lists = 1, 2, now.groupBy("key").agg((F.max("at") + 1).alias("size"))
+    widest = (now.agg(F.max("at")).first()[0] or 0) + 1
+    now = now.withColumn("comp", F.col("doc_id")).drop("at")
+    while widest > low:
         met = now.join(sketches, "doc_id")
         if widest > cell:
             large = materialize(lists.where(F.col("size") > cell).select("key", F.ceil(2 * F.col("size") / cell).alias("blocks")), "near-crowded")
@@ -475,7 +469,17 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, c
         # the same order in every round, of a document's repeated rows too
         met = met.sortWithinPartitions("key", "cell", "doc_id", "pos", "n", "s0", "s1")
         links = links.unionAll(verified(met.mapInArrow(_meet(similarity, low, high), "a long, b long").distinct()))
-        now, low, high = now.drop("comp"), high, high * 64
+        low, high = high, high * 64
+        if widest <= low:
+            break
+        # lists that links have made one component go, and need not be looked at again
+        found = components(links).toDF("doc_id", "root")
+        now = now.drop("comp").join(found, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
+        lists = now.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where((F.col("x") < F.col("y")) & (F.col("size") > low))
+        lists = materialize(lists.select("key", "size"), "near-lists")
+        now = materialize(now.join(lists.select("key"), "key", "left_semi"), "near-now")
+        widest = lists.agg(F.max("size")).first()[0] or 0
+    return links
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
