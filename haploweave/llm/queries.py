@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from haploweave.llm import ann, chat, exact_dedup, mixing, packing, pii, quality, simhash, token_counts, toxicity
+from haploweave.llm import ann, bit_slices, chat, exact_dedup, merkle, mixing, packing, pii, prefix_trie, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_ann": ann.op9_ann,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_manifest": merkle.op11_manifest,
+    "op12_top_products": bit_slices.op12_top_products,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLE = {
     "op5_chat_format": chat.SQL,
     "op7_mix_sources": mixing.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_manifest": merkle.SQL,
+    "op12_top_products": bit_slices.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
