@@ -183,6 +183,12 @@ def chunks(text: bytes, size: int = 1 << 20):
         at = stop
 
 
+def text_key(text):
+    """Two 64-bit hashes of a text (null counts as empty). With the identifier they tell rows apart that share an identifier, not repeated rows."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def unused(columns: list[str], name: str) -> str:
     """``name``, lengthened until no column has it."""
     while name.lower() in {c.lower() for c in columns}:

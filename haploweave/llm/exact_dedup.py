@@ -277,9 +277,15 @@ def exact_dedup(
     own_text = folded(F.coalesce("text", F.lit("")))
     hits = merged.where("entries > 1")
     among = F.col("id").isNull() | may_be_among(F.col("id"), hits.select("id"))
-    texts = docs.where(among).select(F.col("id").alias("d_id"), own_text.alias("text"))
-    read = hits.join(texts, F.col("id").eqNullSafe(F.col("d_id")) & (F.sha2("text", 256) == F.lower(F.hex("sha"))))
-    read = read.select("memtable", "slot", "pos", "key", "w_memtable", "w_pos", "text").dropDuplicates(["memtable", "slot"])
+    who = [F.coalesce("id", F.lit(0)).alias("some_id"), F.col("id").isNull().alias("no_id")]
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        """Texts by identifier and digest, once for repeated rows, which would else meet each other."""
+        own = rows.select(*who, own_text.alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
+        return own.groupBy("some_id", "no_id", "sha").agg(F.first("text").alias("text"))
+
+    read = hits.select("*", *who).join(texts_of(docs.where(among)), ["some_id", "no_id", "sha"])
+    read = read.select("memtable", "slot", "pos", "key", "w_memtable", "w_pos", "text")
     read = materialize(read, "dedup-texts")
     winners = read.where("memtable = w_memtable AND pos = w_pos").select("key", F.col("text").alias("w_text"))
     differ = materialize(read.join(winners, "key").where("text != w_text").select("key").distinct(), "dedup-differ")
@@ -290,7 +296,7 @@ def exact_dedup(
         here = merged.join(differ, "key", "left_semi")
         rows_here = here.where("own = 1").select("memtable", "slot", "pos", "id").unionByName(rows.join(here.select("memtable", "slot"), ["memtable", "slot"], "left_semi"))
         rows_here = rows_here.join(here.select("memtable", "slot", "key", "sha"), ["memtable", "slot"])
-        by_row = rows_here.join(docs.select(F.col("id").alias("d_id"), own_text.alias("text")), F.col("id").eqNullSafe(F.col("d_id")) & (F.sha2("text", 256) == F.lower(F.hex("sha")))).dropDuplicates(["memtable", "pos"])
+        by_row = rows_here.select("*", *who).join(texts_of(docs), ["some_id", "no_id", "sha"])
         rank = F.struct((F.col("id") * sign).alias("i"), (-F.col("memtable")).alias("r"), (-F.col("pos")).alias("p"))
         by_bytes = by_row.groupBy("key", "text").agg(F.max(rank).alias("w"), F.count("*").alias("size"))
         by_bytes = by_bytes.select("key", "text", (F.col("w.i") * sign).alias("keep_id"), (-F.col("w.r")).alias("w_memtable"), (-F.col("w.p")).alias("w_pos"), "size")

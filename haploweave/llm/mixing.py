@@ -162,9 +162,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
     return taken.withColumn("by_copy", F.when((F.col("copies") > 0) & (F.size("parts") > 0), place).otherwise(F.array().cast("array<string>"))).drop("more", "full", "rest", "parts", "words", "start", "stop", "pattern")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size in words, sources, of a documents table."""
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.array(F.col("source").cast("string")).alias("sources"))
+def sized(docs: DataFrame, **more) -> DataFrame:
+    """doc_id, size in words, sources, of a documents table, and ``more`` columns by name."""
+    return docs.select(*(c.alias(n) for n, c in more.items()), F.col("doc_id").cast("long"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.array(F.col("source").cast("string")).alias("sources"))
 
 
 def op7_mix_sources(spark, sf_dir):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haploweave.llm._io import Filter, as_bytes, materialize, may_be_among, mixed, pieces, table, unused
+from haploweave.llm._io import Filter, as_bytes, materialize, may_be_among, mixed, pieces, table, text_key, unused
 from haploweave.llm.components import components
 
 DISTANCE, SEGMENTS = 4, 5
@@ -304,7 +304,7 @@ def _shared(names: list[str]):
 
 
 def _meet(similarity: float, low: int, high: int):
-    """Pairs of a stream sorted by key, cell and doc_id that are ``low`` to ``high`` - 1 places apart, or with the group's first in the first round.
+    """Pairs of a stream sorted by key, cell and row that are ``low`` to ``high`` - 1 places apart, or with the group's first in the first round.
 
     Left out are pairs of one component, and those that can't be similar: by their
     sizes, by the places of the key in both, or as the parities of their shingles
@@ -381,8 +381,21 @@ def _common(docs: DataFrame, k: int) -> Filter:
     return Filter.gather(keys.repartition("key").sortWithinPartitions("key"), hashes, bits=26)
 
 
-def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, cell: int = SETS) -> DataFrame:
-    """(a, b): links that connect all documents whose sets of word k-shingles have at least ``similarity`` in common (Jaccard).
+KEYS = ["doc_id", "h0", "h1"]
+
+
+def near_duplicate_links(docs: DataFrame, **options) -> DataFrame:
+    """(a, b): the doc_ids of links that connect all documents whose sets of word k-shingles have at least ``similarity`` in common (Jaccard). Documents of one doc_id are linked like any others."""
+    sets, links = near_links(docs, **options)
+    names = sets.select("row", "doc_id")
+    return links.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
+def near_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, cell: int = SETS) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, h0, h1, ...), a row for each document with a doc_id, and links (a, b) of rows.
+
+    Documents are told apart by doc_id and two hashes of the text (h0, h1), so that
+    one doc_id may have several texts.
 
     The search is exact. Equal sets are searched as one. Two sets that similar share
     one of the first n - similarity * n + 1 shingles of each, in any order common to
@@ -398,7 +411,8 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, c
     is longer or holds two components. A crowded list is dealt to cells, one for
     each pair of its blocks.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    h0, h1 = text_key(docs["text"])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), h0.alias("h0"), h1.alias("h1")).where("doc_id IS NOT NULL")
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, k))  # of fixed size
 
     def mark(batches):
@@ -414,85 +428,97 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, c
                 rows.append((n, int(digest[0]), int(digest[1]), _signed(majority(ones(u), n)) if n else 0, first.view(np.int64), sketch, wide))
             n, d0, d1, fp, first, sketch, wide = zip(*rows, strict=True)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(fp, pa.int64()), pa.array(first, longs), pa.array(sketch, longs), pa.array(wide, pa.binary())], names=["doc_id", "n", "d0", "d1", "fp", "first", "sketch", "wide"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), pa.array(n, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(fp, pa.int64()), pa.array(first, longs), pa.array(sketch, longs), pa.array(wide, pa.binary())], names=[*KEYS, "n", "d0", "d1", "fp", "first", "sketch", "wide"])
 
-    sets = materialize(docs.mapInArrow(mark, "doc_id long, n long, d0 long, d1 long, fp long, first array<long>, sketch array<long>, wide binary"), "near-sets")
-    names = sets.groupBy("d0", "d1").agg(F.min("doc_id").alias("name"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    same = materialize(sets.select("doc_id", "d0", "d1").join(names, ["d0", "d1"]).where("doc_id != name").distinct(), "near-same")
-    links = same.select(F.col("name").alias("a"), F.col("doc_id").alias("b"))
+    sets = docs.mapInArrow(mark, "doc_id long, h0 long, h1 long, n long, d0 long, d1 long, fp long, first array<long>, sketch array<long>, wide binary")
+    sets = materialize(sets.withColumn("row", F.monotonically_increasing_id()), "near-sets")
+    names = sets.groupBy("d0", "d1").agg(F.min("row").alias("name"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    same = materialize(sets.select("row", "d0", "d1").join(names, ["d0", "d1"]).where("row != name"), "near-same")
+    links = same.select(F.col("name").alias("a"), F.col("row").alias("b"))
 
     def of(rows: DataFrame, ids: DataFrame) -> DataFrame:
         """The rows of some identifiers; what a filter rules out isn't dealt out."""
-        return rows.where(may_be_among(F.col("doc_id"), ids)).join(ids, "doc_id", "left_semi")
+        return rows.where(may_be_among(F.col("row"), ids)).join(ids, "row", "left_semi")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(row, text), once for each row; repeated rows of a document hold the same text."""
+        keys = materialize(of(sets.select("row", *KEYS), ids), "near-keys")
+        held = docs.where(may_be_among(F.col("doc_id"), keys.select("doc_id"))).join(keys, KEYS)
+        return held.groupBy("row").agg(F.first("text").alias("text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that are similar; texts are only dealt of pairs whose parities allow it."""
         pairs = materialize(pairs, "near-met")
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-        wide = of(sets.select("doc_id", "n", "wide"), ids)
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "near-ids")
+        wide = of(sets.select("row", "n", "wide"), ids)
         pairs = pairs.join(wide.toDF("a", "n", "wide"), "a").join(wide.toDF("b", "m", "other"), "b").select("a", "b", "n", "m", "wide", "other")
         pairs = materialize(pairs.mapInArrow(_close(similarity), "a long, b long").distinct(), "near-pairs")
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-        held = of(docs, ids)
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "near-ids")
+        held = texts_of(ids)
         texts = pairs.join(held.toDF("a", "a_text"), "a").join(held.toDF("b", "b_text"), "b")
         return materialize(texts.mapInArrow(_similar(k, similarity), "a long, b long"), "near-links")
 
-    gone = may_be_among(F.col("doc_id"), same.select("doc_id"))
-    own = sets.select("doc_id", "d0", "d1", "n", "fp", "first")
-    own = own.where(~gone).unionByName(own.where(gone).join(same.drop("name"), ["doc_id", "d0", "d1"], "left_anti"))
-    prints = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("one")), "near-prints")
-    alike = own.select("doc_id", "fp").join(prints, "fp").where("doc_id != one").select(F.col("one").alias("a"), F.col("doc_id").alias("b"))
+    gone = may_be_among(F.col("row"), same.select("row"))
+    own = sets.select("row", "d0", "d1", "n", "fp", "first")
+    own = own.where(~gone).unionByName(own.where(gone).join(same.drop("name"), ["row", "d0", "d1"], "left_anti"))
+    prints = materialize(own.groupBy("fp").agg(F.min("row").alias("one")), "near-prints")
+    alike = own.select("row", "fp").join(prints, "fp").where("row != one").select(F.col("one").alias("a"), F.col("row").alias("b"))
     near = link(prints.select("fp", F.lit(0).alias("salt"))).select("a", "b")
     near = near.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     links = links.unionAll(verified(alike.unionAll(near).distinct()))
 
-    rows = own.select(F.posexplode("first").alias("pos", "key"), "doc_id", "n").select("key", "doc_id", F.col("pos").cast("long"), "n")
-    now = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(["key", "doc_id", "pos", "n"]), "key long, doc_id long, pos long, n long, at long"), "near-rows")
+    rows = own.select(F.posexplode("first").alias("pos", "key"), "row", "n").select("key", "row", F.col("pos").cast("long"), "n")
+    now = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(["key", "row", "pos", "n"]), "key long, row long, pos long, n long, at long"), "near-rows")
     # sketches are only dealt of sets that share something
-    some = materialize(now.select("doc_id").distinct(), "near-some")
-    sketches = of(sets, some).select("doc_id", *(F.col("sketch")[i].alias(f"s{i}") for i in range(8)))
+    some = materialize(now.select("row").distinct(), "near-some")
+    sketches = of(sets, some).select("row", *(F.col("sketch")[i].alias(f"s{i}") for i in range(8)))
     sketches = materialize(sketches, "near-sketches")
     # the first round is short (each set meets its list's first) and takes all sets as apart
     low, high, lists = 1, 2, now.groupBy("key").agg((F.max("at") + 1).alias("size"))
     widest = (now.agg(F.max("at")).first()[0] or 0) + 1
-    now = now.withColumn("comp", F.col("doc_id")).drop("at")
+    now = now.withColumn("comp", F.col("row")).drop("at")
     while widest > low:
-        met = now.join(sketches, "doc_id")
+        met = now.join(sketches, "row")
         if widest > cell:
             large = materialize(lists.where(F.col("size") > cell).select("key", F.ceil(2 * F.col("size") / cell).alias("blocks")), "near-crowded")
             met = met.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-            met = met.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+            met = met.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
             met = met.withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
         else:
             met = met.withColumn("cell", F.lit(0).cast("long"))
-        met = met.select("key", "cell", "doc_id", "pos", "n", "comp", *(f"s{i}" for i in range(8))).repartition("key", "cell")
-        # the same order in every round, of a document's repeated rows too
-        met = met.sortWithinPartitions("key", "cell", "doc_id", "pos", "n", "s0", "s1")
+        met = met.select("key", "cell", "row", "pos", "n", "comp", *(f"s{i}" for i in range(8))).repartition("key", "cell")
+        # the same order in every round, of a set's rows too
+        met = met.sortWithinPartitions("key", "cell", "row", "pos", "n", "s0", "s1")
         links = links.unionAll(verified(met.mapInArrow(_meet(similarity, low, high), "a long, b long").distinct()))
         low, high = high, high * 64
         if widest <= low:
             break
         # lists that links have made one component go, and need not be looked at again
-        found = components(links).toDF("doc_id", "root")
-        now = now.drop("comp").join(found, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
+        found = components(links).toDF("row", "root")
+        now = now.drop("comp").join(found, "row", "left").withColumn("comp", F.coalesce("root", "row")).drop("root")
         lists = now.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where((F.col("x") < F.col("y")) & (F.col("size") > low))
         lists = materialize(lists.select("key", "size"), "near-lists")
         now = materialize(now.join(lists.select("key"), "key", "left_semi"), "near-now")
         widest = lists.agg(F.max("size")).first()[0] or 0
-    return links
+    return sets, links
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, but for near copies: of each group the smallest doc_id stays.
 
-    Groups are the components of near_duplicate_links. Texts without words are
-    copies of each other. Rows with a null doc_id stay, as do repeated rows of a
-    document that stays. An empty table gives an empty result.
+    Groups are the components of near_links. Texts without words are copies of each
+    other. Documents are told apart by doc_id and text: of one doc_id, texts that are
+    unlike stay, and of like ones the one with the smallest hash. Rows with a null
+    doc_id stay, as do repeated rows of a document that stays. An empty table gives
+    an empty result.
     """
-    found = components(near_duplicate_links(docs, **options))
-    name = unused(docs.columns, "gone")
-    gone = materialize(found.where("node != root").select(F.col("node").alias(name)), "near-gone")
+    sets, links = near_links(docs, **options)
+    members = components(links).join(sets.select("row", F.struct(*KEYS).alias("who")), F.col("node") == F.col("row")).select("root", "who")
+    first = members.groupBy("root").agg(F.min("who").alias("stays"))
+    names = [unused(docs.columns, f"gone_{c}") for c in KEYS]
+    gone = members.join(first, "root").where("who != stays").select(*(F.col("who")[c].alias(n) for c, n in zip(KEYS, names, strict=True))).distinct()
+    gone = materialize(gone, "near-gone")
     own = docs["doc_id"].cast("long")
-    may = F.coalesce(may_be_among(own, gone), F.lit(False))
-    suspects = docs.where(may).join(gone, own == F.col(name), "left_anti")
-    return docs.where(~may).unionByName(suspects)
+    may = F.coalesce(may_be_among(own, gone.select(names[0])), F.lit(False))
+    same = [x == gone[n] for x, n in zip((own, *text_key(docs["text"])), names, strict=True)]
+    return docs.where(~may).unionByName(docs.where(may).join(gone, same, "left_anti"))

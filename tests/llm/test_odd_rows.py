@@ -200,3 +200,34 @@ def test_bytes_that_are_no_utf8(spark, tmp_path, labels):
     assert ids(exact_dedup.drop_exact_duplicates(docs)) == [1, 2, 3, 4, 5]
     assert ids(simhash.drop_near_duplicates(docs)) == [0, 1, 2, 3, 4]
     assert packing.pack(packing.token_pieces(docs)).count() == mixing.mix(mixing.sized(docs)).count() == len(raw)
+
+
+def test_one_identifier_of_several_texts(spark, tmp_path):
+    """Unlike texts of one doc_id are documents of their own: none goes with another's copy, and each is taken as often as the mix takes it."""
+    from pyspark.sql import functions as F
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a.replace("a30", "other")
+    rows = [(3, a, "s"), (5, near, "s"), (5, b, "s"), (9, c, "s"), (9, c + " more", "s"), (None, a, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    left = simhash.drop_near_duplicates(docs)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in left.collect())
+    assert [x for x in kept if x[0] != "9"] == sorted([("3", a), ("5", b), ("None", a)])
+    assert len([x for x in kept if x[0] == "9"]) == 1
+    rows = [(1, "w " * 50, "x"), (1, "w " * 7, "y"), (2, "w " * 3, "y"), (2, "", "x"), (3, "w " * 41, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {}
+    for r in mixing.mix(mixing.sized(docs, key=F.col("text"))).collect():
+        if r["copies"]:
+            sizes[r["doc_id"], r["key"]] = r["copies"]
+    found = corpus_pipeline.mixing(spark, docs, str(tmp_path)).groupBy("doc_id", "text").count().collect()
+    assert {(r["doc_id"], r["text"]): r["count"] for r in found} == sizes
+
+
+@pytest.mark.parametrize("doc_id", [4, None])
+def test_many_rows_of_one_identifier(spark, doc_id):
+    """Repeated rows over many memtables don't meet each other, which would be 30 million rows here."""
+    rows = [(doc_id, f"text {i % 3}") for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = exact_dedup.exact_dedup(docs, memtable_rows=30).groupBy("text_sha256", "group_size", "kept").count().collect()
+    assert sorted((r["group_size"], r["kept"], r["count"]) for r in found) == [(10_000, False, 9_999)] * 3 + [(10_000, True, 1)] * 3
