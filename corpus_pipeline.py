@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haploweave.llm._io import materialize, table, unused
+from haploweave.llm._io import materialize, table, text_key, unused
 from haploweave.llm.exact_dedup import drop_exact_duplicates
 from haploweave.llm.mixing import mix, sized
 from haploweave.llm.packing import pack, token_pieces
@@ -33,11 +33,13 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them; those it doesn't take go. Rows of one doc_id are taken alike."""
-    name = unused(docs.columns, "mixed_id")
-    copies = mix(sized(docs)).groupBy(F.col("doc_id").alias(name)).agg(F.max("copies").cast("int").alias(f"{name}_copies")).where(f"{name}_copies > 0")
-    taken = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col(name)))
-    return taken.withColumn(name, F.explode(F.array_repeat(F.lit(0), F.col(f"{name}_copies")))).select(docs.columns)
+    """Documents as often as the mix of sources takes them; those it doesn't take go. Repeated rows, of one doc_id and text, are taken alike."""
+    name = unused(docs.columns, "mixed")
+    own = [docs["doc_id"].cast("long"), *text_key(docs["text"])]
+    keys = [f"{name}_{i}" for i in range(3)]
+    copies = mix(sized(docs, h0=own[1], h1=own[2])).groupBy(*(F.col(c).alias(k) for c, k in zip(("doc_id", "h0", "h1"), keys, strict=True))).agg(F.max("copies").cast("int").alias(name)).where(f"{name} > 0")
+    taken = docs.join(copies, [x.eqNullSafe(F.col(k)) for x, k in zip(own, keys, strict=True)])
+    return taken.withColumn(name, F.explode(F.array_repeat(F.lit(0), F.col(name)))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
