@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from haploweave.operators import tiles
+from haploweave.operators.chains import STRETCH, visited
 from haploweave.operators.penalty import Penalty
 from haploweave.operators.ranges import neighbours, range_join, ranked, running_max, within
+from haploweave.sources.shared import written
 
 
 def chromosome(positions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -47,9 +50,9 @@ def window_scores(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def chunks(chrom: DataFrame, longest: int, most: int, by: Sequence[str] = ()) -> DataFrame:
     """(start_bp, end_bp, buffer_end_bp): from left to right, chunks of at most ``most`` sites with a buffer of ``longest``.
 
-    Each site's chunk, should one begin there, comes from joins; then a chromosome's
-    sites pass by in order, of which only the next chunk's start is kept. A chunk
-    that would end before it starts (too few sites for the longest block) is an error.
+    Each site's chunk, should one begin there, comes from joins; which of them
+    begin is a walk (see chains.visited). A chunk that would end before it starts
+    (too few sites for the longest block) is an error.
     """
     near = neighbours(chrom, longest, by)
     ends = chrom.groupBy(*by).agg(F.max("idx").alias("_last"))
@@ -57,38 +60,43 @@ def chunks(chrom: DataFrame, longest: int, most: int, by: Sequence[str] = ()) ->
     near = near.withColumn("_reach", F.least(F.col("idx") + most - 1, F.col("_last")))
     at = near.select(*by, F.col("idx").alias("_reach"), F.col("left_idx").alias("_back"))
     ends = near.join(at, [*by, "_reach"]).withColumn("_end", F.when(F.col("_reach") == F.col("_last"), F.col("_last")).otherwise(F.col("_back")))
+    # an end before the start is an error, if the walk comes there
+    steps = ends.select(*by, "idx", (F.greatest("idx", "_end") + 1).alias("next"))
+    begin = visited(steps, by).join(ends.select(*by, "idx", "pos", "_end"), [*by, "idx"])
+    wrong = F.raise_error(F.concat(F.lit("too few sites in a chunk for the longest block, at "), F.col("pos").cast("string"))).cast("long")
+    begin = begin.withColumn("start_bp", F.when(F.col("_end") >= F.col("idx"), F.col("pos")).otherwise(wrong)).drop("idx", "pos")
     there = near.select(*by, F.col("idx").alias("_end"), F.col("pos").alias("end_bp"), F.col("right_pos").alias("buffer_end_bp"))
-    step = ends.join(there, [*by, "_end"]).select(*by, "idx", F.col("_end").alias("end_idx"), F.col("pos").alias("start_bp"), "end_bp", "buffer_end_bp")
-    step = (step.repartition(*by) if by else step.repartition(1)).sortWithinPartitions(*by, "idx")
+    return begin.join(there, [*by, "_end"]).select(*by, "start_bp", "end_bp", "buffer_end_bp")
 
-    def follow(frames):
-        key, following = None, 0
-        for frame in frames:
-            taken = []
-            keys = list(zip(*(frame[c] for c in by), strict=True)) if by else [()] * len(frame)
-            for row, own, i, end, start in zip(range(len(frame)), keys, frame["idx"], frame["end_idx"], frame["start_bp"], strict=True):
-                if own != key:
-                    key, following = own, 0
-                if i == following:
-                    if end < i:
-                        raise ValueError(f"too few sites in a chunk for the longest block, at {start}")
-                    taken.append(row)
-                    following = end + 1
-            yield frame.iloc[taken][[*by, "start_bp", "end_bp", "buffer_end_bp"]]
-
-    fields = [chrom.schema[c] for c in by] + [T.StructField(n, T.LongType()) for n in ("start_bp", "end_bp", "buffer_end_bp")]
-    return step.mapInPandas(follow, T.StructType(fields))
-
-
-def chunk_scores(grid: DataFrame, chunk_table: DataFrame, width: int = 1_000_000, by: Sequence[str] = ()) -> DataFrame:
-    """window_scores made chunk by chunk: each from the pairs up to its buffer's end, kept for starts up to its own end.
-
-    Running sums then stay within a chunk, which bounds what a window holds.
-    ``width``: about the length of a chunk.
+
+def chunk_scores(chrom: DataFrame, edges: DataFrame, penalty: Penalty, longest: int, chunk_table: DataFrame, width: int = 1_000_000, by: Sequence[str] = ()) -> DataFrame:
+    """tiles.window_scores made chunk by chunk: each from the sites and edges up to its buffer's end, kept for starts up to its own end. ``width``: about the length of a chunk."""
+    spans = chunk_table.select(*by, "start_bp", "end_bp", "buffer_end_bp")
+    return tiles.chunk_scores(chrom, edges, penalty, longest, lambda rows, low, high: within(rows, low, high, spans, "start_bp", "buffer_end_bp", width, by), by)
+
+
+def partition(
+    chrom: DataFrame, edges: DataFrame, penalty: Penalty, longest: int, by: Sequence[str] = (), width: int | None = None, ahead: int | None = None, last: int | None = None, earlier: DataFrame | None = None, stretch: int = STRETCH
+) -> DataFrame:
+    """(idx, pos, opt, brk, starts): as optimum, straight from sites and edges (see tiles.optimum), without a row for each pair.
+
+    ``last``: blocks begin up to there. ``earlier(idx, pos, opt, brk)``: an earlier
+    optimum of the sites to the right of the others, which stands as it is; sites
+    after ``last`` without one add nothing.
     """
-    dealt = within(grid, "pos_i", "pos_j", chunk_table, "start_bp", "buffer_end_bp", width, by)
-    scored = window_scores(dealt, [*by, "start_bp"])
-    return scored.where("pos_i <= end_bp").drop("start_bp", "end_bp", "buffer_end_bp")
+    given = None
+    if earlier is not None:
+        given = earlier.select(*by, "idx", "opt")
+    if last is not None:
+        past = chrom.where(F.col("pos") > last).select(*by, "idx", F.lit(0.0).alias("opt"))
+        given = past if given is None else given.unionByName(past).groupBy(*by, "idx").agg(F.max_by("opt", F.abs("opt")).alias("opt"))
+    found = tiles.optimum(chrom, edges, penalty, longest, by, width, ahead, given).select(*by, "idx", "pos", "opt", "brk", "brk_idx")
+    if earlier is not None:
+        ends = earlier.select(*by, F.col("pos").alias("brk"), F.col("idx").alias("brk_idx"))
+        found = found.unionByName(earlier.select(*by, "idx", "pos", "opt", "brk").join(ends, [*by, "brk"]).select(found.columns))
+    found = written(found, "partition")
+    starts = visited(found.select(*by, "idx", (F.col("brk_idx") + 1).alias("next")), by, stretch).withColumn("starts", F.lit(True))
+    return found.join(starts, [*by, "idx"], "left").select(*by, "idx", "pos", "opt", "brk", F.coalesce("starts", F.lit(False)).alias("starts"))
 
 
 def resume(scores: DataFrame, earlier: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -219,8 +227,9 @@ def optimum(scores: DataFrame, by: Sequence[str] = (), sites: int = PART_SITES,
     more, as if nothing came after these. Where the totals of all sites that a
     part's blocks may lead to differ from the next part's by one constant, the
     part's choices are right and its totals follow. That is so where optimal blocks
-    from different ends have fallen into step; if anywhere they have not, all is
-    done again with twice as many sites ahead. A part's windows stream through one
+    from different ends have fallen into step; if anywhere they have not, a second
+    round takes each line as one part. ``partition`` needs no table of scores, and
+    solves only what is out of step again. A part's windows stream through one
     task and are not held; a chromosome's totals, five numbers a site, are joined in
     one. Of equal totals the nearest end counts, unless rounding tells them apart.
     """
@@ -235,10 +244,11 @@ def optimum(scores: DataFrame, by: Sequence[str] = (), sites: int = PART_SITES,
         keyed = parts if by else parts.withColumn("_all", F.lit(0))
         found = keyed.groupBy(*(by or ["_all"])).applyInPandas(_joiner(by, sites), final).persist()
         last = found.where("idx < 0").agg(F.max("pos")).first()[0]
-        if last is None or ahead > last:  # with all sites ahead no part can differ
+        if last is None or sites > last:
             return found
         found.unpersist()
-        ahead *= 2
+        # in one part a line can't be out of step: its windows stream through one task
+        sites, ahead = last + 1, 0
 
 
 def blocks(dp: DataFrame, by: Sequence[str] = ()) -> DataFrame:

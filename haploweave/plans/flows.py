@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from haploweave import schemas
-from haploweave.functions import genotype, statistics
+from haploweave.functions import statistics
 from haploweave.operators import blocks, consensus, edges, pairs, penalty, sites
 from haploweave.sources import sinks, text, vcf
 
@@ -48,7 +48,6 @@ def correlate(
     rows = sites.with_reason(sites.count_scores(sites.decode(vcf.scan(lines, wanted), phased)), None if shrink else maf, phased=phased, by=by)
     removed = rows.where("reason IS NOT NULL").select(*by, "pos", "reason").distinct()
     packed = sites.pack(sites.variance(rows.where("reason IS NULL")), width)
-    words = -(-width // genotype.BITS)
     if shrink:
         at = text.parse_genetic_map(text.read_placed(spark, genetic_map))
         if rows.select(*by).distinct().limit(2).count() > 1:
@@ -56,9 +55,9 @@ def correlate(
         lost = pairs.without_map(rows, at).limit(3).collect()
         if lost:
             raise ValueError(f"sites are missing from the map: {[r['pos'] for r in lost]}")
-        found = pairs.correlate_shrunk(pairs.with_map(packed, at), longest, words, individuals, effective_size, least, unphased=not phased, by=by)
+        found = pairs.correlate_shrunk(pairs.with_map(packed, at), longest, individuals, effective_size, least, unphased=not phased, by=by)
     else:
-        found = pairs.correlate(packed, longest, words, least, unphased=not phased, by=by)
+        found = pairs.correlate(packed, longest, least, unphased=not phased, by=by)
     seen = Observation()
     example = F.max(F.when(F.col("bad"), F.concat_ws(" ", *by, "loc_a", "loc_b", "r2")))
     found = found.observe(seen, F.count("*").alias("n_pairs"), F.count_if("bad").alias("n_bad"), example.alias("bad_pair"))
@@ -85,7 +84,7 @@ def score(
     graph: DataFrame, model: str, longest: int, value: float | None = None, most: int | None = None, distance: int = 2_000_000,
     sites: DataFrame | None = None, degree: DataFrame | None = None, start: int = 0, end: int | None = None, buffer: int | None = None, earlier: DataFrame | None = None,
 ) -> DataFrame:
-    """The optimum of every site (see blocks.optimum).
+    """The optimum of every site (see blocks.partition).
 
     ``value``: the penalty of the chi and constant models; ``most``: sites of a chunk,
     where sums are to be bounded by chunks. ``sites`` and ``degree``: what split has
@@ -115,14 +114,17 @@ def score(
     last = schemas.MAX_POSITION if buffer is None and end is None else (buffer if buffer is not None else end)
     if start or last != schemas.MAX_POSITION:
         graph, line = edges.subset(graph, start, last), line.where(F.col("pos").between(start, last))
-    grid = blocks.weights(line, graph, cost, longest, by)
-    scores = blocks.window_scores(grid, by) if most is None else blocks.chunk_scores(grid, blocks.chunks(line.select(*by, "pos", "idx"), longest, most, by), longest, by=by)
-    if end is not None:
-        scores = scores.where(F.col("pos_i") <= end)
+    known = None
     if earlier is not None:
         known = earlier.select(*by, "pos", "opt", "brk").join(whole.select(*by, "pos", "idx"), [*by, "pos"])
-        scores = blocks.resume(scores.join(known.select(*by, F.col("pos").alias("pos_i")), [*by, "pos_i"], "left_anti"), known, by)
-    return blocks.optimum(scores, by)
+    if most is not None:  # chunk by chunk, where an earlier run's sums are to be met
+        cut = blocks.chunks(line.select(*by, "pos", "idx"), longest, most, by)
+        scores = blocks.chunk_scores(line, graph, cost, longest, cut, longest, by)
+        scores = scores if end is None else scores.where(F.col("pos_i") <= end)
+        if known is not None:
+            scores = blocks.resume(scores.join(known.select(*by, F.col("pos").alias("pos_i")), [*by, "pos_i"], "left_anti"), known, by)
+        return blocks.optimum(scores, by)
+    return blocks.partition(line, graph, cost, longest, by, last=end, earlier=known)
 
 
 def agree(spark: SparkSession, populations: dict[str, str], buffer: float, width: int = 100_000, repair: bool = True) -> DataFrame:

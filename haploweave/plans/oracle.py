@@ -10,6 +10,9 @@ DEGREE = f"{ITEMS}, k AS (SELECT pos, sum(r) AS k FROM (SELECT loc_a AS pos, r F
 VALUES = "v AS (SELECT vec_id AS pos, generate_subscripts(embedding, 1) - 1 AS idx, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 HAPS = f"{VALUES}, s AS (SELECT pos, idx, CASE WHEN v > 0 THEN 1 ELSE 0 END AS x FROM v)"
 DOSES = f"{VALUES}, s AS (SELECT pos, idx, CASE WHEN (pos * 7 + idx) % 29 = 0 THEN NULL WHEN v < CAST(-0.05 AS DOUBLE) THEN 0 WHEN v < CAST(0.05 AS DOUBLE) THEN 1 ELSE 2 END AS x FROM v)"
+#: Sixteen vectors a site; individuals of a vector that isn't there are missing.
+WIDE = f"""{DOSES.replace("s AS", "one AS")}, every AS (SELECT pos, idx FROM (SELECT DISTINCT pos // 16 AS pos FROM one), (SELECT unnest(range(1024)) AS idx)),
+  s AS (SELECT every.pos, every.idx, x FROM every LEFT JOIN one ON one.pos // 16 = every.pos AND one.pos % 16 * 64 + one.idx = every.idx)"""
 #: The phased table as its text says: first individual of each 20th position has a third allele, each 40th varies nowhere.
 TEXT_HAPS = f"""{VALUES}, s AS (SELECT pos, idx, CASE WHEN pos % 20 = 10 AND idx = 0 THEN 0 WHEN pos % 20 = 10 AND idx = 1 THEN NULL WHEN pos % 20 <> 10 AND pos % 40 = 20 THEN 0 WHEN v > 0 THEN 1 ELSE 0 END AS x,
   pos % 20 = 10 AND idx = 1 AS other FROM v)"""
@@ -52,7 +55,8 @@ CHUNKS = f"""{LINE}, {NEAR.format(50)}, top AS (SELECT max(idx) AS last FROM lin
   chunk(nxt, start_bp, end_bp, buffer_end_bp) AS (SELECT e + 1, step.pos, n.pos, n.right_pos FROM step JOIN near n ON n.idx = e WHERE step.idx = 0
     UNION ALL SELECT e + 1, step.pos, n.pos, n.right_pos FROM chunk JOIN step ON step.idx = chunk.nxt JOIN near n ON n.idx = e)"""
 PART_LINE = "line AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS idx FROM (SELECT DISTINCT p_partkey * 3 + p_size % 3 + 40 * (p_partkey // 4) AS pos FROM part))"
-GMAP = "gmap AS (SELECT p_partkey AS pos, CAST(p_partkey AS DOUBLE) / 1000 + p_size / CAST(1e6 AS DOUBLE) AS cm FROM part)"
+#: Every 40 positions one that no part maps.
+GMAP = "gmap AS (SELECT p_partkey + p_partkey // 39 AS pos, CAST(p_partkey AS DOUBLE) / 1000 + p_size / CAST(1e6 AS DOUBLE) AS cm FROM part)"
 SETS = """sets AS (SELECT 'P' || p AS pop, k * 100 + (k * k * 7 + p * 13) % 60 AS block_start, (k + 1) * 100 + ((k + 1) * (k + 1) * 7 + p * 13) % 60 - 1 AS block_end
   FROM (SELECT c_custkey AS k, unnest(range(4)) AS p FROM customer))"""
 SHORT = f"{SETS}, short AS (SELECT pop, block_start + CAST(20 AS DOUBLE) AS start, block_end + 1 - CAST(20 AS DOUBLE) AS stop FROM sets WHERE block_start + 20 < block_end + 1 - 20)"
@@ -96,6 +100,7 @@ ORACLE = {
     "variance": f"WITH {DOSES} SELECT pos, round(var_samp(CAST(x AS DOUBLE)), 9) + 0.0 AS variance FROM s GROUP BY pos",
     "pair_r2_phased": f"WITH {HAPS}, {_moments(50)} {_r2('cov * cov / (va * vb)', 'cov')}",
     "pair_r2_unphased_missing": f"WITH {DOSES}, {_moments(50)} {_r2('cov * cov / (va * vb)', 'cov')}",
+    "pair_r2_wide": f"WITH {WIDE}, {_moments(50)} {_r2('cov * cov / (va * vb)', 'cov')}",
     "pair_r2_shrinkage": f"""WITH {HAPS}, {_moments(50)}, {GMAP}, t AS (SELECT CAST(1 AS DOUBLE) / 65 AS t),
       g AS (SELECT cov.*, t, pow(1 - t, 2) * exp((a.cm - b.cm) * 4 * 100 / (2 * 32)) * cov AS sc FROM cov JOIN gmap a ON a.pos = loc_a JOIN gmap b ON b.pos = loc_b, t)
       {_r2('sc * sc / ((pow(1 - t, 2) * va + t / 2 * (1 - t / 2)) * (pow(1 - t, 2) * vb + t / 2 * (1 - t / 2)))', 'g')}""",
@@ -108,6 +113,7 @@ ORACLE = {
       FROM graph JOIN chunk ON loc_a >= start_bp AND loc_b <= buffer_end_bp GROUP BY ALL""",
     "pair_weights_threshold": f"WITH {GRID} SELECT i, j, pos_i, pos_j, round(w, 9) + 0.0 AS w FROM grid",
     "window_scores_threshold": f"WITH {GRID}, {SCORES} SELECT pos_i, pos_j, round(score, 6) + 0.0 AS score FROM c",
+    "window_scores_grid": f"WITH {GRID}, {SCORES} SELECT pos_i, pos_j, round(score, 6) + 0.0 AS score FROM c",
     "window_scores_modularity": f"""WITH {GRAPH}, {LINE}, k AS (SELECT pos, sum(r) / sqrt(2 * (SELECT sum(r) FROM graph)) AS k FROM (SELECT loc_a AS pos, r FROM graph UNION ALL SELECT loc_b, r FROM graph) GROUP BY pos),
       len AS (SELECT CAST(max(pos) - min(pos) AS DOUBLE) / 50 AS f FROM line),
       grid AS MATERIALIZED (SELECT p.idx AS i, q.idx AS j, p.pos AS pos_i, q.pos AS pos_j, coalesce(r, 0.0) - f * a.k * b.k AS w FROM line p JOIN line q ON q.pos >= p.pos AND q.pos <= p.pos + 50
@@ -115,6 +121,7 @@ ORACLE = {
     "opt_scores": OPT,
     "chunked_opt_scores": OPT,
     "dp_resume": OPT,
+    "dp_resume_scores": OPT,
     "opt_blocks": f"WITH RECURSIVE {BLOCKS} SELECT block_start, block_end FROM chain",
     "best_total": f"WITH RECURSIVE {DP} SELECT round(opt, 6) + 0.0 AS opt FROM opt WHERE idx = 0",
     "partition_summary": f"""WITH RECURSIVE {BLOCKS}, g AS (SELECT *, greatest(coalesce(block_start - lag(block_end) OVER (ORDER BY block_start) - 1, 0), 0) AS gap FROM chain)
@@ -132,7 +139,7 @@ ORACLE = {
     "next_variant": f"WITH {PART_LINE} SELECT * FROM (SELECT pos, lead(pos) OVER (ORDER BY pos) AS next_pos FROM line) WHERE next_pos IS NOT NULL",
     "ld_matrix_long": f"WITH {GRAPH} SELECT loc_a, loc_b, round(r, 9) + 0.0 AS r FROM graph WHERE loc_a BETWEEN 100 AND 200 AND loc_b BETWEEN 100 AND 200 AND r > CAST(0.0001 AS DOUBLE)",
     "ld_matrix_dense": f"""WITH {GRAPH}, m AS (SELECT loc_a, loc_b, round(r, 9) AS r FROM graph WHERE loc_a BETWEEN 100 AND 106 AND loc_b BETWEEN 100 AND 106 AND r > CAST(0.0001 AS DOUBLE))
-      PIVOT m ON loc_b USING max(r) GROUP BY loc_a""",
+      SELECT loc_a, {", ".join(f'max(r) FILTER (loc_b = {c}) AS "{c}"' for c in range(101, 107))} FROM m GROUP BY loc_a""",
     "ld_matrix_binned": f"WITH {ITEMS} SELECT loc_a // 100 AS bin_a, loc_b // 100 AS bin_b, round(avg(r), 6) + 0.0 AS r FROM items GROUP BY ALL",
     "edge_bucket_counts": f"WITH {ITEMS} SELECT loc_a, CAST(1 AS BIGINT) AS n_buckets, count(*) AS n_edges FROM items GROUP BY loc_a",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haploweave.functions import statistics
-from haploweave.operators import blocks, consensus, edges, matrix, pairs, penalty, ranges, sites
+from haploweave.operators import blocks, consensus, edges, matrix, pairs, penalty, ranges, sites, tiles
 from haploweave.plans import synth
 from haploweave.sources import text, vcf
 
@@ -151,11 +151,16 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def pair_r2_phased(spark, d):
-    return _pairs(pairs.correlate(synth.packed(spark, d, True), synth.LONGEST, 1, 0.001, unphased=False))
+    return _pairs(pairs.correlate(synth.packed(spark, d, True), synth.LONGEST, 0.001, unphased=False))
 
 
 def pair_r2_unphased_missing(spark, d):
-    return _pairs(pairs.correlate(synth.packed(spark, d, False), synth.LONGEST, 1, 0.001))
+    return _pairs(pairs.correlate(synth.packed(spark, d, False), synth.LONGEST, 0.001))
+
+
+def pair_r2_wide(spark, d):
+    """Of sites with 1,024 individuals: 16 words a plane."""
+    return _pairs(pairs.correlate(synth.wide(spark, d), synth.LONGEST, 0.001))
 
 
 def _map(spark, d) -> DataFrame:
@@ -164,7 +169,7 @@ def _map(spark, d) -> DataFrame:
 
 def pair_r2_shrinkage(spark, d):
     mapped = pairs.with_map(synth.packed(spark, d, True), _map(spark, d))
-    return _pairs(pairs.correlate_shrunk(mapped, synth.LONGEST, 1, 32, 100.0, 0.001))
+    return _pairs(pairs.correlate_shrunk(mapped, synth.LONGEST, 32, 100.0, 0.001))
 
 
 def gmap_missing_sites(spark, d):
@@ -210,23 +215,29 @@ def pair_weights_threshold(spark, d):
 
 
 def window_scores_threshold(spark, d):
+    return tiles.window_scores(synth.chrom(spark, d), synth.graph(spark, d), penalty.Constant(synth.PENALTY), synth.LONGEST, width=4 * synth.LONGEST).select("pos_i", "pos_j", _r("score"))
+
+
+def window_scores_grid(spark, d):
+    """The same scores by way of a row for each pair, which serves any penalty."""
     return blocks.window_scores(_grid(spark, d)).select("pos_i", "pos_j", _r("score"))
 
 
 def window_scores_modularity(spark, d):
+    """The coefficient, the line's length over the longest block, is dealt to both sides of a pair."""
     graph = synth.graph(spark, d)
     line = synth.chrom(spark, d).join(edges.normalized_degree(graph).select("pos", "k_norm"), "pos")
-    length = blocks.extent(line).first()["length_bp"]
-    grid = blocks.weights(line, graph, penalty.Modularity(length / synth.LONGEST), synth.LONGEST)
-    return blocks.window_scores(grid).select("pos_i", "pos_j", _r("score"))
+    root = blocks.extent(synth.chrom(spark, d)).select(F.sqrt(F.col("length_bp") / synth.LONGEST).alias("root"))
+    line = line.crossJoin(F.broadcast(root)).select("pos", "idx", (F.col("k_norm") * F.col("root")).alias("k_norm"))  # one row
+    return tiles.window_scores(line, graph, penalty.Modularity(1.0), synth.LONGEST, width=4 * synth.LONGEST).select("pos_i", "pos_j", _r("score"))
 
 
 #: Sites of a part of the partition: few, as the line is short.
 PART, AHEAD = 512, 128
 
 
-def _optimum(spark, d) -> DataFrame:
-    return blocks.optimum(blocks.window_scores(_grid(spark, d)), sites=PART, ahead=AHEAD)
+def _optimum(spark, d, **more) -> DataFrame:
+    return blocks.partition(synth.chrom(spark, d), synth.graph(spark, d), penalty.Constant(synth.PENALTY), synth.LONGEST, stretch=PART, **more)
 
 
 def opt_scores(spark, d):
@@ -247,8 +258,8 @@ def partition_summary(spark, d):
 
 
 def chunked_opt_scores(spark, d):
-    dp = blocks.optimum(blocks.chunk_scores(_grid(spark, d), _chunks(spark, d), synth.LONGEST), sites=PART, ahead=AHEAD)
-    return dp.select("pos", _r("opt"), "brk")
+    scores = blocks.chunk_scores(synth.chrom(spark, d), synth.graph(spark, d), penalty.Constant(synth.PENALTY), synth.LONGEST, _chunks(spark, d), synth.LONGEST)
+    return blocks.optimum(scores, sites=PART, ahead=AHEAD).select("pos", _r("opt"), "brk")
 
 
 BUFFER, REACH = 40, 200
@@ -333,6 +344,13 @@ def degree_range(spark, d):
 
 def dp_resume(spark, d):
     """The partition again, where the optimum right of position 300 is taken from an earlier run."""
+    line = synth.chrom(spark, d)
+    right = blocks.partition(line.where("pos > 300"), synth.graph(spark, d).where("loc_a > 300"), penalty.Constant(synth.PENALTY), synth.LONGEST)
+    return _optimum(spark, d, earlier=right.select("idx", "pos", "opt", "brk")).select("pos", _r("opt"), "brk")
+
+
+def dp_resume_scores(spark, d):
+    """The same from tables of window scores."""
     scores = blocks.window_scores(_grid(spark, d))
     earlier = blocks.optimum(scores.where("pos_i > 300"))
     return blocks.optimum(blocks.resume(scores.where("pos_i <= 300"), earlier)).select("pos", _r("opt"), "brk")
@@ -344,8 +362,8 @@ QUERIES = {
         edge_parse_text, edge_canonicalize, edge_duplicates, variant_list, chromosome_extent, combine_max, degree_k, total_weight_m, degree_normalized, degree_range,
         background_penalty, long_range_edges, edges_in_range, chi_penalty, fisher_penalty, power_penalty, sample_semi_join, sample_individuals, sample_edges, panel_by_superpop, geno_counts_phased,
         geno_counts_unphased, geno_counts_selected, site_row_counts, site_filter_reasons, maf_filter, high_missingness, variance, pair_r2_phased, pair_r2_unphased_missing,
-        pair_r2_shrinkage, gmap_missing_sites, genetic_map_lookup, right_neighbor, left_neighbor, chunk_intervals, chunk_edge_subset, pair_weights_threshold,
-        window_scores_threshold, window_scores_modularity, opt_scores, opt_blocks, best_total, partition_summary, chunked_opt_scores, dp_resume, consensus_shrunk,
+        pair_r2_wide, pair_r2_shrinkage, gmap_missing_sites, genetic_map_lookup, right_neighbor, left_neighbor, chunk_intervals, chunk_edge_subset, pair_weights_threshold,
+        window_scores_threshold, window_scores_grid, window_scores_modularity, opt_scores, opt_blocks, best_total, partition_summary, chunked_opt_scores, dp_resume, dp_resume_scores, consensus_shrunk,
         consensus_intervals, consensus_coverage, consensus_violations, consensus_repaired, interval_overlaps, block_triangles, blocks_shown, nearest_variant, next_variant,
         ld_matrix_long, ld_matrix_dense, ld_matrix_binned, edge_bucket_counts,
     )

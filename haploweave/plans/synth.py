@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haploweave.operators import blocks, edges, pairs, sites
@@ -47,13 +47,30 @@ def counted(spark: SparkSession, sf_dir: str, phased: bool, ids: DataFrame | Non
     return sites.count_scores(sites.decode(vcf.scan(vcf_lines(spark, sf_dir, phased), ids).drop("chrom"), phased))
 
 
+def _doses() -> Column:
+    return F.transform("v", lambda x, i: F.when((F.col("pos") * 7 + i) % 29 == 0, F.lit(None).cast("int")).when(x < -0.05, 0).when(x < 0.05, 1).otherwise(2))
+
+
+#: Vectors that make one wide site.
+WIDE = 16
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of WIDE vectors each, with WIDTH individuals of every one; those of a vector that isn't there are missing."""
+    rows = _vectors(spark, sf_dir).select((F.col("pos") % WIDE).cast("int").alias("k"), F.floor(F.col("pos") / WIDE).alias("at"), _doses().alias("own"))
+    held = rows.groupBy(F.col("at").alias("pos")).agg(F.map_from_entries(F.collect_list(F.struct("k", "own"))).alias("m"))  # WIDE vectors at most
+    none = F.array_repeat(F.lit(None).cast("int"), WIDTH)
+    scores = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda k: F.coalesce(F.try_element_at("m", k), none)))
+    return sites.pack(sites.variance(sites.count_scores(held.select("pos", scores.alias("scores")))), WIDE * WIDTH)
+
+
 def scored_sites(spark: SparkSession, sf_dir: str, phased: bool) -> DataFrame:
     """Sites straight from the vectors: 64 haplotypes, or 64 individuals with missing calls."""
     rows = _vectors(spark, sf_dir)
     if phased:
         scores = F.transform("v", lambda x: F.when(x > 0, 1).otherwise(0))
     else:
-        scores = F.transform("v", lambda x, i: F.when((F.col("pos") * 7 + i) % 29 == 0, F.lit(None).cast("int")).when(x < -0.05, 0).when(x < 0.05, 1).otherwise(2))
+        scores = _doses()
     return sites.variance(sites.count_scores(rows.select("pos", scores.alias("scores"))))
 
 
@@ -63,7 +80,7 @@ def packed(spark: SparkSession, sf_dir: str, phased: bool) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between the vectors' signs: r2 of phased sites."""
-    found = pairs.correlate(packed(spark, sf_dir, True), LONGEST, 1, 0.0, unphased=False)
+    found = pairs.correlate(packed(spark, sf_dir, True), LONGEST, 0.0, unphased=False)
     return found.select("loc_a", "loc_b", F.col("r2").alias("r"))
 
 
@@ -89,9 +106,10 @@ def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genetic_map_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name, position and map position of all parts; keys begin with 1, so that the site 0 has none."""
+    """Name, position and map position of all parts; every 40th position is left out."""
     part = table(spark, sf_dir, "part")
-    return part.select(F.concat_ws(" ", F.lit("rs"), F.col("p_partkey").cast("string"), (F.col("p_partkey").cast("double") / 1000 + F.col("p_size") / 1e6).cast("string")).alias("line"))
+    pos = F.col("p_partkey") + F.floor(F.col("p_partkey") / 39)
+    return part.select(F.concat_ws(" ", F.lit("rs"), pos.cast("string"), (F.col("p_partkey").cast("double") / 1000 + F.col("p_size") / 1e6).cast("string")).alias("line"))
 
 
 def block_sets(spark: SparkSession, sf_dir: str) -> DataFrame:

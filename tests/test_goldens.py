@@ -129,14 +129,14 @@ def test_sites(spark):
 )
 def test_correlation(spark, phased, want):
     packed = sites.pack(counted(spark, phased).where("reason IS NULL AND pos <= 3000"), 8 if phased else 4)
-    found = {(r["loc_a"], r["loc_b"]): (r["r2"], r["bad"]) for r in pairs.correlate(packed, 5000, 1, unphased=not phased).collect()}
+    found = {(r["loc_a"], r["loc_b"]): (r["r2"], r["bad"]) for r in pairs.correlate(packed, 5000, unphased=not phased).collect()}
     assert found == {k: (pytest.approx(v, abs=1e-6), bad) for k, (v, bad) in want.items()}
 
 
 def test_shrinkage(spark):
     packed = sites.pack(counted(spark, True).where("pos <= 2000"), 8)
     at = spark.createDataFrame([(1000, 0.01), (2000, 0.02)], "pos long, cm double")
-    r = pairs.correlate_shrunk(pairs.with_map(packed, at), 5000, 1, 4, 100.0).first()
+    r = pairs.correlate_shrunk(pairs.with_map(packed, at), 5000, 4, 100.0).first()
     assert r["r2"] == pytest.approx(0.143520, abs=1e-6)
 
 
@@ -242,7 +242,7 @@ def test_random_chromosomes(spark, seed):
         cover = sorted(p for r in found if r["chrom"] == chrom for p in pos if r["block_start"] <= p <= r["block_end"])
         assert cover == pos
         assert totals[chrom] == pytest.approx(sum(want[pos.index(r["block_start"]), pos.index(r["block_end"])] for r in found if r["chrom"] == chrom), abs=1e-9)
-    chunked = blocks.optimum(blocks.chunk_scores(grid, blocks.chunks(line, 60, 12, by), 60, by), by)
+    chunked = blocks.optimum(blocks.chunk_scores(line, graph, penalty.Constant(0.37), 60, blocks.chunks(line, 60, 12, by), 60, by), by)
     assert rows(chunked, "chrom", "pos", "brk") == rows(dp, "chrom", "pos", "brk")
     assert rows(edges.combine([graph, graph], by), "chrom", "loc_a", "loc_b", "r") == sorted(edge_rows)
     assert math.isfinite(sum(totals.values()))
