@@ -444,11 +444,17 @@ def _scorer(chain: Chain, weights: np.ndarray | None):
     return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[Chain, np.ndarray]:
-    """The chain and the score's weights from ``labels(doc_id, toxic)``, of at most ``limit`` documents."""
+def sampled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, text, toxic) of at most ``limit`` labels of 0 or 1. Of a doc_id's texts, the one with the smallest hash is learned from."""
     labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     some = F.broadcast(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))  # at most ``limit`` rows of two numbers
-    sample = materialize(docs.join(some, "doc_id"), "toxicity-sample")
+    # one text for each label, so that repeated identifiers don't grow the sample
+    return docs.join(some, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[Chain, np.ndarray]:
+    """The chain and the score's weights from ``labels(doc_id, toxic)``, of at most ``limit`` documents."""
+    sample = materialize(sampled(docs, labels, limit), "toxicity-sample")
     marks = lexicon(sample)
     chain = train(sample, marks) if marks else Chain(-12.0, np.zeros(1, np.float32), (0.0, 0.0, 0.0), Vocabulary([]))
     rows = sample.mapInArrow(_scorer(chain, None), "toxic long, x array<double>").toArrow()

@@ -130,6 +130,10 @@ def test_toxicity(odd, none, labels):
     assert all(0 <= r["score"] <= 1 for r in found)
     assert len({r["score"] for r in found if r["doc_id"] in (3, 4, 5)}) == 1
     assert toxicity.score_toxicity(none, labels).count() == 0
+    many = odd.sparkSession.createDataFrame([(i % 10, f"text {i} bad" if i % 2 else f"text {i}") for i in range(1000)], "doc_id long, text string")
+    marks = odd.sparkSession.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(many, marks, limit=10).count() == 1000
+    assert toxicity.sampled(many, marks, 10).count() == 10
     assert toxicity.score_toxicity(odd, labels.where("false")).count() == len(TEXTS)
 
 
