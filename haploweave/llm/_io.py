@@ -77,6 +77,27 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def trimmed(function):
+    """A function over batches that gives back what it has freed when its task ends."""
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return run
+
+
+#: Bytes of a batch of rows that goes to Python at most, where the session doesn't say.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches of rows for Python hold BATCH_BYTES at most, unless it has a limit of its own: whole texts are long, and a batch is held on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == "67108864b":  # the default
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haploweave.llm._io import Filter, as_bytes, materialize, may_be_among, mixed, pieces, table, text_key, unused
+from haploweave.llm._io import Filter, as_bytes, materialize, may_be_among, mixed, pieces, table, text_key, trimmed, unused
 from haploweave.llm.components import components
 
 DISTANCE, SEGMENTS = 4, 5
@@ -452,7 +452,7 @@ def near_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, cell: int =
         ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "near-ids")
         wide = of(sets.select("row", "n", "wide"), ids)
         pairs = pairs.join(wide.toDF("a", "n", "wide"), "a").join(wide.toDF("b", "m", "other"), "b").select("a", "b", "n", "m", "wide", "other")
-        pairs = materialize(pairs.mapInArrow(_close(similarity), "a long, b long").distinct(), "near-pairs")
+        pairs = materialize(pairs.mapInArrow(trimmed(_close(similarity)), "a long, b long").distinct(), "near-pairs")
         ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "near-ids")
         held = texts_of(ids)
         texts = pairs.join(held.toDF("a", "a_text"), "a").join(held.toDF("b", "b_text"), "b")
@@ -468,7 +468,7 @@ def near_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, cell: int =
     links = links.unionAll(verified(alike.unionAll(near).distinct()))
 
     rows = own.select(F.posexplode("first").alias("pos", "key"), "row", "n").select("key", "row", F.col("pos").cast("long"), "n")
-    now = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(["key", "row", "pos", "n"]), "key long, row long, pos long, n long, at long"), "near-rows")
+    now = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_shared(["key", "row", "pos", "n"])), "key long, row long, pos long, n long, at long"), "near-rows")
     # sketches are only dealt of sets that share something
     some = materialize(now.select("row").distinct(), "near-some")
     sketches = of(sets, some).select("row", *(F.col("sketch")[i].alias(f"s{i}") for i in range(8)))
@@ -489,7 +489,7 @@ def near_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, cell: int =
         met = met.select("key", "cell", "row", "pos", "n", "comp", *(f"s{i}" for i in range(8))).repartition("key", "cell")
         # the same order in every round, of a set's rows too
         met = met.sortWithinPartitions("key", "cell", "row", "pos", "n", "s0", "s1")
-        links = links.unionAll(verified(met.mapInArrow(_meet(similarity, low, high), "a long, b long").distinct()))
+        links = links.unionAll(verified(met.mapInArrow(trimmed(_meet(similarity, low, high)), "a long, b long").distinct()))
         low, high = high, high * 64
         if widest <= low:
             break
