@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haploweave.llm._io import materialize, table, text_key, unused
+from haploweave.llm._io import materialize, small_batches, table, text_key, unused
 from haploweave.llm.exact_dedup import drop_exact_duplicates
 from haploweave.llm.mixing import mix, sized
 from haploweave.llm.packing import pack, token_pieces
@@ -19,21 +19,25 @@ from haploweave.llm.simhash import drop_near_duplicates
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards the labelled good ones selects."""
+    small_batches(spark)
     return keep_quality(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long"), "quality"))
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest doc_id."""
+    small_batches(spark)
     return drop_exact_duplicates(docs)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    small_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them; those it doesn't take go. Repeated rows, of one doc_id and text, are taken alike."""
+    small_batches(spark)
     name = unused(docs.columns, "mixed")
     own = [docs["doc_id"].cast("long"), *text_key(docs["text"])]
     keys = [f"{name}_{i}" for i in range(3)]
@@ -44,6 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, each with its place in a sequence."""
+    small_batches(spark)
     return pack(token_pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
