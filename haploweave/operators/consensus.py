@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haploweave.operators.ranges import STRETCH, overlaps, running_max
+from haploweave.sources.shared import written
 
 
 def extremes(sets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -83,9 +84,12 @@ def repaired(sets: DataFrame, buffer: float, width: int, by: Sequence[str] = (),
     that reach the same intervals, so intervals and blocks are worked on in groups
     that share none; intervals that no such block reaches stay as they are.
     """
-    consensus = merged(sets, buffer, by, merge_adjacent)
+    # each is read several times below
+    consensus = written(merged(sets, buffer, by, merge_adjacent), "consensus")
     bad = _reached(sets, consensus, width, by).select(*by, "pop", F.col("block_start").cast("double").alias("start"), (F.col("block_end") + 1).cast("double").alias("stop"), "low", "high")
+    bad = written(bad, "reaching")
     groups = islands(bad.select(*by, F.least("low", "start").alias("start"), F.greatest("high", "stop").alias("stop")), by).select(*by, F.col("start").alias("group"), F.col("stop").alias("group_stop"))
+    groups = written(groups, "groups")
     inside = overlaps(consensus, groups, ("start", "stop", "group", "group_stop"), width, by).drop("group_stop")
     marked = overlaps(bad.drop("low", "high"), groups, ("start", "stop", "group", "group_stop"), width, by).drop("group_stop")
     free = consensus.join(inside.select(*by, "start", "stop"), [*by, "start", "stop"], "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -92,19 +92,62 @@ def nearest(points: DataFrame, chrom: DataFrame, point: str = "point", by: Seque
     return found.select(*by, F.col("at").alias(point), F.when(from_left, F.col("b.pos")).otherwise(after).alias("pos"), F.when(from_left, F.col("b.idx")).otherwise(F.col("a.idx")).alias("idx"))
 
 
-def overlaps(left: DataFrame, right: DataFrame, names: tuple[str, str, str, str], width: int, by: Sequence[str] = ()) -> DataFrame:
-    """Pairs of half-open intervals that overlap. ``names``: start and stop of both sides; each interval is dealt to the buckets of ``width`` that it touches.
+#: A level's bins are so many times as wide as those of the level below; the top level's hold any line of unsigned 32-bit positions.
+FACTOR, SPAN = 8, 1 << 33
+
+
+def level_widths(width: int) -> list[float]:
+    widths = [float(max(width, 1))]
+    while widths[-1] < SPAN:
+        widths.append(widths[-1] * FACTOR)
+    return widths
+
 
-    A pair is taken in the first bucket that both touch.
+def binned_by_level(rows: DataFrame, start: str, stop: str, other: DataFrame, width: int, own_side: int, by: Sequence[str] = ()) -> DataFrame:
+    """``rows`` of half-open intervals with _side, _level and _bin, where they meet those of ``other``; both have _level (with_level).
+
+    An interval lies in the one or two bins of its own level that it touches, on
+    ``own_side``; on the other side it looks for longer ones at each level above that
+    ``other`` holds. Of equal levels, side 0 is where they meet.
     """
-    s, e, u, v = names
+    held = other.groupBy(*by).agg(F.collect_set("_level").alias("_held"))  # a few levels
+    rows = rows.join(held, list(by)) if by else rows.crossJoin(F.broadcast(held))  # one row
+    widths = F.array(*(F.lit(w) for w in level_widths(width)))
+
+    def bins(side: int, levels: Column) -> Column:
+        def of(k: Column) -> Column:
+            first = F.floor(F.col(start) / F.get(widths, k))
+            last = F.greatest(first, F.ceil(F.col(stop) / F.get(widths, k)) - 1)
+            return F.transform(F.sequence(first, last), lambda x: F.struct(F.lit(side).alias("_side"), k.alias("_level"), x.alias("_bin")))
+
+        return F.flatten(F.transform(levels, of))
 
-    def dealt(rows: DataFrame, start: str, stop: str) -> DataFrame:
-        last = F.greatest(F.floor(F.col(start) / width), F.ceil(F.col(stop) / width) - 1)
-        return rows.where(F.col(start) < F.col(stop)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), last)))
+    own = F.col("_level")
+    above = F.filter("_held", lambda k: k > own if own_side == 0 else k >= own)
+    found = F.concat(bins(own_side, F.array(own)), bins(1 - own_side, above))
+    kept = [c for c in rows.columns if c not in ("_held", "_level")]
+    return rows.select(*kept, F.explode(found).alias("_at")).select(*kept, "_at.*")
 
-    pairs = dealt(left, s, e).join(dealt(right, u, v), [*by, "_bucket"])
-    return pairs.where((F.col(s) < F.col(v)) & (F.col(u) < F.col(e)) & (F.col("_bucket") == F.floor(F.greatest(s, u) / width))).drop("_bucket")
+
+def with_level(rows: DataFrame, start: str, stop: str, width: int) -> DataFrame:
+    """Intervals that aren't empty, with the lowest level whose bins are as wide as they are long; longer ones than all are of the top level, and lie in more than two of its bins."""
+    widths = level_widths(width)
+    length = F.col(stop) - F.col(start)
+    fits = [F.when(length <= w, F.lit(k)) for k, w in enumerate(widths)]
+    return rows.where(F.col(start) < F.col(stop)).withColumn("_level", F.coalesce(*fits, F.lit(len(widths) - 1)))
+
+
+def overlaps(left: DataFrame, right: DataFrame, names: tuple[str, str, str, str], width: int, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of half-open intervals that overlap. ``names``: start and stop of both sides; ``width``: about the length of the shorter ones.
+
+    A pair meets at the level of the longer of the two, in the first bin that both
+    touch. Lengths may differ by any factor: a row is dealt at most two times a level.
+    """
+    s, e, u, v = names
+    a, b = with_level(left, s, e, width), with_level(right, u, v, width)
+    pairs = binned_by_level(a, s, e, b, width, 0, by).join(binned_by_level(b, u, v, a, width, 1, by), [*by, "_side", "_level", "_bin"])
+    at = F.get(F.array(*(F.lit(w) for w in level_widths(width))), F.col("_level"))
+    return pairs.where((F.col(s) < F.col(v)) & (F.col(u) < F.col(e)) & (F.col("_bin") == F.floor(F.greatest(s, u) / at))).drop("_side", "_level", "_bin")
 
 
 def within(rows: DataFrame, low: str, high: str, spans: DataFrame, start: str, stop: str, width: int, by: Sequence[str] = ()) -> DataFrame:

@@ -131,6 +131,8 @@ ORACLE = {
     "consensus_coverage": f"WITH {MERGED} SELECT sum(stop - start) AS covered, round(100 * sum(stop - start) / (SELECT hi - lo FROM ends), 6) + 0.0 AS coverage_percent FROM cons",
     "consensus_violations": f"WITH {MERGED} SELECT pop, block_start, block_end, count(*) AS n FROM sets JOIN cons ON block_start < stop AND start < block_end + 1 GROUP BY ALL HAVING count(*) > 1",
     "interval_overlaps": f"WITH {SETS} SELECT p.block_start AS s, p.block_end + 1 AS e, q.block_start AS u, q.block_end + 1 AS v FROM sets p JOIN sets q ON p.pop = 'P0' AND q.pop = 'P1' AND p.block_start < q.block_end + 1 AND q.block_start < p.block_end + 1",
+    "interval_overlaps_levels": """WITH a AS (SELECT p_partkey * 50 AS s, p_partkey * 50 + CAST(pow(2, p_partkey % 13) AS BIGINT) AS e FROM part), b AS (SELECT s_suppkey * 997 AS u, s_suppkey * 997 + CAST(pow(2, s_suppkey % 17) AS BIGINT) AS v FROM supplier)
+      SELECT s, e, u, v FROM a JOIN b ON s < v AND u < e""",
     "block_triangles": f"""WITH {SETS}, h AS (SELECT *, CAST(block_end - block_start AS DOUBLE) / 2 AS half FROM sets)
       SELECT pop, block_start, block_end, n, CASE n WHEN 0 THEN block_start WHEN 1 THEN block_start + half ELSE block_end END::DOUBLE AS x, CASE n WHEN 1 THEN half ELSE 0 END::DOUBLE AS y FROM h, (SELECT unnest([0, 1, 2])::INT AS n)""",
     "blocks_shown": f"WITH {SETS} SELECT * FROM sets WHERE block_start >= 1000 AND block_end <= 20000 AND block_start <> block_end",

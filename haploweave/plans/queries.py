@@ -293,6 +293,14 @@ def interval_overlaps(spark, d):
     return ranges.overlaps(side("P0", "s", "e"), side("P1", "u", "v"), ("s", "e", "u", "v"), 250)
 
 
+def interval_overlaps_levels(spark, d):
+    """Of intervals whose lengths differ by up to 65,536 times."""
+    long = lambda key, most: F.pow(F.lit(2.0), F.col(key) % most).cast("long")
+    left = synth.table(spark, d, "part").select((F.col("p_partkey") * 50).alias("s"), (F.col("p_partkey") * 50 + long("p_partkey", 13)).alias("e"))
+    right = synth.table(spark, d, "supplier").select((F.col("s_suppkey") * 997).alias("u"), (F.col("s_suppkey") * 997 + long("s_suppkey", 17)).alias("v"))
+    return ranges.overlaps(left, right, ("s", "e", "u", "v"), 16)
+
+
 def block_triangles(spark, d):
     return consensus.triangles(synth.block_sets(spark, d), ["pop"])
 
@@ -364,7 +372,7 @@ QUERIES = {
         geno_counts_unphased, geno_counts_selected, site_row_counts, site_filter_reasons, maf_filter, high_missingness, variance, pair_r2_phased, pair_r2_unphased_missing,
         pair_r2_wide, pair_r2_shrinkage, gmap_missing_sites, genetic_map_lookup, right_neighbor, left_neighbor, chunk_intervals, chunk_edge_subset, pair_weights_threshold,
         window_scores_threshold, window_scores_grid, window_scores_modularity, opt_scores, opt_blocks, best_total, partition_summary, chunked_opt_scores, dp_resume, dp_resume_scores, consensus_shrunk,
-        consensus_intervals, consensus_coverage, consensus_violations, consensus_repaired, interval_overlaps, block_triangles, blocks_shown, nearest_variant, next_variant,
+        consensus_intervals, consensus_coverage, consensus_violations, consensus_repaired, interval_overlaps, interval_overlaps_levels, block_triangles, blocks_shown, nearest_variant, next_variant,
         ld_matrix_long, ld_matrix_dense, ld_matrix_binned, edge_bucket_counts,
     )
 }
