@@ -130,6 +130,13 @@ ORACLE = {
     "consensus_intervals": f"WITH {MERGED} SELECT start, stop FROM cons",
     "consensus_coverage": f"WITH {MERGED} SELECT sum(stop - start) AS covered, round(100 * sum(stop - start) / (SELECT hi - lo FROM ends), 6) + 0.0 AS coverage_percent FROM cons",
     "consensus_violations": f"WITH {MERGED} SELECT pop, block_start, block_end, count(*) AS n FROM sets JOIN cons ON block_start < stop AND start < block_end + 1 GROUP BY ALL HAVING count(*) > 1",
+    # the intervals as one list; block after block, all that overlap it but the longest (the first of equals) lose what they share with it
+    "consensus_repaired": f"""WITH RECURSIVE {MERGED}, over AS (SELECT pop, block_start AS s, block_end + 1 AS e FROM sets JOIN cons ON block_start < stop AND start < block_end + 1 GROUP BY ALL HAVING count(*) > 1),
+      bad AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pop, s) AS k, CAST(s AS DOUBLE) AS s, CAST(e AS DOUBLE) AS e FROM over),
+      fold(k, p) AS (SELECT CAST(0 AS BIGINT), (SELECT list({{'a': start, 'z': stop}} ORDER BY start) FROM cons)
+        UNION ALL SELECT k, flatten(list_transform(p, lambda x, i: CASE WHEN i = longest OR x.z <= s OR x.a >= e THEN [x] ELSE list_filter([{{'a': x.a, 'z': least(x.z, s)}}, {{'a': greatest(x.a, e), 'z': x.z}}], lambda y: y.a < y.z) END))
+        FROM (SELECT bad.k, s, e, p, list_position(met, list_max(met)) AS longest FROM (SELECT bad.k, bad.s, bad.e, p, list_transform(p, lambda x: least(x.z, bad.e) - greatest(x.a, bad.s)) AS met FROM fold JOIN bad ON bad.k = fold.k + 1) bad)),
+      final AS (SELECT unnest(p) AS x FROM (SELECT p FROM fold ORDER BY k DESC LIMIT 1)) SELECT x.a AS start, x.z AS stop FROM final""",
     "interval_overlaps": f"WITH {SETS} SELECT p.block_start AS s, p.block_end + 1 AS e, q.block_start AS u, q.block_end + 1 AS v FROM sets p JOIN sets q ON p.pop = 'P0' AND q.pop = 'P1' AND p.block_start < q.block_end + 1 AND q.block_start < p.block_end + 1",
     "interval_overlaps_levels": """WITH a AS (SELECT p_partkey * 50 AS s, p_partkey * 50 + CAST(pow(2, p_partkey % 13) AS BIGINT) AS e FROM part), b AS (SELECT s_suppkey * 997 AS u, s_suppkey * 997 + CAST(pow(2, s_suppkey % 17) AS BIGINT) AS v FROM supplier)
       SELECT s, e, u, v FROM a JOIN b ON s < v AND u < e""",
@@ -143,5 +150,10 @@ ORACLE = {
     "ld_matrix_dense": f"""WITH {GRAPH}, m AS (SELECT loc_a, loc_b, round(r, 9) AS r FROM graph WHERE loc_a BETWEEN 100 AND 106 AND loc_b BETWEEN 100 AND 106 AND r > CAST(0.0001 AS DOUBLE))
       SELECT loc_a, {", ".join(f'max(r) FILTER (loc_b = {c}) AS "{c}"' for c in range(101, 107))} FROM m GROUP BY loc_a""",
     "ld_matrix_binned": f"WITH {ITEMS} SELECT loc_a // 100 AS bin_a, loc_b // 100 AS bin_b, round(avg(r), 6) + 0.0 AS r FROM items GROUP BY ALL",
+    "ld_matrix_pyramid": f"""WITH {ITEMS}, lv AS (SELECT unnest(range(5))::INT AS level)
+      SELECT level, loc_a // (25 << level) AS bin_a, loc_b // (25 << level) AS bin_b, count(*) AS n, round(sum(r), 6) + 0.0 AS total, round(max(r), 6) + 0.0 AS most FROM items, lv GROUP BY ALL""",
+    # 2,000 positions are 40 squares of 50
+    "ld_matrix_shown": f"""WITH {ITEMS}, b AS (SELECT loc_a // 50 AS bin_a, loc_b // 50 AS bin_b, r FROM items)
+      SELECT bin_a, bin_b, bin_a * 50 AS start_a, bin_b * 50 AS start_b, round(avg(r), 6) + 0.0 AS r, round(max(r), 6) + 0.0 AS most FROM b WHERE bin_a BETWEEN 0 AND 39 AND bin_b BETWEEN 0 AND 39 GROUP BY ALL""",
     "edge_bucket_counts": f"WITH {ITEMS} SELECT loc_a, CAST(1 AS BIGINT) AS n_buckets, count(*) AS n_edges FROM items GROUP BY loc_a",
 }

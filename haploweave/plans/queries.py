@@ -332,6 +332,20 @@ def ld_matrix_binned(spark, d):
     return matrix.binned(synth.items(spark, d), 100).select("bin_a", "bin_b", _r("r"))
 
 
+LEVELS = 5
+
+
+def ld_matrix_pyramid(spark, d):
+    return matrix.pyramid(synth.items(spark, d), 25, LEVELS).select("level", "bin_a", "bin_b", "n", _r("total"), _r("most"))
+
+
+def ld_matrix_shown(spark, d):
+    """Of two halves of the edges, merged: what a display of at most 40 squares a side takes."""
+    graph = synth.items(spark, d)
+    squares = matrix.merge_pyramids([matrix.pyramid(graph.where(f"(loc_a + loc_b) % 2 = {k}"), 25, LEVELS) for k in (0, 1)])
+    return matrix.shown(squares, 0, 1999, 25, LEVELS, 40).select("bin_a", "bin_b", "start_a", "start_b", _r("r"), _r("most"))
+
+
 def edge_bucket_counts(spark, d):
     """Left ends whose edges fall into more than one bucket: none. And how many edges there are."""
     rows = synth.items(spark, d).withColumn("bucket", edges.bucket(F.col("loc_a"), 16))
@@ -373,6 +387,6 @@ QUERIES = {
         pair_r2_wide, pair_r2_shrinkage, gmap_missing_sites, genetic_map_lookup, right_neighbor, left_neighbor, chunk_intervals, chunk_edge_subset, pair_weights_threshold,
         window_scores_threshold, window_scores_grid, window_scores_modularity, opt_scores, opt_blocks, best_total, partition_summary, chunked_opt_scores, dp_resume, dp_resume_scores, consensus_shrunk,
         consensus_intervals, consensus_coverage, consensus_violations, consensus_repaired, interval_overlaps, interval_overlaps_levels, block_triangles, blocks_shown, nearest_variant, next_variant,
-        ld_matrix_long, ld_matrix_dense, ld_matrix_binned, edge_bucket_counts,
+        ld_matrix_long, ld_matrix_dense, ld_matrix_binned, ld_matrix_pyramid, ld_matrix_shown, edge_bucket_counts,
     )
 }

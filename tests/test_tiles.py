@@ -136,3 +136,25 @@ def test_bands_by_joined_planes(spark, monkeypatch, unphased):
     assert not any(r["bad"] for r in found)
     few = pairs.correlate(packed, 30, 0.01, unphased, ["c"]).collect()
     assert {(r["c"], r["loc_a"], r["loc_b"]) for r in few} == {(r["c"], r["loc_a"], r["loc_b"]) for r in found if r["r2"] >= 0.01}
+
+
+def test_levels_of_a_pyramid(spark, sf_dir):
+    """Each level equals the squares binned at its width; two pyramids merge into that of all edges; one shuffle makes it."""
+    from haploweave.operators import matrix
+    from haploweave.plans import synth
+
+    graph = synth.items(spark, sf_dir)
+    graph = spark.createDataFrame(graph.collect(), graph.schema)
+    squares = matrix.pyramid(graph, 20, 4)
+    assert squares._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    for level in range(4):
+        own = {(r["bin_a"], r["bin_b"]): r["total"] / r["n"] for r in squares.where(f"level = {level}").collect()}
+        plain = {(r["bin_a"], r["bin_b"]): r["r"] for r in matrix.binned(graph, 20 << level).collect()}
+        assert own == pytest.approx(plain)
+    halves = [matrix.pyramid(graph.where(f"loc_b % 2 = {k}"), 20, 4) for k in (0, 1)]
+    rows = lambda s: sorted((r["level"], r["bin_a"], r["bin_b"], r["n"], round(r["total"], 9), r["most"]) for r in s.collect())
+    assert rows(matrix.merge_pyramids(halves)) == rows(squares)
+    assert matrix.level_for(0, 79, 20, 4, 4) == 0
+    assert matrix.level_for(0, 80, 20, 4, 4) == 1
+    assert matrix.level_for(0, 10**6, 20, 4, 4) == 3
+    assert matrix.pyramid(graph.limit(0), 20, 4).count() == 0
