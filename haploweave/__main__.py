@@ -1,4 +1,4 @@
-"""python -m haploweave correlate | combine | split | score | consensus: the programs on the command line."""
+"""python -m haploweave correlate | combine | split | score | run | consensus: the programs on the command line."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from haploweave import schemas
 from haploweave.operators import blocks, edges, penalty
-from haploweave.plans import flows
+from haploweave.plans import flows, run
 from haploweave.sources import sinks, text
 
 
@@ -49,6 +49,11 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--resume", help="output folder of the chunk to the right")
     q.add_argument("--sites", help="file of all sites, as split writes it")
     q.add_argument("--degree", help="file of normalised degrees, as split writes it")
+    q = add("run", "edges to blocks, chunk after chunk; goes on where it was stopped")
+    q.add_argument("-m", "--model", required=True, choices=penalty.MODELS)
+    q.add_argument("-l", "--length", type=int, required=True)
+    q.add_argument("-v", "--variants", type=int, default=100_000, help="most sites of a chunk")
+    q.add_argument("--penalty", help="file of the penalty, for chi and constant")
     q = add("consensus", "blocks of several populations to common intervals")
     q.add_argument("-b", "--buffer", type=float, required=True)
     q.add_argument("-w", "--width", type=int, default=100_000, help="about the length of a block")
@@ -77,6 +82,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sets = {name if path else str(k): path or name for k, (name, _, path) in enumerate(names)}
         sinks.write_intervals(flows.agree(spark, sets, a.buffer, a.width, not a.no_repair), f"{a.output}/consensus.txt")
         return 0
+    if a.todo == "run":
+        run.whole(spark, a.input, a.output, a.model, a.length, a.variants, text.read_value(spark, a.penalty) if a.penalty else None)
+        return 0
     graph = flows.read_graph(spark, a.input)
     by = flows.keys_of(graph)
     if a.todo == "split":

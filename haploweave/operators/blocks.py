@@ -94,7 +94,12 @@ def partition(
     if earlier is not None:
         ends = earlier.select(*by, F.col("pos").alias("brk"), F.col("idx").alias("brk_idx"))
         found = found.unionByName(earlier.select(*by, "idx", "pos", "opt", "brk").join(ends, [*by, "brk"]).select(found.columns))
-    found = written(found, "partition")
+    return marked(found, by, stretch)
+
+
+def marked(found: DataFrame, by: Sequence[str] = (), stretch: int = STRETCH) -> DataFrame:
+    """(idx, pos, opt, brk, starts) of all totals (idx, pos, opt, brk, brk_idx) of a line: whether a block of the best partition starts at a site."""
+    found = written(found.select(*by, "idx", "pos", "opt", "brk", "brk_idx"), "partition")
     starts = visited(found.select(*by, "idx", (F.col("brk_idx") + 1).alias("next")), by, stretch).withColumn("starts", F.lit(True))
     return found.join(starts, [*by, "idx"], "left").select(*by, "idx", "pos", "opt", "brk", F.coalesce("starts", F.lit(False)).alias("starts"))
 

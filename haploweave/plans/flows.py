@@ -82,7 +82,7 @@ def split(graph: DataFrame, longest: int, most: int) -> tuple[DataFrame, DataFra
 
 def score(
     graph: DataFrame, model: str, longest: int, value: float | None = None, most: int | None = None, distance: int = 2_000_000,
-    sites: DataFrame | None = None, degree: DataFrame | None = None, start: int = 0, end: int | None = None, buffer: int | None = None, earlier: DataFrame | None = None,
+    sites: DataFrame | None = None, degree: DataFrame | None = None, start: int = 0, end: int | None = None, buffer: int | None = None, earlier: DataFrame | None = None, unique: bool = False,
 ) -> DataFrame:
     """The optimum of every site (see blocks.partition).
 
@@ -90,7 +90,8 @@ def score(
     where sums are to be bounded by chunks. ``sites`` and ``degree``: what split has
     stored of the whole line, else made of the graph. ``start``, ``end``, ``buffer``: of
     one chunk, whose blocks begin from ``start`` to ``end`` and end up to ``buffer``;
-    ``earlier(pos, opt, brk)``: the results of the sites to its right.
+    ``earlier(pos, opt, brk)``: the results of the sites to its right. ``unique``: it
+    has been checked that no pair occurs twice.
     """
     by = keys_of(graph)
     line = blocks.chromosome(edges.positions([graph], by) if sites is None else sites, by)
@@ -109,7 +110,7 @@ def score(
         raise ValueError(f"model {model} needs a penalty")
     else:
         cost = penalty.Constant(value)
-    if edges.duplicates(graph, by).limit(1).count():
+    if not unique and edges.duplicates(graph, by).limit(1).count():
         raise ValueError("a pair occurs twice")
     last = schemas.MAX_POSITION if buffer is None and end is None else (buffer if buffer is not None else end)
     if start or last != schemas.MAX_POSITION:
