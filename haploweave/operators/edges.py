@@ -34,6 +34,22 @@ def combine(graphs: list[DataFrame], by: Sequence[str] = ()) -> DataFrame:
     return canonical(both).groupBy(*by, "loc_a", "loc_b").agg(F.max("r").alias("r"))
 
 
+def merge(tables: list[DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """The largest weight of each pair over tables of canonical edges (sinks.write_bucketed): combine without a shuffle, as all edges of a left end lie in one bucket of each."""
+    # the filter drops no canonical edge, but makes rows of columns: a union of columnar scans says that it keeps their buckets and doesn't (4.1.2);
+    # one that rules out nulls would hide the buckets from the union
+    rows = [t.select(*by, "loc_a", "loc_b", "r").where("loc_a < loc_b OR loc_a IS NULL") for t in tables]
+    both = reduce(lambda x, y: x.unionByName(y), rows)
+    return both.groupBy(*by, "loc_a", "loc_b").agg(F.max("r").alias("r"))
+
+
+def degree_of_buckets(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """As degree, of merged tables: only the sums of right ends are shuffled, to the left ends' buckets."""
+    own = edges.groupBy(*by, "loc_a").agg(F.sum("r").alias("k_a")).withColumnRenamed("loc_a", "pos")
+    other = edges.groupBy(*by, F.col("loc_b").alias("pos")).agg(F.sum("r").alias("k_b"))
+    return own.join(other, [*by, "pos"], "full").select(*by, "pos", (F.coalesce("k_a", F.lit(0.0)) + F.coalesce("k_b", F.lit(0.0))).alias("k"))
+
+
 def positions(graphs: list[DataFrame], by: Sequence[str] = ()) -> DataFrame:
     """Every end of any edge, once."""
     ends = [g.select(*by, F.explode(F.array("loc_a", "loc_b")).alias("pos")) for g in graphs]

@@ -75,7 +75,9 @@ ORACLE = {
     "variant_list": f"WITH {CANON}, p AS (SELECT loc_a AS pos FROM canon UNION SELECT loc_b FROM canon) SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS idx FROM p",
     "chromosome_extent": f"WITH {CANON}, p AS (SELECT loc_a AS pos FROM canon UNION SELECT loc_b FROM canon) SELECT min(pos) AS start_bp, max(pos) AS end_bp, max(pos) - min(pos) AS length_bp, count(*) AS n_sites FROM p",
     "combine_max": f"WITH {ITEMS} SELECT * FROM items",
+    "combine_bucketed": f"WITH {ITEMS} SELECT * FROM items",
     "degree_k": f"WITH {DEGREE} SELECT pos, round(k, 6) + 0.0 AS k FROM k",
+    "degree_bucketed": f"WITH {DEGREE} SELECT pos, round(k, 6) + 0.0 AS k FROM k",
     "total_weight_m": f"WITH {ITEMS} SELECT round(sum(r), 6) + 0.0 AS m FROM items",
     "degree_normalized": f"WITH {DEGREE} SELECT pos, round(k / sqrt(2 * (SELECT sum(r) FROM items)), 9) + 0.0 AS k_norm FROM k",
     "degree_range": f"WITH {DEGREE} SELECT pos, round(k / sqrt(2 * (SELECT sum(r) FROM items)), 9) + 0.0 AS k_norm FROM k WHERE pos BETWEEN 100 AND 300",
@@ -93,6 +95,7 @@ ORACLE = {
     "geno_counts_phased": f"WITH {TEXT_HAPS} SELECT pos, {COUNTS}, bool_or(other) AS multiallelic FROM s GROUP BY pos",
     "geno_counts_unphased": f"WITH {DOSES} SELECT pos, {COUNTS}, false AS multiallelic FROM s GROUP BY pos",
     "geno_counts_selected": f"WITH {TEXT_HAPS} SELECT pos, {COUNTS}, bool_or(other) AS multiallelic FROM s WHERE (idx // 2) % 3 = 0 GROUP BY pos",
+    "geno_counts_files": f"WITH {TEXT_HAPS} SELECT pos, {COUNTS}, bool_or(other) AS multiallelic FROM s WHERE (idx // 2) % 3 = 0 GROUP BY pos",
     "site_row_counts": "SELECT vec_id AS pos, CAST(2 AS BIGINT) AS n_rows FROM embeddings WHERE vec_id % 50 = 0",
     "site_filter_reasons": f"WITH {REASONS} SELECT reason, count(*) AS n_sites FROM q WHERE reason IS NOT NULL GROUP BY reason",
     "maf_filter": f"WITH {REASONS} SELECT pos, round(mean, 9) AS mean FROM q WHERE reason IS NULL",

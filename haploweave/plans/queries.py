@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from haploweave.functions import statistics
 from haploweave.operators import blocks, consensus, edges, matrix, pairs, penalty, ranges, sites, tiles
 from haploweave.plans import synth
-from haploweave.sources import text, vcf
+from haploweave.sources import genotypes, shared, sinks, text, vcf
 
 
 def _r(column: str | Column, digits: int = 6) -> Column:
@@ -41,6 +41,23 @@ def combine_max(spark, d):
     return edges.combine([raw.where("loc_a % 2 = 0"), raw.where("loc_a % 2 = 1")])
 
 
+def _stored(spark, d) -> list[DataFrame]:
+    """Both halves of the edges as bucketed tables."""
+    raw, out = synth.raw_items(spark, d), []
+    for k in (0, 1):
+        at = shared.folder(spark, "edges")
+        out.append(sinks.write_bucketed(edges.combine([raw.where(f"loc_a % 2 = {k}")]), at.rsplit("/", 1)[1].replace("-", "_"), at, 8))
+    return out
+
+
+def combine_bucketed(spark, d):
+    return edges.merge(_stored(spark, d))
+
+
+def degree_bucketed(spark, d):
+    return edges.degree_of_buckets(edges.merge(_stored(spark, d))).select("pos", _r("k"))
+
+
 def degree_k(spark, d):
     return edges.degree(synth.items(spark, d)).select("pos", _r("k"))
 
@@ -119,6 +136,14 @@ def geno_counts_selected(spark, d):
     return synth.counted(spark, d, True, _ids(spark)).select(*_COUNTS, _r("mean", 9), "multiallelic")
 
 
+def geno_counts_files(spark, d):
+    """The same individuals, from files that the data source reads."""
+    at = shared.folder(spark, "genotypes")
+    synth.write_vcf(spark, d, at)
+    rows = sites.count_scores(sites.decode(genotypes.read(spark, at, _ids(spark)).drop("chrom"), True))
+    return rows.select(*_COUNTS, _r("mean", 9), "multiallelic")
+
+
 def site_row_counts(spark, d):
     """Rows for each position, where every 50th is repeated."""
     lines = synth.table(spark, d, "embeddings").select(F.explode(F.array_repeat("vec_id", F.when(F.col("vec_id") % 50 == 0, 2).otherwise(1))).alias("pos"))
@@ -381,9 +406,9 @@ def dp_resume_scores(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        edge_parse_text, edge_canonicalize, edge_duplicates, variant_list, chromosome_extent, combine_max, degree_k, total_weight_m, degree_normalized, degree_range,
+        edge_parse_text, edge_canonicalize, edge_duplicates, variant_list, chromosome_extent, combine_max, combine_bucketed, degree_k, degree_bucketed, total_weight_m, degree_normalized, degree_range,
         background_penalty, long_range_edges, edges_in_range, chi_penalty, fisher_penalty, power_penalty, sample_semi_join, sample_individuals, sample_edges, panel_by_superpop, geno_counts_phased,
-        geno_counts_unphased, geno_counts_selected, site_row_counts, site_filter_reasons, maf_filter, high_missingness, variance, pair_r2_phased, pair_r2_unphased_missing,
+        geno_counts_unphased, geno_counts_selected, geno_counts_files, site_row_counts, site_filter_reasons, maf_filter, high_missingness, variance, pair_r2_phased, pair_r2_unphased_missing,
         pair_r2_wide, pair_r2_shrinkage, gmap_missing_sites, genetic_map_lookup, right_neighbor, left_neighbor, chunk_intervals, chunk_edge_subset, pair_weights_threshold,
         window_scores_threshold, window_scores_grid, window_scores_modularity, opt_scores, opt_blocks, best_total, partition_summary, chunked_opt_scores, dp_resume, dp_resume_scores, consensus_shrunk,
         consensus_intervals, consensus_coverage, consensus_violations, consensus_repaired, interval_overlaps, interval_overlaps_levels, block_triangles, blocks_shown, nearest_variant, next_variant,

@@ -42,6 +42,14 @@ def vcf_lines(spark: SparkSession, sf_dir: str, phased: bool) -> DataFrame:
     return head.unionByName(body)
 
 
+def write_vcf(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> None:
+    """The phased table as several files, each with a header."""
+    at = F.when(F.col("line").startswith("##"), 0).when(F.col("line").startswith("#"), 1).otherwise(2)
+    part = F.when(F.col("at") < 2, F.sequence(F.lit(0), F.lit(files - 1))).otherwise(F.array(F.pmod(F.hash("line"), F.lit(files))))
+    dealt = vcf_lines(spark, sf_dir, True).withColumn("at", at).withColumn("part", F.explode(part))
+    dealt.repartition(files, "part").sortWithinPartitions("at").select("line").write.text(folder)
+
+
 def counted(spark: SparkSession, sf_dir: str, phased: bool, ids: DataFrame | None = None) -> DataFrame:
     """pos, scores, multiallelic and counts of the text's sites."""
     return sites.count_scores(sites.decode(vcf.scan(vcf_lines(spark, sf_dir, phased), ids).drop("chrom"), phased))

@@ -31,13 +31,13 @@ def _place(path: str) -> tuple[files.FileSystem, str]:
 
 
 def _files(path: str) -> list[tuple[str, int]]:
-    """Paths, as pyarrow's file system of ``path`` names them, and bytes of its files."""
+    """Paths, as pyarrow's file system of ``path`` names them, and bytes of its files; empty ones are left out."""
     system, at = _place(path)
     info = system.get_file_info(at)
     if info.type == files.FileType.NotFound:
         raise FileNotFoundError(path)
     found = [info] if info.is_file else [f for f in system.get_file_info(files.FileSelector(at)) if f.is_file and f.base_name[0] not in "_."]
-    return sorted((f.path, f.size) for f in found)
+    return sorted((f.path, f.size) for f in found if f.size)
 
 
 def _open(root: str, path: str, start: int = 0) -> io.BufferedIOBase:
@@ -153,7 +153,7 @@ def read(spark: SparkSession, paths: str, ids: DataFrame | None = None, split: i
 
     Files may hold individuals in different orders; one that lacks an individual, a
     file without a header and no selected individual are errors. A position that is
-    no number is null, as is a call that a line lacks; blank lines are skipped.
+    no number is null, as is a call that a line lacks; blank lines and empty files are skipped.
     Compressed files (.gz, .bgz) are one task each.
     """
     spark.dataSource.register(Genotypes)

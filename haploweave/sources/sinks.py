@@ -61,6 +61,13 @@ def write_by_left_end(edges: DataFrame, path: str, buckets: int, by: Sequence[st
     edges.repartition(buckets, *by, "loc_a").sortWithinPartitions(*by, "loc_a", "loc_b").write.parquet(path)
 
 
+def write_bucketed(edges: DataFrame, table: str, path: str, buckets: int, by: Sequence[str] = ()) -> DataFrame:
+    """Canonical edges as a table, bucketed and sorted by left end, of one file a bucket; edges.merge and edges.degree_of_buckets use the layout where tables have as many buckets and the same ``by``."""
+    rows = edges.repartition(buckets, *by, "loc_a")
+    rows.write.bucketBy(buckets, *by, "loc_a").sortBy(*by, "loc_a", "loc_b").option("path", path).saveAsTable(table)
+    return edges.sparkSession.table(table)
+
+
 def write_by_chunk(edges: DataFrame, path: str) -> None:
     """Edges of every chunk (of edges.by_chunk) in a folder for each chunk and sub-bucket."""
     keys = ["start_bp", "buffer_end_bp", "sub_bucket"]

@@ -27,7 +27,8 @@ def test_files_of_a_folder(spark, lines, tmp_path, split):
     (tmp_path / "a.vcf").write_text("\n".join([*head, *body[:80]]) + "\n")
     (tmp_path / "b.vcf").write_text("\n".join([head[0], turn(head[1]), "", *(turn(x) for x in body[80:150])]))
     (tmp_path / "c.vcf.gz").write_bytes(gzip.compress("\n".join(head).encode() + b"\n") + gzip.compress("\n".join(body[150:]).encode()))
-    (tmp_path / "_SUCCESS").write_text("")
+    (tmp_path / "_SUCCESS").write_text("no site")
+    (tmp_path / "d.vcf").write_text("")
     whole = spark.createDataFrame([(x,) for x in lines], "line string")
     assert rows(genotypes.read(spark, str(tmp_path), split=split)) == rows(vcf.scan(whole))
     ids = spark.createDataFrame([("S3",), ("S1",), ("nobody",)], "sample string")
