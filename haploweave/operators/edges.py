@@ -28,10 +28,32 @@ def duplicates(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return edges.groupBy(*by, "loc_a", "loc_b").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def combine(graphs: list[DataFrame], by: Sequence[str] = ()) -> DataFrame:
-    """The largest weight of each pair over all graphs."""
-    both = reduce(lambda x, y: x.unionByName(y), [g.select(*by, "loc_a", "loc_b", "r") for g in graphs])
-    return canonical(both).groupBy(*by, "loc_a", "loc_b").agg(F.max("r").alias("r"))
+#: Edges that a task or bucket should hold, about: it keeps a row of each in memory.
+TASK_EDGES = 500_000
+#: Side of the squares of positions whose edges are dealt to one task together.
+NEAR = 100
+
+
+def parts_for(rows: int, least: int) -> int:
+    """How many tasks or buckets so many edges take: at least ``least``, and as many more as there are more edges."""
+    return max(least, -(-rows // TASK_EDGES))
+
+
+def combine(graphs: list[DataFrame], by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """The largest weight of each pair over all graphs.
+
+    With ``parts`` (see parts_for) edges are dealt to so many tasks, those of a square
+    of NEAR positions to one, so that a task's memory doesn't grow with the input and
+    what is summed by position next finds its rows together. It is for lists whose
+    pairs are repeated a few times: rows, not the largest of a task, pass the shuffle.
+    """
+    both = canonical(reduce(lambda x, y: x.unionByName(y), [g.select(*by, "loc_a", "loc_b", "r") for g in graphs]))
+    if parts is None:
+        return both.groupBy(*by, "loc_a", "loc_b").agg(F.max("r").alias("r"))
+    near = [F.floor(F.col(c) / NEAR).alias(f"_{c}") for c in ("loc_a", "loc_b")]
+    dealt = both.select("*", *near).repartition(parts, *by, "_loc_a", "_loc_b")
+    # grouped by the squares too, so that the largest are found where the edges are
+    return dealt.groupBy(*by, "_loc_a", "_loc_b", "loc_a", "loc_b").agg(F.max("r").alias("r")).drop("_loc_a", "_loc_b")
 
 
 def merge(tables: list[DataFrame], by: Sequence[str] = ()) -> DataFrame:

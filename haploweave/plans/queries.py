@@ -38,15 +38,17 @@ def chromosome_extent(spark, d):
 
 def combine_max(spark, d):
     raw = synth.raw_items(spark, d)
-    return edges.combine([raw.where("loc_a % 2 = 0"), raw.where("loc_a % 2 = 1")])
+    return edges.combine([raw.where("loc_a % 2 = 0"), raw.where("loc_a % 2 = 1")], parts=edges.parts_for(raw.count(), spark.sparkContext.defaultParallelism))
 
 
 def _stored(spark, d) -> list[DataFrame]:
-    """Both halves of the edges as bucketed tables."""
+    """Both halves of the edges as bucketed tables, of more buckets the more edges there are."""
     raw, out = synth.raw_items(spark, d), []
+    rows = raw.count()
     for k in (0, 1):
         at = shared.folder(spark, "edges")
-        out.append(sinks.write_bucketed(edges.combine([raw.where(f"loc_a % 2 = {k}")]), at.rsplit("/", 1)[1].replace("-", "_"), at, 8))
+        half = edges.combine([raw.where(f"loc_a % 2 = {k}")], parts=edges.parts_for(rows // 2, spark.sparkContext.defaultParallelism))
+        out.append(sinks.write_bucketed(half, at.rsplit("/", 1)[1].replace("-", "_"), at, edges.parts_for(rows, 8)))
     return out
 
 

@@ -21,3 +21,21 @@ def test_merge_shuffles_nothing(spark, sf_dir, tmp_path):
     assert plan(degree).count("Exchange hashpartitioning") == 1
     rounded = lambda df: sorted((r["chrom"], r["pos"], round(r["k"], 6)) for r in df.collect())
     assert rounded(degree) == rounded(edges.degree(edges.combine(parts, by), by))
+
+
+def _most_in_a_task(rows):
+    from pyspark.sql import functions as F
+
+    return rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_buckets_grow_with_the_edges(spark, sf_dir, monkeypatch):
+    """The tables that combine_bucketed merges: more edges make more buckets, not larger ones."""
+    from haploweave.plans import queries, synth
+
+    monkeypatch.setattr(edges, "TASK_EDGES", 200)
+    n = synth.raw_items(spark, sf_dir).count()
+    merged = edges.merge(queries._stored(spark, sf_dir))
+    assert merged.rdd.getNumPartitions() == -(-n // 200)
+    assert _most_in_a_task(merged) < n // 10
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, edges.combine([synth.raw_items(spark, sf_dir)]).collect()))
