@@ -39,3 +39,14 @@ def test_buckets_grow_with_the_edges(spark, sf_dir, monkeypatch):
     assert merged.rdd.getNumPartitions() == -(-n // 200)
     assert _most_in_a_task(merged) < n // 10
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, edges.combine([synth.raw_items(spark, sf_dir)]).collect()))
+
+
+def test_degrees_of_many_buckets(spark, sf_dir, monkeypatch):
+    """The tasks of degree_bucketed hold a bucket each; more of them give the same degrees."""
+    from haploweave.plans import queries
+
+    few = {r["pos"]: r["k"] for r in queries.degree_bucketed(spark, sf_dir).collect()}
+    monkeypatch.setattr(edges, "TASK_EDGES", 200)
+    many = queries.degree_bucketed(spark, sf_dir)
+    assert "SelectedBucketsCount: 30 out of 30" in plan(many)
+    assert {r["pos"]: r["k"] for r in many.collect()} == few
