@@ -103,7 +103,8 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges.combine([raw_items(spark, sf_dir)])
+    raw = raw_items(spark, sf_dir)
+    return edges.combine([raw], parts=edges.parts_for(raw.count(), spark.sparkContext.defaultParallelism))  # the count reads the files' ends only
 
 
 def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,3 +158,19 @@ def test_levels_of_a_pyramid(spark, sf_dir):
     assert matrix.level_for(0, 80, 20, 4, 4) == 1
     assert matrix.level_for(0, 10**6, 20, 4, 4) == 3
     assert matrix.pyramid(graph.limit(0), 20, 4).count() == 0
+
+
+def test_edges_of_a_square_lie_in_one_task(spark, sf_dir, monkeypatch):
+    """What ld_matrix_pyramid sums: tasks grow in number, not in size, and each holds whole squares, so that it keeps few partial sums."""
+    from pyspark.sql import functions as F
+
+    from haploweave.plans import synth
+
+    monkeypatch.setattr(edges, "TASK_EDGES", 50)
+    graph = synth.items(spark, sf_dir)
+    assert graph.rdd.getNumPartitions() == -(-synth.raw_items(spark, sf_dir).count() // 50)
+    squares = graph.select(F.floor(F.col("loc_a") / edges.NEAR).alias("a"), F.floor(F.col("loc_b") / edges.NEAR).alias("b"), F.spark_partition_id().alias("task")).distinct()
+    assert squares.groupBy("a", "b").count().where("count > 1").count() == 0
+    assert squares.select("task").distinct().count() > 1
+    plain = edges.combine([synth.raw_items(spark, sf_dir)])
+    assert sorted(map(tuple, graph.collect())) == sorted(map(tuple, plain.collect()))
