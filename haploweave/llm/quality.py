@@ -12,6 +12,7 @@ parameter; without one, it is as many as the labels say are good.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -21,12 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haploweave.llm._io import as_bytes, chunks, materialize, pieces, table, unused
+from haploweave.llm._io import as_bytes, chunks, materialize, may_be_among, pieces, table, unused
 
 #: Hash buckets of the models: what the driver gathers and sends is bounded by them.
 BUCKETS = 1 << 14
-#: At most so many labelled good documents make the target model, and so many set the cut, by hash of the identifier.
-TARGETS = 50_000
 #: Where k isn't given: the share of held-out good documents that may be left out by the sample.
 MISSED = 0.0005
 #: A text of n n-grams counts as n * EVIDENCE / (n + EVIDENCE) independent ones: all of a short one, never more than this.
@@ -55,36 +54,38 @@ def buckets_of(text: bytes):
         yield ((np.concatenate(grams) >> np.uint64(33)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def _counter(targets: np.ndarray):
-    def count(batches):
-        raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in pieces(batches):
-            ids = batch.column("id").fill_null(0).to_numpy()
-            known = np.isin(ids, targets) & batch.column("id").is_valid().to_numpy(zero_copy_only=False)
-            for is_good, text in zip(known.tolist(), as_bytes(batch.column("text")), strict=True):
-                for at in buckets_of(text):
-                    found = np.bincount(at, minlength=BUCKETS)
-                    raw += found
-                    if is_good:
-                        good += found
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(raw), pa.array(good)], names=["bucket", "raw", "good"])
-
-    return count
+def _count(batches):
+    raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for batch in pieces(batches):
+        for is_good, text in zip(batch.column("known").to_pylist(), as_bytes(batch.column("text")), strict=True):
+            for at in buckets_of(text):
+                found = np.bincount(at, minlength=BUCKETS)
+                raw += found
+                if is_good:
+                    good += found
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(raw), pa.array(good)], names=["bucket", "raw", "good"])
 
 
 def _good(labels: DataFrame, held_out: bool) -> DataFrame:
-    """Identifiers labelled good: three quarters make the target model, the others set the cut, as new documents would."""
+    """All identifiers labelled good: three quarters make the target model, the others set the cut, as new documents would."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     part = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)) == 0
-    return good.where(part if held_out else ~part).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGETS)
+    return good.where(part if held_out else ~part)
+
+
+def _marked(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """``rows`` with ``known``: whether ``id`` is one of ``targets``, a table of one long column without repeats. Only texts of rows that may be are dealt out by their identifiers."""
+    among = may_be_among(F.col("id"), targets)
+    rest = rows.where(~among).withColumn("known", F.lit(False))
+    near = rows.where(among).join(targets.select(F.col("doc_id").alias("id"), F.lit(True).alias("found")), "id", "left")
+    return rest.unionByName(near.select("id", "text", F.col("found").isNotNull().alias("known")))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The log ratio of the two models for each bucket. Without target documents all are 0."""
-    targets = _good(labels, held_out=False)
-    ids = np.sort(targets.toArrow().column(0).to_numpy())
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    counts = rows.mapInArrow(_counter(ids), "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+    marked = _marked(rows, _good(labels, held_out=False)).select("text", "known")
+    counts = marked.mapInArrow(_count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     raw, good = np.ones(BUCKETS), np.ones(BUCKETS)
     for r in counts.toArrow().to_batches():
         raw[r.column(0).to_numpy()] += r.column(1).to_numpy()
@@ -144,11 +145,13 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float:
 
 
 def resample(scored: DataFrame, weight: str, labels: DataFrame, k: int | None = None, seed: int = 11) -> tuple[float, int]:
-    """(least key that stays, k) for ``scored(doc_id, weight)``. Without ``k``: how many rows reach the key that all but MISSED of the held-out good documents reach."""
+    """(least key that stays, k) for ``scored(doc_id, weight)``. Without ``k``: how many rows reach the key that all but MISSED of the held-out good documents reach, each of which counts."""
     keys = scored.select("doc_id", gumbel_key(F.col(weight), F.col("doc_id"), seed).alias("key"))
     if k is None:
-        known = keys.join(_good(labels, held_out=True), "doc_id", "left_semi").agg(F.percentile_approx("key", MISSED, 100_000).alias("cut")).first()["cut"]
-        k = keys.where(F.col("key") >= (float("-inf") if known is None else known)).count()
+        known = materialize(keys.join(_good(labels, held_out=True), "doc_id", "left_semi").select("key"), "quality-known")
+        n = known.count()
+        cut = kth_largest(known, "key", n - max(1, math.ceil(n * MISSED)) + 1) if n else float("-inf")
+        return cut, keys.where(F.col("key") >= cut).count()  # it is a row's key, so the k-th largest
     rows = keys.count()
     if not 0 < k < rows:
         return (float("-inf"), rows) if k > 0 else (float("inf"), 0)

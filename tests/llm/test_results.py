@@ -570,6 +570,37 @@ def test_kth_largest(spark, k):
     assert quality.kth_largest(spark.createDataFrame([(v,) for v in values], "key double"), "key", k) == sorted(values, reverse=True)[k - 1]
 
 
+def test_every_good_document_makes_the_model(spark):
+    """More than 50,000 of them."""
+    from pyspark.sql import functions as F
+
+    n = 80_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n // 2, "x").otherwise("y").alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, 1).otherwise(0).alias("quality"))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)) != 0
+    targets = {x: docs.where(fold & (F.col("doc_id") % 10 > 0) & (F.col("text") == x)).count() for x in "xy"}
+    assert sum(targets.values()) > 50_000
+    raw, good = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    for x, m in targets.items():
+        for b in brute_buckets(x.encode()):
+            raw[b] += n // 2
+            good[b] += m
+    assert quality.fit(docs, labels) == pytest.approx(np.log(good / good.sum()) - np.log(raw / raw.sum()), abs=1e-12)
+
+
+def test_every_held_out_document_sets_the_cut(spark):
+    """More than 50,000 of them, and the cut is the very key, not one near it."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(240_000).select(F.col("id").alias("doc_id"), F.lit(0.0).alias("w"))
+    keys = rows.select("doc_id", quality.gumbel_key(F.col("w"), F.col("doc_id"), 11).alias("key"))
+    own = np.sort(keys.where(F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)) == 0).toPandas().key.to_numpy())
+    assert len(own) > 50_000
+    cut, k = quality.resample(rows, "w", rows.select("doc_id", F.lit(1).alias("quality")))
+    assert cut == own[math.ceil(len(own) * quality.MISSED) - 1]
+    assert k == int((keys.toPandas().key.to_numpy() >= cut).sum())
+
+
 def test_noise_is_gumbel(spark):
     from pyspark.sql import functions as F
 
