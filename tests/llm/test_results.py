@@ -955,3 +955,17 @@ def test_stages_equal_brute_force(spark, tmp_path, duck):
 def brute_shingles(text, k=5):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def test_quality_stage_heeds_every_label(spark, tmp_path):
+    """More than 50,000 held-out documents set its cut: of equal weights the noise decides."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.range(240_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    docs.select("doc_id", F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    held_out = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)) == 0
+    noise = docs.select(quality.gumbel_key(F.lit(0.0), F.col("doc_id"), 11).alias("key"), held_out.alias("own")).toPandas()
+    own = np.sort(noise.key[noise.own].to_numpy())
+    cut = own[math.ceil(len(own) * quality.MISSED) - 1]
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == int((noise.key >= cut).sum())
