@@ -43,14 +43,40 @@ PLAIN = re.compile(r"[\x20-\x7e\t\n\r\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u01
 #: Pre-tokens of a plain text in lower case.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^ \t\n\ra-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 
+#: Bytes that the vocabulary writes as characters from 256 on: those that aren't printed, in order.
+_HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
+class PartIds(dict):
+    """Little-endian unsigned 32-bit ids of parts, made when a part is first asked for.
+
+    A part is a pre-token as it stands, so that only the vocabulary's merges are left
+    to do, on its bytes as characters; a word that isn't plain goes to the tokenizer
+    whole, under its name after a blank.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.merges = tokenizer, tokenizer.model
+
+    def __missing__(self, part: str) -> bytes:
+        if part[0] == " ":
+            ids = self.tokenizer.encode_batch_fast([part[1:]], add_special_tokens=False)[0].ids
+        else:
+            ids = [t.id for t in self.merges.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS))]
+        found = array("I", ids).tobytes()
+        if len(part) <= KEPT_CHARS:
+            if len(self) >= KEPT_PARTS:
+                self.clear()
+            self[part] = found
+        return found
+
 
 class WordIds:
     """Token ids of texts, from what is known of their parts.
 
-    Parts are the pre-tokens of plain texts and words. Unknown ones are encoded
-    together, as each ends with the only token that has the end mark. White space
-    never enters a token, so words that aren't plain are parts by themselves, kept
-    under their name after a blank.
+    Parts are the pre-tokens of plain texts and words. White space never enters a
+    token, so words that aren't plain are parts by themselves.
     """
 
     def __init__(self, path: str):
@@ -58,10 +84,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
+        self.known = PartIds(self.tokenizer)
 
     def _parts(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text) and "<|" not in text:
@@ -74,32 +97,9 @@ class WordIds:
                 out.append(f" {word}")
         return out
 
-    def _learn(self, fresh: set[str]) -> None:
-        parts, words = sorted(x for x in fresh if x[0] != " "), sorted(x for x in fresh if x[0] == " ")
-        for i in range(0, len(parts), 8192):
-            some = parts[i : i + 8192]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            held = ids.tobytes()
-            self.known.update(zip(some, (held[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast([x[1:] for x in some], add_special_tokens=False), strict=True):
-                self.known[word] = array("I", e.ids).tobytes()
-
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids, without special tokens."""
-        split = [self._parts(t) for t in texts]
-        here = set().union(*split)
-        fresh = here - self.known.keys()
-        if len(self.known) + len(fresh) > KEPT_PARTS:
-            self.known, fresh = {}, here
-        self._learn(fresh)
-        found = [b"".join(map(self.known.__getitem__, parts)) for parts in split]
-        for part in fresh:
-            if len(part) > KEPT_CHARS:
-                del self.known[part]
-        return found
+        return [b"".join(map(self.known.__getitem__, self._parts(t))) for t in texts]
 
 
 #: Vocabularies that a worker has loaded, for the tasks that follow.
@@ -147,7 +147,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                         salt, ranks, count = salt + 1, {}, 0
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt", "rank", "ids"])
-        ids_of.known = {}  # an idle worker holds no more than the vocabulary
+        ids_of.known.clear()  # an idle worker holds no more than the vocabulary
         release()
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

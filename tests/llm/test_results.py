@@ -969,3 +969,19 @@ def test_quality_stage_heeds_every_label(spark, tmp_path):
     own = np.sort(noise.key[noise.own].to_numpy())
     cut = own[math.ceil(len(own) * quality.MISSED) - 1]
     assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == int((noise.key >= cut).sum())
+
+
+def test_ids_of_parts_are_the_tokenizers(monkeypatch):
+    """Of every plain character and of mixtures, with few parts kept at a time."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "KEPT_PARTS", 50)
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids_of, plain, rng = packing.WordIds(path), Tokenizer.from_file(path), random.Random(5)
+    chars = [chr(c) for c in range(1, 0x180)] + ["中", "\U0001f600", "́", "<|endoftext|>", "'ll"]
+    texts = [c * k for c in chars for k in (1, 2, 70)] + ["".join(rng.choice(chars) for _ in range(40)) for _ in range(2000)]
+    for text, got in zip(texts, ids_of(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(ids_of.known) <= 50
