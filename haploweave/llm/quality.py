@@ -82,17 +82,18 @@ def _marked(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """The log ratio of the two models for each bucket. Without target documents all are 0."""
+    """The log ratio of the two models for each bucket. Where no target document is there (few labels), the held-out ones make the model; without these, too, all are 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    marked = _marked(rows, _good(labels, held_out=False)).select("text", "known")
-    counts = marked.mapInArrow(_count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-    raw, good = np.ones(BUCKETS), np.ones(BUCKETS)
-    for r in counts.toArrow().to_batches():
-        raw[r.column(0).to_numpy()] += r.column(1).to_numpy()
-        good[r.column(0).to_numpy()] += r.column(2).to_numpy()
-    if good.sum() == BUCKETS:
-        return np.zeros(BUCKETS)
-    return np.log(good / good.sum()) - np.log(raw / raw.sum())
+    for held_out in (False, True):
+        marked = _marked(rows, _good(labels, held_out)).select("text", "known")
+        counts = marked.mapInArrow(_count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+        raw, good = np.ones(BUCKETS), np.ones(BUCKETS)
+        for r in counts.toArrow().to_batches():
+            raw[r.column(0).to_numpy()] += r.column(1).to_numpy()
+            good[r.column(0).to_numpy()] += r.column(2).to_numpy()
+        if good.sum() > BUCKETS:
+            return np.log(good / good.sum()) - np.log(raw / raw.sum())
+    return np.zeros(BUCKETS)
 
 
 def log_weight(text: bytes, ratios: np.ndarray) -> float:
@@ -145,13 +146,16 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float:
 
 
 def resample(scored: DataFrame, weight: str, labels: DataFrame, k: int | None = None, seed: int = 11) -> tuple[float, int]:
-    """(least key that stays, k) for ``scored(doc_id, weight)``. Without ``k``: how many rows reach the key that all but MISSED of the held-out good documents reach, each of which counts."""
+    """(least key that stays, k) for ``scored(doc_id, weight)``. Without ``k``: how many rows reach the key that all but MISSED of the held-out good documents reach, each of which counts; where none of these is there (few labels), the others set the cut."""
     keys = scored.select("doc_id", gumbel_key(F.col(weight), F.col("doc_id"), seed).alias("key"))
     if k is None:
-        known = materialize(keys.join(_good(labels, held_out=True), "doc_id", "left_semi").select("key"), "quality-known")
-        n = known.count()
-        cut = kth_largest(known, "key", n - max(1, math.ceil(n * MISSED)) + 1) if n else float("-inf")
-        return cut, keys.where(F.col("key") >= cut).count()  # it is a row's key, so the k-th largest
+        for held_out in (True, False):
+            known = materialize(keys.join(_good(labels, held_out), "doc_id", "left_semi").select("key"), "quality-known")
+            n = known.count()
+            if n:
+                cut = kth_largest(known, "key", n - max(1, math.ceil(n * MISSED)) + 1)
+                return cut, keys.where(F.col("key") >= cut).count()  # it is a row's key, so the k-th largest
+        return float("-inf"), keys.count()
     rows = keys.count()
     if not 0 < k < rows:
         return (float("-inf"), rows) if k > 0 else (float("inf"), 0)

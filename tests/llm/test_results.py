@@ -985,3 +985,20 @@ def test_ids_of_parts_are_the_tokenizers(monkeypatch):
     for text, got in zip(texts, ids_of(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
         assert len(ids_of.known) <= 50
+
+
+@pytest.mark.parametrize("held_out", [False, True])
+def test_quality_stage_selects_by_few_labels(spark, tmp_path, held_out):
+    """All good documents in one fold: they make the model and set the cut, rather than that every row stays or noise decides."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    of_fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)) == 0
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), (of_fold if held_out else ~of_fold).alias("own"))
+    known = sorted(r["doc_id"] for r in rows.where("own").collect())[:10]
+    fine = F.col("doc_id").isin(known) | (F.col("doc_id") % 2 == 0)
+    docs = rows.select("doc_id", F.when(fine, "the cat sat on a mat and then it slept").otherwise("zx qv zx qv zx jj kk zx qv ww").alias("text"))
+    spark.createDataFrame([(i, 1) for i in known], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert kept.keys() >= set(known)
+    assert sum(t.startswith("zx") for t in kept.values()) < 20
