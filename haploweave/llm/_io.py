@@ -87,15 +87,21 @@ def trimmed(function):
     return run
 
 
-#: Bytes of a batch of rows that goes to Python at most, where the session doesn't say.
-BATCH_BYTES = 4 << 20
+#: Bytes of a batch of rows that goes to Python at most, and rows that Spark reads from Parquet at once, where the session doesn't say.
+BATCH_BYTES, READ_ROWS = 4 << 20, 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on the session's batches of rows for Python hold BATCH_BYTES at most, unless it has a limit of its own: whole texts are long, and a batch is held on both sides."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) == "67108864b":  # the default
-        spark.conf.set(name, f"{BATCH_BYTES}b")
+    """From now on the session's batches of rows for Python hold BATCH_BYTES at most, and READ_ROWS are read at once, unless it has limits of its own: whole texts are long, and a batch is held on both sides."""
+    for name, usual, ours in (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b"), ("spark.sql.parquet.columnarReaderBatchSize", "4096", str(READ_ROWS))):
+        if spark.conf.get(name) == usual:  # the default; with a default given here, one that isn't set would be that, not Spark's
+            spark.conf.set(name, ours)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A few rows as a table, by Arrow: rows of Python objects would start a second set of Python workers, which stay beside the executors."""
+    held = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows] or [{}], schema)
+    return spark.createDataFrame(held).where(F.lit(bool(rows)))
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

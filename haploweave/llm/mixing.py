@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from haploweave.llm._io import WORD, materialize, table
+from haploweave.llm._io import WORD, materialize, small_table, table
 
 #: Hex digits of the seeded order that number its buckets: 16 to this power.
 BUCKET_DIGITS = 3
@@ -120,12 +120,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
         total, reach, parts = sum(flow.values()), 0, []
         for s in sorted(flow):
             if flow[s]:
-                parts.append((reach, reach + flow[s], names[s]))
+                parts.append({"lo": reach, "hi": reach + flow[s], "source": names[s]})
                 reach += flow[s]
         full = total // r["words"] if r["words"] else 0
         plan.append((r["pattern"], r["words"], full, total - full * r["words"], parts, sorted(h, key=lambda s: at[s]), [size[at[s]] for s in sorted(h, key=lambda s: at[s])], [aims[at[s]] for s in sorted(h, key=lambda s: at[s])]))
-    shape = "pattern string, words long, full long, rest long, parts array<struct<lo: long, hi: long, source: string>>, source_names array<string>, source_sizes array<long>, targets array<double>"
-    plan_rows = F.broadcast(spark.createDataFrame(plan, shape))  # one row a pattern
+    text, long = pa.string(), pa.int64()
+    part = pa.struct([("lo", long), ("hi", long), ("source", text)])
+    shape = pa.schema([("pattern", text), ("words", long), ("full", long), ("rest", long), ("parts", pa.list_(part)), ("source_names", pa.list_(text)), ("source_sizes", pa.list_(long)), ("targets", pa.list_(pa.float64()))])
+    plan_rows = F.broadcast(small_table(spark, plan, shape))  # one row a pattern
 
     sums = lined.groupBy("pattern", "bucket").agg(F.sum("size").alias("held"))
     before = sums.withColumn("before", F.sum("held").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("held")).drop("held")
@@ -138,13 +140,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
     inside = {r["pattern"]: r["s"] or 0 for r in placed.where("stop <= rest").groupBy("pattern").agg(F.sum("size").alias("s")).collect()}
     gaps = {p[0]: p[3] - inside.get(p[0], 0) for p in plan}
     added: list[tuple[str, int]] = []
-    schema = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("start", T.LongType())])
+    spots_of = pa.schema([("pattern", text), ("start", long)])
     for fill in range(FILLS + 1):
         open_gaps = [(p, g) for p, g in gaps.items() if g > 0]
         if not open_gaps:
             break
-        left = placed.where("stop > rest AND size > 0").join(F.broadcast(spark.createDataFrame(open_gaps, "pattern string, gap long")), "pattern")
-        left = left.join(F.broadcast(spark.createDataFrame(added, schema)), ["pattern", "start"], "left_anti")
+        left = placed.where("stop > rest AND size > 0").join(F.broadcast(small_table(spark, open_gaps, pa.schema([("pattern", text), ("gap", long)]))), "pattern")
+        left = left.join(F.broadcast(small_table(spark, added, spots_of)), ["pattern", "start"], "left_anti")
         if fill < FILLS:
             left, sign = left.where("size <= gap"), -1
         else:
@@ -152,7 +154,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
         for r in left.groupBy("pattern").agg(F.min(F.struct((sign * F.col("size")).alias("z"), "start")).alias("m")).collect():
             gaps[r["pattern"]] -= sign * r["m"]["z"]
             added.append((r["pattern"], r["m"]["start"]))
-    more = F.broadcast(spark.createDataFrame(added, schema).withColumn("more", F.lit(1)))  # FILLS + 1 rows a pattern
+    more = F.broadcast(small_table(spark, added, spots_of).withColumn("more", F.lit(1)))  # FILLS + 1 rows a pattern
     taken = placed.join(more, ["pattern", "start"], "left").drop("rest").join(plan_rows, "pattern")
     one = (F.col("stop") <= F.col("rest")) | (F.col("more").isNotNull() & (F.col("size") > 0))
     taken = taken.withColumn("copies", F.least(F.col("full") + F.when(one, 1).otherwise(0), F.lit(limit)))  # the limit binds empty documents

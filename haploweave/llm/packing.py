@@ -29,7 +29,7 @@ from haploweave.llm._io import as_bytes, materialize, pieces, release, table
 
 SEQUENCE = 2048
 #: Parts of texts whose ids a worker keeps at most, and the longest it keeps.
-KEPT_PARTS, KEPT_CHARS = 300_000, 64
+KEPT_PARTS, KEPT_CHARS = 100_000, 64
 #: Texts are cut into parts so many bytes at a time: their parts take some fifteen times the room.
 TEXT_BYTES = 1 << 20
 #: Pieces that share a salt, within which ranks are counted.
@@ -102,7 +102,7 @@ class WordIds:
         return [b"".join(map(self.known.__getitem__, self._parts(t))) for t in texts]
 
 
-#: Vocabularies that a worker has loaded, for the tasks that follow.
+#: Vocabularies that a worker has loaded, until its task ends.
 _loaded: dict[str, WordIds] = {}
 
 
@@ -116,6 +116,12 @@ def word_ids(path: str | None) -> WordIds:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drop the vocabularies: an executor's tasks take its workers in turn, more than run at once, and an idle one should hold none. Not in the task's function itself, whose globals are copies."""
+    _loaded.clear()
+    release()
+
+
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUENCE, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, salt, rank (and ids) of every document's pieces.
 
@@ -147,8 +153,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                         salt, ranks, count = salt + 1, {}, 0
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt", "rank", "ids"])
-        ids_of.known.clear()  # an idle worker holds no more than the vocabulary
-        release()
+        del ids_of
+        forget()
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, rank long, ids binary")

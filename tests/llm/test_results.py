@@ -1002,3 +1002,30 @@ def test_quality_stage_selects_by_few_labels(spark, tmp_path, held_out):
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
     assert kept.keys() >= set(known)
     assert sum(t.startswith("zx") for t in kept.values()) < 20
+
+
+def test_stages_leave_little_in_an_executor(spark):
+    """The mix starts no workers of its own for its small tables, idle workers hold no vocabulary, and few texts are read at once."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame(pa.table({"doc_id": list(range(40)), "text": ["a b c", "d e"] * 20, "source": ["x", "y", None, "x"] * 10}))
+    taken = mixing.mix(mixing.sized(docs))
+    assert "ExistingRDD" not in taken._jdf.queryExecution().toString()
+    assert taken.count() == 40
+
+    def held(batches):
+        from haploweave.llm import packing
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(packing._loaded)])], names=["n"])
+
+    assert packing.token_pieces(docs.repartition(16)).count() == 40
+    assert {r["n"] for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect()} == {0}
+    session = spark.newSession()
+    _io.small_batches(session)
+    assert session.conf.get("spark.sql.parquet.columnarReaderBatchSize") == str(_io.READ_ROWS)
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{_io.BATCH_BYTES}b"
+    session.conf.set("spark.sql.parquet.columnarReaderBatchSize", "64")
+    _io.small_batches(session)
+    assert session.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "64"
